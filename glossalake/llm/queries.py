@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossalake.llm import language_id
+from glossalake.llm import language_id, secrets, sharding
 from glossalake.llm.common import remainder
 
 
@@ -23,7 +23,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    placed = sharding.assign(docs, sharding.plan(docs, 24))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = [F.size(secrets.of_kinds(F.col("spans"), (k,))).cast("bigint").alias(f"n_{k}") for k in secrets.BASE]
+    spans = F.col("spans")
+    return found.select("doc_id", *count, F.sha2(secrets.digest(spans, secrets.BASE).cast("binary"), 256).alias("base_sha256"), secrets.digest(spans).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_sharding": op6_sharding,
+    "op7_secret_scan": op7_secret_scan,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
