@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossalake.llm import language_id, secrets, sharding
+from glossalake.llm import byte_bpe, language_id, secrets, sharding
 from glossalake.llm.common import remainder
 
 
@@ -23,6 +23,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def tokenizer(spark: SparkSession) -> byte_bpe.Tokenizer:
+    import public_tokenizers
+
+    return byte_bpe.Tokenizer(spark, byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bpe = tokenizer(spark).learn_words(docs)
+    ids = F.col("ids")
+    return bpe.encode(docs).select("doc_id", byte_bpe.count_ids(ids).alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     placed = sharding.assign(docs, sharding.plan(docs, 24))
@@ -37,6 +50,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_byte_bpe": op4_byte_bpe,
     "op6_sharding": op6_sharding,
     "op7_secret_scan": op7_secret_scan,
     "op10_language_id": op10_language_id,
