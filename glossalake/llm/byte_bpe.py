@@ -1,11 +1,14 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
-
-A word (one match of the split pattern) starts as an array of single bytes; a fold
-joins, again and again, the leftmost pair of lowest rank. Ranks are a literal map in
-the plan, dealt into small maps by crc32 since Spark searches a map in order. Words
-that are frequent in the corpus are encoded once and become a literal map too, of at
-most ``head_words`` entries; each other word is folded where it stands, so that no
-text and no token is shuffled. Pieces are written in hex, which concatenates as bytes do.
+"""Byte-level BPE encoding and decoding.
+
+A word (one match of the split pattern) starts as an array of single bytes; a fold of
+Spark's higher-order functions joins, again and again, the leftmost pair of lowest
+rank. Ranks are a literal map in the plan, dealt into small maps by crc32 since Spark
+searches a map in order; pieces are written in hex, which concatenates as bytes do.
+
+Every distinct word among the ``head_words`` most frequent is folded once, in the
+cluster, and its ids are broadcast. Texts and tokens are never shuffled. A fold takes
+some 150 microseconds, so the rare words beyond that bound are merged, by the same
+ranks, where the ids of a text are put together (see the README for figures).
 """
 
 from __future__ import annotations
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 
 from glossalake.llm.common import dropped, inputs, small_batches, stored
 
-#: Bound on the words whose encodings the plan holds.
-HEAD_WORDS = 1 << 17
-#: Words of more bytes are merged by a heap in Python: the fold's cost grows with the square of the length.
+#: Bound on the words whose ids are broadcast; tens of MB.
+HEAD_WORDS = 1 << 18
+#: Longer words (in bytes) aren't folded: the fold's cost grows with the square of the length.
 LONG = 256
+#: Rare words that a worker remembers before it starts afresh.
+REMEMBERED = 50_000
 _NONE = 1 << 30
 
 
@@ -45,9 +50,10 @@ def _literal(entries: dict[str, object], kind: str) -> tuple[Column, int]:
     return F.from_json(F.lit(json.dumps(maps, ensure_ascii=False, separators=(",", ":"))), f"array<map<string,{kind}>>"), n
 
 
-def _lookup(entries: dict[str, object], kind: str) -> Callable[[Column], Column]:
+def _bound(entries: dict[str, object], kind: str, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """body(look up in entries), with the literal in the plan once however often body uses it."""
     table, n = _literal(entries, kind)
-    return lambda key: F.try_element_at(F.get(table, F.crc32(key.cast("binary")).bitwiseAND(F.lit(n - 1)).cast("int")), key)
+    return _let(table, lambda t: body(lambda key: F.try_element_at(F.get(t, F.crc32(key.cast("binary")).bitwiseAND(F.lit(n - 1)).cast("int")), key)))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -61,7 +67,7 @@ def fold(rank: Callable[[Column], Column], word: Column) -> Column:
     def joined(a: Column, b: Column) -> Column:
         return F.coalesce(rank(F.concat(a, b)), F.lit(_NONE))
 
-    def merge(state: Column, i: Column) -> Column:
+    def join(state: Column, i: Column) -> Column:
         p, r = state["p"], state["r"]
         return _let(
             F.concat(F.get(p, i - 1), F.get(p, i)),
@@ -77,7 +83,7 @@ def fold(rank: Callable[[Column], Column], word: Column) -> Column:
         )
 
     def step(state: Column, _: Column) -> Column:
-        return _let(F.array_min(state["r"]), lambda low: F.when(low < _NONE, merge(state, F.array_position(state["r"], low).cast("int"))).otherwise(state))
+        return _let(F.array_min(state["r"]), lambda low: F.when(low < _NONE, join(state, F.array_position(state["r"], low).cast("int"))).otherwise(state))
 
     size = (F.length(word) / 2).cast("int")
     p = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.substring(word, k * 2 + 1, F.lit(2)))
@@ -86,8 +92,8 @@ def fold(rank: Callable[[Column], Column], word: Column) -> Column:
     return F.coalesce(rank(word).cast("string"), F.array_join(F.transform(merged, lambda x: rank(x).cast("string")), ","))
 
 
-def merge_long(ranks: dict[bytes, int], word: bytes) -> list[int]:
-    """The same merges for a long word, by a heap of (rank, place) over a linked list."""
+def merge(ranks: dict[bytes, int], word: bytes) -> list[int]:
+    """The same merges for one word, by a heap of (rank, place) over a linked list."""
     if word in ranks:
         return [ranks[word]]
     n = len(word)
@@ -115,11 +121,7 @@ class Tokenizer:
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> None:
         self.spark, self.ranks = spark, ranks
         self.pattern = f"(?U){pattern}"  # blanks as Unicode has them
-        self.rank = _lookup({k.hex().upper(): v for k, v in ranks.items()}, "int")
-        pieces = [""] * (max(ranks.values(), default=-1) + 1)
-        for k, v in ranks.items():
-            pieces[v] = k.hex().upper()
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
+        self.hex_ranks = {k.hex().upper(): v for k, v in ranks.items()}
         self.head: dict[str, str] = {}
 
     def words(self, text: Column) -> Column:
@@ -140,37 +142,47 @@ class Tokenizer:
         if least < math.inf:
             chosen = counts.where((level >= least) & (F.octet_length("w") <= LONG))
             spread = chosen.repartition(max(1, min(200, self.spark.sparkContext.defaultParallelism * 2)))
-            self.head = {r["w"]: r["ids"] for r in spread.select("w", fold(self.rank, F.hex(F.col("w").cast("binary"))).alias("ids")).collect()}
+            ids = _bound(self.hex_ranks, "int", lambda rank: fold(rank, F.hex(F.col("w").cast("binary"))))
+            self.head = {r["w"]: r["ids"] for r in spread.select("w", ids.alias("ids")).collect()}
         dropped(self.spark, counts)
         return self
 
     def encode(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id and ids (ranks, comma-joined) for every row; '' for null and empty texts."""
         small_batches(self.spark)
-        known = _lookup(self.head, "string")
-        ranks = self.spark.sparkContext.broadcast(self.ranks)  # the size of the vocabulary, whatever the data
+        # a vocabulary and at most head_words entries, whatever the data
+        shared = self.spark.sparkContext.broadcast((self.ranks, self.head))
+
+        @F.pandas_udf("string")
+        def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            ranks, head = shared.value
+            rare: dict[str, str] = {}
+
+            def one(word: str) -> str:
+                if (got := rare.get(word)) is None:
+                    if len(rare) >= REMEMBERED:
+                        rare.clear()
+                    got = ",".join(map(str, merge(ranks, word.encode())))
+                    if len(word) <= LONG:
+                        rare[word] = got
+                return got
 
-        @F.pandas_udf("array<string>")
-        def long_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for rows in batches:
-                yield rows.map(lambda words: [",".join(map(str, merge_long(ranks.value, w.encode()))) for w in words])
+                yield pd.Series([",".join([head.get(w) or one(w) for w in words]) for words in rows], dtype=object)
 
-        rows = inputs(df, id_col, text_col).select("doc_id", self.words(F.col("text")).alias("words"))
-        rows = rows.withColumn("long", F.filter("words", lambda w: F.octet_length(w) > LONG))
-        plain, some = rows.where(F.size("long") == 0), rows.where(F.size("long") > 0)
+        return inputs(df, id_col, text_col).select("doc_id", ids(self.words(F.col("text"))).alias("ids"))
 
-        def short(w: Column) -> Column:
-            return F.coalesce(known(w), fold(self.rank, F.hex(w.cast("binary"))))
+    def decode(self, ids: Column) -> Column:
+        """The bytes of comma-joined ids, piece after piece."""
+        pieces = self.spark.sparkContext.broadcast({str(v): k for k, v in self.ranks.items()})
 
-        done = plain.select("doc_id", F.array_join(F.transform("words", short), ",").alias("ids"))
-        some = some.withColumn("merged", long_words("long"))
-        word = F.transform("words", lambda w: F.when(F.octet_length(w) > LONG, F.element_at("merged", F.array_position("long", w).cast("int"))).otherwise(short(w)))
-        return done.unionByName(some.select("doc_id", F.array_join(word, ",").alias("ids")))
+        @F.pandas_udf("binary")
+        def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            get = pieces.value.__getitem__
+            for rows in batches:
+                yield pd.Series([b"".join(map(get, x.split(","))) if x else b"" for x in rows], dtype=object)
 
-    def decode(self, ids: Column) -> Column:
-        """The bytes of comma-joined ids, piece by piece."""
-        pieces = F.transform(F.split(ids, ","), lambda k: F.get(self.pieces, k.cast("int")))
-        return F.when(ids == "", F.lit(b"")).otherwise(F.unhex(F.array_join(pieces, "")))
+        return decoded(ids)
 
 
 def count_ids(ids: Column) -> Column:
