@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossalake.llm import byte_bpe, language_id, secrets, sharding
+from glossalake.llm import byte_bpe, decontamination, language_id, secrets, sharding
 from glossalake.llm.common import remainder
 
 
@@ -23,6 +23,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def tokenizer(spark: SparkSession) -> byte_bpe.Tokenizer:
     import public_tokenizers
 
@@ -50,6 +54,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_sharding": op6_sharding,
     "op7_secret_scan": op7_secret_scan,
