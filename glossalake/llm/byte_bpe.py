@@ -122,6 +122,10 @@ class Tokenizer:
         self.spark, self.ranks = spark, ranks
         self.pattern = f"(?U){pattern}"  # blanks as Unicode has them
         self.hex_ranks = {k.hex().upper(): v for k, v in ranks.items()}
+        pieces = [""] * (max(ranks.values(), default=-1) + 1)
+        for k, v in ranks.items():
+            pieces[v] = k.hex()
+        self.pieces = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
         self.head: dict[str, str] = {}
 
     def words(self, text: Column) -> Column:
@@ -174,15 +178,8 @@ class Tokenizer:
 
     def decode(self, ids: Column) -> Column:
         """The bytes of comma-joined ids, piece after piece."""
-        pieces = self.spark.sparkContext.broadcast({str(v): k for k, v in self.ranks.items()})
-
-        @F.pandas_udf("binary")
-        def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            get = pieces.value.__getitem__
-            for rows in batches:
-                yield pd.Series([b"".join(map(get, x.split(","))) if x else b"" for x in rows], dtype=object)
-
-        return decoded(ids)
+        pieces = F.transform(F.split(ids, ","), lambda k: F.get(self.pieces, k.cast("int")))
+        return F.when(ids == "", F.lit(b"")).otherwise(F.unhex(F.array_join(pieces, "")))
 
 
 def count_ids(ids: Column) -> Column:

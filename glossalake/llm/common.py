@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to Python; a batch of texts stays within tens of MB.
-ARROW_ROWS = 1000
+ARROW_ROWS = 500
 
 
 def inputs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
