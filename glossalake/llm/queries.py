@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossalake.llm import byte_bpe, decontamination, embedding_dedup, language_id, secrets, sharding, toxicity
+from glossalake.llm import byte_bpe, decontamination, embedding_dedup, language_id, ngram_join, secrets, sharding, toxicity
 from glossalake.llm.common import remainder
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op6_sharding": op6_sharding,
     "op7_secret_scan": op7_secret_scan,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
 }
