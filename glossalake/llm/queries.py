@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossalake.llm import byte_bpe, decontamination, embedding_dedup, language_id, ngram_join, secrets, sharding, toxicity
+from glossalake.llm import byte_bpe, decontamination, embedding_dedup, language_id, ngram_join, pii, secrets, sharding, toxicity
 from glossalake.llm.common import remainder
 
 
@@ -40,6 +40,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    count = [F.size(secrets.of_kinds(F.col("spans"), (k,))).cast("bigint").alias(f"n_{k}") for k in pii.KINDS]
+    spans = F.col("spans")
+    return found.select("doc_id", *count, F.sha2(secrets.digest(spans, pii.KINDS).cast("binary"), 256).alias("base_sha256"), secrets.digest(spans).alias("spans"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,6 +79,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
     "op3_decontamination": op3_decontamination,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_sharding": op6_sharding,
