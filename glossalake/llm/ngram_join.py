@@ -4,9 +4,8 @@ A document's set holds its word shingles. Sets are ordered by how common a shing
 (rare ones first, by a table of common shingles of bounded size, then by hash). Of two
 sets that reach the threshold, the first ``n - ceil(t n) + l`` elements of each share l
 at least; a document whose prefix looks costly (common shingles) takes a longer prefix
-and a larger l. Documents that share prefix elements are gathered in blocks; a task
-compares two blocks, counts shared prefix elements and verifies exactly what is left.
-It returns a spanning forest of the links, never the pairs.
+and a larger l. Documents are gathered in blocks; a task compares two blocks that share enough elements, counts those
+of each pair and verifies exactly what is left. It returns a spanning forest of the links, never the pairs.
 """
 
 from __future__ import annotations
@@ -29,7 +28,8 @@ WORDS, PERCENT = 5, 80
 COMMON, COPIED = 400_000, 50_000
 #: Shingles counted together when common ones are looked for, and copies from which one counts there.
 CHUNK, OFTEN = 4_000_000, 4
-LONGEST_MATCH = 8
+#: Elements of a set for each further element to share, and how many more a costly prefix may ask for.
+STEP, COSTLY = 32, 8
 BLOCK = 128
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _KNOWN: dict[bytes, int] = {}
@@ -85,10 +85,15 @@ class Order:
         order = np.argsort(level, kind="stable")
         base = n - least + 1
         cost = seen[order[:base]].sum() / base  # partners that an element of the prefix brings, on average
-        match = 1 + min(int(math.log2(cost)), LONGEST_MATCH - 1, least - 1)
+        match = 1 + min(n // STEP + min(int(math.log2(cost)), COSTLY), least - 1)
         return s[order[: base + match - 1]], match
 
 
+def needed(n: int, percent: int = PERCENT) -> int:
+    """What a set of n must share with any partner: partners have percent of n elements at least."""
+    return 1 + min(-(-percent * n // 100) // STEP, -(-percent * (-(-percent * n // 100)) // 100) - 1)
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     @F.pandas_udf("struct<n:bigint,a:bigint,b:bigint>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -146,25 +151,26 @@ def _postings(docs: DataFrame, order, copied, size: int, percent: int) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = copied.value
         for batch in batches:
-            tokens, owners = [], []
+            tokens, owners, needs = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 s = shingles(text.as_py(), size)
                 if doc is None or not len(s) or first.get(xxhash.xxh3_128_digest(s.tobytes()), doc) != doc:
                     continue  # a copy of a set that is indexed already
                 tokens.append(order.value.prefix(s, percent)[0])
                 owners.append(np.full(len(tokens[-1]), doc, np.int64))
+                needs.append(np.full(len(tokens[-1]), needed(len(s), percent), np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners))], ["token", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(needs))], ["token", "doc", "need"])
 
-    return docs.mapInArrow(run, "token bigint, doc bigint")
+    return docs.mapInArrow(run, "token bigint, doc bigint, need int")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by token and doc -> those of tokens with two documents or more, with the first document; one row is held at a time beside a batch."""
-    token = pivot = None
+    token = pivot = need = None
     emitted = False
     for batch in batches:
-        t, d = (batch.column(c).to_numpy() for c in ("token", "doc"))
+        t, d, n = (batch.column(c).to_numpy() for c in ("token", "doc", "need"))
         start = np.concatenate(([token is None or t[0] != token], t[1:] != t[:-1])) if len(t) else np.empty(0, bool)
         if not len(t):
             continue
@@ -174,13 +180,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not start[0]:
             size[0] += 2  # goes on from the batch before
         keep = size[group] > 1
-        rows = [t[keep], d[keep], firsts[group][keep]]
+        rows = [t[keep], d[keep], firsts[group][keep], n[keep]]
         if not start[0] and not emitted:
-            rows = [np.concatenate(([a], x)) for a, x in zip((token, pivot, pivot), rows, strict=True)]
+            rows = [np.concatenate(([a], x)) for a, x in zip((token, pivot, pivot, need), rows, strict=True)]
         last = group[-1]
+        if start.any():
+            need = n[np.flatnonzero(start)[-1]]
         emitted = bool(size[last] > 1)
         token, pivot = t[-1], firsts[last]
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in rows], ["token", "doc", "pivot"])
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in rows], ["token", "doc", "pivot", "need"])
 
 
 def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -277,15 +285,20 @@ def join(df: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str =
     order = spark.sparkContext.broadcast(common_shingles(docs, size))
 
     tokens = _postings(docs, order, copied, size, percent).repartition("token").sortWithinPartitions("token", "doc")
-    shared = stored(tokens.mapInArrow(_shared, "token bigint, doc bigint, pivot bigint"), "shared")
-    homes = stored(shared.groupBy("doc").agg(F.min("pivot").alias("home")), "homes")
+    shared = stored(tokens.mapInArrow(_shared, "token bigint, doc bigint, pivot bigint, need bigint"), "shared")
+    enough = shared.groupBy("doc").agg(F.min("pivot").alias("home"), F.min("need").alias("need"), F.count("*").alias("k")).where("k >= need")
+    homes = stored(enough.select("doc", "home", "need"), "homes")
     parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    blocks = stored(homes.join(parts, "home").select("doc", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("block")), "blocks")
+    blocks = stored(homes.join(parts, "home").select("doc", "need", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("block")), "blocks")
     held = shared.select("token", "doc").join(blocks, "doc").select("token", "block").distinct()
     mixed = stored(held, "held")
+    least = blocks.groupBy("block").agg(F.min("need").alias("need"))
     several = mixed.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     ours = mixed.join(several, "token")
-    across = ours.select("token", F.col("block").alias("x")).join(ours.select("token", F.col("block").alias("y")), "token").where("x < y").select("x", "y").distinct()
+    across = ours.select("token", F.col("block").alias("x")).join(ours.select("token", F.col("block").alias("y")), "token").where("x < y").groupBy("x", "y").agg(F.count("*").alias("k"))
+    for side in ("x", "y"):
+        across = across.join(least.withColumnsRenamed({"block": side, "need": f"need_{side}"}), side)
+    across = across.where("k >= need_x and k >= need_y").select("x", "y")
     within = blocks.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
     pairs = stored(across.unionByName(within), "pairs")
     left = blocks.join(pairs, blocks["block"] == pairs["x"]).select("doc", "x", "y", F.lit(0).alias("side"))
