@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossalake.llm import byte_bpe, decontamination, embedding_dedup, language_id, ngram_join, pii, secrets, sharding, toxicity
+from glossalake.llm import byte_bpe, decontamination, embedding_dedup, language_id, ngram_join, pii, secrets, sharding, substring_dedup, toxicity
 from glossalake.llm.common import remainder
 
 
@@ -64,6 +64,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs).select("doc_id", byte_bpe.count_ids(ids).alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2(bpe.decode(ids), 256).alias("decoded_sha256"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substring_dedup.remove(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     placed = sharding.assign(docs, sharding.plan(docs, 24))
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_decontamination": op3_decontamination,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_sharding": op6_sharding,
     "op7_secret_scan": op7_secret_scan,
     "op8_ngram_jaccard": op8_ngram_jaccard,
