@@ -151,8 +151,8 @@ class Tokenizer:
         dropped(self.spark, counts)
         return self
 
-    def encode(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """doc_id and ids (ranks, comma-joined) for every row; '' for null and empty texts."""
+    def encode(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+        """doc_id and ids (ranks, comma-joined) for every row, after it ``text`` if kept; '' for null and empty texts."""
         small_batches(self.spark)
         # a vocabulary and at most head_words entries, whatever the data
         shared = self.spark.sparkContext.broadcast((self.ranks, self.head))
@@ -174,7 +174,7 @@ class Tokenizer:
             for rows in batches:
                 yield pd.Series([",".join([head.get(w) or one(w) for w in words]) for words in rows], dtype=object)
 
-        return inputs(df, id_col, text_col).select("doc_id", ids(self.words(F.col("text"))).alias("ids"))
+        return inputs(df, id_col, text_col).select("doc_id", ids(self.words(F.col("text"))).alias("ids"), *keep)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of comma-joined ids, piece after piece."""
