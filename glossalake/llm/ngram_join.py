@@ -32,19 +32,23 @@ CHUNK, OFTEN = 4_000_000, 4
 STEP, COSTLY = 32, 8
 BLOCK = 128
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_KNOWN: dict[bytes, int] = {}
+
+
+class _Numbers(dict):
+    """Word -> 64-bit number, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+_KNOWN = _Numbers()
 
 
 def _numbers(words: list[bytes]) -> np.ndarray:
-    if len(_KNOWN) > 300_000:
-        _KNOWN.clear()
-    out = []
-    for w in words:
-        h = _KNOWN.get(w)
-        if h is None:
-            h = _KNOWN[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    return np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, len(words))
 
 
 def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
@@ -94,18 +98,37 @@ def needed(n: int, percent: int = PERCENT) -> int:
     return 1 + min(-(-percent * n // 100) // STEP, -(-percent * (-(-percent * n // 100)) // 100) - 1)
 
 
-def signatures(docs: DataFrame, size: int) -> DataFrame:
-    @F.pandas_udf("struct<n:bigint,a:bigint,b:bigint>")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            out = np.zeros((len(texts), 3), np.int64)
-            for k, text in enumerate(texts):
-                s = shingles(text, size)
+def survey(docs: DataFrame, size: int) -> DataFrame:
+    """One pass over the texts: rows of documents (doc_id, n, a, b: size and signature of the set), and of
+    shingles (token, count) that occur OFTEN or more in a chunk of texts; ``count`` is null for the former."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(**columns) -> pa.RecordBatch:
+            k = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * k), pa.int64()) for c in names], names)
+
+        def often(held: list) -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(held), return_counts=True)
+            return rows(token=tokens[n >= OFTEN].view(np.int64), count=n[n >= OFTEN])
+
+        names = ["doc_id", "n", "a", "b", "token", "count"]
+        held, total = [], 0
+        for batch in batches:
+            out = np.zeros((3, batch.num_rows), np.int64)
+            for k, text in enumerate(batch.column("text")):
+                s = shingles(text.as_py(), size)
                 if len(s):
-                    out[k] = (len(s), *np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
-            yield pd.DataFrame(out, columns=["n", "a", "b"])
+                    out[:, k] = (len(s), *np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64))
+                held.append(s)
+                total += len(s)
+                if total > CHUNK:
+                    yield often(held)
+                    held, total = [], 0
+            yield rows(doc_id=batch.column("doc_id"), n=out[0], a=out[1], b=out[2])
+        if held:
+            yield often(held)
 
-    return docs.select("doc_id", sign("text").alias("s")).select("doc_id", "s.n", "s.a", "s.b")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, token bigint, count bigint")
 
 
 def _threshold(counts: DataFrame, column: str, most: int) -> float:
@@ -121,29 +144,12 @@ def _threshold(counts: DataFrame, column: str, most: int) -> float:
     return 2 ** (least / 8) * (1 - 1e-9)
 
 
-def common_shingles(docs: DataFrame, size: int) -> Order:
-    """Shingles that occur OFTEN or more in a chunk of texts, counted over all chunks; the most common up to COMMON."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(held: list) -> Iterator[pa.RecordBatch]:
-            tokens, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[n >= OFTEN].view(np.int64)), pa.array(n[n >= OFTEN])], ["token", "n"])
-
-        held, total = [], 0
-        for batch in batches:
-            for text in batch.column("text"):
-                held.append(shingles(text.as_py(), size))
-                total += len(held[-1])
-                if total > CHUNK:
-                    yield from found(held)
-                    held, total = [], 0
-        if held:
-            yield from found(held)
-
-    counts = stored(docs.select("text").mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")), "common")
+def common_shingles(surveyed: DataFrame) -> Order:
+    """The most common shingles, up to COMMON, by their counts over all chunks."""
+    counts = stored(surveyed.where("count is not null").groupBy("token").agg(F.sum("count").alias("n")), "common")
     kept = counts.where(F.col("n") >= F.lit(float(_threshold(counts, "n", COMMON)))).toArrow()
     out = Order(kept.column("token").to_numpy().view(np.uint64), kept.column("n").to_numpy())
-    dropped(docs.sparkSession, counts)
+    dropped(surveyed.sparkSession, counts)
     return out
 
 
@@ -276,13 +282,14 @@ def join(df: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str =
     spark = df.sparkSession
     small_batches(spark)
     docs = inputs(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    signed = stored(signatures(docs, size), "signatures")
+    surveyed = stored(survey(docs, size), "survey")
+    signed = surveyed.where("count is null").select("doc_id", "n", "a", "b")
     full = signed.where("n > 0 and doc_id is not null")
     sets = stored(full.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "sets")
     most = sets.where(F.col("copies") >= F.lit(float(_threshold(sets, "copies", COPIED)))).toArrow()
     digests = np.column_stack([most.column(c).to_numpy() for c in ("a", "b")])
     copied = spark.sparkContext.broadcast({d.tobytes(): f for d, f in zip(digests, most.column("first").to_pylist(), strict=True)})
-    order = spark.sparkContext.broadcast(common_shingles(docs, size))
+    order = spark.sparkContext.broadcast(common_shingles(surveyed))
 
     tokens = _postings(docs, order, copied, size, percent).repartition("token").sortWithinPartitions("token", "doc")
     shared = stored(tokens.mapInArrow(_shared, "token bigint, doc bigint, pivot bigint, need bigint"), "shared")
