@@ -256,6 +256,8 @@ def _verify(order, size: int, percent: int):
         def ended(rows: list) -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
                 docs, sides, texts = zip(*rows, strict=True)
+                if key[0] != key[1] and len(set(sides)) < 2:
+                    return  # nobody came from the other block
                 a, b = _compare(np.array(docs), np.array(sides), texts, order.value, size, percent)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -294,28 +296,28 @@ def join(df: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str =
     tokens = _postings(docs, order, copied, size, percent).repartition("token").sortWithinPartitions("token", "doc")
     shared = stored(tokens.mapInArrow(_shared, "token bigint, doc bigint, pivot bigint, need bigint"), "shared")
     enough = shared.groupBy("doc").agg(F.min("pivot").alias("home"), F.min("need").alias("need"), F.count("*").alias("k")).where("k >= need")
-    homes = stored(enough.select("doc", "home", "need"), "homes")
+    near = stored(enough.select("doc", "home", "need"), "near")
+    # the home spreads once more through shared elements, so that a family of near copies has one in common
+    ours = stored(shared.join(near, "doc").select("token", "doc", "home", near["need"]), "ours")
+    spread = ours.groupBy("token").agg(F.min("home").alias("least"))
+    homes = stored(ours.join(spread, "token").groupBy("doc").agg(F.min("least").alias("home"), F.min("need").alias("need")), "homes")
     parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     blocks = stored(homes.join(parts, "home").select("doc", "need", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("block")), "blocks")
-    held = shared.select("token", "doc").join(blocks, "doc").select("token", "block").distinct()
-    mixed = stored(held, "held")
-    least = blocks.groupBy("block").agg(F.min("need").alias("need"))
-    several = mixed.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    ours = mixed.join(several, "token")
-    across = ours.select("token", F.col("block").alias("x")).join(ours.select("token", F.col("block").alias("y")), "token").where("x < y").groupBy("x", "y").agg(F.count("*").alias("k"))
-    for side in ("x", "y"):
-        across = across.join(least.withColumnsRenamed({"block": side, "need": f"need_{side}"}), side)
-    across = across.where("k >= need_x and k >= need_y").select("x", "y")
-    within = blocks.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select(F.col("block").alias("x"), F.col("block").alias("y"))
-    pairs = stored(across.unionByName(within), "pairs")
-    left = blocks.join(pairs, blocks["block"] == pairs["x"]).select("doc", "x", "y", F.lit(0).alias("side"))
-    right = blocks.join(pairs.where("x < y"), F.col("block") == F.col("y")).select("doc", "x", "y", F.lit(1).alias("side"))
+    held = stored(ours.select("token", "doc").join(blocks, "doc"), "held")
+    # a document goes to another block only if it shares enough elements with what is there
+    places = held.select("token", "block").distinct()
+    several = places.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    other = places.join(several, "token").select("token", F.col("block").alias("other"))
+    visits = held.join(other, "token").where("block <> other").groupBy("doc", "block", "other", "need").agg(F.count("*").alias("k")).where("k >= need")
+    visits = visits.select("doc", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    within = blocks.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
+    stays = blocks.join(within, "block").select("doc", F.col("block").alias("x"), F.col("block").alias("y"), F.lit(0).alias("side"))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
-    together = left.unionByName(right).join(texts, "doc").select("x", "y", "doc", "side", "text").repartition("x", "y").sortWithinPartitions("x", "y")
+    together = visits.unionByName(stays).join(texts, "doc").select("x", "y", "doc", "side", "text").repartition("x", "y").sortWithinPartitions("x", "y")
     found = together.mapInArrow(_verify(order, size, percent), "a bigint, b bigint")
     copies = full.join(sets, ["a", "b"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     comp = components(found.unionByName(copies))
-    for table in (shared, homes, blocks, mixed, pairs):
+    for table in (shared, near, ours, homes, blocks, held):
         dropped(spark, table)
     return signed.join(comp, signed["doc_id"] == comp["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
