@@ -2,9 +2,10 @@
 
 Anchors are winnowed word sequences: every window of ``window`` words holds, by its own
 content alone, exactly one anchor (its least k-gram). All windows that share an anchor
-occurrence form a run, the extension of the anchor to both sides. Runs that occur
-twice as a whole are settled by one count; where an anchor has several different runs, the
-windows of one copy of each are compared. Nothing is kept but windows that repeat.
+occurrence form a run, the extension of the anchor to both sides. Occurrences meet by
+anchor in a sorted stream, of which a task holds one row: runs that come twice as a whole
+are settled there; where an anchor has several different runs, the windows of one copy of
+each meet in the same way. Nothing is kept but windows that repeat.
 """
 
 from __future__ import annotations
@@ -12,18 +13,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossalake.llm.common import dropped, inputs, small_batches, stored
+from glossalake.llm.common import inputs, small_batches, stored
 
 WINDOW, SEED = 35, 8
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
-_KNOWN: dict[bytes, int] = {}
+
+
+class _Numbers(dict):
+    """Word -> 64-bit number, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+_KNOWN = _Numbers()
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -50,17 +62,10 @@ class Hashes:
     """Hashes of any stretch of a text's words, from prefix sums."""
 
     def __init__(self, tokens: list[bytes]) -> None:
-        if len(_KNOWN) > 300_000:
-            _KNOWN.clear()
-        numbers = []
-        for w in tokens:
-            h = _KNOWN.get(w)
-            if h is None:
-                h = _KNOWN[w] = xxhash.xxh3_64_intdigest(w)
-            numbers.append(h)
-        n = len(numbers)
+        n = len(tokens)
         up, self.down = _powers(n)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(np.array(numbers, np.uint64) * up, dtype=np.uint64)))
+        numbers = np.fromiter(map(_KNOWN.__getitem__, tokens), np.uint64, n)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(numbers * up, dtype=np.uint64)))
 
     def stretch(self, start, end) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
@@ -93,96 +98,162 @@ def runs(tokens: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple[H
     return hashes, value[anchor], first, count, run
 
 
+def _batch(names: list[str], columns: list, types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+
 def _occurrences(docs: DataFrame, window: int, seed: int) -> DataFrame:
+    """A row for each anchor occurrence: where it is, and its run."""
+    names = ["anchor", "run", "key", "doc_id", "first", "count"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list = []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+            out, owner = [], []
+            for k, text in enumerate(batch.column("text")):
                 if (got := runs(words(text.as_py()), window, seed)) is not None:
                     _, anchor, first, count, whole = got
-                    out.append((anchor.view(np.int64), whole.view(np.int64), np.full(len(first), row), first.astype(np.int32), count.astype(np.int32)))
+                    out.append((anchor.view(np.int64), whole.view(np.int64), first.astype(np.int32), count.astype(np.int32)))
+                    owner.append(np.full(len(first), k))
             if out:
-                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "run", "row", "first", "count"])
-
-    return docs.select("row", "text").mapInArrow(run, "anchor bigint, run bigint, row bigint, first int, count int")
+                anchor, whole, first, count = (np.concatenate(c) for c in zip(*out, strict=True))
+                at = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole), batch.column("key").take(at), batch.column("doc_id").take(at), pa.array(first), pa.array(count)], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"anchor bigint, run bigint, key bigint, doc_id {kind}, first int, count int")
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences sorted by anchor and run -> hits (runs that come twice or more: each occurrence) and, where an
+    anchor has several runs, one occurrence of each (``wanted``; ``single`` if it is the only one)."""
+    anchor = run = one = None
+    count, mixed = 0, False
+    for batch in batches:
+        hit, out = [], ([], [], [], [], [])
+
+        def emit(row: tuple, wanted: bool, single: bool) -> None:
+            for c, x in zip(out, (*row, wanted), strict=True):
+                c.append(x)
+            hit.append(single)
+
+        for a, r, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "run", "key", "doc_id", "first", "count")), strict=True):
+            if a == anchor and r == run:
+                count += 1
+                if count == 2:
+                    emit(one, False, False)
+                emit(row, False, False)
+                continue
+            if one is not None and (mixed or a == anchor):
+                emit(one, True, count == 1)
+            mixed = a == anchor
+            anchor, run, one, count = a, r, row, 1
+        yield _batch(["key", "doc_id", "first", "count", "wanted", "single"], [*out, hit], [pa.int64(), batch.column("doc_id").type, pa.int32(), pa.int32(), pa.bool_(), pa.bool_()])
+    if one is not None and mixed:
+        yield _batch(["key", "doc_id", "first", "count", "wanted", "single"], [[x] for x in (*one, True, count == 1)], [pa.int64(), batch.column("doc_id").type, pa.int32(), pa.int32(), pa.bool_(), pa.bool_()])
 
 
 def _windows(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """The single windows of the runs named in `firsts`, for rows (text, firsts)."""
+    """The single windows of the runs that ``wanted`` names by their first window, for rows (key, doc_id, text, wanted)."""
+    names = ["anchor", "window", "key", "doc_id", "first", "single"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list = []
-            for text, wanted in zip(batch.column("text"), batch.column("firsts").to_pylist(), strict=True):
-                hashes, anchor, first, count, whole = runs(words(text.as_py()), window, seed)
+            out, owner = [], []
+            for at, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True)):
+                hashes, anchor, first, count, _ = runs(words(text.as_py()), window, seed)
                 single = hashes.every(window)
-                for k in np.flatnonzero(np.isin(first, wanted)):
-                    n = count[k]
-                    out.append((np.full(n, anchor[k]).view(np.int64), np.full(n, whole[k]).view(np.int64), single[first[k] : first[k] + n].view(np.int64), np.arange(n, dtype=np.int32)))
+                for w in wanted:
+                    k = int(np.searchsorted(first, w["first"]))
+                    place = np.arange(first[k], first[k] + count[k])
+                    out.append((np.full(len(place), anchor[k]).view(np.int64), single[place].view(np.int64), place.astype(np.int32), np.full(len(place), w["single"])))
+                    owner.append(np.full(len(place), at))
             if out:
-                columns = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "run", "window", "at"])
+                anchor, one, first, alone = (np.concatenate(c) for c in zip(*out, strict=True))
+                at = pa.array(np.concatenate(owner))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(one), batch.column("key").take(at), batch.column("doc_id").take(at), pa.array(first), pa.array(alone)], names)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"anchor bigint, window bigint, key bigint, doc_id {kind}, first int, single boolean")
 
-    return docs.select("text", "firsts").mapInArrow(run, "anchor bigint, run bigint, window bigint, at int")
+
+def _meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows sorted by anchor and content -> those of different runs that are equal; only of single runs, as the others are hits already."""
+    at, one, count = None, None, 0
+    for batch in batches:
+        out = ([], [], [])
+        for a, w, single, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "window", "single", "key", "doc_id", "first")), strict=True):
+            if (a, w) == at:
+                count += 1
+                found = ([one] if count == 2 and one is not None else []) + ([row] if single else [])
+                for x in found:
+                    for c, v in zip(out, x, strict=True):
+                        c.append(v)
+            else:
+                at, one, count = (a, w), row if single else None, 1
+        yield _batch(["key", "doc_id", "first", "count"], [*out, [1] * len(out[0])], [pa.int64(), batch.column("doc_id").type, pa.int32(), pa.int32()])
+
+
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """With a key that equal rows share, so that it is the same whenever the table is read."""
+    docs = inputs(df, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def _with(docs: DataFrame, other: DataFrame, column: str, how: str) -> DataFrame:
+    """docs joined with one row (key, doc_id, column) each; the id is compared beside the key."""
+    right = other.withColumnsRenamed({"key": "__key", "doc_id": "__id"})
+    return docs.join(right, (docs["key"] == right["__key"]) & docs["doc_id"].eqNullSafe(right["__id"]), how).select(docs["doc_id"], docs["text"], docs["key"], column)
 
 
 def repeated(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and spans (first and last word, inclusive) that windows with a second occurrence cover, for every row of df.
+    """doc_id, text and hits (first window and number of windows that have a second occurrence) for every row of df.
 
     A window occurs a second time if its words start anywhere else, in the same row or another; repeated rows are
-    other occurrences. Null and empty texts, and texts shorter than a window, have no spans.
+    other occurrences. Null and empty texts, and texts shorter than a window, have no hits.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    docs = stored(inputs(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "texts")
-    found = stored(_occurrences(docs, window, seed), "anchors")
-    # one place of each different run, and how often the run occurs
-    kinds = stored(found.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "count")).alias("one")), "runs")
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    unsettled = stored(kinds.join(mixed, "anchor").select("one.*", "n"), "unsettled")
-    wanted = unsettled.groupBy("row").agg(F.collect_list("first").alias("firsts"))
-    single = stored(_windows(docs.join(wanted, "row"), window, seed), "windows")
-    again = single.groupBy("anchor", "window").agg(F.count("*").alias("k")).where("k > 1").select("anchor", "window")
-    # bit k of a mask: window k of the run occurs elsewhere, in another run; all bits: the run itself does
-    partly = single.join(again, ["anchor", "window"]).groupBy("anchor", "run").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    whole = kinds.where("n > 1").select("anchor", "run", F.expr("shiftleft(1L, one.count) - 1").alias("mask"))
-    masks = whole.unionByName(partly).groupBy("anchor", "run").agg(F.bit_or("mask").alias("mask"))
-    hits = found.join(masks, ["anchor", "run"]).groupBy("row").agg(F.collect_list(F.struct("first", "mask")).alias("hits"))
-
-    @F.pandas_udf("array<struct<first:int,last:int>>")
-    def spans(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda hits: covered(hits, window), na_action="ignore")
-
-    return docs.join(hits, "row", "left").select("doc_id", "text", spans("hits").alias("spans"))
-
-
-def covered(hits, window: int) -> list[dict]:
-    """Disjoint stretches of words under the windows that (first, mask) pairs name."""
-    out: list[dict] = []
-    for start in sorted(h["first"] + k for h in hits for k in range(int(h["mask"]).bit_length()) if int(h["mask"]) >> k & 1):
-        if out and start <= out[-1]["last"] + 1:
-            out[-1]["last"] = start + window - 1
+    small_batches(df.sparkSession)
+    docs = _keyed(df, id_col, text_col)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = _occurrences(docs, window, seed).repartition("anchor").sortWithinPartitions("anchor", "run")
+    met = stored(found.mapInArrow(_meet, f"key bigint, doc_id {kind}, first int, count int, wanted boolean, single boolean"), "runs")
+    wanted = met.where("wanted").groupBy("key", "doc_id").agg(F.collect_list(F.struct("first", "single")).alias("wanted"))
+    # rows that are there twice have no single runs and so no say here
+    single = _windows(_with(docs, wanted, "wanted", "inner"), window, seed).repartition("anchor", "window").sortWithinPartitions("anchor", "window")
+    parts = stored(single.mapInArrow(_meet_windows, f"key bigint, doc_id {kind}, first int, count int"), "windows")
+    hits = met.where("not wanted").select("key", "doc_id", "first", "count").unionByName(parts)
+    return _with(docs, hits.groupBy("key", "doc_id").agg(F.collect_list(F.struct("first", "count")).alias("hits")), "hits", "left")
+
+
+def covered(hits: list, window: int) -> list[tuple[int, int]]:
+    """Disjoint stretches of words (first, past the last) under the windows of hits."""
+    out: list[tuple[int, int]] = []
+    for first, end in sorted((h["first"], h["first"] + h["count"] + window - 1) for h in hits or ()):
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
-            out.append({"first": start, "last": start + window - 1})
+            out.append((first, end))
     return out
 
 
 def remove(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed and kept (the words left, joined by one blank) for every row of df."""
-    marked = repeated(df, window, seed, id_col, text_col)
+    """doc_id, n_words, n_removed, removed (stretches of words, first and past the last) and kept (the words left, joined by one blank) for every row of df."""
 
-    @F.pandas_udf("struct<n_words:bigint,n_removed:bigint,kept:string>")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, some in zip(texts, spans, strict=True):
-            tokens = words(text)
-            left, at = [], 0
-            for s in some if some is not None else ():
-                left += tokens[at : s["first"]]
-                at = s["last"] + 1
-            left += tokens[at:]
-            out.append((len(tokens), len(tokens) - len(left), b" ".join(left).decode("utf-8", "surrogatepass")))
-        return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
-
-    return marked.select("doc_id", cut("text", "spans").alias("c")).select("doc_id", "c.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, gone, spans, kept = [], [], [], []
+            for text, hits in zip(batch.column("text"), batch.column("hits").to_pylist(), strict=True):
+                tokens = words(text.as_py())
+                some, left, at = covered(hits, window), [], 0
+                for first, end in some:
+                    left += tokens[at:first]
+                    at = end
+                left += tokens[at:]
+                n.append(len(tokens))
+                gone.append(len(tokens) - len(left))
+                spans.append([{"first": a, "end": b} for a, b in some])
+                kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
+            yield _batch(["doc_id", "n_words", "n_removed", "removed", "kept"], [batch.column("doc_id"), n, gone, spans, kept], [batch.column("doc_id").type, pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])), pa.string()])
+
+    marked = repeated(df, window, seed, id_col, text_col)
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    return marked.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, removed array<struct<first:int,end:int>>, kept string")
