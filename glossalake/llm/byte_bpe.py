@@ -20,14 +20,16 @@ import math
 import zlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossalake.llm.common import dropped, inputs, small_batches, stored
 
 #: Bound on the words whose ids are broadcast; tens of MB.
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 1 << 17
 #: Longer words (in bytes) aren't folded: the fold's cost grows with the square of the length.
 LONG = 256
 #: Rare words that a worker remembers before it starts afresh.
@@ -147,7 +149,8 @@ class Tokenizer:
             chosen = counts.where((level >= least) & (F.octet_length("w") <= LONG))
             spread = chosen.repartition(max(1, min(200, self.spark.sparkContext.defaultParallelism * 2)))
             ids = _bound(self.hex_ranks, "int", lambda rank: fold(rank, F.hex(F.col("w").cast("binary"))))
-            self.head = {r["w"]: r["ids"] for r in spread.select("w", ids.alias("ids")).collect()}
+            got = spread.select("w", ids.alias("ids")).toArrow()
+            self.head = dict(zip(got.column("w").to_pylist(), got.column("ids").to_pylist(), strict=True))
         dropped(self.spark, counts)
         return self
 
@@ -157,8 +160,8 @@ class Tokenizer:
         # a vocabulary and at most head_words entries, whatever the data
         shared = self.spark.sparkContext.broadcast((self.ranks, self.head))
 
-        @F.pandas_udf("string")
-        def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("string")
+        def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             ranks, head = shared.value
             rare: dict[str, str] = {}
 
@@ -172,7 +175,11 @@ class Tokenizer:
                 return got
 
             for rows in batches:
-                yield pd.Series([",".join([head.get(w) or one(w) for w in words]) for words in rows], dtype=object)
+                found = rows.flatten().dictionary_encode()  # a batch's distinct words
+                encoded = pa.array([head.get(w) or one(w) for w in found.dictionary.to_pylist()], pa.string())
+                sizes = pc.list_value_length(rows).to_numpy()
+                starts = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+                yield pc.binary_join(pa.ListArray.from_arrays(starts, encoded.take(found.indices)), ",")
 
         return inputs(df, id_col, text_col).select("doc_id", ids(self.words(F.col("text"))).alias("ids"), *keep)
 
