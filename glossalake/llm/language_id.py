@@ -21,7 +21,7 @@ BITS = 16
 #: TF is a share of the document's n-grams; this brings a typical feature to the order of 1.
 GAIN = 40.0
 #: Bound on the labelled documents that the classifier is fitted on.
-MAX_DOCS = 4000
+MAX_DOCS = 3000
 #: Codes above this hash as themselves, without the letter table.
 _TABLE = 0x10000
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F))
@@ -56,7 +56,7 @@ def grams(text: str | None) -> np.ndarray:
 def sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their term frequencies."""
     ids, n = np.unique(grams(text), return_counts=True)
-    return ids, (n / max(1, n.sum()) * GAIN).astype(np.float32)
+    return ids.astype(np.int32), (n / max(1, n.sum()) * GAIN).astype(np.float32)
 
 
 @dataclass
@@ -127,7 +127,7 @@ def fit(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = 4, alpha: fl
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(nn)) / alpha + l2))
 
     def features(i: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.append(i, d - 1), np.append(v, 1.0)
+        return np.append(i, np.int32(d - 1)), np.append(v, np.float32(1.0))
 
     def softmax(s: np.ndarray) -> np.ndarray:
         e = np.exp(s - s.max())
