@@ -7,6 +7,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 class Translator(Protocol):
@@ -35,7 +36,7 @@ def translate(df: DataFrame, translator: Translator, source: str, target: str, c
                 got, error = [None] * len(texts), str(e)[:255]
             yield batch.assign(translation=[t if g is None else g for t, g in zip(texts, got, strict=True)], error=error)
 
-    return df.mapInPandas(run, df.schema.add("translation", "string").add("error", "string"))
+    return df.mapInPandas(run, StructType([*df.schema, StructField("translation", StringType()), StructField("error", StringType())]))
 
 
 DOMAINS = ("科技", "医疗", "金融", "法律", "教育", "食品", "化妆品", "制造", "市场", "其他")

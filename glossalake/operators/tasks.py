@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 STATUSES = ("waiting", "processing", "completed", "failed", "canceled")
 MAX_RETRIES, MAX_ACTIVE = 3, 10
@@ -90,7 +91,7 @@ def admissions(requests: DataFrame, pool: str = "queue", most: int = MAX_ACTIVE)
             yield batch.assign(admitted=out)
 
     ordered = requests.repartition(pool).sortWithinPartitions(pool, "created_at", "task_id")
-    return ordered.mapInPandas(run, requests.schema.add("admitted", "boolean"))
+    return ordered.mapInPandas(run, StructType([*requests.schema, StructField("admitted", BooleanType())]))
 
 
 def queue_summary(counts: DataFrame, most: int = MAX_ACTIVE) -> DataFrame:
