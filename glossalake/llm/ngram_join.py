@@ -302,13 +302,15 @@ def join(df: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str =
     spread = ours.groupBy("token").agg(F.min("home").alias("least"))
     homes = stored(ours.join(spread, "token").groupBy("doc").agg(F.min("least").alias("home"), F.min("need").alias("need")), "homes")
     parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    blocks = stored(homes.join(parts, "home").select("doc", "need", F.xxhash64("home", F.pmod(F.xxhash64("doc"), F.col("parts"))).alias("block")), "blocks")
-    held = stored(ours.select("token", "doc").join(blocks, "doc"), "held")
-    # a document goes to another block only if it shares enough elements with what is there
-    places = held.select("token", "block").distinct()
-    several = places.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    other = places.join(several, "token").select("token", F.col("block").alias("other"))
-    visits = held.join(other, "token").where("block <> other").groupBy("doc", "block", "other", "need").agg(F.count("*").alias("k")).where("k >= need")
+    part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
+    blocks = stored(homes.join(parts, "home").select("doc", "need", "home", "parts", F.xxhash64("home", part.cast("bigint")).alias("block")), "blocks")
+    # the blocks of one family all meet; a document goes to another family only if it shares enough elements with a block there
+    kin = blocks.where("parts > 1").select("doc", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("home", k.cast("bigint")))).alias("other")).where("block <> other")
+    held = stored(ours.select("token", "doc").join(blocks.drop("parts"), "doc"), "held")
+    places = held.select("token", F.col("home").alias("other_home"), F.col("block").alias("other")).distinct()
+    several = held.groupBy("token").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a < b").select("token")
+    far = held.join(several, "token").join(places, "token").where("home <> other_home").groupBy("doc", "block", "other", "need").agg(F.count("*").alias("k")).where("k >= need")
+    visits = kin.unionByName(far.select("doc", "block", "other"))
     visits = visits.select("doc", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     within = blocks.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
     stays = blocks.join(within, "block").select("doc", F.col("block").alias("x"), F.col("block").alias("y"), F.lit(0).alias("side"))
