@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from glossalake.llm.common import inputs, small_batches, stored
 
 WINDOW, SEED = 35, 8
+#: Kinds of occurrence rows.
+SINGLE, SETTLED, HIT = 0, 1, 2
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
 
@@ -103,8 +105,12 @@ def _batch(names: list[str], columns: list, types: list) -> pa.RecordBatch:
 
 
 def _occurrences(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """A row for each anchor occurrence: where it is, and its run."""
-    names = ["anchor", "run", "key", "doc_id", "first", "count"]
+    """A row for each anchor occurrence: where it is, and its run.
+
+    Runs that come twice within a batch are settled there: their occurrences are rows of kind HIT, dealt evenly, and
+    one row of kind SETTLED meets the rest of the corpus. So a run that a third of all rows hold sends a row a batch.
+    """
+    names = ["anchor", "run", "kind", "key", "doc_id", "first", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +122,20 @@ def _occurrences(docs: DataFrame, window: int, seed: int) -> DataFrame:
                     owner.append(np.full(len(first), k))
             if out:
                 anchor, whole, first, count = (np.concatenate(c) for c in zip(*out, strict=True))
-                at = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole), batch.column("key").take(at), batch.column("doc_id").take(at), pa.array(first), pa.array(count)], names)
+                owners = np.concatenate(owner)
+                order = np.lexsort((whole, anchor))
+                fresh = np.concatenate(([True], (np.diff(anchor[order]) != 0) | (np.diff(whole[order]) != 0)))
+                size = np.diff(np.append(np.flatnonzero(fresh), len(order)))
+                alone = np.repeat(size == 1, size)
+                rows = np.concatenate([order, order[fresh & ~alone]])
+                kind = np.concatenate([np.where(alone, SINGLE, HIT), np.full(int((fresh & ~alone).sum()), SETTLED)]).astype(np.int8)
+                anchor, whole, first, count, owners = (c[rows] for c in (anchor, whole, first, count, owners))
+                anchor = np.where(kind == HIT, _mixed((owners * 100_003 + first).astype(np.uint64)).view(np.int64), anchor)
+                at = pa.array(owners)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(whole), pa.array(kind), batch.column("key").take(at), batch.column("doc_id").take(at), pa.array(first), pa.array(count)], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"anchor bigint, run bigint, key bigint, doc_id {kind}, first int, count int")
+    return docs.mapInArrow(run, f"anchor bigint, run bigint, kind tinyint, key bigint, doc_id {kind}, first int, count int")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,17 +151,21 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c.append(x)
             hit.append(single)
 
-        for a, r, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "run", "key", "doc_id", "first", "count")), strict=True):
+        for a, r, kind, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "run", "kind", "key", "doc_id", "first", "count")), strict=True):
+            if kind == HIT:
+                emit(row, False, False)
+                continue
             if a == anchor and r == run:
-                count += 1
-                if count == 2:
+                if count == 1:
                     emit(one, False, False)
-                emit(row, False, False)
+                if kind == SINGLE:
+                    emit(row, False, False)
+                count += 1
                 continue
             if one is not None and (mixed or a == anchor):
                 emit(one, True, count == 1)
             mixed = a == anchor
-            anchor, run, one, count = a, r, row, 1
+            anchor, run, one, count = a, r, row, 1 if kind == SINGLE else 2
         yield _batch(["key", "doc_id", "first", "count", "wanted", "single"], [*out, hit], [pa.int64(), batch.column("doc_id").type, pa.int32(), pa.int32(), pa.bool_(), pa.bool_()])
     if one is not None and mixed:
         yield _batch(["key", "doc_id", "first", "count", "wanted", "single"], [[x] for x in (*one, True, count == 1)], [pa.int64(), batch.column("doc_id").type, pa.int32(), pa.int32(), pa.bool_(), pa.bool_()])
