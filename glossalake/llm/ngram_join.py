@@ -29,8 +29,8 @@ COMMON, COPIED = 400_000, 50_000
 #: Shingles counted together when common ones are looked for, and copies from which one counts there.
 CHUNK, OFTEN = 4_000_000, 4
 #: Elements of a set for each further element to share, and how many more a costly prefix may ask for.
-STEP, COSTLY = 32, 8
-BLOCK = 128
+STEP, COSTLY = 16, 8
+BLOCK = 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
