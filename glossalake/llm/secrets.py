@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,7 +143,7 @@ def redact(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text
     small_batches(df.sparkSession)
 
     @F.pandas_udf("string")
-    def clean(batches: Iterator) -> Iterator:
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scanner = _SCANNERS.get(rules) or _SCANNERS.setdefault(rules, Scanner(rules))
 
         def one(text: str | None) -> str | None:
