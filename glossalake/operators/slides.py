@@ -240,3 +240,11 @@ def autofit_status(boxes: DataFrame, flag: str = "autofit") -> DataFrame:
 def format_match(expected: str, actual: str, fields: tuple[str, ...] = ("font_size", "bold")) -> Column:
     """Per field, whether two format structs agree."""
     return F.struct(*(F.col(f"{expected}.{f}").eqNullSafe(F.col(f"{actual}.{f}")).alias(f) for f in fields))
+
+
+def page_results(fragment_rows: DataFrame, failed: DataFrame, key: str = "deck") -> DataFrame:
+    """Per deck after translation: pages that worked and failed, fragments updated, distinct boxes."""
+    bad = failed.select(key, "page_index", F.lit(True).alias("__failed"))
+    pages = fragment_rows.groupBy(key, "page_index").agg(F.count_if(F.col("is_translated")).alias("updated"), F.collect_set("box_index").alias("boxes"))
+    met = pages.join(bad, [key, "page_index"], "left")
+    return met.groupBy(key).agg(F.count_if(F.col("__failed").isNull()).alias("success"), F.count_if(F.col("__failed")).alias("failed"), F.sum("updated").alias("updated"), F.sum(F.size("boxes")).alias("boxes"))

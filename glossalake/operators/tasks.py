@@ -127,3 +127,30 @@ def state_transition(df: DataFrame, action: str) -> DataFrame:
 def visible_completions(tasks: DataFrame, as_of: Column, seconds: int = 300) -> DataFrame:
     """Completed tasks of the last few minutes."""
     return tasks.where(F.timestamp_diff("SECOND", F.col("completed_at"), as_of) <= seconds)
+
+
+def with_record(tasks: DataFrame, records: DataFrame) -> DataFrame:
+    """Tasks with the upload record of their user, folder and file name (both taken from the path); record_id is null without one."""
+    path = F.col("file_path")
+    keyed = tasks.withColumns({"__dir": F.regexp_extract(path, r"^(.*)/[^/]*$", 1), "__name": F.regexp_extract(path, r"([^/]*)$", 1)})
+    r = records.select(F.col("id").alias("record_id"), F.col("user_id").alias("__user"), F.col("file_path").alias("__folder"), F.col("stored_filename").alias("__stored"))
+    met = keyed.join(r, (keyed["user_id"] == r["__user"]) & (keyed["__dir"] == r["__folder"]) & (keyed["__name"] == r["__stored"]), "left")
+    return met.drop("__dir", "__name", "__user", "__folder", "__stored")
+
+
+def user_files(records: DataFrame, user_id: int, kind: str, status: str | None = None) -> DataFrame:
+    """A user's files below a folder named after their kind."""
+    out = records.where((F.col("user_id") == user_id) & F.col("file_path").like(f"%/{kind}/%"))
+    return out.where(F.col("status") == status) if status else out
+
+
+def client_filter(files: DataFrame, user: str | None = None, day: str | None = None, name: str | None = None) -> DataFrame:
+    """By user, UTC day of upload and a part of the file name in either case; what isn't given doesn't filter."""
+    out = files.where(F.col("username") == user) if user else files
+    out = out.where(F.to_date("upload_time") == F.lit(day).cast("date")) if day else out
+    return out.where(F.contains(F.lower("filename"), F.lit(name.lower()))) if name else out
+
+
+def client_statistics(calls: DataFrame, key: str) -> DataFrame:
+    """Calls, average time and share of successes by key."""
+    return calls.groupBy(key).agg(F.count("*").alias("calls"), F.avg("seconds").alias("average_time"), (F.count_if("ok") * 100.0 / F.count("*")).alias("success_rate"))

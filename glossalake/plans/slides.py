@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossalake.functions import literals
 from glossalake.operators import slides as S
 from glossalake.plans.base import read, registry
 
@@ -166,3 +167,60 @@ def event_properties(spark: SparkSession, d: str) -> DataFrame:
 def fitted_texts(spark: SparkSession, d: str) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     return read(spark, d, "conversations").groupBy("conv_id").agg(S.fitted(ordered, F.lit(5)).alias("texts"))
+
+
+@query(f"""WITH t AS (SELECT r.deck, r.page_index, r.box_index, a.deck IS NOT NULL AND r.box_index = 0 AND r.paragraph_index = 0 AND r.pos < 2 AS done FROM {_ROWS} r LEFT JOIN {_ANSWERS} a ON r.deck = a.deck AND r.page_index = a.page_index)
+SELECT deck, count(DISTINCT page_index) FILTER (WHERE page_index <> 0) AS success, count(DISTINCT page_index) FILTER (WHERE page_index = 0) AS failed, count(*) FILTER (WHERE done) AS updated, count(DISTINCT (page_index, box_index)) AS boxes FROM t GROUP BY deck""")
+def page_results(spark: SparkSession, d: str) -> DataFrame:
+    done = S.applied(_fragments(spark, d), S.translations(_answers(spark, d)))
+    failed = done.where("page_index = 0").select("deck", "page_index").distinct()
+    return S.page_results(done, failed)
+
+
+@query("SELECT structure, count(*) AS n FROM (SELECT CASE WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 THEN 'mixed' WHEN p_size % 2 = 0 THEN 'paragraph_only' WHEN p_partkey % 3 = 0 THEN 'legacy_only' ELSE 'empty' END AS structure FROM part) GROUP BY structure")
+def deck_structures(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").select("p_partkey", (1 - F.col("p_size") % 2).alias("paragraph_boxes"), F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0).alias("legacy_boxes"))
+    return S.structure(p).groupBy("structure").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_size % 3 <> 0 AS font_size, p_size % 2 = 0 AS bold FROM part")
+def format_matches(spark: SparkSession, d: str) -> DataFrame:
+    s = F.col("p_size")
+    p = read(spark, d, "part").select("p_partkey", F.struct(F.lit(12).alias("font_size"), F.lit(True).alias("bold")).alias("e"), F.struct(F.when(s % 3 == 0, 9).otherwise(12).alias("font_size"), (s % 2 == 0).alias("bold")).alias("a"))
+    return p.select("p_partkey", S.format_match("e", "a").alias("m")).select("p_partkey", "m.*")
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN [event_type, 'x'] ELSE [event_type] END AS texts FROM events")
+def organised_texts(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.when(F.col("event_id") % 3 == 0, F.to_json(F.array("event_type", F.lit(" "), F.lit("x")))).otherwise(F.col("event_type"))
+    return read(spark, d, "events").select("event_id", S.organised_texts(raw).alias("texts"))
+
+
+@query("SELECT event_id, [event_type, 'b'] AS texts FROM events")
+def recognised_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Python literals, JSON and plain text."""
+    e = F.col("event_type")
+    raw = F.when(F.col("event_id") % 2 == 0, F.format_string("[{'text': '%s'}, 'b', ' ']", e)).otherwise(F.format_string('see {"text": ["%s", "b"]} ok', e))
+    return read(spark, d, "events").select("event_id", literals.recognised_texts(raw).alias("texts"))
+
+
+@query("SELECT event_id, 1 AS items, event_type AS target FROM events")
+def literal_answers(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_type")
+    raw = F.when(F.col("event_id") % 2 == 0, F.format_string("[{'source_language': 'a', 'target_language': '%s'}]", e)).otherwise(F.format_string('[{"source_language": "a", "target_language": "%s"}]', e))
+    found = read(spark, d, "events").select("event_id", literals.model_items_any(raw).alias("x"))
+    return found.select("event_id", F.size("x").alias("items"), F.get("x", F.lit(0))["target_language"].alias("target"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'CLICK' ELSE event_type END AS value FROM events")
+def translated_map_values(spark: SparkSession, d: str) -> DataFrame:
+    m = S.translated_values(F.create_map(F.lit("text1"), F.col("event_type")), lambda v: F.when(v == "click", F.upper(v)))
+    return read(spark, d, "events").select("event_id", F.element_at(m, "text1").alias("value"))
+
+
+@query("SELECT event_id, ['text1'] AS keys FROM events WHERE event_id % 2 = 0")
+def content_lists(spark: SparkSession, d: str) -> DataFrame:
+    item = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    items = F.array(item("image", F.col("event_type")), item("text", F.lit(" ")), item("text", F.when(F.col("event_id") % 2 == 0, F.col("event_type"))))
+    found = read(spark, d, "events").select("event_id", F.transform(S.content_texts(items), lambda x: x["key"]).alias("keys"))
+    return found.where(F.size("keys") > 0)

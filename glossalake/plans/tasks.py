@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossalake.functions.values import failing, pages
 from glossalake.operators import tasks as K
 from glossalake.plans.base import read, registry
 
@@ -123,3 +124,49 @@ def recent_completions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY ALL")
 def events_by_hour(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").groupBy("event_type", F.window("ts", "1 hour")["start"].alias("hour")).agg(F.count("*").alias("n"))
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    return read(spark, d, "events").select(
+        k.alias("id"), "user_id", F.format_string("f%d.pptx", k).alias("stored_filename"), F.concat(F.lit("/up/"), F.when(k % 2 == 0, "ppt").otherwise("pdf"), F.lit("/u"), F.col("user_id").cast("string")).alias("file_path"),
+        F.when(k % 3 == 0, "completed").otherwise("pending").alias("status"), F.col("ts").alias("upload_time"), F.col("event_type").alias("username"), F.format_string("Deck%d.PPTX", k).alias("filename"),
+    )
+
+
+@query("SELECT event_id AS task_id, CASE WHEN event_id % 4 <> 3 THEN event_id END AS record_id FROM events WHERE event_id % 5 = 0")
+def task_records(spark: SparkSession, d: str) -> DataFrame:
+    r = _records(spark, d)
+    name = F.when(F.col("id") % 4 == 3, "other.pptx").otherwise(F.col("stored_filename"))
+    tasks = r.where("id % 5 = 0").select(F.col("id").alias("task_id"), "user_id", F.concat_ws("/", "file_path", name).alias("file_path"))
+    return K.with_record(tasks, r).select("task_id", "record_id")
+
+
+@query("SELECT event_id AS id FROM events WHERE user_id = 3 AND event_id % 2 = 0 AND event_id % 3 = 0")
+def user_files(spark: SparkSession, d: str) -> DataFrame:
+    return K.user_files(_records(spark, d), 3, "ppt", "completed").select("id")
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type = 'click' AND CAST(ts AS DATE) = DATE '2024-01-05' AND contains('deck' || event_id || '.pptx', 'k1')")
+def files_filtered(spark: SparkSession, d: str) -> DataFrame:
+    return K.client_filter(_records(spark, d), "click", "2024-01-05", "K1").select("id")
+
+
+@query("SELECT event_type, count(*) AS calls, avg(value) AS average_time, count(*) FILTER (WHERE event_id % 4 <> 0) * 100.0::DOUBLE / count(*) AS success_rate FROM events GROUP BY event_type")
+def client_statistics(spark: SparkSession, d: str) -> DataFrame:
+    calls = read(spark, d, "events").select("event_type", F.col("value").alias("seconds"), (F.col("event_id") % 4 != 0).alias("ok"))
+    return K.client_statistics(calls, "event_type")
+
+
+@query("SELECT event_id, event_id % 2 = 0 AND event_id % 3 = 0 AS healthy, list_concat(CASE WHEN event_id % 2 = 0 THEN [] ELSE ['scheduler'] END, CASE WHEN event_id % 3 = 0 THEN [] ELSE ['workers'] END) AS problems FROM events")
+def pool_health(spark: SparkSession, d: str) -> DataFrame:
+    healthy, problems = failing(scheduler=F.col("event_id") % 2 == 0, workers=F.col("event_id") % 3 == 0)
+    return read(spark, d, "events").select("event_id", healthy.alias("healthy"), problems.alias("problems"))
+
+
+@query("SELECT user_id, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages, greatest(least(3, CAST(ceil(count(*) / 20.0) AS BIGINT)), 1) AS page FROM events GROUP BY user_id")
+def clamped_pages(spark: SparkSession, d: str) -> DataFrame:
+    from glossalake.functions.values import clamped
+
+    n = read(spark, d, "events").groupBy("user_id").agg(pages(F.count("*"), 20).alias("pages"))
+    return n.select("user_id", "pages", clamped(F.lit(3), F.col("pages")).cast("bigint").alias("page"))
