@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 from glossalake.llm.common import dropped, inputs, small_batches, stored
 
 #: Bound on the words whose ids are broadcast; tens of MB.
-HEAD_WORDS = 1 << 17
+HEAD_WORDS = 1 << 18
 #: Longer words (in bytes) aren't folded: the fold's cost grows with the square of the length.
 LONG = 256
+#: Bytes up to which plain lists merge a word faster than a heap.
+SHORT = 48
 #: Rare words that a worker remembers before it starts afresh.
 REMEMBERED = 50_000
 _NONE = 1 << 30
@@ -95,10 +97,22 @@ def fold(rank: Callable[[Column], Column], word: Column) -> Column:
 
 
 def merge(ranks: dict[bytes, int], word: bytes) -> list[int]:
-    """The same merges for one word, by a heap of (rank, place) over a linked list."""
+    """The same merges for one word: by plain lists for a short one, by a heap of (rank, place) over a linked list for a long one."""
     if word in ranks:
         return [ranks[word]]
     n = len(word)
+    if n <= SHORT:
+        get, parts = ranks.get, [word[k : k + 1] for k in range(n)]
+        joins = [get(word[k : k + 2], _NONE) for k in range(n - 1)]
+        while joins and (low := min(joins)) < _NONE:
+            k = joins.index(low)
+            parts[k] += parts.pop(k + 1)
+            del joins[k]
+            if k < len(joins):
+                joins[k] = get(parts[k] + parts[k + 1], _NONE)
+            if k:
+                joins[k - 1] = get(parts[k - 1] + parts[k], _NONE)
+        return [ranks[p] for p in parts]
     end, before, live = [k + 1 for k in range(n)], [k - 1 for k in range(n)], [True] * n
     heap = [(ranks[word[k : k + 2]], k, k + 2) for k in range(n - 1) if word[k : k + 2] in ranks]
     heapq.heapify(heap)
