@@ -182,9 +182,10 @@ def truncated(c: Column, most: int) -> Column:
 
 
 def summary(c: Column, most: int = 30) -> Column:
-    """The first characters, with ... when there are more; a label for a missing or blank text."""
+    """The stripped text in quotes, cut to its first characters with ... when there are more; fixed labels for a missing and for a blank text."""
     s = strip(c)
-    return F.when(c.isNull(), "(none)").when(s == "", "(empty)").when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s)
+    shown = F.when(F.length(s) > most, F.concat(F.substring(s, 1, most), F.lit("..."))).otherwise(s)
+    return F.when(c.isNull(), "无文本框").when(s == "", "空白").otherwise(F.concat(F.lit("'"), shown, F.lit("'")))
 
 
 def basename(path: Column) -> Column:
@@ -204,12 +205,30 @@ def extension_allowed(name: Column, allowed: tuple[str, ...]) -> Column:
     return F.coalesce(F.contains(name, F.lit(".")) & F.substring_index(F.lower(name), ".", -1).isin(*allowed), F.lit(False))
 
 
+# Format, media type and leading bytes (hex) of images.
+IMAGE_FORMATS = (
+    ("PNG", "image/png", ("89504E470D0A1A0A",)),
+    ("JPEG", "image/jpeg", ("FFD8FF",)),
+    ("GIF", "image/gif", ("47494638",)),
+    ("BMP", "image/bmp", ("424D",)),
+    ("TIFF", "image/tiff", ("4D4D", "4949")),
+)
+METAFILES = ("D7CDC69A", "01000900")
+
+
 def image_format(raw: Column) -> Column:
-    """Format of an image by its first bytes; 'unknown' without a match."""
+    """Format and media type of an image by its bytes; 'unknown' for both without a match."""
     head = F.hex(F.substring(raw, 1, 12))
-    webp = head.startswith("52494646") & head.endswith("57454250")
-    out = F.when(head.startswith("89504E470D0A1A0A"), "png").when(head.startswith("FFD8FF"), "jpg").when(head.startswith("47494638"), "gif").when(head.startswith("424D"), "bmp")
-    return out.when(head.startswith("49492A00") | head.startswith("4D4D002A"), "tiff").when(webp, "webp").otherwise("unknown")
+    named = lambda name, kind: F.struct(F.lit(name).alias("format"), F.lit(kind).alias("media_type"))
+    out = F.when(F.lit(False), named("", ""))
+    for name, kind, starts in IMAGE_FORMATS:
+        for start in starts:
+            out = out.when(head.startswith(start), named(name, kind))
+    out = out.when(head.startswith("52494646") & F.contains(head, F.lit("57454250")), named("WebP", "image/webp"))
+    out = out.when(F.hex(F.substring(raw, 41, 4)) == "20454D46", named("EMF", "image/x-emf"))
+    for start in METAFILES:
+        out = out.when(head.startswith(start), named("WMF", "image/x-wmf"))
+    return out.otherwise(named("unknown", "unknown"))
 
 
 def tokens(c: Column, language: str = "en", tokenizer=None) -> Column:

@@ -39,7 +39,8 @@ def translate(df: DataFrame, translator: Translator, source: str, target: str, c
     return df.mapInPandas(run, StructType([*df.schema, StructField("translation", StringType()), StructField("error", StringType())]))
 
 
-DOMAINS = ("科技", "医疗", "金融", "法律", "教育", "食品", "化妆品", "制造", "市场", "其他")
+# The domains of documents.
+DOMAINS = ("医学", "工程技术", "商业管理", "教育培训", "科学研究", "法律", "金融", "艺术设计", "信息技术", "其他")
 
 
 def classify(text: str, keywords: dict[str, list[str]], fallback: str = "其他") -> str:

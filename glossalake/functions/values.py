@@ -35,12 +35,12 @@ def widened_end(ts: Column) -> Column:
 
 
 def duration_text(seconds: Column) -> Column:
-    """h/m above an hour, m/s above a minute, else seconds with two digits."""
+    """Hours and minutes above an hour, minutes and seconds above a minute, else seconds with two digits."""
     whole = F.floor(seconds)
     return (
-        F.when(seconds > 3600, F.format_string("%dh %dm", F.floor(whole / 3600), F.floor(whole % 3600 / 60)))
-        .when(seconds > 60, F.format_string("%dm %ds", F.floor(whole / 60), whole % 60))
-        .otherwise(F.format_string("%.2fs", seconds.cast("double")))
+        F.when(seconds > 3600, F.format_string("%d小时%d分钟", F.floor(whole / 3600), F.floor(whole % 3600 / 60)))
+        .when(seconds > 60, F.format_string("%d分钟%d秒", F.floor(whole / 60), whole % 60))
+        .otherwise(F.format_string("%.2f秒", seconds.cast("double")))
     )
 
 

@@ -48,9 +48,10 @@ def joined_text(rows: DataFrame, group: list[str], order: list[str], text: str =
 
 def prompts(paragraph_rows: DataFrame, key: str = "deck") -> DataFrame:
     """One text a page: a heading, then the paragraphs by box and paragraph, numbered from 1."""
-    line = F.format_string("[box %d, paragraph %d] %s", F.col("box_index") + 1, F.col("paragraph_index") + 1, F.col("combined_text"))
-    lines = joined_text(paragraph_rows.withColumn("line", line), [key, "page_index"], ["box_index", "paragraph_index"], "line", "\n")
-    return lines.select(key, "page_index", F.concat(F.format_string("Page %d\n", F.col("page_index") + 1), F.col("line")).alias("prompt"))
+    line = F.format_string("【文本框%d-段落%d】\n%s\n\n", F.col("box_index") + 1, F.col("paragraph_index") + 1, F.col("combined_text"))
+    lines = joined_text(paragraph_rows.withColumn("line", line), [key, "page_index"], ["box_index", "paragraph_index"], "line")
+    head = F.format_string("第%d页内容（PPT原始页面索引：%d）：\n\n", F.col("page_index") + 1, F.col("page_index"))
+    return lines.select(key, "page_index", F.concat(head, F.col("line")).alias("prompt"))
 
 
 def deck_statistics(decks: DataFrame, pages: str = "pages", key: str = "deck") -> DataFrame:

@@ -98,7 +98,7 @@ def queue_summary(counts: DataFrame, most: int = MAX_ACTIVE) -> DataFrame:
     """available_slots, queue_full and system_status from waiting and processing counts."""
     busy = F.col("processing") + F.col("waiting")
     full = busy >= most
-    state = F.when(full, "full").when(F.col("processing") > 0, "busy").otherwise("idle")
+    state = F.when(full, "busy").otherwise("normal")
     return counts.withColumns({"available_slots": F.greatest(F.lit(most) - F.col("processing"), F.lit(0)), "queue_full": full, "system_status": state})
 
 

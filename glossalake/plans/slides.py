@@ -30,7 +30,7 @@ def slide_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     return _paragraphs(spark, d).select("deck", *S.PLACE, "combined_text", F.col("global_index").cast("bigint").alias("global_index"))
 
 
-@query(f"SELECT deck, page_index, 'Page ' || (page_index + 1) || chr(10) || string_agg('[box ' || (box_index + 1) || ', paragraph ' || (paragraph_index + 1) || '] ' || array_to_string(texts, '[block]'), chr(10) ORDER BY box_index, paragraph_index) AS prompt FROM {_PARAS} GROUP BY deck, page_index")
+@query(f"SELECT deck, page_index, '第' || (page_index + 1) || '页内容（PPT原始页面索引：' || page_index || '）：' || chr(10) || chr(10) || string_agg('【文本框' || (box_index + 1) || '-段落' || (paragraph_index + 1) || '】' || chr(10) || array_to_string(texts, '[block]') || chr(10) || chr(10), '' ORDER BY box_index, paragraph_index) AS prompt FROM {_PARAS} GROUP BY deck, page_index")
 def slide_prompts(spark: SparkSession, d: str) -> DataFrame:
     return S.prompts(_paragraphs(spark, d))
 

@@ -99,7 +99,7 @@ def block_parts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").groupBy("conv_id").agg(joined.alias("t")).select("conv_id", T.block_parts(F.col("t")).alias("parts"))
 
 
-@query(rf"SELECT doc_id, CASE WHEN length(s) > 30 THEN substr(s, 1, 30) || '...' WHEN s = '' THEN '(empty)' ELSE s END AS summary, substr(text, 1, 500) AS head FROM (SELECT doc_id, text, {_STRIP.format('text')} AS s FROM documents)")
+@query(rf"SELECT doc_id, CASE WHEN s = '' THEN '空白' WHEN length(s) > 30 THEN '''' || substr(s, 1, 30) || '...''' ELSE '''' || s || '''' END AS summary, substr(text, 1, 500) AS head FROM (SELECT doc_id, text, {_STRIP.format('text')} AS s FROM documents)")
 def text_summaries(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", T.summary(F.col("text")).alias("summary"), T.truncated(F.col("text"), 500).alias("head"))
 
@@ -128,7 +128,7 @@ def dictionary_lines(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", F.explode(T.dictionary_lines(raw)).alias("x")).select("p_partkey", "x.*")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN s > 3600 THEN printf('%dh %dm', CAST(floor(s / 3600) AS BIGINT), CAST(floor((floor(s) % 3600) / 60) AS BIGINT)) WHEN s > 60 THEN printf('%dm %ds', CAST(floor(s / 60) AS BIGINT), CAST(floor(s) % 60 AS BIGINT)) ELSE printf('%.2fs', s) END AS took FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity * l_linenumber * 30 AS DOUBLE) AS s FROM lineitem WHERE l_quantity * l_linenumber * 30 <> 0)")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN s > 3600 THEN printf('%d小时%d分钟', CAST(floor(s / 3600) AS BIGINT), CAST(floor((floor(s) % 3600) / 60) AS BIGINT)) WHEN s > 60 THEN printf('%d分钟%d秒', CAST(floor(s / 60) AS BIGINT), CAST(floor(s) % 60 AS BIGINT)) ELSE printf('%.2f秒', s) END AS took FROM (SELECT l_orderkey, l_linenumber, CAST(l_quantity * l_linenumber * 30 AS DOUBLE) AS s FROM lineitem WHERE l_quantity * l_linenumber * 30 <> 0)")
 def durations(spark: SparkSession, d: str) -> DataFrame:
     s = F.col("l_quantity") * F.col("l_linenumber") * 30
     return read(spark, d, "lineitem").where(s != 0).select("l_orderkey", "l_linenumber", V.duration_text(s).alias("took"))

@@ -65,7 +65,7 @@ def test_text_edges(spark):
     assert one(spark, T.block_parts(F.col("a")), " a [block][block]b") == ["a", "b"]
     assert one(spark, T.int_list(F.col("a")), "1, 2,x") == []
     assert one(spark, T.valid_utf8(F.unhex(F.col("a"))), "41FF42") == "AB"
-    assert one(spark, T.image_format(F.unhex(F.col("a"))), "89504E470D0A1A0A00") == "png"
+    assert one(spark, T.image_format(F.unhex(F.col("a"))), "89504E470D0A1A0A00").asDict() == {"format": "PNG", "media_type": "image/png"}
     assert one(spark, T.clean_food_name(F.col("a")), "糕点备案入20") == "糕点"
     assert one(spark, T.tokens(F.col("a"), "zh"), "你 好") == ["你", "好"]
     assert one(spark, V.top_ingredients(F.col("a")), "a, b,c,d") == "a、b、c等"
