@@ -98,7 +98,10 @@ def terms_in_texts(texts: DataFrame, terms: DataFrame, key: str, text: str, term
     keyed = terms.select(F.col(term).alias("__term"), F.least(F.length(term), F.lit(3)).alias("__n")).where("__n > 0").distinct()
     keyed = keyed.withColumn("__seed", F.expr("substring(__term, 1, __n)"))
     body = F.col(text)
-    seeds = F.array_distinct(F.concat(*(_grams(body, n) for n in (1, 2, 3))))
+    lengths = sorted(r["__n"] for r in keyed.select("__n").distinct().collect())  # three at most
+    if not lengths:
+        return texts.select(key, F.lit(None).cast("string").alias(term)).limit(0)
+    seeds = F.array_distinct(F.concat(*(_grams(body, n) for n in lengths)))
     left = texts.where(F.length(text) > 0).select(F.col(key), body.alias("__text"), F.explode(seeds).alias("__seed"))
     return left.join(keyed, "__seed").where(F.contains("__text", "__term")).select(key, F.col("__term").alias(term))
 
