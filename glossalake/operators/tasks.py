@@ -50,6 +50,19 @@ def scheduled(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("type_rank", rank).orderBy("type_rank", "priority", "created_at", "task_id")
 
 
+def scheduled_places(tasks: DataFrame) -> DataFrame:
+    """All tasks with their 1-based place in the order of ``scheduled``: rows are numbered within a type, priority and day, and the counts before these are added. Only those counts (their bound: types x priorities x days) meet in one task."""
+    block = ["type_rank", "priority", "__day"]
+    t = scheduled(tasks).withColumn("__day", F.to_date("created_at"))
+    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    counts = t.groupBy(*block).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    counts = counts.select(*(F.col(c).alias(f"{c}__c") for c in block), "__before")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}__c")) for c in block]
+    within = F.row_number().over(Window.partitionBy(*block).orderBy("created_at", "task_id"))
+    placed = t.withColumn("__k", within).join(counts, same)
+    return placed.select(*(F.col(c) for c in tasks.columns), (F.col("__k") + F.col("__before")).alias("place"))
+
+
 def latest_per(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """The last row of each key by order, without a window: partial results merge before the shuffle."""
     rest = [c for c in columns if c != key]

@@ -170,3 +170,48 @@ def clamped_pages(spark: SparkSession, d: str) -> DataFrame:
 
     n = read(spark, d, "events").groupBy("user_id").agg(pages(F.count("*"), 20).alias("pages"))
     return n.select("user_id", "pages", clamped(F.lit(3), F.col("pages")).cast("bigint").alias("page"))
+
+
+# The queries above named next_tasks, scheduled_tasks, task_retries, queue_summaries and task_records read parts of
+# events, as their SQL does. These read all rows; their mix (free slots, retries) comes from expressions.
+
+_POOLS = f"(SELECT task_id, user_id AS queue, CASE WHEN task_id % 10 = 6 THEN 'completed' ELSE status END AS status, created_at, priority FROM {_TASKS})"
+
+
+def _pools(spark: SparkSession, d: str) -> DataFrame:
+    """Every event as a task; a user is a queue and one task in ten is processing, so that free and full queues occur at any size."""
+    status = F.when(F.col("task_id") % 10 == 6, "completed").otherwise(F.col("status"))
+    return _tasks(spark, d).withColumns({"queue": F.col("user_id"), "status": status})
+
+
+@query(f"""WITH a AS (SELECT queue, count(*) FILTER (WHERE status = 'processing') AS active FROM {_POOLS} GROUP BY queue)
+SELECT task_id FROM (SELECT w.*, row_number() OVER (PARTITION BY w.queue ORDER BY priority, created_at, task_id) AS k FROM {_POOLS} w WHERE status = 'waiting') JOIN a USING (queue) WHERE k <= greatest(10 - active, 0)""")
+def next_tasks_all(spark: SparkSession, d: str) -> DataFrame:
+    return K.next_tasks(_pools(spark, d)).select("task_id")
+
+
+@query(f"SELECT task_id, row_number() OVER (ORDER BY CASE task_type WHEN 'HIGH' THEN 0 WHEN 'IO' THEN 1 WHEN 'CPU' THEN 2 ELSE 3 END, priority, created_at, task_id) AS place FROM {_TASKS}")
+def scheduled_tasks_all(spark: SparkSession, d: str) -> DataFrame:
+    return K.scheduled_places(_tasks(spark, d)).select("task_id", F.col("place").cast("bigint").alias("place"))
+
+
+@query("""SELECT task_id, CASE WHEN last = 'failed' AND failures <= 3 THEN 'waiting' ELSE last END AS status, CAST(least(failures, 3) AS INTEGER) AS retry_count
+FROM (SELECT task_id, max_by(s, event_id) AS last, count(*) FILTER (WHERE s = 'failed') AS failures FROM (SELECT event_id // 10 AS task_id, event_id, CASE WHEN event_id * 37 % 101 < 35 THEN 'failed' ELSE 'processing' END AS s FROM events) GROUP BY task_id)""")
+def task_retries_all(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    status = F.when(k * 37 % 101 < 35, "failed").otherwise("processing")
+    return K.fold_events(read(spark, d, "events").select(F.floor(k / 10).alias("task_id"), k.alias("seq"), status.alias("status")))
+
+
+@query(f"SELECT queue, greatest(10 - p, 0) AS available_slots, p + w >= 10 AS queue_full FROM (SELECT queue, count(*) FILTER (WHERE status = 'processing') AS p, count(*) FILTER (WHERE status = 'waiting') AS w FROM {_POOLS} GROUP BY queue)")
+def queue_summaries_all(spark: SparkSession, d: str) -> DataFrame:
+    n = _pools(spark, d).groupBy("queue").agg(F.count_if(F.col("status") == "processing").alias("processing"), F.count_if(F.col("status") == "waiting").alias("waiting"))
+    return K.queue_summary(n).select("queue", "available_slots", "queue_full")
+
+
+@query("SELECT event_id AS task_id, CASE WHEN event_id % 4 <> 3 THEN event_id END AS record_id FROM events")
+def task_records_all(spark: SparkSession, d: str) -> DataFrame:
+    r = _records(spark, d)
+    name = F.when(F.col("id") % 4 == 3, "other.pptx").otherwise(F.col("stored_filename"))
+    tasks = r.select(F.col("id").alias("task_id"), "user_id", F.concat_ws("/", "file_path", name).alias("file_path"))
+    return K.with_record(tasks, r).select("task_id", "record_id")

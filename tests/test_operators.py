@@ -192,3 +192,32 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["id", "english", "chinese", "is_public", "username"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def events(spark, tmp_path, n=400):
+    rows = [(k, k * 7919 % n, k % 7) for k in range(n)]
+    df = spark.createDataFrame(rows, "event_id long, m long, user_id long")
+    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("m") * 3600).cast("timestamp_ntz")
+    df.select("event_id", ts.alias("ts"), "user_id", F.lit("click").alias("event_type"), F.lit(1.0).alias("value")).write.parquet(str(tmp_path / "events.parquet"))
+    return {k: (m, u) for k, m, u in rows}
+
+
+def test_task_queries_read_every_event(spark, tmp_path):
+    from glossalake.plans.tasks import QUERIES as Q
+
+    n = events(spark, tmp_path)
+    d = str(tmp_path)
+    status = {k: "completed" if k % 10 == 6 else K.STATUSES[k % 5] for k in n}
+    of = {u: [k for k in n if n[k][1] == u] for u in range(7)}
+    busy = {u: sum(status[k] == "processing" for k in of[u]) for u in of}
+    waiting = {u: sorted((k for k in of[u] if status[k] == "waiting"), key=lambda k: (k % 3, n[k][0], k)) for u in of}
+    want = {u: (max(10 - busy[u], 0), busy[u] + len(waiting[u]) >= 10) for u in of}
+    assert {r.queue: (r.available_slots, r.queue_full) for r in Q["queue_summaries_all"](spark, d).collect()} == want
+    assert sorted(r.task_id for r in Q["next_tasks_all"](spark, d).collect()) == sorted(k for u in of for k in waiting[u][: want[u][0]])
+    assert {r.task_id: r.record_id for r in Q["task_records_all"](spark, d).collect()} == {k: None if k % 4 == 3 else k for k in n}
+    order = sorted(n, key=lambda k: ((3, 2, 1, 0)[k % 4], k % 3, n[k][0], k))
+    assert {r.task_id: r.place for r in Q["scheduled_tasks_all"](spark, d).collect()} == {k: p for p, k in enumerate(order, 1)}
+    fails = {t: [k * 37 % 101 < 35 for k in range(10 * t, 10 * t + 10)] for t in range(40)}
+    got = {r.task_id: (r.status, r.retry_count) for r in Q["task_retries_all"](spark, d).collect()}
+    assert got == {t: (("waiting" if sum(f) <= 3 else "failed") if f[-1] else "processing", min(sum(f), 3)) for t, f in fails.items()}
+    assert len({s for s, _ in got.values()}) == 3
