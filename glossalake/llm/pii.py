@@ -1,10 +1,10 @@
 """Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
-Emails, addresses, cards and phone numbers are the protected entities. A term that stands
-near an entity discloses it by its pointwise mutual information, estimated from how many
-documents of the corpus hold the term, the entity, and the one near the other. As a share
-of the entity's own information, a disclosure over one threshold has the term generalised,
-over a higher one removed.
+Emails, addresses, cards and phone numbers are the protected entities. A term in the text of
+an entity discloses it by its pointwise mutual information, estimated from how many
+documents of the corpus hold the term, the entity, and both. As a share of the entity's own
+information, a disclosure over one threshold has the term generalised, over a higher one
+removed, wherever it stands in a text that holds the entity.
 """
 
 from __future__ import annotations
@@ -28,22 +28,26 @@ KINDS = tuple(PATTERNS)
 REMOVED, GENERALISED = "removed", "generalised"
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
+#: Matches that are placed at a time.
+_BLOCK = 128
 _TERM = r"\p{L}{4,}+"
 _SPAN = "array<struct<kind:string,order:int,start:int,end:int,value:string>>"
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """reach: characters to either side of an entity; support: documents in which a term must stand near it; shares of the entity's information from which a term goes."""
+    """support: documents that must hold a term and an entity; shares of the entity's information from which a term goes."""
 
-    reach: int = 60
     support: int = 3
     generalise: float = 0.6
     remove: float = 0.8
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Matches of a pattern as value, start and end (code points): the pieces between them tell where they stand."""
+    """Matches of a pattern as value, start and end (code points): the pieces between them tell where they stand.
+
+    They are placed in blocks, as adding to an array copies it: the work for n matches stays far below n squared.
+    """
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<value:string,start:int,end:int>>")
 
@@ -52,8 +56,13 @@ def located(text: Column, pattern: str) -> Column:
         end = start + F.length(pair["value"])
         return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(pair["value"].alias("value"), start.alias("start"), end.alias("end")))).alias("out"))
 
+    def whole(state: Column, block: Column) -> Column:
+        return F.aggregate(block, F.struct(state["at"].alias("at"), empty.alias("out")), step, lambda s: F.struct(s["at"].alias("at"), F.concat(state["out"], s["out"]).alias("out")))
+
     pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda value, before: F.struct(value.alias("value"), before.alias("before")))
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    # the array of pairs is made once and handed to a lambda, which cuts it
+    blocks = F.flatten(F.transform(F.array(pairs), lambda p: F.transform(F.sequence(F.lit(1), F.size(p), F.lit(_BLOCK)), lambda k: F.slice(p, k, F.lit(_BLOCK)))))
+    placed = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), empty.alias("out")), whole, lambda s: s["out"])
     return F.when(F.size(found) > 0, placed).otherwise(empty)
 
 
@@ -83,22 +92,6 @@ def _before(a: Column, b: Column) -> Column:
     return F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["order"] - b["order"])
 
 
-def _terms_near(text: Column, span: Column, reach: int) -> Column:
-    """Terms (lower case, with places) within reach of a span; one that the reach cuts is left out."""
-    low = F.greatest(span["start"] - reach, F.lit(0))
-    left = F.substring(text, low + 1, span["start"] - low)
-    right = F.substring(text, span["end"] + 1, F.lit(reach))
-    cut = F.length(right) == reach
-
-    def moved(found: Column, by: Column, whole) -> Column:
-        return F.transform(F.filter(found, whole), lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + by).alias("start"), (m["end"] + by).alias("end")))
-
-    return F.concat(
-        moved(located(left, _TERM), low, lambda m: (m["start"] > 0) | (low == 0)),
-        moved(located(right, _TERM), span["end"], lambda m: (m["end"] < reach) | ~cut),
-    )
-
-
 def find(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash and spans (kind, order, start, end, value) for every row of df, by start, then order.
 
@@ -108,20 +101,23 @@ def find(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_id",
     rule = rule or Disclosure()
     rows = inputs(df, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     based = rows.withColumn("base", base_spans(F.col("text")))
-    near = F.transform("base", lambda s: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), _terms_near(F.col("text"), s, rule.reach).alias("terms")))
-    found = stored(based.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", near.alias("near")), "entities")
+    entity = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    kept = F.when(F.size("base") > 0, F.col("text"))  # only the texts with entities are read again
+    found = stored(based.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", entity.alias("entities"), kept.alias("text")), "entities")
     docs = found.count()
     some = found.where(F.size("base") > 0)
-    contexts = some.select("doc_id", "text_hash", F.explode("near").alias("n")).select("doc_id", "text_hash", "n.entity", F.explode("n.terms").alias("t")).select("doc_id", "text_hash", "entity", "t.*")
-    entities = some.select(F.explode(F.array_distinct(F.transform("near", lambda n: n["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    met = some.select(F.explode(F.array_distinct(F.flatten(F.transform("near", lambda n: F.transform(n["terms"], lambda t: F.struct(n["entity"].alias("entity"), t["term"].alias("term"))))))).alias("p")).select("p.*")
+    distinct = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
+    entities = some.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    met = some.select("entities", F.explode(distinct).alias("term")).select(F.explode("entities").alias("entity"), "term")
     joint = met.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= rule.support)
-    frequency = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    frequency = rows.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     told = joint.join(frequency, "term").join(entities, "entity")
     own = F.log2(F.lit(docs) / F.col("n_e"))
     share = F.when(own > 0, F.log2(F.lit(docs) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / own).otherwise(0.0)
     told = told.select("entity", "term", share.alias("share")).where(F.col("share") >= rule.generalise)
     removed = F.col("share") >= rule.remove
+    places = some.select("doc_id", "text_hash", "entities", F.explode(located(F.col("text"), _TERM)).alias("t"))
+    contexts = places.select("doc_id", "text_hash", F.explode("entities").alias("entity"), F.lower("t.value").alias("term"), "t.start", "t.end")
     hit = contexts.join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max(removed).alias("removed"))
     kind = F.when(F.col("removed"), REMOVED).otherwise(GENERALISED)
     order = F.when(F.col("removed"), len(KINDS) + 1).otherwise(len(KINDS))
@@ -129,7 +125,8 @@ def find(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_id",
     terms = terms.groupBy("doc_id", "text_hash").agg(F.collect_list("span").cast(_SPAN).alias("terms"))
     terms = terms.withColumnsRenamed({"doc_id": "t_id", "text_hash": "t_hash"})
     both = found.join(terms, found["doc_id"].eqNullSafe(terms["t_id"]) & (found["text_hash"] == terms["t_hash"]), "left")
-    spans = F.array_sort(F.concat("base", F.coalesce("terms", F.array().cast(_SPAN))), _before)
+    outside = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
+    spans = F.array_sort(F.concat("base", F.coalesce(outside, F.array().cast(_SPAN))), _before)
     return both.select("doc_id", "text_hash", spans.alias("spans"))
 
 

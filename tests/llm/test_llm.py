@@ -126,6 +126,20 @@ def test_terms_that_tell_an_entity_go(spark):
     assert few[0] == "some talk about Quirinus here [EMAIL] then more talk0"  # too few documents to tell
 
 
+def test_terms_go_wherever_they_stand_in_the_text_of_an_entity(spark):
+    far = "some talk about other things " * 20
+    told = [(k, f"Quirinus {far}a@b.com here {far}and quirinus more{k}") for k in range(6)]
+    rest = [(k, f"{far} here and more{k}") for k in range(100, 160)] + [(200, "other@Quirinus.org")]
+    got = {r.doc_id: r.text for r in pii.sanitise(table(spark, told + rest)).collect()}
+    assert got[0] == f" {far}[EMAIL] here {far}and  more0" and got[100] == rest[0][1] and got[200] == "[EMAIL]"
+
+
+def test_many_places_are_those_of_the_pattern(spark):
+    texts = [" ".join(f"abcd{'é' * (k % 3)}{'' if k % 5 else ', '}" for k in range(n)) for n in (0, 1, 127, 128, 129, 256, 1000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", pii.located(F.col("t"), "[a-dé]{4,}+").alias("m")).collect()
+    assert {r.k: [(m.value, m.start, m.end) for m in r.m] for r in got} == {k: [(m[0], *m.span()) for m in re.finditer("[a-dé]{4,}", t)] for k, t in enumerate(texts)}
+
+
 def test_pii_edges(spark):
     found = pii.find(table(spark, [*EDGES, (20, "1" * 50_000), (21, "a." * 20_000 + "@b"), (22, None)]))
     assert found.count() == len(EDGES) + 3 and found.where(F.size("spans") > 0).count() == 0
