@@ -26,15 +26,13 @@ def similarity_measures(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def most_similar_item(spark: SparkSession, d: str) -> DataFrame:
-    b = read(spark, d, "benchmark").withColumn("group", F.floor(F.col("item_id") / 10))
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"])
-    candidates = b.groupBy("group").agg(texts.alias("candidates"))
-    return b.withColumn("target", F.substring("text", 1, 60)).join(candidates, "group").select("item_id", E.find_most_similar(0.3)("target", "candidates").alias("best"))
+    """For every item, whole, the most similar of all other items."""
+    return E.best_of_all(read(spark, d, "benchmark").select("item_id", "text"), "item_id", "text", 0.3)
 
 
 def _slides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = read(spark, d, "conversations").select(F.col("conv_id").alias("slide"), F.col("turn").cast("int").alias("place"), F.substring("text", 1, 200).alias("text"))
-    changed = F.when(F.col("place") % 3 == 0, F.col("text")).when(F.col("place") % 3 == 1, F.upper("text")).otherwise(F.substring("text", 5, 200))
+    c = read(spark, d, "conversations").select(F.col("conv_id").alias("slide"), F.col("turn").cast("int").alias("place"), "text")
+    changed = F.when(F.col("place") % 3 == 0, F.col("text")).when(F.col("place") % 3 == 1, F.upper("text")).otherwise(F.substr("text", F.lit(5)))
     return c, c.select("slide", "place", changed.alias("source"), F.concat(F.lit("T"), F.col("place").cast("string")).alias("target"))
 
 

@@ -221,3 +221,24 @@ def test_task_queries_read_every_event(spark, tmp_path):
     got = {r.task_id: (r.status, r.retry_count) for r in Q["task_retries_all"](spark, d).collect()}
     assert got == {t: (("waiting" if sum(f) <= 3 else "failed") if f[-1] else "processing", min(sum(f), 3)) for t, f in fails.items()}
     assert len({s for s, _ in got.values()}) == 3
+
+
+def test_matching_reads_whole_texts_and_all_items(spark, tmp_path):
+    from glossalake.plans.matching import QUERIES as Q
+
+    d, same = str(tmp_path), "one sentence after another " * 10
+    items = [(k, f"{same[: 60 + k % 3]}{'xyzuvw'[k % 6] * (20 + k)}") for k in range(70)] + [(99, same), (150, same + "!")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    want = {k: E.most_similar(t, [x for j, x in items if j != k], 0.3) for k, t in items}
+    assert {r.item_id: r.best for r in Q["most_similar_item"](spark, d).collect()} == want
+    assert want[99] == same + "!"  # far from it in the ids
+    turns = [(1, 0, same + "left"), (1, 1, same + "right"), (1, 2, "zzzz" + same + "right"), (1, 3, same)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{d}/conversations.parquet")
+    source = [turns[0][2], turns[1][2].upper(), turns[2][2][4:], same]
+    texts = [t for *_, t in turns]
+    boxes = {k: v for k, v in E.assign_boxes(texts, source).items()}
+    assert {r.box: (r.shape, r.stage) for r in Q["matched_boxes"](spark, d).collect()} == boxes
+    assert boxes[1] == (2, "exact")  # by what stands after 200 characters
+    got = {r.place: (r.translation, r.stage) for r in Q["matched_paragraphs"](spark, d).collect()}
+    assert got == E.assign_paragraphs(texts, [(x, f"T{k}") for k, x in enumerate(source)]) and got[1] == ("T2", "exact")
+    assert {r.place: r.shape for r in Q["matched_shapes"](spark, d).collect()}[1] == 2
