@@ -131,7 +131,7 @@ def find(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_id",
 
 
 def sanitise(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df, columns unchanged, with entities replaced by [KIND], generalised terms by [TERM], and removed terms left out. Where spans overlap, the first counts. Null texts stay null."""
+    """df, columns unchanged, with entities replaced by [KIND], generalised terms by [TERM], and removed terms left out. Where spans overlap, all that they cover goes, under the tag of the first. Null texts stay null."""
     spans = find(df, rule, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
     text = F.col(text_col)
@@ -140,7 +140,8 @@ def sanitise(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_i
     def step(state: Column, s: Column) -> Column:
         tag = F.when(s["kind"] == REMOVED, "").when(s["kind"] == GENERALISED, "[TERM]").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         piece = F.concat(F.substring(text, state["at"] + 1, s["start"] - state["at"]), tag)
-        return F.when(s["start"] < state["at"], state).otherwise(F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(piece)).alias("out")))
+        longer = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
+        return F.when(s["start"] < state["at"], longer).otherwise(F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(piece)).alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     clean = F.aggregate("__spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))

@@ -140,6 +140,12 @@ def test_many_places_are_those_of_the_pattern(spark):
     assert {r.k: [(m.value, m.start, m.end) for m in r.m] for r in got} == {k: [(m[0], *m.span()) for m in re.finditer("[a-dé]{4,}", t)] for k, t in enumerate(texts)}
 
 
+def test_overlapping_entities_go_whole(spark):
+    rows = [(1, "a 192.168.0.0 4111 1111 1111 1111 b"), (2, "+49 30 1234567.bob@example.com, c"), (3, "d 1.2.3.4 e a@b.co")]
+    got = {r.doc_id: r.text for r in pii.sanitise(table(spark, rows)).collect()}
+    assert got == {1: "a [IP] b", 2: "[PHONE], c", 3: "d [IP] e [EMAIL]"}
+
+
 def test_pii_edges(spark):
     found = pii.find(table(spark, [*EDGES, (20, "1" * 50_000), (21, "a." * 20_000 + "@b"), (22, None)]))
     assert found.count() == len(EDGES) + 3 and found.where(F.size("spans") > 0).count() == 0
