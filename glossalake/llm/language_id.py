@@ -22,7 +22,7 @@ BITS = 16
 GAIN = 40.0
 #: Bound on the labelled documents that the classifier is fitted on.
 MAX_DOCS = 3000
-#: Codes above this hash as themselves, without the letter table.
+#: Codes below this are looked up in the letter table, the distinct ones above it tested one by one.
 _TABLE = 0x10000
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F))
 
@@ -37,7 +37,12 @@ LETTERS = _letter_table()
 def grams(text: str | None) -> np.ndarray:
     """Buckets of all n-grams of the lower-cased text, each other character than a letter read as one blank; empty without a letter."""
     codes = np.frombuffer((" " + (text or "").lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(codes < _TABLE, LETTERS[np.minimum(codes, _TABLE - 1)], codes)
+    high = codes >= _TABLE
+    codes = np.where(high, codes, LETTERS[np.minimum(codes, _TABLE - 1)])
+    if high.any():
+        distinct = np.unique(codes[high])
+        other = [c for c in distinct.tolist() if not chr(c).isalpha()]
+        codes[np.isin(codes, np.array(other, np.uint32))] = 32
     blank = codes == 32
     codes = codes[~(blank & np.concatenate(([False], blank[:-1])))]  # runs of blanks count once
     if len(codes) < 3:

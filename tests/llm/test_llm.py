@@ -331,6 +331,17 @@ def test_language_id_edges(spark):
     assert kept.columns == ["doc_id", "text", "n", "row", "score"] and [r.doc_id for r in kept.collect()] == [1]
 
 
+@pytest.mark.parametrize(("text", "same"), [("\U0001f600", ""), ("\U0001f600 12 \U0001f680!", " "), ("a\U0001f600\U0001f680b", "a b"), ("\U0001f600\U00020000", "\U00020000"), ("\U00020000\U00010400", "\U00020000\U00010428")])
+def test_only_letters_count_above_the_basic_plane(text, same):
+    assert language_id.grams(text).tolist() == language_id.grams(same).tolist()
+    assert len(language_id.grams(text)) == 0 if not same.strip() else len(language_id.grams(text)) > 0
+
+
+def test_emoji_alone_have_no_language():
+    model = language_id.LanguageModel(["de", "en"], np.ones((1 << language_id.BITS, 2), np.float32), np.zeros(2), 1.0)
+    assert model.predict("\U0001f600") == ("und", 0.0) and model.predict("the")[1] > 0
+
+
 def test_toxicity_gradients_are_those_of_finite_differences():
     net = toxicity.Network()
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
