@@ -6,7 +6,7 @@ penalty), followed by temperature calibration on documents the training left out
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ BITS = 16
 #: TF is a share of the document's n-grams; this brings a typical feature to the order of 1.
 GAIN = 40.0
 #: Bound on the labelled documents that the classifier is fitted on.
-MAX_DOCS = 3000
+MAX_DOCS = 4000
 #: Codes below this are looked up in the letter table, the distinct ones above it tested one by one.
 _TABLE = 0x10000
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F))
@@ -114,10 +114,9 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def fit(rows: list[tuple[str, str]], idf: np.ndarray, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> LanguageModel:
+def fit(rows: Iterable[tuple[str, str]], idf: np.ndarray, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> LanguageModel:
     """FTRL-proximal on (text, label) rows; every tenth row is kept for the temperature (all rows, if fewer than 20)."""
-    data = [(*sparse(t), y) for t, y in rows]
-    data = [(i, (v * idf[i]).astype(np.float32), y) for i, v, y in data if len(i)]
+    data = [(i, (v * idf[i]).astype(np.float32), y) for (i, v), y in ((sparse(t), y) for t, y in rows) if len(i)]
     labels = sorted({y for *_, y in data})
     d, k = len(idf) + 1, len(labels)
     if not k:
@@ -173,7 +172,8 @@ def train(df: DataFrame, label_col: str = "lang", max_docs: int = MAX_DOCS, id_c
     rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null and text is not null")
     freq, docs = document_frequencies(rows)
     idf = np.log((1 + docs) / (1 + freq)) + 0.1
-    return fit([(r.text, r.label) for r in sorted(bounded_sample(rows, max_docs, "language"), key=lambda r: (str(r.doc_id), r.text))], idf)
+    # a generator: the sample's texts are let go once their n-grams are counted
+    return fit(((r.text, r.label) for r in sorted(bounded_sample(rows, max_docs, "language"), key=lambda r: (str(r.doc_id), r.text))), idf)
 
 
 def predictor(df: DataFrame, model: LanguageModel):

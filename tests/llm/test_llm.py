@@ -337,6 +337,11 @@ def test_only_letters_count_above_the_basic_plane(text, same):
     assert len(language_id.grams(text)) == 0 if not same.strip() else len(language_id.grams(text)) > 0
 
 
+def test_languages_are_learnt_from_the_whole_bounded_sample(spark):
+    df = spark.range(3600).select(F.col("id").alias("doc_id"), F.concat(F.lit("a text "), F.col("id")).alias("text"))
+    assert len(language_id.bounded_sample(df, language_id.MAX_DOCS, "language")) == 3600 and language_id.MAX_DOCS == 4000
+
+
 def test_emoji_alone_have_no_language():
     model = language_id.LanguageModel(["de", "en"], np.ones((1 << language_id.BITS, 2), np.float32), np.zeros(2), 1.0)
     assert model.predict("\U0001f600") == ("und", 0.0) and model.predict("the")[1] > 0
