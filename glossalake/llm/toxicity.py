@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from glossalake.llm.common import bounded_sample, inputs, small_batches
 
-WINDOW, STRIDE = 24, 12
+WINDOW = 24
+#: Words from one window to the next in training; scoring takes every window.
+STRIDE = 12
 HIDDEN, EMBED, BUCKETS = 8, 12, 1 << 14
 #: Bound on the labelled documents the network is trained on: a third with label 1, where there are so many.
 MAX_DOCS = 2400
@@ -45,15 +47,15 @@ def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return word, h[inside], np.concatenate(([0], np.cumsum(lengths)[:-1]))
 
 
-def windows(n: int) -> np.ndarray:
+def windows(n: int, stride: int = STRIDE) -> np.ndarray:
     """Starts of the windows that cover n words; the last one ends with the text."""
     if n <= WINDOW:
         return np.zeros(1, np.int64)
-    starts = np.arange(0, n - WINDOW + 1, STRIDE)
+    starts = np.arange(0, n - WINDOW + 1, stride)
     return starts if starts[-1] == n - WINDOW else np.append(starts, n - WINDOW)
 
 
-def layout(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def layout(texts: list[list[str]], stride: int = STRIDE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words; window x place -> number of the word (-1 past the end); the text of each window. Texts without words have none."""
     numbers: dict[str, int] = {}
     ids = [np.fromiter([numbers.setdefault(w, len(numbers)) for w in t], np.int64, len(t)) for t in texts]
@@ -61,7 +63,7 @@ def layout(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
     for k, x in enumerate(ids):
         if not len(x):
             continue
-        starts = windows(len(x))
+        starts = windows(len(x), stride)
         if len(x) < WINDOW:
             x = np.concatenate([x, np.full(WINDOW - len(x), -1)])
         rows.append(x[starts[:, None] + np.arange(WINDOW)])
@@ -123,7 +125,7 @@ class Network:
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
         """0 to 1 for each text, given as words; 0.0 without words."""
-        vocabulary, rows, owner = layout(texts)
+        vocabulary, rows, owner = layout(texts, 1)
         best = np.full(len(texts), -np.inf)
         if len(rows):
             projected = self.project(self.embed(vocabulary)[0])

@@ -372,6 +372,14 @@ def test_toxicity_gradients_are_those_of_finite_differences():
         toxicity._f = old
 
 
+def test_every_window_is_scored():
+    rng, net = random.Random(6), toxicity.Network()
+    for n in (10, 24, 25, 60, 90):
+        t = words(rng, n).split()
+        want = max(net.scores([t[k : k + toxicity.WINDOW]])[0] for k in range(max(1, n - toxicity.WINDOW + 1)))
+        assert abs(net.scores([t])[0] - want) < 1e-6
+
+
 def test_toxicity_learns_and_scores_every_text(spark):
     rng = random.Random(4)
     rows = []
