@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossalake.functions.text import blank, strip
+from glossalake.operators.numbering import numbered
 
 HEADER = ("english", "chinese", "dutch", "category", "is_public")
 TEMPLATE = [HEADER, ("hello", "你好", "Hallo", "日常；问候", "1"), ("sorry", "抱歉", "Pardon", "日常；问候", "0")]
-#: The permissions of the role user; admin has all.
-PERMISSIONS = 12
+# The permissions, the roles, and what a user may do (an admin may do all).
+PERMISSIONS = (
+    ("admin", "管理员权限"), ("user_management", "用户管理"), ("file_upload", "文件上传"), ("translation", "翻译功能"),
+    ("pdf_annotation", "PDF注释"), ("view_logs", "查看日志"), ("dictionary_management", "词库管理"), ("stop_words_management", "停翻词管理"),
+    ("ingredient_search", "成分搜索"), ("batch_process", "批量处理"), ("sso_login", "SSO登录"), ("download_files", "文件下载"),
+)
+ROLES = ("admin", "user")
+USER_PERMISSIONS = ("file_upload", "translation", "pdf_annotation", "dictionary_management", "stop_words_management", "ingredient_search", "download_files")
 
 
 def parse_flag(c):
@@ -40,37 +47,75 @@ def import_report(parsed: DataFrame, position: str = "row", most: int = 10) -> D
     return out.select(F.when(F.col("errors") == 0, F.col("n")).otherwise(0).alias("success"), "errors", "messages")
 
 
-def accepted(new: DataFrame, existing: DataFrame, order: str = "row", fold_case: bool = False) -> DataFrame:
-    """New translations with ``status``: accepted, or the reason against.
+def accepted(new: DataFrame, existing: DataFrame, order: str = "row", fold_case: bool = False, admin: str | None = None) -> DataFrame:
+    """New translations with ``status``: accepted, or the reason against (incomplete, exists, repeated).
 
-    A public english must be new among the public ones, a private one among all of the user's own;
-    of equal ones that come together, the first counts.
+    ``admin`` names a flag of new rows: what others add is private, whatever they ask for. A public english must be new
+    among the public ones, a private one among all of the user's own. Of those that come together and are complete and
+    new, the first counts: for a private row also against the public row of its own user.
     """
-    key = F.lower if fold_case else (lambda c: F.col(c))
-    scoped = new.withColumns({"__scope": F.when(F.col("is_public"), F.lit("public")).otherwise(F.col("user_id").cast("string")), "__key": key("english")})
-    public = existing.where("is_public").select(F.lit("public").alias("__scope"), key("english").alias("__key"))
-    own = existing.select(F.col("user_id").cast("string").alias("__scope"), key("english").alias("__key"))
-    held = public.unionByName(own).distinct().withColumn("__held", F.lit(True))
-    first = F.row_number().over(Window.partitionBy("__scope", "__key").orderBy(order)) == 1
-    met = scoped.withColumn("__first", first).join(held, ["__scope", "__key"], "left")
-    status = F.when(blank(F.col("english")) | blank(F.col("chinese")), "incomplete").when(F.col("__held"), "exists").when(~F.col("__first"), "repeated").otherwise("accepted")
-    return met.withColumn("status", status).drop("__scope", "__key", "__held", "__first")
+    key = F.lower if fold_case else F.col
+    public = F.col("is_public") & F.col(admin) if admin else F.col("is_public")
+    rows = new.withColumns({"is_public": F.coalesce(public, F.lit(False)), "__key": key("english")})
+    rows = rows.withColumn("__user", F.col("user_id"))
+    old = existing.select(F.col("user_id").alias("__user"), "is_public", key("english").alias("__key"))
+    shown = old.where("is_public").select("__key").distinct().withColumn("__shown", F.lit(True))
+    own = old.select("__user", "__key").distinct().withColumn("__own", F.lit(True))
+    rows = rows.join(shown, "__key", "left").join(own, ["__user", "__key"], "left")
+    complete = ~blank(F.col("english")) & ~blank(F.col("chinese"))
+    held = F.coalesce(F.when(F.col("is_public"), F.col("__shown")).otherwise(F.col("__own")), F.lit(False))
+    rows = rows.withColumns({"__fit": complete & ~held, "__held": held})
+    # first ones by key are counts that merge before the shuffle, and join back: no window over a key
+    first = rows.where("__fit and is_public").groupBy("__key").agg(F.min(F.struct(F.col(order).alias("at"), F.col("user_id").alias("by"))).alias("__first"))
+    rows = rows.join(first, "__key", "left")
+    behind = F.coalesce((F.col("__first.by") == F.col("user_id")) & (F.col("__first.at") < F.col(order)), F.lit(False))
+    mine = rows.where(F.col("__fit") & ~F.col("is_public") & ~behind).groupBy("__user", "__key").agg(F.min(order).alias("__mine"))
+    rows = rows.join(mine, ["__user", "__key"], "left")
+    leads = F.when(F.col("is_public"), F.col("__first.at") == F.col(order)).otherwise(~behind & (F.col("__mine") == F.col(order)))
+    status = F.when(~complete, "incomplete").when(F.col("__held"), "exists").when(leads, "accepted").otherwise("repeated")
+    return rows.withColumn("status", status).select(*new.columns, "status")
+
+
+def editable(user_id: int, admin: bool) -> Column:
+    """Public rows are for admins alone, private ones for their owner alone."""
+    return F.coalesce(F.when(F.col("is_public"), F.lit(admin)).otherwise(F.col("user_id") == user_id), F.lit(False))
 
 
 def updated(existing: DataFrame, changes: DataFrame, user_id: int, admin: bool) -> DataFrame:
-    """existing with changes by id applied where owner or admin allow and no other row of the scope has the english; ``changed`` tells."""
-    new = changes.select("id", *(F.col(c).alias(f"__{c}") for c in ("english", "chinese", "dutch", "category")))
-    taken = existing.select(F.col("english").alias("__english"), F.col("user_id"), F.col("id").alias("__other"))
-    clash = new.join(taken, "__english").join(existing.select("id", F.col("user_id").alias("__owner")), "id").where("__other <> id and user_id = __owner").select("id").distinct().withColumn("__clash", F.lit(True))
-    met = existing.join(new, "id", "left").join(clash, "id", "left")
-    may = F.lit(admin) | (F.col("user_id") == user_id)
-    ok = F.coalesce(F.col("__english").isNotNull() & may & F.col("__clash").isNull(), F.lit(False))
-    cols = {c: F.when(ok, F.col(f"__{c}")).otherwise(F.col(c)) for c in ("english", "chinese", "dutch", "category")}
-    return met.withColumns(cols | {"changed": ok}).select(*existing.columns, "changed")
+    """existing with one user's changes by id (english, chinese, dutch, category, and is_public if given and not null) applied where allowed.
+
+    ``status`` is null for rows without a change, else changed, forbidden (not editable, or a change of is_public by
+    somebody who is no admin), incomplete, or exists: a row that is or becomes public must have an english that no other
+    public row has, a private one that no other row of the user has. All changes are judged by the rows as they were.
+    """
+    fields = ("english", "chinese", "dutch", "category")
+    asked = F.col("is_public") if "is_public" in changes.columns else F.lit(None).cast("boolean")
+    new = changes.select("id", *(F.col(c).alias(f"__{c}") for c in fields), asked.alias("__public"), F.lit(True).alias("__asked"))
+
+    def taken(rows: DataFrame, name: str) -> DataFrame:
+        ids = rows.groupBy(F.col("english").alias("__english")).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+        return ids.select("__english", F.struct("low", "high").alias(name))
+
+    met = existing.join(new, "id", "left").join(taken(existing.where("is_public"), "__shown"), "__english", "left").join(taken(existing.where(F.col("user_id") == user_id), "__own"), "__english", "left")
+    becomes = F.coalesce("__public", "is_public")
+    other = lambda c: F.coalesce((F.col(f"{c}.low") != F.col("id")) | (F.col(f"{c}.high") != F.col("id")), F.lit(False))
+    moved = F.coalesce(F.col("__public") != F.col("is_public"), F.lit(False))
+    status = (
+        F.when(F.col("__asked").isNull(), None)
+        .when(~editable(user_id, admin) | (moved & ~F.lit(admin)), "forbidden")
+        .when(blank(F.col("__english")) | blank(F.col("__chinese")), "incomplete")
+        .when(F.when(F.col("is_public") | becomes, other("__shown")).otherwise(other("__own")), "exists")
+        .otherwise("changed")
+    )
+    done = met.withColumn("status", status)
+    ok = F.coalesce(F.col("status") == "changed", F.lit(False))
+    cols = {c: F.when(ok, F.col(f"__{c}")).otherwise(F.col(c)) for c in fields} | {"is_public": F.when(ok, becomes).otherwise(F.col("is_public"))}
+    return done.withColumns(cols).select(*existing.columns, "status")
 
 
 def deletable(df: DataFrame, user_id: int, admin: bool) -> DataFrame:
-    return df if admin else df.where(F.col("user_id") == user_id)
+    """The rows that a user may delete: public ones as an admin, private ones as their owner."""
+    return df.where(editable(user_id, admin))
 
 
 def without(df: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
@@ -83,12 +128,24 @@ def added_once(existing: DataFrame, new: DataFrame, key: list[str], order: str)
     return first.join(existing.select(*key).distinct(), key, "left_anti")
 
 
-def upserted(users: DataFrame, logins: DataFrame, fields: list[str]) -> DataFrame:
-    """Users after single-sign-on logins: matched by name and mail, non-empty fields replace; others are new and approved."""
-    new = logins.select("username", "email", *(F.col(c).alias(f"__{c}") for c in fields), F.lit(True).alias("__login"))
+def upserted(users: DataFrame, logins: DataFrame, fields: list[str], key: str = "id", provider: str | None = None, as_of: Column | None = None) -> DataFrame:
+    """Users after single-sign-on logins: matched by name and mail, non-empty fields replace; others are new and approved, with the next ids.
+
+    With a provider, sso_provider, sso_subject (the login's ``sub``, '' without one) and last_login are set for all that logged in.
+    """
+    subject = F.coalesce(F.col("sub"), F.lit("")) if "sub" in logins.columns else F.lit("")
+    new = logins.select("username", "email", *(F.col(c).alias(f"__{c}") for c in fields), subject.alias("__sub"), F.lit(True).alias("__login"))
     met = users.join(new, ["username", "email"], "full")
     cols = {c: F.coalesce(F.when(~blank(F.col(f"__{c}")), F.col(f"__{c}")), F.col(c)) for c in fields}
-    return met.withColumns(cols | {"status": F.coalesce("status", F.lit("approved"))}).select(*users.columns)
+    cols["status"] = F.coalesce("status", F.lit("approved"))
+    if provider is not None:
+        seen = {"sso_provider": F.lit(provider), "sso_subject": F.col("__sub"), "last_login": as_of if as_of is not None else F.current_timestamp()}
+        cols |= {c: F.when(F.col("__login"), v).otherwise(F.col(c)) for c, v in seen.items()}
+    met = met.withColumns(cols)
+    last = users.agg(F.coalesce(F.max(key), F.lit(0)).alias("__last"))
+    fresh = numbered(met.where(F.col(key).isNull()).crossJoin(F.broadcast(last)), [], ["username", "email"], F.pmod(F.xxhash64("username", "email"), F.lit(64)), "__n")
+    fresh = fresh.withColumn(key, (F.col("__last") + F.col("__n")).cast(users.schema[key].dataType))
+    return met.where(F.col(key).isNotNull()).select(*users.columns).unionByName(fresh.select(*users.columns))
 
 
 def roles_from_groups(users: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -102,6 +159,12 @@ def seeded(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return table.unionByName(rows.join(table.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+def seed_grants(spark) -> DataFrame:
+    """role, permission and description of the rows that a new system starts with."""
+    rows = [(r, p, text) for r in ROLES for p, text in PERMISSIONS if r == "admin" or p in USER_PERMISSIONS]
+    return spark.createDataFrame(rows, "role string, permission string, description string")
+
+
 def backfilled(df: DataFrame, column: str = "is_public") -> DataFrame:
     return df.withColumn(column, F.coalesce(column, F.lit(False)))
 

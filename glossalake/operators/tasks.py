@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from glossalake.operators.numbering import numbered
+
 STATUSES = ("waiting", "processing", "completed", "failed", "canceled")
 MAX_RETRIES, MAX_ACTIVE = 3, 10
 TYPE_RANK = {"HIGH": 0, "IO": 1, "CPU": 2, "LOW": 3}
@@ -29,9 +31,17 @@ def status_histogram(tasks: DataFrame, statuses: tuple[str, ...] = STATUSES) ->
 
 
 def queue_positions(tasks: DataFrame, pool: str = "queue") -> DataFrame:
-    """Place among the waiting of a queue by creation (1-based; 0 for the others)."""
-    place = F.row_number().over(Window.partitionBy(pool, "status").orderBy("created_at", "task_id"))
-    return tasks.withColumn("position", F.when(F.col("status") == "waiting", place).otherwise(0))
+    """Place among the waiting of a queue by creation (1-based; 0 for the others). Only the waiting are numbered, hour by hour."""
+    waits = F.coalesce(F.col("status") == "waiting", F.lit(False))
+    placed = numbered(tasks.where(waits), [pool], ["created_at", "task_id"], F.date_trunc("hour", F.col("created_at").cast("timestamp")), "position")
+    return placed.unionByName(tasks.where(~waits).withColumn("position", F.lit(0).cast("bigint")))
+
+
+def fifo_positions(tasks: DataFrame) -> DataFrame:
+    """Place among all waiting tasks by creation (1-based; null for the others), as a single queue has it."""
+    waits = F.coalesce(F.col("status") == "waiting", F.lit(False))
+    placed = numbered(tasks.where(waits), [], ["created_at", "task_id"], F.date_trunc("hour", F.col("created_at").cast("timestamp")), "position")
+    return placed.unionByName(tasks.where(~waits).withColumn("position", F.lit(None).cast("bigint")))
 
 
 def next_tasks(tasks: DataFrame, pool: str = "queue", most: int = MAX_ACTIVE) -> DataFrame:
@@ -44,23 +54,20 @@ def next_tasks(tasks: DataFrame, pool: str = "queue", most: int = MAX_ACTIVE) ->
 
 def scheduled(tasks: DataFrame) -> DataFrame:
     """All tasks in the order of a pool: type, priority, arrival."""
+    return ranked(tasks).orderBy("type_rank", "priority", "created_at", "task_id")
+
+
+def ranked(tasks: DataFrame) -> DataFrame:
     rank = F.lit(len(TYPE_RANK))
     for name, k in TYPE_RANK.items():
         rank = F.when(F.col("task_type") == name, k).otherwise(rank)
-    return tasks.withColumn("type_rank", rank).orderBy("type_rank", "priority", "created_at", "task_id")
+    return tasks.withColumn("type_rank", rank)
 
 
 def scheduled_places(tasks: DataFrame) -> DataFrame:
     """All tasks with their 1-based place in the order of ``scheduled``: rows are numbered within a type, priority and day, and the counts before these are added. Only those counts (their bound: types x priorities x days) meet in one task."""
-    block = ["type_rank", "priority", "__day"]
-    t = scheduled(tasks).withColumn("__day", F.to_date("created_at"))
-    before = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
-    counts = t.groupBy(*block).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    counts = counts.select(*(F.col(c).alias(f"{c}__c") for c in block), "__before")
-    same = [F.col(c).eqNullSafe(F.col(f"{c}__c")) for c in block]
-    within = F.row_number().over(Window.partitionBy(*block).orderBy("created_at", "task_id"))
-    placed = t.withColumn("__k", within).join(counts, same)
-    return placed.select(*(F.col(c) for c in tasks.columns), (F.col("__k") + F.col("__before")).alias("place"))
+    block = F.struct("type_rank", "priority", F.to_date("created_at"))
+    return numbered(ranked(tasks), [], ["created_at", "task_id"], block, "place").select(*tasks.columns, "place")
 
 
 def latest_per(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
@@ -125,6 +132,16 @@ def cleanup(files: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     return gone.withColumns({"deleted": F.lit(True), "counted": F.coalesce("exists", F.lit(False))})
 
 
+def cleanup_totals(cleaned: DataFrame) -> DataFrame:
+    """One row over all users: users, files that went with success, and those that failed."""
+    return cleaned.agg(F.countDistinct("user_id").alias("users"), F.count_if("counted").alias("succeeded"), F.count_if(~F.col("counted")).alias("failed"))
+
+
+def history(records: DataFrame, user_id: int) -> DataFrame:
+    """A user's completed files, the latest first."""
+    return records.where((F.col("user_id") == user_id) & (F.col("status") == "completed")).orderBy(F.desc("upload_time"), F.desc("id"))
+
+
 def within_quota(used: Column, size: Column, quota: Column) -> Column:
     return used + size <= quota
 
@@ -138,8 +155,8 @@ def state_transition(df: DataFrame, action: str) -> DataFrame:
 
 
 def visible_completions(tasks: DataFrame, as_of: Column, seconds: int = 300) -> DataFrame:
-    """Completed tasks of the last few minutes."""
-    return tasks.where(F.timestamp_diff("SECOND", F.col("completed_at"), as_of) <= seconds)
+    """Tasks in the state completed whose end is no longer ago than a few minutes."""
+    return tasks.where((F.col("status") == "completed") & (F.timestamp_diff("SECOND", F.col("completed_at"), as_of) <= seconds))
 
 
 def with_record(tasks: DataFrame, records: DataFrame) -> DataFrame:
