@@ -6,11 +6,16 @@ among them. Blanks are Unicode's. An empty text and null count alike where a fun
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"\p{L}\p{N}_"
 ROMAN = r"^[IVXivx]+$"
+#: Numbers, A1, 1A, "Fig 3", "3 kg" and roman numerals.
+REFERENCE = rf"^\p{{Nd}}+$|^[A-Za-z]+\s*\d+$|^\d+\s*[A-Za-z]+$|{ROMAN}"
 
 
 def blank(c: Column) -> Column:
@@ -77,8 +82,26 @@ def clean_brackets(c: Column) -> Column:
 
 
 def valid_utf8(raw: Column) -> Column:
-    """Bytes as text; what isn't UTF-8 becomes U+FFFD and is dropped."""
-    return F.replace(F.make_valid_utf8(raw), F.lit("�"), F.lit(""))
+    """Bytes as text without what isn't UTF-8; a U+FFFD that is there itself stays."""
+    own = F.unhex(F.lit("EFBFBD"))
+    kept = F.transform(_cut(raw, own), lambda part: F.replace(F.make_valid_utf8(part), F.lit("�"), F.lit("")))
+    return F.array_join(kept, "�")
+
+
+def _cut(raw: Column, at: Column) -> Column:
+    """Parts of bytes between marks that begin on a byte, found in their hex."""
+    pairs = F.regexp_replace(F.hex(raw), "(..)", "$1 ")
+    return F.transform(F.split(pairs, F.concat(F.regexp_replace(F.hex(at), "(..)", "$1 "))), lambda p: F.unhex(F.replace(p, F.lit(" "), F.lit(""))))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+# Digits of all scripts and their values, by Unicode's own tables.
+_DIGITS = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Nd" and c > 0x39 and c < 0x10000)
+_VALUES = "".join(str(unicodedata.decimal(d)) for d in _DIGITS)
 
 
 def is_digits(c: Column) -> Column:
@@ -87,31 +110,35 @@ def is_digits(c: Column) -> Column:
 
 def is_reference(c: Column) -> Column:
     """Numbers, A1, 1A, "Fig 3", "3 kg" and roman numerals."""
-    s = strip(c)
-    return F.coalesce(s.rlike(rf"^\p{{Nd}}+$|^[A-Za-z]+\s*\d+$|^\d+\s*[A-Za-z]+$|{ROMAN}"), F.lit(False))
+    return F.coalesce(strip(c).rlike(rf"(?U){REFERENCE}"), F.lit(False))
 
 
 def is_citation(c: Column) -> Column:
     """Number, authors and a year, from the start."""
-    return F.coalesce(c.rlike(r"^\d+\s*[A-Za-z&\s.\-]+,\s*\d{4}"), F.lit(False))
+    return F.coalesce(c.rlike(r"(?U)^\d+\s*[A-Za-z&\s.\-]+,\s*\d{4}"), F.lit(False))
 
 
 def is_page_number(c: Column) -> Column:
-    """1 to 9999, or roman."""
+    """1 to 9999 in the digits of any script, or roman."""
     s = strip(c)
-    return F.coalesce(F.when(s.rlike(r"^\d+$"), s.try_cast("bigint").between(1, 9999)).otherwise(s.rlike(ROMAN)), F.lit(False))
+    number = F.translate(s, _DIGITS, _VALUES).try_cast("bigint")
+    return F.coalesce(F.when(is_digits(s), number.between(1, 9999)).otherwise(s.rlike(ROMAN)), F.lit(False))
 
 
 def is_short_number(c: Column) -> Column:
     """One to three digits."""
-    return F.coalesce(c.rlike(r"^\d{1,3}$"), F.lit(False))
+    return F.coalesce(c.rlike(r"(?U)^\d{1,3}$"), F.lit(False))
 
 
 def is_translatable(c: Column, least: int = 2) -> Column:
     """Long enough and not a number, symbols only, a page, a reference, an address of the web or of mail."""
-    s = strip(c)
-    out = (F.length(s) >= least) & ~is_digits(s) & ~s.rlike(rf"^[^{WORD}\s]+$") & ~is_page_number(s) & ~is_reference(s) & ~s.rlike(r"^https?://") & ~s.rlike(r"^\S+@\S+\.\S+")
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(once(strip(c), lambda s: _worth_translating(s, least)), F.lit(False))
+
+
+def _worth_translating(stripped: Column, least: int = 2) -> Column:
+    # a page number is a number or roman, and so is a reference of either kind
+    other = rf"(?U){REFERENCE}|^[^{WORD}\s]+$|^https?://|^\S+@\S+\.\S+"
+    return (F.length(stripped) >= least) & ~stripped.rlike(other)
 
 
 def is_translatable_paragraph(c: Column) -> Column:
@@ -124,13 +151,12 @@ def is_translatable_paragraph(c: Column) -> Column:
 def sentences(c: Column) -> Column:
     """Sentences worth translating; an empty array for null."""
     parts = F.transform(F.split(c, r"[.!?。！？]+\s*"), strip)
-    return F.coalesce(F.filter(parts, lambda s: (s != "") & is_translatable(s)), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(parts, lambda s: _worth_translating(s)), F.array().cast("array<string>"))
 
 
 def meaningful(c: Column) -> Column:
     """Stripped, with single blanks; '' if not worth translating."""
-    s = strip(collapse(c))
-    return F.when(is_translatable(s), s).otherwise("")
+    return once(strip(collapse(c)), lambda s: F.when(_worth_translating(s), s).otherwise(""))
 
 
 def ingredient_tokens(c: Column) -> Column:
@@ -217,14 +243,14 @@ METAFILES = ("D7CDC69A", "01000900")
 
 
 def image_format(raw: Column) -> Column:
-    """Format and media type of an image by its bytes; 'unknown' for both without a match."""
-    head = F.hex(F.substring(raw, 1, 12))
+    """Format and media type of an image by its bytes; 'unknown' for both without a match or with fewer than 8 bytes."""
+    head = F.when(F.octet_length(raw) >= 8, F.hex(F.substring(raw, 1, 12))).otherwise("")
     named = lambda name, kind: F.struct(F.lit(name).alias("format"), F.lit(kind).alias("media_type"))
     out = F.when(F.lit(False), named("", ""))
     for name, kind, starts in IMAGE_FORMATS:
         for start in starts:
             out = out.when(head.startswith(start), named(name, kind))
-    out = out.when(head.startswith("52494646") & F.contains(head, F.lit("57454250")), named("WebP", "image/webp"))
+    out = out.when(head.startswith("52494646") & head.rlike("^(?:..)*?57454250"), named("WebP", "image/webp"))
     out = out.when(F.hex(F.substring(raw, 41, 4)) == "20454D46", named("EMF", "image/x-emf"))
     for start in METAFILES:
         out = out.when(head.startswith(start), named("WMF", "image/x-wmf"))
@@ -232,7 +258,7 @@ def image_format(raw: Column) -> Column:
 
 
 def tokens(c: Column, language: str = "en", tokenizer=None) -> Column:
-    """Tokens by a given column function; without one, words at white space, or single characters for Chinese."""
+    """Tokens by a given column function; without one (the tokenisers of the application aren't there), words at white space, or single characters for Chinese."""
     if tokenizer is not None:
         return tokenizer(c)
     if language == "zh":

@@ -7,6 +7,7 @@ from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
@@ -43,8 +44,47 @@ def translate(df: DataFrame, translator: Translator, source: str, target: str, c
 DOMAINS = ("医学", "工程技术", "商业管理", "教育培训", "科学研究", "法律", "金融", "艺术设计", "信息技术", "其他")
 
 
-def classify(text: str, keywords: dict[str, list[str]], fallback: str = "其他") -> str:
-    """The domain with the most keywords in the first 1000 characters, the first on a tie."""
-    counts = {d: sum(text[:1000].count(k) for k in words) for d, words in keywords.items()}
-    best = max(counts, key=counts.get, default=fallback)
-    return best if counts.get(best) else fallback
+FALLBACK = "其他"
+#: Characters of a text that its domain is judged by.
+JUDGED = 1000
+
+
+class Dispatcher:
+    """Translators by model; stop words stay as they are, custom translations come before the translator's own.
+
+    The application asks a model to keep to both; here a whole text that is a stop word or has a custom translation is settled without the model.
+    """
+
+    def __init__(self, models: dict[str, Translator], stop_words: tuple[str, ...] = (), custom: dict[str, str] | None = None) -> None:
+        self.models, self.stop_words, self.custom = models, frozenset(stop_words), custom or {}
+
+    def by(self, model: str) -> Translator:
+        """The translator of a model; ValueError for one that there isn't."""
+        if model not in self.models:
+            raise ValueError(f"unknown model: {model}")
+        return _Settled(self.models[model], self.stop_words, self.custom)
+
+
+class _Settled:
+    def __init__(self, inner: Translator, stop_words: frozenset[str], custom: dict[str, str]) -> None:
+        self.inner, self.stop_words, self.custom = inner, stop_words, custom
+
+    def translate(self, texts: list[str], source: str, target: str) -> list[str | None]:
+        settled = {t: t if t in self.stop_words else self.custom[t] for t in texts if t in self.stop_words or t in self.custom}
+        rest = [t for t in texts if t not in settled]
+        got = dict(zip(rest, self.inner.translate(rest, source, target), strict=True)) if rest else {}
+        return [settled[t] if t in settled else got[t] for t in texts]
+
+
+def with_domain(df: DataFrame, keywords: dict[str, list[str]], column: str = "text", fallback: str = FALLBACK) -> DataFrame:
+    """df with ``domain``: the one with the most occurrences of its keywords in the first 1000 characters, the first listed on a tie, the fallback without any.
+
+    A stand-in for the application's question to a model, which sees as many characters.
+    """
+    head = F.substring(F.coalesce(F.col(column), F.lit("")), 1, JUDGED)
+    count = lambda k: F.floor((F.length(head) - F.length(F.replace(head, F.lit(k)))) / len(k))
+    scored = [F.struct(sum((count(k) for k in words), F.lit(0)).alias("n"), F.lit(-place).alias("p"), F.lit(d).alias("d")) for place, (d, words) in enumerate(keywords.items())]
+    if not scored:
+        return df.withColumn("domain", F.lit(fallback))
+    best = F.array_max(F.array(*scored))
+    return df.withColumn("domain", F.when(best["n"] > 0, best["d"]).otherwise(fallback))

@@ -34,6 +34,7 @@ def widened_end(ts: Column) -> Column:
     return F.when(ts == F.date_trunc("day", ts), ts + F.expr("INTERVAL '23:59:59.999999' HOUR TO SECOND")).otherwise(ts)
 
 
+# The labels in the texts below.
 def duration_text(seconds: Column) -> Column:
     """Hours and minutes above an hour, minutes and seconds above a minute, else seconds with two digits."""
     whole = F.floor(seconds)
@@ -120,6 +121,36 @@ def top_ingredients(c: Column, most: int = 3) -> Column:
     return F.when(blank(c), "无成分信息").when(F.size(parts) > most, F.concat(shown, F.lit("等"))).otherwise(shown)
 
 
+def table_cell(source: Column, target: Column, mode: Column | str) -> Column:
+    """What a cell of a table gets: in mode "1" both texts, else the translation alone."""
+    mode = F.lit(mode) if isinstance(mode, str) else mode
+    return F.when(mode == "1", F.concat_ws("\n", source, target)).otherwise(target)
+
+
+def fragment_defaults(fragment: Column) -> Column:
+    """A fragment's format and texts with what is missing filled in: size 12, color 0, flags false (a number other than 0 is true), texts ''."""
+    size = font_size(fragment["font_size"].cast("string"))
+    flags = {f: F.coalesce(fragment[f].cast("boolean"), F.lit(False)) for f in ("bold", "italic", "underline", "escapement")}
+    texts = {f: F.coalesce(fragment[f], F.lit("")) for f in ("text", "translated_text")}
+    return F.struct(size.alias("font_size"), F.coalesce(fragment["color"], F.lit(0)).alias("color"), *(c.alias(f) for f, c in (flags | texts).items()))
+
+
+def idle_seconds(last_used: Column, as_of: Column) -> Column:
+    """Whole seconds since the last use, never below 0; null without a use."""
+    return F.greatest(F.timestamp_diff("SECOND", last_used, as_of), F.lit(0))
+
+
+def is_idle(last_used: Column, as_of: Column, seconds: int = 1800) -> Column:
+    """Unused for longer than half an hour."""
+    return F.coalesce(idle_seconds(last_used, as_of) > seconds, F.lit(False))
+
+
+def ran_long(started: Column, completed: Column, seconds: int = 1800) -> Column:
+    """Whether a task with both times took longer than half an hour; parts of a second count."""
+    took = (F.unix_micros(completed) - F.unix_micros(started)) / 1e6
+    return F.coalesce(took > seconds, F.lit(False))
+
+
 def bilingual(source: Column, target: Column, mode: Column | str) -> Column:
     mode = F.lit(mode) if isinstance(mode, str) else mode
     return (

@@ -27,6 +27,22 @@ def equals_unless_all(column: str, value: str | None, everything: str = "all") -
     return F.lit(True) if value in (None, "", everything) else F.col(column) == value
 
 
+def user_list(users: DataFrame, status: str | None = None) -> DataFrame:
+    """Approved and disabled users, of one of these states or all."""
+    return users.where(F.col("status").isin("approved", "disabled") & equals_unless_all("status", status))
+
+
+def sso_users(users: DataFrame) -> DataFrame:
+    """Users who came by single sign-on."""
+    return users.where(F.col("sso_provider").isNotNull())
+
+
+def holds_keyword(keyword: str, ingredient: str = "ingredient", name: str = "product", strict: bool = False) -> Column:
+    """Whether either column contains the keyword in either case; strict: an empty one holds nothing, not even an empty keyword."""
+    held = [F.contains(F.lower(c), F.lit(keyword.lower())) & (~blank(F.col(c)) if strict else F.lit(True)) for c in (ingredient, name)]
+    return F.coalesce(held[0], F.lit(False)) | F.coalesce(held[1], F.lit(False))
+
+
 def page(df: DataFrame, order: list[Column], number: int, per_page: int) -> DataFrame:
     """One page, in order: a top-k of number * per_page rows, never a full sort. End order with a unique key."""
     return df.orderBy(*order).offset((max(number, 1) - 1) * per_page).limit(per_page)
@@ -92,8 +108,9 @@ def best_match(df: DataFrame, name: str, column: str, position: str) -> DataFram
 def terms_in_texts(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str) -> DataFrame:
     """key, term for each term that a text contains.
 
-    Texts and terms meet in an equi-join on the first three characters of a term (fewer for a
-    shorter one), which a text that contains it has somewhere; no cross join runs.
+    Keys and terms meet in an equi-join on the first three characters of a term (fewer for a
+    shorter one), which a text that contains it has somewhere; no cross join runs. A text is
+    fetched once for each term whose beginning it holds.
     """
     keyed = terms.select(F.col(term).alias("__term"), F.least(F.length(term), F.lit(3)).alias("__n")).where("__n > 0").distinct()
     keyed = keyed.withColumn("__seed", F.expr("substring(__term, 1, __n)"))
@@ -102,8 +119,31 @@ def terms_in_texts(texts: DataFrame, terms: DataFrame, key: str, text: str, term
     if not lengths:
         return texts.select(key, F.lit(None).cast("string").alias(term)).limit(0)
     seeds = F.array_distinct(F.concat(*(_grams(body, n) for n in lengths)))
-    left = texts.where(F.length(text) > 0).select(F.col(key), body.alias("__text"), F.explode(seeds).alias("__seed"))
-    return left.join(keyed, "__seed").where(F.contains("__text", "__term")).select(key, F.col("__term").alias(term))
+    held = texts.where(F.length(text) > 0)
+    left = held.select(F.col(key).alias("__key"), F.explode(seeds).alias("__seed"))
+    met = left.join(keyed, "__seed").select("__key", "__term").distinct()
+    return held.join(met, F.col(key) == F.col("__key")).where(F.contains(body, F.col("__term"))).select(key, F.col("__term").alias(term))
+
+
+def length_statistics(pairs: DataFrame, source: str, target: str) -> DataFrame:
+    """One row: pairs, and the average, longest and shortest length of either side; 0 of nothing."""
+    n = {"source": F.length(source), "target": F.length(target)}
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind)
+    out = [F.count("*").alias("total_pairs")]
+    for side, c in n.items():
+        out += [zero(F.avg(c), "double").alias(f"avg_{side}_length"), zero(F.max(c), "bigint").alias(f"max_{side}_length"), zero(F.min(c), "bigint").alias(f"min_{side}_length")]
+    return pairs.agg(*out)
+
+
+def within_lengths(pairs: DataFrame, source: str, target: str, least: int = 1, most: int = 1000) -> DataFrame:
+    """Pairs of which both sides have a length within bounds."""
+    return pairs.where(F.length(source).between(least, most) & F.length(target).between(least, most))
+
+
+def file_users(files: DataFrame, position: str) -> DataFrame:
+    """user_id and username of the users who have files; of several names the last one counts, files without an id or a name don't."""
+    named = files.where(F.col("user_id").isNotNull() & (F.col("user_id") != 0) & ~blank(F.col("username")))
+    return last_wins(named, "user_id", "username", position)
 
 
 def _grams(body: Column, n: int) -> Column:

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossalake.functions.text import strip
 from glossalake.functions.values import parse_datetime
 
-# The noise patterns, searched in either case.
+# The noise patterns, searched in either case, and the patterns of the two presets below them.
 SQL_PATTERNS = (
     r"SELECT\s+.*FROM\s+\w+", r"INSERT\s+INTO\s+\w+", r"UPDATE\s+\w+\s+SET", r"DELETE\s+FROM\s+\w+", r"CREATE\s+TABLE\s+\w+",
     r"DROP\s+TABLE\s+\w+", r"ALTER\s+TABLE\s+\w+", r"ROLLBACK", r"COMMIT", r"BEGIN", r"START\s+TRANSACTION",
@@ -48,16 +51,23 @@ def parse(lines: DataFrame, column: str = "value", strict_compat: bool = True) -
     milliseconds has no timestamp (so that time filters let it pass); without, it is read.
     """
     raw = F.col(column)
-    known = raw.rlike(LINE)
+    others = [c for c in lines.columns if c != column]
+    # one pass of the expression tells all parts: a line of the form becomes five pieces, the first one empty
+    pieces = F.split(F.regexp_replace(raw, rf"{LINE}(?s:.*)$", "\x01$1\x01$2\x01$3\x01$4"), "\x01", 5)
+    out = lines.where(strip(raw) != "").select(*others, raw.alias("raw_line"), pieces.alias("__p"))
+    known = (F.size("__p") == 5) & (F.get("__p", F.lit(0)) == "") & ~raw_starts_odd(F.col("raw_line"))
 
     def part(k: int, other: Column) -> Column:
-        return F.when(known, strip(F.regexp_extract(raw, LINE, k))).otherwise(other)
+        return F.when(known, strip(F.get("__p", F.lit(k)))).otherwise(other)
+
+    out = out.select(*others, part(1, F.lit("")).alias("timestamp_str"), part(2, F.lit("unknown")).alias("logger"), part(3, F.lit("INFO")).alias("level"), part(4, strip(F.col("raw_line"))).alias("message"), "raw_line")
+    read = F.col("timestamp_str") if strict_compat else F.regexp_replace("timestamp_str", r",\d+$", "")
+    return out.withColumn("timestamp", F.when(F.col("timestamp_str") != "", parse_datetime(read)))
 
-    stamp = part(1, F.lit(""))
-    read = stamp if strict_compat else F.regexp_replace(stamp, r",\d+$", "")
-    others = [c for c in lines.columns if c != column]
-    out = lines.where(strip(raw) != "").select(*others, stamp.alias("timestamp_str"), part(2, F.lit("unknown")).alias("logger"), part(3, F.lit("INFO")).alias("level"), part(4, strip(raw)).alias("message"), raw.alias("raw_line"), parse_datetime(read).alias("timestamp"))
-    return out.withColumn("timestamp", F.when(F.col("timestamp_str") != "", F.col("timestamp")))
+
+def raw_starts_odd(raw: Column) -> Column:
+    """A line that begins with the mark that parse() puts between pieces is of no known form."""
+    return raw.startswith("\x01")
 
 
 def selected(logger: str | None = None, level: str | None = None, start: Column | None = None, end: Column | None = None) -> Column:
@@ -83,22 +93,39 @@ def logger_names(parsed: DataFrame, defaults: list[str]) -> DataFrame:
     return parsed.select("logger").union(given).distinct().orderBy("logger")
 
 
+#: Either case, Unicode's letters, digits and blanks, and only the line feed ends a line.
+FLAGS = "(?iUd)"
+
+
 def any_pattern(c: Column, patterns: tuple[str, ...]) -> Column:
-    """Whether one of the patterns is found, in either case; one that isn't a regular expression is looked for as text."""
-    good = [p for p in patterns if _compiles(p)]
-    out = c.rlike(f"(?i)(?:{'|'.join(good)})") if good else F.lit(False)
+    """Whether one of the patterns is found, in either case; one that isn't a regular expression is looked for as text.
+
+    Plain patterns are searched as one; those with groups or back references, whose numbers and names are their own, one by one.
+    """
+    good = [ported for p in patterns if (ported := as_java(p)) is not None]
+    own = [p for p in good if re.search(r"\\[1-9k]|\(\?", p)]
+    plain = [p for p in good if p not in own]
+    out = c.rlike(f"{FLAGS}(?:{'|'.join(plain)})") if plain else F.lit(False)
+    for p in own:
+        out = out | c.rlike(FLAGS + p)
     for p in patterns:
-        if not _compiles(p):
+        if as_java(p) is None:
             out = out | F.contains(F.lower(c), F.lit(p.lower()))
     return F.coalesce(out, F.lit(False))
 
 
-def _compiles(pattern: str) -> bool:
+def as_java(pattern: str) -> str | None:
+    """A pattern with named groups as Java writes them; None if it is no regular expression, or none that the JVM can run."""
     try:
         re.compile(pattern)
     except re.error:
-        return False
-    return True
+        return None
+    ported = re.sub(r"\(\?P<(\w+)>", r"(?<\1>", re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern))
+    try:
+        SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(FLAGS + ported)
+    except (IllegalArgumentException, Py4JJavaError):
+        return None
+    return ported
 
 
 @dataclass(frozen=True)
@@ -119,6 +146,13 @@ class NoiseFilter:
             return cls(sql=False, custom=PRODUCTION_CUSTOM, whitelist=PRODUCTION_WHITELIST)
         return cls(**custom)
 
+    @classmethod
+    def from_environment(cls, environment: Mapping[str, str]) -> NoiseFilter:
+        """Settings by name, as the application reads them; a pattern list is comma-separated, without blank entries."""
+        on = lambda name: environment.get(name, "true").lower() == "true"
+        listed = lambda name: tuple(p for x in environment.get(name, "").split(",") if (p := x.strip()))
+        return cls(on("LOG_FILTER_SQL"), on("LOG_FILTER_HTTP"), on("LOG_FILTER_STATIC"), listed("LOG_FILTER_CUSTOM_PATTERNS"), listed("LOG_FILTER_WHITELIST_PATTERNS"))
+
     def category(self, message: Column) -> Column:
         """whitelist, sql, http, static, custom, or null for a message that matches nothing."""
         out = F.when(any_pattern(message, self.whitelist), "whitelist")

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossalake.functions.text import is_translatable_paragraph, strip
+
 
 def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
@@ -183,7 +185,11 @@ def assign_boxes(data: list[str], shapes: list[str], floor: float = 0.7) -> dict
 
 
 def match_paragraphs(paragraphs: DataFrame, translations: DataFrame, group: str) -> DataFrame:
-    """group, place, translation, stage. Paragraphs (group, place, text) and translations (group, place, source, target) meet group by group; a group is a slide, so it is small."""
+    """group, place, translation, stage. Paragraphs (group, place, text) and translations (group, place, source, target) meet group by group; a group is a slide, so it is small.
+
+    Paragraphs that aren't worth translating take no part.
+    """
+    paragraphs = paragraphs.where(is_translatable_paragraph(F.col("text")))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("place"), right.sort_values("place")
@@ -209,8 +215,14 @@ def match_boxes(boxes: DataFrame, shapes: DataFrame, group: str) -> DataFrame:
 
 
 def match_shape(texts: DataFrame, shapes: DataFrame, group: str, floor: float = 0.7) -> DataFrame:
-    """For each text (group, place, text) the equal shape, else the most alike above the floor; shapes may serve twice."""
-    s = shapes.select(group, F.col("place").alias("shape"), F.col("text").alias("__text"))
-    score = F.when(F.col("text") == F.col("__text"), 2.0).otherwise(similarity("weighted")("text", "__text"))
-    scored = texts.join(s, group).withColumn("score", score).where(F.col("score") > floor)
+    """For each text (group, place, text) the equal shape, else the most alike above the floor; shapes may serve twice.
+
+    Texts of shapes are stripped and have line feeds alone as line ends; a blank one is only equal to a blank text.
+    """
+    bare = strip(F.regexp_replace("text", r"\r\n?", "\n"))
+    s = shapes.select(group, F.col("place").alias("shape"), bare.alias("__text"))
+    alike = similarity("weighted")("text", "__text")  # a Python function runs on every row, so equal and blank ones are parted first
+    met = texts.join(s, group)
+    equal = F.col("text") == F.col("__text")
+    scored = met.where(equal).withColumn("score", F.lit(2.0)).unionByName(met.where(~equal & (F.col("__text") != "")).withColumn("score", alike)).where(F.col("score") > floor)
     return scored.groupBy(group, "place").agg(F.max_by("shape", F.struct("score", -F.col("shape"))).alias("shape"))

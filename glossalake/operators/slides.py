@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossalake.functions.text import blank, block_parts, strip
+from glossalake.functions.text import blank, block_parts, is_translatable_paragraph, strip
 from glossalake.functions.values import share
 
 FRAGMENT = "struct<fragment_id:string,text:string,color:int,underline:boolean,bold:boolean,escapement:int,font_size:double>"
@@ -137,8 +137,10 @@ def rebuilt(fragment_rows: DataFrame, key: str = "deck") -> DataFrame:
     return up(page, [key], "page_index", "p", "pages")
 
 
-def comparison(expected: DataFrame, actual: DataFrame, on: list[str], n_expected: str, n_actual: str) -> DataFrame:
-    """A row for each key of either side: missing, extra, mismatch (another count) or ok."""
+def comparison(expected: DataFrame, actual: DataFrame, on: list[str], n_expected: str, n_actual: str, failed: DataFrame | None = None) -> DataFrame:
+    """A row for each key of either side: missing, extra, mismatch (another count) or ok. With ``failed`` (some of the keys), what lies on a failed page isn't compared."""
+    if failed is not None:
+        expected, actual = (x.join(failed, failed.columns, "left_anti") for x in (expected, actual))
     a, b = expected.select(*on, F.col(n_expected).alias("__e")), actual.select(*on, F.col(n_actual).alias("__a"))
     status = F.when(F.col("__a").isNull(), "missing").when(F.col("__e").isNull(), "extra").when(F.col("__a") != F.col("__e"), "mismatch").otherwise("ok")
     return a.join(b, on, "full").select(*on, status.alias("status"))
@@ -153,10 +155,35 @@ def coverage(compared: DataFrame) -> DataFrame:
     )
 
 
-def structure(decks: DataFrame, pages: str = "pages", key: str = "deck") -> DataFrame:
-    """paragraph_only, legacy_only, mixed or empty: whether boxes hold paragraphs or bare fragments, by counts of either."""
-    new, old = F.col("paragraph_boxes") > 0, F.col("legacy_boxes") > 0
-    return decks.withColumn("structure", F.when(new & old, "mixed").when(new, "paragraph_only").when(old, "legacy_only").otherwise("empty"))
+#: A tree in which boxes may hold paragraphs or, as old ones do, bare fragments.
+LOOSE = f"struct<pages:array<struct<text_boxes:array<struct<box_index:int,paragraphs:array<{PARAGRAPH}>,text_fragments:array<{FRAGMENT}>>>>>>"
+
+
+def structure(decks: DataFrame, raw: str = "json", key: str = "deck") -> DataFrame:
+    """structure and counts of each deck, from its JSON: whether boxes hold paragraphs (paragraph_only), bare fragments (legacy_only), both kinds (mixed) or neither (empty).
+
+    A box with both counts as one with paragraphs. JSON that is no object with a list of pages is invalid.
+    """
+    pages = F.from_json(raw, LOOSE)["pages"]
+    missing = F.get_json_object(raw, "$").isNull() | F.ltrim(F.col(raw)).startswith("[") | (F.get_json_object(raw, "$.pages").isNotNull() & pages.isNull())
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    held = lambda c: F.coalesce(c, F.array())
+    new = lambda b: b["paragraphs"].isNotNull()
+    old = lambda b: b["paragraphs"].isNull() & b["text_fragments"].isNotNull()
+    boxes = F.flatten(F.transform("__p", lambda p: F.coalesce(p["text_boxes"], F.array())))
+    paras = F.flatten(F.transform(F.filter("__b", new), lambda b: b["paragraphs"]))
+    bare = F.aggregate(F.filter("__b", old), F.lit(0), lambda s, b: s + F.size(b["text_fragments"]))
+    inside = F.aggregate("__q", F.lit(0), lambda s, q: s + n(q["text_fragments"]))
+    read = decks.select(key, missing.alias("__bad"), F.coalesce(pages, F.array().cast(LOOSE.removeprefix("struct<pages:")[:-1])).alias("__p"))
+    read = read.withColumn("__b", boxes).withColumn("__q", paras)
+    count = lambda test: F.size(F.filter("__p", lambda p: F.exists(F.coalesce(p["text_boxes"], F.array()), test)))
+    out = read.select(
+        key, "__bad", F.size("__p").alias("total_pages"), F.size("__b").alias("total_text_boxes"), F.size("__q").alias("total_paragraphs"),
+        (bare + inside).alias("total_fragments"), count(new).alias("paragraph_structure_pages"), count(old).alias("legacy_structure_pages"),
+    )
+    a, b = F.col("paragraph_structure_pages") > 0, F.col("legacy_structure_pages") > 0
+    kind = F.when(F.coalesce("__bad", F.lit(True)), "invalid").when(a & b, "mixed").when(a, "paragraph_only").when(b, "legacy_only").otherwise("empty")
+    return out.withColumn("structure", kind).drop("__bad")
 
 
 def content_texts(items: Column) -> Column:
@@ -189,13 +216,39 @@ def ocr_summary(images: DataFrame) -> DataFrame:
 
 
 def attach_ocr(images: DataFrame, results: DataFrame) -> DataFrame:
-    """Images with the OCR text under their file name, else under its stem."""
-    r = results.groupBy("name").agg(F.max("ocr_text").alias("ocr_text"))
-    full = r.withColumnsRenamed({"name": "n1", "ocr_text": "t1"})
-    by_stem = r.withColumnsRenamed({"name": "n2", "ocr_text": "t2"})
+    """Images with the OCR text under their file name, else under its stem, else that of the folder named like the file.
+
+    results: name and ocr_text, and ``folder`` if the folder may be named otherwise than the result; blank texts of a folder don't count.
+    """
+    def named(rows: DataFrame, name: str, k: int) -> DataFrame:
+        return rows.groupBy(F.col(name).alias(f"n{k}")).agg(F.max("ocr_text").alias(f"t{k}"))
+
     cut = F.regexp_replace("filename", r"(?<=.)\.[^.]*$", "")
-    met = images.join(full, images["filename"] == F.col("n1"), "left").join(by_stem, cut == F.col("n2"), "left")
-    return met.withColumn("ocr_text", F.coalesce("t1", "t2")).drop("n1", "t1", "n2", "t2")
+    met = images.join(named(results, "name", 1), images["filename"] == F.col("n1"), "left").join(named(results, "name", 2), cut == F.col("n2"), "left")
+    found = [F.col("t1"), F.col("t2")]
+    if "folder" in results.columns:
+        met = met.join(named(results.where(~blank(F.col("ocr_text"))), "folder", 3), images["filename"] == F.col("n3"), "left")
+        found.append(F.col("t3"))
+    return met.withColumn("ocr_text", F.coalesce(*found)).drop(*(f"{c}{k}" for c in "nt" for k in (1, 2, 3)))
+
+
+def on_page(annotations: DataFrame, number: int) -> DataFrame:
+    """The annotations of one page (1-based)."""
+    return annotations.where(F.col("page") == number)
+
+
+def on_real_pages(annotations: DataFrame, documents: DataFrame, key: str = "file") -> DataFrame:
+    """Annotations, without those on a page that their document (key, page_count) doesn't have; no page means the first."""
+    page = F.coalesce("page", F.lit(1))
+    d = documents.select(F.col(key).alias("__doc"), F.col("page_count").alias("__n"))
+    met = annotations.join(d, F.col(key) == F.col("__doc"))
+    return met.where(page.between(1, F.col("__n"))).drop("__doc", "__n")
+
+
+def page_translator_counts(paragraph_rows: DataFrame, group: list[str], text: str = "text") -> DataFrame:
+    """Paragraphs of a slide and how many of them are worth translating."""
+    good = is_translatable_paragraph(F.col(text))
+    return paragraph_rows.groupBy(*group).agg(F.count("*").alias("current_slide_paragraphs"), F.count_if(good).alias("translatable_paragraphs"))
 
 
 def region_text(words: DataFrame, key: str, order: str, least: float = 0.1) -> DataFrame:
@@ -238,6 +291,14 @@ def autofit_status(boxes: DataFrame, flag: str = "autofit") -> DataFrame:
     return out.withColumn("percentage", share(F.col("yes"), F.col("total")))
 
 
+def autofit_details(boxes: DataFrame) -> DataFrame:
+    """One row a text box or table cell: boxes (slide, shape; row and col, 0-based, for a cell; auto_size, word_wrap) with their type, a name and whether they fit their text."""
+    cell = F.col("row").isNotNull()
+    name = F.when(cell, F.format_string("table-%d-%d", F.col("row") + 1, F.col("col") + 1)).otherwise(F.col("shape").cast("string"))
+    fits = F.coalesce(F.col("auto_size") == "TEXT_TO_FIT_SHAPE", F.lit(False))
+    return boxes.select("slide", name.alias("shape"), F.when(cell, "table_cell").otherwise("textbox").alias("type"), "auto_size", fits.alias("is_autofit"), "word_wrap")
+
+
 def format_match(expected: str, actual: str, fields: tuple[str, ...] = ("font_size", "bold")) -> Column:
     """Per field, whether two format structs agree."""
     return F.struct(*(F.col(f"{expected}.{f}").eqNullSafe(F.col(f"{actual}.{f}")).alias(f) for f in fields))

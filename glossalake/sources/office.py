@@ -1,19 +1,18 @@
-"""Sheets (xlsx) and slides (pptx) as Python data sources, read from the zip and its XML alone.
-
-One partition a file: ``spark.read.format("sheet").load(path)`` and ``format("slides")``.
-"""
+"""Sheets (xlsx) and slides (pptx): Spark reads the files, Arrow workers their zip and XML."""
 
 from __future__ import annotations
 
-import glob
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def _local(tag: str) -> str:
@@ -38,7 +37,8 @@ def sheet_rows(raw: bytes) -> Iterator[tuple[int, list[str | None]]]:
         if "xl/sharedStrings.xml" in z.namelist():
             root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in _find(si, "t")) for si in _find(root, "si")]
-        first = sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]
+        if (first := _first_sheet(z)) is None:
+            return
         for k, row in enumerate(_find(ElementTree.fromstring(z.read(first)), "row"), 1):
             cells: list[str | None] = []
             for c in _find(row, "c"):
@@ -53,6 +53,21 @@ def sheet_rows(raw: bytes) -> Iterator[tuple[int, list[str | None]]]:
             yield int(row.get("r", k)), cells
 
 
+def _first_sheet(z: zipfile.ZipFile) -> str | None:
+    """The part that holds the first sheet in the order of the workbook; without a workbook part, the sheet of the lowest number."""
+    names = set(z.namelist())
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in _find(ElementTree.fromstring(z.read("xl/workbook.xml")), "sheet"):
+            key = next((v for k, v in sheet.attrib.items() if _local(k) == "id"), None)
+            target = targets.get(key, "").lstrip("/")
+            name = target if target.startswith("xl/") else f"xl/{target}"
+            if name in names:
+                return name
+    numbered = {n: int(m[1]) for n in names if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n))}
+    return min(numbered, key=numbered.get, default=None)
+
+
 def slide_texts(raw: bytes) -> Iterator[tuple[int, int, str]]:
     """(slide, shape, text) of the shapes with text; paragraphs end in a line feed."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
@@ -64,55 +79,34 @@ def slide_texts(raw: bytes) -> Iterator[tuple[int, int, str]]:
                     yield k, j, "\n".join(lines)
 
 
-class _Files(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in sorted(glob.glob(self.path))] or [InputPartition(None)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is not None:
-            with open(partition.value, "rb") as file:
-                yield from self.rows(partition.value.rsplit("/", 1)[-1], file.read())
-
-
-class _SheetReader(_Files):
-    def rows(self, name: str, raw: bytes) -> Iterator[tuple]:
-        for number, cells in sheet_rows(raw):
-            yield name, number, cells
-
-
-class _SlidesReader(_Files):
-    def rows(self, name: str, raw: bytes) -> Iterator[tuple]:
-        for slide, shape, text in slide_texts(raw):
-            yield name, slide, shape, text
-
-
-class SheetSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "sheet"
+def _files(spark: SparkSession, path: str, rows: Callable[[bytes], Iterator[tuple]], names: list[str], schema: str) -> DataFrame:
+    """Rows of all files of a path or pattern; Spark reads the bytes, from whatever store."""
 
-    def schema(self) -> str:
-        return "file string, row int, cells array<string>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, raw in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                found = [dict(zip(names, row, strict=True)) for row in rows(raw)]
+                if found:
+                    yield pa.RecordBatch.from_pylist([{"file": name} | row for row in found], kinds)
 
-    def reader(self, schema) -> DataSourceReader:
-        return _SheetReader(self.options["path"])
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    raw = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file"), "content")
+    return raw.mapInArrow(run, schema)
 
 
-class SlidesSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "slides"
+def sheets(spark: SparkSession, path: str) -> DataFrame:
+    """file, row (1-based) and cells (text; null where there is none) of the first sheet of workbooks; a workbook without a sheet has no rows."""
+    return _files(spark, path, sheet_rows, ["row", "cells"], "file string, row int, cells array<string>")
 
-    def schema(self) -> str:
-        return "file string, slide int, shape int, text string"
 
-    def reader(self, schema) -> DataSourceReader:
-        return _SlidesReader(self.options["path"])
+def slides(spark: SparkSession, path: str) -> DataFrame:
+    """file, slide, shape (both 0-based) and text of the shapes with text of presentations."""
+    return _files(spark, path, slide_texts, ["slide", "shape", "text"], "file string, slide int, shape int, text string")
 
 
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(SheetSource)
-    spark.dataSource.register(SlidesSource)
+def with_header(rows: DataFrame, header: tuple[str, ...]) -> DataFrame:
+    """Rows below the header as columns of its names; files whose first row isn't the header (in any case, blanks apart) have none."""
+    head = F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
+    good = rows.where((F.col("row") == 1) & (F.slice(head, 1, len(header)) == F.array(*map(F.lit, header)))).select(F.col("file").alias("__file"))
+    body = rows.where("row > 1").join(good, F.col("file") == F.col("__file"), "left_semi")
+    return body.select("file", "row", *(F.get("cells", F.lit(k)).alias(c) for k, c in enumerate(header)))

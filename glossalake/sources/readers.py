@@ -28,6 +28,14 @@ def by_id(df: DataFrame, value, key: str = "id") -> DataFrame:
     return df.where(F.col(key) == value).limit(1)
 
 
+def one_by(df: DataFrame, **values) -> DataFrame:
+    """The row that has given values, at most one; null means no value. The filter reaches the scan."""
+    same = F.lit(True)
+    for c, v in values.items():
+        same = same & (F.col(c).isNull() if v is None else F.col(c) == v)
+    return df.where(same).limit(1)
+
+
 def catalogue(spark: SparkSession, path: str) -> DataFrame:
     """file, product, ingredient, path, detail_url from JSON objects keyed by product; one file a row group."""
     raw = spark.read.text(path, wholetext=True).withColumn("file", F.col("_metadata.file_name"))
@@ -41,7 +49,7 @@ def log_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, path: str, extension: str | None = None) -> DataFrame:
-    """path, length and modification time of files, newest first; contents aren't read."""
+    """path, length and modification time of files, newest first; contents aren't read. Spark lists no empty files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
     if extension:
         files = files.where(F.lower("path").endswith(extension.lower()))
@@ -49,6 +57,7 @@ def listing(spark: SparkSession, path: str, extension: str | None = None) -> Dat
 
 
 def storage_used(spark: SparkSession, path: str) -> DataFrame:
+    """Bytes and files (empty ones don't count) below a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("used"), F.count("*").alias("files"))
 
@@ -84,7 +93,17 @@ def ocr_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parallel_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
+    """part, line (0-based) and value of one side of aligned files: line numbers count within a part, which is read by one task."""
+    raw = spark.read.text(path, wholetext=True)
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1)
+    lines = F.split(F.regexp_replace("value", r"\n$", ""), "\n")
+    return raw.where(F.length("value") > 0).select(part.alias("part"), F.posexplode(lines).alias("line", "value"))
+
+
+def parallel_pairs(spark: SparkSession, path: str, first: str, second: str) -> DataFrame:
+    """The lines of two aligned folders side by side."""
+    a, b = (parallel_lines(spark, f"{path}/{c}").withColumnRenamed("value", c) for c in (first, second))
+    return a.join(b, ["part", "line"])
 
 
 def columns_of(df: DataFrame) -> DataFrame:
