@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from glossalake.plans import glossary, logs, matching, slides, tasks, texts
+from glossalake.plans import files, glossary, logs, matching, slides, tasks, texts
 
-MODULES = (glossary, texts, logs, tasks, slides, matching)
+MODULES = (glossary, texts, logs, tasks, slides, matching, files)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,18 @@ def custom_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return G.last_wins(G.language_pair(rows, "English", "Chinese"), "source", "target", "id")
 
 
+_LANGUAGES = ("english", "chinese", "dutch")
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}-{b}' AS pair, count(*) AS n, count(DISTINCT {a}) AS sources, count(DISTINCT {b}) AS targets FROM {TRANSLATIONS} WHERE coalesce({a}, '') <> '' AND coalesce({b}, '') <> ''" for a in _LANGUAGES for b in _LANGUAGES if a != b) + " UNION ALL SELECT 'english-german', 0, 0, 0")
+def language_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All six directions, and one of an unknown language, which has no rows."""
+    t = translations(spark, d)
+    names = [(a, b) for a in _LANGUAGES for b in _LANGUAGES if a != b] + [("english", "german")]
+    parts = [G.language_pair(t, a.capitalize(), b.capitalize()).agg(F.lit(f"{a}-{b}").alias("pair"), F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.countDistinct("target").alias("targets")) for a, b in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query(f"SELECT id, dutch AS source, english AS target FROM {TRANSLATIONS}")
 def dictionary_dutch_english(spark: SparkSession, d: str) -> DataFrame:
     return G.language_pair(translations(spark, d), "Dutch", "English").select("id", "source", "target")
@@ -79,9 +93,8 @@ def permission_holders(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT count(*) AS n FROM customer WHERE c_nationkey = (SELECT n_nationkey FROM nation WHERE n_name = (SELECT min(n_name) FROM nation))")
 def scalar_subquery(spark: SparkSession, d: str) -> DataFrame:
-    read(spark, d, "customer").createOrReplaceTempView("lookup_customer")
-    read(spark, d, "nation").createOrReplaceTempView("lookup_nation")
-    return spark.sql("SELECT count(*) AS n FROM lookup_customer WHERE c_nationkey = (SELECT n_nationkey FROM lookup_nation WHERE n_name = (SELECT min(n_name) FROM lookup_nation))")
+    tables = {t: read(spark, d, t) for t in ("customer", "nation")}
+    return spark.sql("SELECT count(*) AS n FROM {customer} WHERE c_nationkey = (SELECT n_nationkey FROM {nation} WHERE n_name = (SELECT min(n_name) FROM {nation}))", **tables)
 
 
 _UNION = """(SELECT p_name AS product, p_type AS ingredient, p_partkey AS pos, 'registration' AS data_source FROM part WHERE p_partkey % 2 = 0 UNION ALL
@@ -100,8 +113,16 @@ def catalogue_union(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT product, ingredient, pos FROM {_UNION} WHERE data_source = 'filing' AND (contains(lower(ingredient), 'e') OR contains(lower(product), 'e')) ORDER BY pos LIMIT 15 OFFSET 15")
 def catalogue_search_page(spark: SparkSession, d: str) -> DataFrame:
-    hit = F.contains(F.lower("ingredient"), F.lit("e")) | F.contains(F.lower("product"), F.lit("e"))
-    return G.page(_catalogue(spark, d).where(hit & (F.col("data_source") == "filing")), [F.col("pos")], 2, 15).select("product", "ingredient", "pos")
+    return G.page(_catalogue(spark, d).where(G.holds_keyword("E") & (F.col("data_source") == "filing")), [F.col("pos")], 2, 15).select("product", "ingredient", "pos")
+
+
+@query("SELECT strict, count(*) AS n FROM (SELECT true AS strict, p_partkey FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0 UNION ALL SELECT false, p_partkey FROM part) GROUP BY strict")
+def empty_keyword(spark: SparkSession, d: str) -> DataFrame:
+    """An empty keyword is in every text, but strictly not in an empty one."""
+    k = F.col("p_partkey")
+    p = read(spark, d, "part").select(F.when(k % 2 == 0, "x").otherwise("").alias("ingredient"), F.when(k % 3 == 0, F.col("p_name")).otherwise("").alias("product"))
+    both = [p.where(G.holds_keyword("", strict=strict)).agg(F.lit(strict).alias("strict"), F.count("*").alias("n")) for strict in (True, False)]
+    return both[0].unionByName(both[1])
 
 
 @query("SELECT p_partkey, CASE WHEN len(x) > 3 THEN array_to_string(x[1:3], '、') || '等' ELSE array_to_string(x, '、') END AS ingredients FROM (SELECT p_partkey, string_split(replace(p_name || ' ' || p_type || ' x', ' ', ','), ',') AS x FROM part)")
@@ -115,6 +136,15 @@ def image_urls(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select("page_id", V.image_url(path).alias("image"))
 
 
+@query("SELECT p_partkey, p_name FROM part WHERE lower(trim(p_name)) = (SELECT lower(trim(max(p_name))) FROM part) ORDER BY p_partkey LIMIT 1")
+def product_lookup_exact(spark: SparkSession, d: str) -> DataFrame:
+    """A whole name beats names that contain it."""
+    p = read(spark, d, "part")
+    name = p.agg(F.max("p_name")).first()[0]
+    longer = p.select((F.col("p_partkey") - 10_000_000).alias("p_partkey"), F.concat("p_name", F.lit(" x")).alias("p_name"))
+    return G.best_match(p.select("p_partkey", "p_name").unionByName(longer), f" {name.upper()} ", "p_name", "p_partkey").select("p_partkey", "p_name")
+
+
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(trim(p_name)), 'a') ORDER BY lower(trim(p_name)) <> 'a', p_partkey LIMIT 1")
 def product_lookup(spark: SparkSession, d: str) -> DataFrame:
     return G.best_match(read(spark, d, "part"), " A ", "p_name", "p_partkey").select("p_partkey", "p_name")
@@ -145,25 +175,27 @@ def export_pairs(spark: SparkSession, d: str) -> DataFrame:
     return aligned(translations(spark, d), "id", "english", "chinese")
 
 
-_NEW = "(SELECT p_partkey + 1000000 AS row, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' new' WHEN p_partkey % 7 = 1 THEN '' ELSE p_name END AS english, p_type AS chinese, p_partkey % 40 AS user_id, p_partkey % 4 = 0 AS is_public FROM part)"
+_NEW = "(SELECT p_partkey + 1000000 AS row, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' new' WHEN p_partkey % 7 = 1 THEN '' ELSE p_name END AS english, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_type END AS chinese, p_partkey % 40 AS user_id, p_partkey % 4 = 0 AND p_partkey % 40 < 20 AS is_public FROM part)"
 
 
-@query(f"""WITH n AS (SELECT *, CASE WHEN is_public THEN 'public' ELSE CAST(user_id AS VARCHAR) END AS scope FROM {_NEW}),
-h AS (SELECT 'public' AS scope, english FROM {TRANSLATIONS} WHERE is_public UNION SELECT CAST(user_id AS VARCHAR), english FROM {TRANSLATIONS}),
-s AS (SELECT n.*, row_number() OVER (PARTITION BY n.scope, n.english ORDER BY row) AS k, h.english IS NOT NULL AS held FROM n LEFT JOIN h USING (scope, english))
-SELECT CASE WHEN english = '' THEN 'incomplete' WHEN held THEN 'exists' WHEN k > 1 THEN 'repeated' ELSE 'accepted' END AS status, count(*) AS n FROM s GROUP BY 1""")
+@query(f"""WITH f AS (SELECT n.*, english <> '' AND chinese <> '' AS complete, CASE WHEN is_public THEN english IN (SELECT english FROM {TRANSLATIONS} WHERE is_public) ELSE (user_id, english) IN (SELECT (user_id, english) FROM {TRANSLATIONS}) END AS held FROM {_NEW} n),
+p AS (SELECT english, min(row) AS first_row, arg_min(user_id, row) AS first_user FROM f WHERE complete AND NOT held AND is_public GROUP BY english),
+b AS (SELECT f.*, p.first_row, coalesce(p.first_user = f.user_id AND p.first_row < f.row, false) AS behind FROM f LEFT JOIN p USING (english)),
+m AS (SELECT user_id, english, min(row) AS mine FROM b WHERE complete AND NOT held AND NOT is_public AND NOT behind GROUP BY user_id, english)
+SELECT row, is_public, CASE WHEN NOT complete THEN 'incomplete' WHEN held THEN 'exists' WHEN is_public AND first_row = row OR NOT is_public AND NOT behind AND mine = row THEN 'accepted' ELSE 'repeated' END AS status FROM b LEFT JOIN m USING (user_id, english)""")
 def import_decisions(spark: SparkSession, d: str) -> DataFrame:
+    """Users 0 to 19 are admins; what others ask to be public becomes private."""
     k = F.col("p_partkey")
     english = F.when(k % 3 == 0, F.concat("p_name", F.lit(" new"))).when(k % 7 == 1, "").otherwise(F.col("p_name"))
-    new = read(spark, d, "part").select((k + 1000000).alias("row"), english.alias("english"), F.col("p_type").alias("chinese"), (k % 40).alias("user_id"), (k % 4 == 0).alias("is_public"))
-    return R.accepted(new, translations(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+    new = read(spark, d, "part").select((k + 1000000).alias("row"), english.alias("english"), F.when(k % 11 == 0, "").otherwise(F.col("p_type")).alias("chinese"), (k % 40).alias("user_id"), (k % 4 == 0).alias("is_public"), (k % 40 < 20).alias("admin"))
+    return R.accepted(new, translations(spark, d), admin="admin").select("row", "is_public", "status")
 
 
-@query("SELECT CASE WHEN count(*) FILTER (WHERE bad) = 0 THEN count(*) ELSE 0 END AS success, count(*) FILTER (WHERE bad) AS errors FROM (SELECT p_partkey % 50 = 0 AS bad FROM part)")
+@query("SELECT CASE WHEN count(*) FILTER (WHERE bad) = 0 THEN count(*) ELSE 0 END AS success, count(*) FILTER (WHERE bad) AS errors, array_to_string(list_slice(list('row ' || k || ': english and chinese are required' ORDER BY k) FILTER (WHERE bad), 1, 10), '|') AS messages FROM (SELECT p_partkey AS k, p_partkey % 50 = 0 AS bad FROM part)")
 def import_report(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     rows = read(spark, d, "part").select(k.cast("int").alias("row"), F.when(k % 50 == 0, " ").otherwise(F.col("p_name")).alias("english"), F.col("p_type").alias("chinese"), F.col("p_brand").alias("dutch"), F.lit(None).cast("string").alias("category"), F.lit("是").alias("is_public"))
-    return R.import_report(R.parse_import(rows, admin=True)).select("success", "errors")
+    return R.import_report(R.parse_import(rows, admin=True)).select("success", "errors", F.array_join("messages", "|").alias("messages"))
 
 
 @query("SELECT CASE WHEN f IN ('1', 'true', 'yes', '是') OR coalesce(TRY_CAST(f AS DOUBLE) <> 0, false) THEN true ELSE false END AS flag, count(*) AS n FROM (SELECT CASE p_partkey % 6 WHEN 0 THEN '1' WHEN 1 THEN 'yes' WHEN 2 THEN '是' WHEN 3 THEN '0' WHEN 4 THEN '2.0' ELSE 'no' END AS f FROM part) GROUP BY 1")
@@ -173,23 +205,56 @@ def import_flags(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").groupBy(R.parse_flag(f).alias("flag")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT id, english, dutch FROM {TRANSLATIONS} WHERE user_id = 7")
+_DELETABLE = f"SELECT 'user' AS who, id FROM {TRANSLATIONS} WHERE NOT is_public AND user_id = 7 UNION ALL SELECT 'admin', id FROM {TRANSLATIONS} WHERE is_public OR user_id = 20"
+
+
+@query(_DELETABLE)
 def deletable_entries(spark: SparkSession, d: str) -> DataFrame:
-    return R.deletable(translations(spark, d), 7, admin=False).select("id", "english", "dutch")
+    """What user 7, and what user 20 as an admin, may delete."""
+    t = translations(spark, d)
+    own, admins = R.deletable(t, 7, admin=False), R.deletable(t, 20, admin=True)
+    return own.select(F.lit("user").alias("who"), "id").unionByName(admins.select(F.lit("admin").alias("who"), "id"))
+
+
+@query(f"SELECT id FROM {TRANSLATIONS} WHERE NOT (is_public AND coalesce(category = 'large', false))")
+def entries_left(spark: SparkSession, d: str) -> DataFrame:
+    """After an admin has deleted the public entries of a category."""
+    t = translations(spark, d)
+    return R.without(t, R.deletable(t, 20, admin=True).where("is_public and category = 'large'")).select("id")
+
+
+_CHANGES = f"(SELECT id, CASE id % 5 WHEN 0 THEN english WHEN 1 THEN '' WHEN 2 THEN english || ' (2)' WHEN 3 THEN (SELECT min(english) FROM {TRANSLATIONS} WHERE is_public) ELSE (SELECT min(english) FROM {TRANSLATIONS} WHERE user_id = 20) END AS english, 'c' AS chinese, CASE WHEN id % 3 = 0 THEN true WHEN id % 3 = 1 THEN false END AS is_public FROM {TRANSLATIONS})"
+
 
+def _update_sql(admin: str) -> str:
+    return f"""SELECT {admin} AS admin, t.id, CASE WHEN NOT CASE WHEN t.is_public THEN {admin} ELSE t.user_id = 20 END OR (coalesce(c.is_public <> t.is_public, false) AND NOT {admin}) THEN 'forbidden' WHEN c.english = '' THEN 'incomplete'
+WHEN EXISTS (SELECT 1 FROM {TRANSLATIONS} o WHERE o.english = c.english AND o.id <> t.id AND CASE WHEN t.is_public OR coalesce(c.is_public, t.is_public) THEN o.is_public ELSE o.user_id = 20 END) THEN 'exists' ELSE 'changed' END AS status, coalesce(c.is_public, t.is_public) AS asked, c.english AS wanted, t.english, t.is_public FROM {TRANSLATIONS} t JOIN {_CHANGES} c USING (id)"""
 
-@query(f"SELECT id, CASE WHEN id % 10 = 0 AND user_id = 20 THEN english || ' (2)' ELSE english END AS english, id % 10 = 0 AND user_id = 20 AS changed FROM {TRANSLATIONS}")
+
+@query(f"SELECT admin, id, status, CASE WHEN status = 'changed' THEN wanted ELSE english END AS english, CASE WHEN status = 'changed' THEN asked ELSE is_public END AS is_public FROM ({_update_sql('false')} UNION ALL {_update_sql('true')})")
 def entry_updates(spark: SparkSession, d: str) -> DataFrame:
+    """User 20 changes every entry, once as a user and once as an admin."""
     t = translations(spark, d)
-    changes = t.where("id % 10 = 0").withColumn("english", F.concat("english", F.lit(" (2)")))
-    return R.updated(t, changes, 20, admin=False).select("id", "english", "changed")
+    least = lambda rows: F.lit(rows.agg(F.min("english")).first()[0])
+    k = F.col("id")
+    english = F.when(k % 5 == 0, F.col("english")).when(k % 5 == 1, "").when(k % 5 == 2, F.concat("english", F.lit(" (2)"))).when(k % 5 == 3, least(t.where("is_public"))).otherwise(least(t.where("user_id = 20")))
+    changes = t.select("id", english.alias("english"), F.lit("c").alias("chinese"), "dutch", "category", F.when(k % 3 == 0, True).when(k % 3 == 1, False).alias("is_public"))
+    done = [R.updated(t, changes, 20, admin).select(F.lit(admin).alias("admin"), "id", "status", "english", "is_public") for admin in (False, True)]
+    return done[0].unionByName(done[1])
 
 
-@query(f"SELECT uid, CASE WHEN uid % 4 = 0 THEN 'renamed' ELSE segment END AS segment FROM {USERS}")
+@query(f"""SELECT uid, username, CASE WHEN uid % 4 = 0 THEN 'renamed' ELSE segment END AS segment, CASE WHEN uid % 2 = 0 THEN 'approved' ELSE 'pending' END AS status, CASE WHEN uid % 2 = 0 THEN 'oidc' END AS sso_provider, CASE WHEN uid % 4 = 0 THEN 's' || uid WHEN uid % 2 = 0 THEN '' END AS sso_subject, CASE WHEN uid % 2 = 0 THEN TIMESTAMP '2024-01-01' END AS last_login FROM {USERS} WHERE uid % 10 <> 0
+UNION ALL SELECT (SELECT max(uid) FROM {USERS} WHERE uid % 10 <> 0) + row_number() OVER (ORDER BY username), NULL, NULL, 'approved', 'oidc', NULL, TIMESTAMP '2024-01-01' FROM {USERS} WHERE uid % 10 = 0""")
 def login_upsert(spark: SparkSession, d: str) -> DataFrame:
-    u = users(spark, d).select("uid", "username", F.col("username").alias("email"), "segment", F.lit("approved").alias("status"))
-    logins = u.where("uid % 2 = 0").select("username", "email", F.when(F.col("uid") % 4 == 0, "renamed").otherwise("").alias("segment"))
-    return R.upserted(u, logins, ["segment"]).select("uid", "segment")
+    """Every second customer logs in; one in ten isn't known yet and gets a new id. Which of them gets which is left open, so their names and subjects aren't shown."""
+    u = users(spark, d)
+    known = u.where("uid % 10 <> 0").select("uid", "username", F.col("username").alias("email"), "segment", F.when(F.col("uid") % 2 == 0, "approved").otherwise("pending").alias("status"), F.lit(None).cast("string").alias("sso_provider"), F.lit(None).cast("string").alias("sso_subject"), F.lit(None).cast("timestamp").alias("last_login"))
+    logins = u.where("uid % 2 = 0").select("username", F.col("username").alias("email"), F.when(F.col("uid") % 4 == 0, "renamed").otherwise("").alias("segment"), F.when(F.col("uid") % 4 == 0, F.concat(F.lit("s"), F.col("uid").cast("string"))).alias("sub"))
+    done = R.upserted(known, logins, ["segment"], "uid", "oidc", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    last = known.agg(F.max("uid").alias("last"))
+    shown = lambda c: F.when(F.col("uid") <= F.col("last"), F.col(c)).alias(c)
+    out = done.crossJoin(F.broadcast(last))
+    return out.select("uid", shown("username"), shown("segment"), "status", "sso_provider", shown("sso_subject"), F.col("last_login").cast("timestamp_ntz").alias("last_login"))
 
 
 @query("SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS role_id FROM customer WHERE c_custkey % 5 <> 0")
@@ -200,6 +265,21 @@ def group_roles(spark: SparkSession, d: str) -> DataFrame:
     return R.roles_from_groups(read(spark, d, "customer").select(k.alias("user_id"), groups.alias("groups")), mapping)
 
 
+@query("SELECT role, count(*) AS n, max(length(description)) AS longest FROM (SELECT unnest(['admin', 'user']) AS role), (SELECT unnest(['管理员权限', '用户管理', '文件上传', '翻译功能', 'PDF注释', '查看日志', '词库管理', '停翻词管理', '成分搜索', '批量处理', 'SSO登录', '文件下载']) AS description) WHERE role = 'admin' OR description IN ('文件上传', '翻译功能', 'PDF注释', '词库管理', '停翻词管理', '成分搜索', '文件下载') GROUP BY role")
+def seeded_grants(spark: SparkSession, d: str) -> DataFrame:
+    """Seeding twice gives the rows of one seeding."""
+    grants = R.seed_grants(spark).withColumn("key", F.concat_ws("/", "role", "permission"))
+    return R.seeded(R.seeded(grants.limit(0), grants, "key"), grants, "key").groupBy("role").agg(F.count("*").alias("n"), F.max(F.length("description")).alias("longest"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS VARCHAR) AS p_size, NULL AS note FROM part")
+def evolved_schema(spark: SparkSession, d: str) -> DataFrame:
+    """A column added, some dropped, one of another type; what is there or gone already is left."""
+    p = read(spark, d, "part").select("p_partkey", "p_size", "p_brand")
+    out = R.evolved(p, add={"note": "string", "p_partkey": "int"}, drop=("p_brand", "absent"), change={"p_size": "string", "absent": "int"})
+    return out.select("p_partkey", "p_size", F.col("note").cast("int").alias("note"))
+
+
 @query("SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 1000, 'ATLANTIS'")
 def idempotent_seed(spark: SparkSession, d: str) -> DataFrame:
     nation = read(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
@@ -207,10 +287,11 @@ def idempotent_seed(spark: SparkSession, d: str) -> DataFrame:
     return R.seeded(nation, first.unionByName(spark.createDataFrame([(1000, "ATLANTIS")], "id int, name string")), "name")
 
 
-@query("SELECT min(p_partkey) AS id, p_brand AS word FROM part WHERE p_size >= 10 AND p_brand NOT IN (SELECT p_brand FROM part WHERE p_size < 2) GROUP BY p_brand")
+@query("SELECT min(p_partkey) AS id, p_name AS word FROM part WHERE p_name NOT IN (SELECT split_part(n_name, ' ', 1) FROM nation) GROUP BY p_name")
 def stop_words_added(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("word"), "p_size")
-    return R.added_once(p.where("p_size < 2"), p.where("p_size >= 10"), ["word"], "id").select("id", "word")
+    """Every part's name as a word, beside the nations' that are there."""
+    there = read(spark, d, "nation").select(F.substring_index("n_name", " ", 1).alias("word"))
+    return R.added_once(there, read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("word")), ["word"], "id").select("id", "word")
 
 
 @query(f"SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN is_public END, false) AS is_public FROM {TRANSLATIONS}")

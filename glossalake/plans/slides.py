@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossalake.functions import literals
+from glossalake.functions import values as V
 from glossalake.operators import slides as S
 from glossalake.plans.base import read, registry
 
@@ -177,10 +178,83 @@ def page_results(spark: SparkSession, d: str) -> DataFrame:
     return S.page_results(done, failed)
 
 
-@query("SELECT structure, count(*) AS n FROM (SELECT CASE WHEN p_size % 2 = 0 AND p_partkey % 3 = 0 THEN 'mixed' WHEN p_size % 2 = 0 THEN 'paragraph_only' WHEN p_partkey % 3 = 0 THEN 'legacy_only' ELSE 'empty' END AS structure FROM part) GROUP BY structure")
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'paragraph_only' WHEN 1 THEN 'legacy_only' WHEN 2 THEN 'mixed' WHEN 3 THEN 'empty' ELSE 'invalid' END AS structure,
+CASE p_partkey % 6 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 1 ELSE 0 END AS total_pages, CASE p_partkey % 6 WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 5 ELSE 0 END AS total_fragments FROM part""")
 def deck_structures(spark: SparkSession, d: str) -> DataFrame:
-    p = read(spark, d, "part").select("p_partkey", (1 - F.col("p_size") % 2).alias("paragraph_boxes"), F.when(F.col("p_partkey") % 3 == 0, 1).otherwise(0).alias("legacy_boxes"))
-    return S.structure(p).groupBy("structure").agg(F.count("*").alias("n"))
+    """By what the boxes of JSON trees hold."""
+    new = '{"text_boxes": [{"box_index": 0, "paragraphs": [{"text_fragments": [{"text": "a"}, {"text": "b"}]}, {"text_fragments": [{"text": "c"}]}]}]}'
+    old = '{"text_boxes": [{"box_index": 0, "text_fragments": [{"text": "a"}, {"text": "b"}]}, {"box_index": 1}]}'
+    forms = (f'{{"pages": [{new}]}}', f'{{"pages": [{old}]}}', f'{{"pages": [{new}, {old}]}}', '{"pages": [{"text_boxes": []}]}', f"[{new}]", "no JSON")
+    raw = F.get(F.array(*map(F.lit, forms)), (F.col("p_partkey") % 6).cast("int"))
+    found = S.structure(read(spark, d, "part").select("p_partkey", raw.alias("json")), key="p_partkey")
+    return found.select("p_partkey", "structure", "total_pages", "total_fragments")
+
+
+@query("SELECT event_id % 2 = 0 AS listed, count(*) AS n FROM events GROUP BY 1")
+def tree_forms(spark: SparkSession, d: str) -> DataFrame:
+    """A deck and a bare list of pages read alike; anything else gives no pages."""
+    page = '{"page_index": 3, "text_boxes": [{"box_index": 0, "paragraphs": [{"paragraph_index": 0, "text_fragments": [{"text": "a"}]}]}]}'
+    k = F.col("event_id")
+    raw = F.when(k % 2 == 0, f" [{page}]").otherwise(f'{{"presentation_path": "x", "pages": [{page}]}}')
+    trees = read(spark, d, "events").select(k.alias("deck"), S.pages_of(raw).alias("pages")).unionByName(spark.createDataFrame([(-1, '"text"')], "deck long, raw string").select("deck", S.pages_of(F.col("raw")).alias("pages")))
+    return S.fragments(trees).where("text = 'a' and page_index = 3").groupBy((F.col("deck") % 2 == 0).alias("listed")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, count(*) AS current_slide_paragraphs, count(*) FILTER (WHERE turn % 3 <> 0) AS translatable_paragraphs FROM conversations GROUP BY conv_id")
+def page_translator_counts(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("turn") % 3 == 0, "12.5 %").otherwise(F.concat(F.lit("w "), F.col("role")))
+    return S.page_translator_counts(read(spark, d, "conversations").select("conv_id", text.alias("text")), ["conv_id"])
+
+
+@query("SELECT p_partkey % 10 AS slide, CASE WHEN p_partkey % 3 = 0 THEN 'table-' || (p_size + 1) || '-1' ELSE CAST(p_size AS VARCHAR) END AS shape, CASE WHEN p_partkey % 3 = 0 THEN 'table_cell' ELSE 'textbox' END AS type, p_partkey % 2 = 0 AS is_autofit FROM part")
+def autofit_details(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    size = F.when(k % 2 == 0, "TEXT_TO_FIT_SHAPE").when(k % 5 == 0, "NONE")
+    boxes = read(spark, d, "part").select((k % 10).alias("slide"), F.col("p_size").alias("shape"), F.when(k % 3 == 0, F.col("p_size")).alias("row"), F.when(k % 3 == 0, 0).alias("col"), size.alias("auto_size"), F.lit(True).alias("word_wrap"))
+    return S.autofit_details(boxes).select("slide", "shape", "type", "is_autofit")
+
+
+@query("SELECT user_id, event_type AS source, max_by('t' || event_id, event_id) AS target FROM events WHERE event_id % 3 <> 0 GROUP BY user_id, event_type")
+def source_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """What items say of a source, the last one winning; no target is none."""
+    k = F.col("event_id")
+    items = read(spark, d, "events").select("user_id", k.alias("pos"), F.col("event_type").alias("source"), F.when(k % 3 != 0, F.concat(F.lit("t"), k.cast("string"))).alias("target"))
+    return S.pairs_by_source(items, "user_id")
+
+
+@query("SELECT user_id, event_type AS source, max_by('t' || event_id, event_id) AS target FROM events WHERE event_id % 3 <> 0 GROUP BY user_id, event_type")
+def source_pairs_filled(spark: SparkSession, d: str) -> DataFrame:
+    """The same where blank sides count as none."""
+    k = F.col("event_id")
+    items = read(spark, d, "events").select("user_id", k.alias("pos"), F.col("event_type").alias("source"), F.when(k % 3 != 0, F.concat(F.lit("t"), k.cast("string"))).otherwise("").alias("target"))
+    return S.pairs_by_source(items, "user_id", both=True)
+
+
+@query("SELECT event_id, event_id % 4 = 0 AS valid FROM events")
+def valid_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Some items, all of them with both languages."""
+    good, half = '{"source_language": "a", "target_language": "b"}', '{"source_language": "a"}'
+    k = F.col("event_id") % 4
+    raw = F.when(k == 0, f"[{good}, {good}]").when(k == 1, f"[{good}, {half}]").when(k == 2, "[]").otherwise("nothing")
+    return read(spark, d, "events").select("event_id", S.valid_items(F.from_json(raw, S.ITEMS)).alias("valid"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 7.0 ELSE 12.0 END AS font_size, CASE WHEN event_id % 2 = 0 THEN 255 ELSE 0 END AS color, event_id % 2 = 0 AS bold, false AS italic, event_id % 5 = 1 AS escapement, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS text FROM events")
+def fragment_formats(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    even = lambda c: F.when(k % 2 == 0, c)
+    raw = F.struct(F.when(k % 3 == 0, "7pt").alias("font_size"), even(F.lit(255)).alias("color"), even(F.lit(True)).alias("bold"), F.lit(None).cast("boolean").alias("italic"), F.lit(None).cast("boolean").alias("underline"), F.when(k % 5 == 1, -3).alias("escapement"), even(F.col("event_type")).alias("text"), F.lit(None).cast("string").alias("translated_text"))
+    return read(spark, d, "events").select("event_id", V.fragment_defaults(raw).alias("f")).select("event_id", "f.font_size", "f.color", "f.bold", "f.italic", "f.escapement", "f.text")
+
+
+@query("SELECT user_id, sum(n)::BIGINT AS runs FROM (SELECT user_id, 1 + count(*) FILTER (WHERE event_id % 10 = 0 AND event_id > lo AND event_id < hi) AS n FROM events JOIN (SELECT user_id, min(event_id) FILTER (WHERE event_id % 10 <> 0) AS lo, max(event_id) FILTER (WHERE event_id % 10 <> 0) AS hi FROM events GROUP BY user_id) USING (user_id) GROUP BY user_id, lo, hi HAVING lo IS NOT NULL) GROUP BY user_id")
+def line_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Equal formats throughout: only line feeds, every tenth character, end a run. Two of them in a row leave none between."""
+    e = read(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_id") % 10 == 0, "\n").otherwise("x").alias("c"), F.lit(1).alias("font"))
+    runs = S.runs_by_format(e, ["user_id"], "event_id", "c", ["font"])
+    gaps = e.withColumn("next", F.lead("c").over(Window.partitionBy("user_id").orderBy("event_id")))
+    twice = gaps.where("c = '\n' and next = '\n'").join(runs.groupBy("user_id").agg(F.min("start").alias("lo"), F.max("start").alias("hi")), "user_id").where("event_id > lo and event_id < hi").groupBy("user_id").agg(F.count("*").alias("n"))
+    return runs.groupBy("user_id").agg(F.count("*").alias("n1")).join(twice, "user_id", "left").select("user_id", (F.col("n1") + F.coalesce("n", F.lit(0))).alias("runs"))
 
 
 @query("SELECT p_partkey, p_size % 3 <> 0 AS font_size, p_size % 2 = 0 AS bold FROM part")

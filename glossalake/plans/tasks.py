@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossalake.functions import values as V
 from glossalake.functions.values import failing, pages
+from glossalake.operators import glossary as G
 from glossalake.operators import tasks as K
 from glossalake.plans.base import read, registry
 
@@ -25,6 +29,12 @@ def task_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return K.status_counts(_tasks(spark, d))
 
 
+@query(f"SELECT {', '.join(f"count(*) FILTER (WHERE {'task_id % 7 = 0' if s == 'processing' else f"status = '{s}'"}) AS {s}" for s in K.STATUSES)}, count(*) AS total FROM {_TASKS}")
+def task_status_counts_active(spark: SparkSession, d: str) -> DataFrame:
+    """processing is what really runs, whatever the status says."""
+    return K.status_counts(_tasks(spark, d).withColumn("active", F.col("task_id") % 7 == 0), active="active")
+
+
 @query(f"SELECT s.status, count(t.task_id) AS n FROM (SELECT unnest(['waiting', 'processing', 'completed', 'failed', 'canceled']) AS status) s LEFT JOIN (SELECT * FROM {_TASKS} WHERE status <> 'failed') t USING (status) GROUP BY s.status")
 def task_status_histogram(spark: SparkSession, d: str) -> DataFrame:
     return K.status_histogram(_tasks(spark, d).where("status <> 'failed'"))
@@ -35,17 +45,9 @@ def queue_positions(spark: SparkSession, d: str) -> DataFrame:
     return K.queue_positions(_tasks(spark, d)).select("task_id", F.col("position").cast("bigint").alias("position"))
 
 
-@query(f"""WITH t AS (SELECT * FROM {_TASKS} WHERE status = 'waiting' OR task_id % 400 < 10), a AS (SELECT queue, count(*) FILTER (WHERE status = 'processing') AS active FROM t GROUP BY queue)
-SELECT task_id FROM (SELECT w.*, row_number() OVER (PARTITION BY w.queue ORDER BY priority, created_at, task_id) AS k FROM t w WHERE status = 'waiting') JOIN a USING (queue) WHERE k <= greatest(10 - active, 0)""")
-def next_tasks(spark: SparkSession, d: str) -> DataFrame:
-    return K.next_tasks(_tasks(spark, d).where("status = 'waiting' OR task_id % 400 < 10")).select("task_id")
-
-
-@query(f"SELECT task_id, row_number() OVER (ORDER BY CASE task_type WHEN 'HIGH' THEN 0 WHEN 'IO' THEN 1 WHEN 'CPU' THEN 2 ELSE 3 END, priority, created_at, task_id) AS place FROM {_TASKS} QUALIFY place <= 100")
-def scheduled_tasks(spark: SparkSession, d: str) -> DataFrame:
-    first = K.scheduled(_tasks(spark, d)).limit(100)
-    one = first.agg(F.array_sort(F.collect_list(F.struct("type_rank", "priority", "created_at", "task_id"))).alias("x"))
-    return one.select(F.posexplode("x").alias("k", "r")).select("r.task_id", (F.col("k") + 1).cast("bigint").alias("place"))
+@query(f"SELECT task_id, CASE WHEN status = 'waiting' THEN row_number() OVER (PARTITION BY status ORDER BY created_at, task_id) END AS position FROM {_TASKS}")
+def fifo_positions(spark: SparkSession, d: str) -> DataFrame:
+    return K.fifo_positions(_tasks(spark, d)).select("task_id", "position")
 
 
 @query(f"SELECT user_id, max_by(task_id, (created_at, task_id)) AS task_id, max_by(status, (created_at, task_id)) AS status FROM {_TASKS} GROUP BY user_id")
@@ -77,6 +79,11 @@ def expired_files(spark: SparkSession, d: str) -> DataFrame:
     return gone.groupBy("user_id").agg(F.count_if("deleted").alias("deleted"), F.count_if("counted").alias("counted"))
 
 
+@query(f"SELECT count(DISTINCT user_id) AS users, count(*) FILTER (WHERE present) AS succeeded, count(*) FILTER (WHERE NOT present) AS failed FROM {_FILES} WHERE upload_time < TIMESTAMP '2024-01-20' - INTERVAL 7 DAY AND status IN ('completed', 'failed')")
+def cleanup_totals(spark: SparkSession, d: str) -> DataFrame:
+    return K.cleanup_totals(K.cleanup(_files(spark, d), F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")))
+
+
 @query("SELECT user_id, sum(value) AS used, CASE WHEN 500 > 0 THEN round_even(sum(value) * 100.0::DOUBLE / 500.0, 2) ELSE 0 END AS share, sum(value) + 10 <= 500 AS fits FROM events GROUP BY user_id")
 def storage_quota(spark: SparkSession, d: str) -> DataFrame:
     from glossalake.functions.values import share
@@ -85,13 +92,6 @@ def storage_quota(spark: SparkSession, d: str) -> DataFrame:
     return used.select("user_id", "used", share(F.col("used"), F.lit(500.0), 2).alias("share"), K.within_quota(F.col("used"), F.lit(10), F.lit(500)).alias("fits"))
 
 
-@query("""SELECT user_id AS task_id, CASE WHEN last = 'failed' AND failures <= 3 THEN 'waiting' ELSE last END AS status, CAST(least(failures, 3) AS INTEGER) AS retry_count
-FROM (SELECT user_id, max_by(s, event_id) AS last, count(*) FILTER (WHERE s = 'failed') AS failures FROM (SELECT user_id, event_id, CASE WHEN event_id % 7 = 0 THEN 'failed' ELSE 'processing' END AS s FROM events WHERE event_id % 10 = 0) GROUP BY user_id)""")
-def task_retries(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "events").where("event_id % 10 = 0").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 7 == 0, "failed").otherwise("processing").alias("status"))
-    return K.fold_events(e)
-
-
 @query()
 def task_admissions(spark: SparkSession, d: str) -> DataFrame:
     """Admission depends on earlier admissions: no SQL without recursion; see the tests."""
@@ -101,11 +101,17 @@ def task_admissions(spark: SparkSession, d: str) -> DataFrame:
     return K.admissions(r).select("queue", "task_id", "admitted")
 
 
-@query(f"SELECT queue, 10 - p AS available_slots, p + w >= 10 AS queue_full FROM (SELECT queue, count(*) FILTER (WHERE status = 'processing') AS p, count(*) FILTER (WHERE status = 'waiting') AS w FROM {_TASKS} WHERE task_id % 100 < 8 AND task_id < 5000 GROUP BY queue) WHERE p <= 10")
-def queue_summaries(spark: SparkSession, d: str) -> DataFrame:
-    t = _tasks(spark, d).where("task_id % 100 < 8 AND task_id < 5000")
-    n = t.groupBy("queue").agg(F.count_if(F.col("status") == "processing").alias("processing"), F.count_if(F.col("status") == "waiting").alias("waiting"))
-    return K.queue_summary(n).where("processing <= 10").select("queue", "available_slots", "queue_full")
+_STATES = "(SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'approved' WHEN 2 THEN 'disabled' ELSE 'rejected' END AS status FROM events)"
+_ACTIONS = {"approve": ("pending", "approved"), "reject": ("pending", "rejected"), "disable": ("approved", "disabled"), "enable": ("disabled", "approved")}
+
+
+@query(" UNION ALL ".join(f"SELECT '{action}' AS action, CASE WHEN status = '{a}' THEN '{b}' ELSE status END AS status, status = '{a}' AS changed, count(*) AS n FROM {_STATES} GROUP BY ALL" for action, (a, b) in _ACTIONS.items()))
+def registration_states(spark: SparkSession, d: str) -> DataFrame:
+    """All four actions on accounts of all four states."""
+    k = F.col("event_id") % 4
+    t = read(spark, d, "events").select(F.when(k == 0, "pending").when(k == 1, "approved").when(k == 2, "disabled").otherwise("rejected").alias("status"))
+    done = [K.state_transition(t, action).select(F.lit(action).alias("action"), "status", "changed") for action in _ACTIONS]
+    return reduce(DataFrame.unionByName, done).groupBy("action", "status", "changed").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT status, changed, count(*) AS n FROM (SELECT CASE WHEN status = 'waiting' THEN 'approved' ELSE status END AS status, status = 'waiting' AS changed FROM {_TASKS}) GROUP BY ALL")
@@ -114,7 +120,7 @@ def registrations_approved(spark: SparkSession, d: str) -> DataFrame:
     return K.state_transition(t, "approve").groupBy("status", "changed").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT task_id FROM {_TASKS} WHERE date_diff('second', created_at, TIMESTAMP '2024-01-15 12:00:00') <= 300")
+@query(f"SELECT task_id FROM {_TASKS} WHERE status = 'completed' AND date_diff('second', created_at, TIMESTAMP '2024-01-15 12:00:00') <= 300")
 def recent_completions(spark: SparkSession, d: str) -> DataFrame:
     as_of = F.lit("2024-01-15 12:00:00").cast("timestamp")
     t = _tasks(spark, d).withColumn("completed_at", F.date_trunc("second", F.col("created_at").cast("timestamp")))
@@ -134,19 +140,30 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT event_id AS task_id, CASE WHEN event_id % 4 <> 3 THEN event_id END AS record_id FROM events WHERE event_id % 5 = 0")
-def task_records(spark: SparkSession, d: str) -> DataFrame:
-    r = _records(spark, d)
-    name = F.when(F.col("id") % 4 == 3, "other.pptx").otherwise(F.col("stored_filename"))
-    tasks = r.where("id % 5 = 0").select(F.col("id").alias("task_id"), "user_id", F.concat_ws("/", "file_path", name).alias("file_path"))
-    return K.with_record(tasks, r).select("task_id", "record_id")
-
-
 @query("SELECT event_id AS id FROM events WHERE user_id = 3 AND event_id % 2 = 0 AND event_id % 3 = 0")
 def user_files(spark: SparkSession, d: str) -> DataFrame:
     return K.user_files(_records(spark, d), 3, "ppt", "completed").select("id")
 
 
+@query("SELECT event_id AS id FROM events WHERE user_id = 3 AND event_id % 3 = 0")
+def completed_history(spark: SparkSession, d: str) -> DataFrame:
+    return K.history(_records(spark, d), 3).select("id")
+
+
+@query("SELECT user_id, max_by(event_type, event_id) AS username FROM events WHERE user_id <> 0 AND event_id % 11 <> 0 GROUP BY user_id")
+def file_users(spark: SparkSession, d: str) -> DataFrame:
+    """Of a user's several names the last one; one file in eleven has none."""
+    files = _records(spark, d).withColumn("username", F.when(F.col("id") % 11 != 0, F.col("username")))
+    return G.file_users(files, "id")
+
+
+@query("SELECT event_id, CAST(greatest(date_diff('second', ts, TIMESTAMP '2024-01-16'), 0) AS BIGINT) AS idle, date_diff('second', ts, TIMESTAMP '2024-01-16') > 1800 AS unused, value * 60 > 1800 AS long FROM (SELECT event_id, date_trunc('second', ts) AS ts, value FROM events)")
+def idle_times(spark: SparkSession, d: str) -> DataFrame:
+    ts, as_of = F.date_trunc("second", F.col("ts").cast("timestamp")), F.lit("2024-01-16 00:00:00").cast("timestamp")
+    end = F.timestamp_micros(F.unix_micros(ts) + F.round(F.col("value") * 60_000_000).cast("bigint"))
+    return read(spark, d, "events").select("event_id", V.idle_seconds(ts, as_of).alias("idle"), V.is_idle(ts, as_of).alias("unused"), V.ran_long(ts, end).alias("long"))
+
+
 @query("SELECT event_id AS id FROM events WHERE event_type = 'click' AND CAST(ts AS DATE) = DATE '2024-01-05' AND contains('deck' || event_id || '.pptx', 'k1')")
 def files_filtered(spark: SparkSession, d: str) -> DataFrame:
     return K.client_filter(_records(spark, d), "click", "2024-01-05", "K1").select("id")
@@ -172,9 +189,6 @@ def clamped_pages(spark: SparkSession, d: str) -> DataFrame:
     return n.select("user_id", "pages", clamped(F.lit(3), F.col("pages")).cast("bigint").alias("page"))
 
 
-# The queries above named next_tasks, scheduled_tasks, task_retries, queue_summaries and task_records read parts of
-# events, as their SQL does. These read all rows; their mix (free slots, retries) comes from expressions.
-
 _POOLS = f"(SELECT task_id, user_id AS queue, CASE WHEN task_id % 10 = 6 THEN 'completed' ELSE status END AS status, created_at, priority FROM {_TASKS})"
 
 
@@ -186,31 +200,31 @@ def _pools(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH a AS (SELECT queue, count(*) FILTER (WHERE status = 'processing') AS active FROM {_POOLS} GROUP BY queue)
 SELECT task_id FROM (SELECT w.*, row_number() OVER (PARTITION BY w.queue ORDER BY priority, created_at, task_id) AS k FROM {_POOLS} w WHERE status = 'waiting') JOIN a USING (queue) WHERE k <= greatest(10 - active, 0)""")
-def next_tasks_all(spark: SparkSession, d: str) -> DataFrame:
+def next_tasks(spark: SparkSession, d: str) -> DataFrame:
     return K.next_tasks(_pools(spark, d)).select("task_id")
 
 
 @query(f"SELECT task_id, row_number() OVER (ORDER BY CASE task_type WHEN 'HIGH' THEN 0 WHEN 'IO' THEN 1 WHEN 'CPU' THEN 2 ELSE 3 END, priority, created_at, task_id) AS place FROM {_TASKS}")
-def scheduled_tasks_all(spark: SparkSession, d: str) -> DataFrame:
+def scheduled_tasks(spark: SparkSession, d: str) -> DataFrame:
     return K.scheduled_places(_tasks(spark, d)).select("task_id", F.col("place").cast("bigint").alias("place"))
 
 
 @query("""SELECT task_id, CASE WHEN last = 'failed' AND failures <= 3 THEN 'waiting' ELSE last END AS status, CAST(least(failures, 3) AS INTEGER) AS retry_count
 FROM (SELECT task_id, max_by(s, event_id) AS last, count(*) FILTER (WHERE s = 'failed') AS failures FROM (SELECT event_id // 10 AS task_id, event_id, CASE WHEN event_id * 37 % 101 < 35 THEN 'failed' ELSE 'processing' END AS s FROM events) GROUP BY task_id)""")
-def task_retries_all(spark: SparkSession, d: str) -> DataFrame:
+def task_retries(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
     status = F.when(k * 37 % 101 < 35, "failed").otherwise("processing")
     return K.fold_events(read(spark, d, "events").select(F.floor(k / 10).alias("task_id"), k.alias("seq"), status.alias("status")))
 
 
-@query(f"SELECT queue, greatest(10 - p, 0) AS available_slots, p + w >= 10 AS queue_full FROM (SELECT queue, count(*) FILTER (WHERE status = 'processing') AS p, count(*) FILTER (WHERE status = 'waiting') AS w FROM {_POOLS} GROUP BY queue)")
-def queue_summaries_all(spark: SparkSession, d: str) -> DataFrame:
+@query(f"SELECT queue, greatest(10 - p, 0) AS available_slots, p + w >= 10 AS queue_full, CASE WHEN p + w >= 10 THEN 'busy' ELSE 'normal' END AS system_status FROM (SELECT queue, count(*) FILTER (WHERE status = 'processing') AS p, count(*) FILTER (WHERE status = 'waiting') AS w FROM {_POOLS} GROUP BY queue)")
+def queue_summaries(spark: SparkSession, d: str) -> DataFrame:
     n = _pools(spark, d).groupBy("queue").agg(F.count_if(F.col("status") == "processing").alias("processing"), F.count_if(F.col("status") == "waiting").alias("waiting"))
-    return K.queue_summary(n).select("queue", "available_slots", "queue_full")
+    return K.queue_summary(n).select("queue", "available_slots", "queue_full", "system_status")
 
 
 @query("SELECT event_id AS task_id, CASE WHEN event_id % 4 <> 3 THEN event_id END AS record_id FROM events")
-def task_records_all(spark: SparkSession, d: str) -> DataFrame:
+def task_records(spark: SparkSession, d: str) -> DataFrame:
     r = _records(spark, d)
     name = F.when(F.col("id") % 4 == 3, "other.pptx").otherwise(F.col("stored_filename"))
     tasks = r.select(F.col("id").alias("task_id"), "user_id", F.concat_ws("/", "file_path", name).alias("file_path"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from glossalake.functions import text as T
 from glossalake.functions import values as V
+from glossalake.functions.translate import DictionaryTranslator, Dispatcher, translate, with_domain
+from glossalake.operators import glossary as G
 from glossalake.plans.base import read, registry
 
 QUERIES, ORACLES, query = registry()
@@ -81,16 +83,72 @@ def meaningful_turns(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", T.meaningful(F.col("text")).alias("text"))
 
 
-@query("SELECT count(*) AS total_pairs, coalesce(avg(length(text)), 0) AS avg_source, coalesce(avg(length(role)), 0) AS avg_target, coalesce(max(length(text)), 0) AS max_source, coalesce(min(length(text)), 0) AS min_source FROM conversations")
+@query("SELECT count(*) AS total_pairs, " + ", ".join(f"coalesce({f}(length({c})), 0) AS {f}_{side}_length" for side, c in (("source", "text"), ("target", "role")) for f in ("avg", "max", "min")) + " FROM conversations")
 def pair_length_statistics(spark: SparkSession, d: str) -> DataFrame:
-    a, b = F.length("text"), F.length("role")
-    zero = lambda c, t: F.coalesce(c, F.lit(0)).cast(t)
-    return read(spark, d, "conversations").agg(F.count("*").alias("total_pairs"), zero(F.avg(a), "double").alias("avg_source"), zero(F.avg(b), "double").alias("avg_target"), zero(F.max(a), "bigint").alias("max_source"), zero(F.min(a), "bigint").alias("min_source"))
+    return G.length_statistics(read(spark, d, "conversations"), "text", "role")
 
 
 @query("SELECT count(*) AS n FROM conversations WHERE length(text) BETWEEN 1 AND 1000 AND length(role) BETWEEN 1 AND 1000")
 def pairs_within_length(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "conversations").where(F.length("text").between(1, 1000) & F.length("role").between(1, 1000)).agg(F.count("*").alias("n"))
+    return G.within_lengths(read(spark, d, "conversations"), "text", "role").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '12' WHEN 1 THEN 'q' ELSE '１２' END AS text, event_id % 3 <> 1 AS page, event_id % 3 <> 1 AS reference FROM events")
+def wide_digits(spark: SparkSession, d: str) -> DataFrame:
+    """Digits of other scripts are digits."""
+    k = F.col("event_id") % 3
+    t = read(spark, d, "events").select("event_id", F.when(k == 0, "12").when(k == 1, "q").otherwise("１２").alias("text"))
+    return t.select("*", T.is_page_number(F.col("text")).alias("page"), T.is_reference(F.col("text")).alias("reference"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type || chr(65533) || 'z' ELSE event_type || 'z' END AS text FROM events")
+def valid_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes that aren't UTF-8 go; a replacement character that is there itself stays."""
+    odd = F.when(F.col("event_id") % 2 == 0, F.unhex(F.lit("FFEFBFBD"))).otherwise(F.unhex(F.lit("C3")))
+    raw = F.concat(F.col("event_type").cast("binary"), odd, F.lit("z").cast("binary"))
+    return read(spark, d, "events").select("event_id", T.valid_utf8(raw).alias("text"))
+
+
+@query("SELECT event_id, CASE event_id % 9 WHEN 0 THEN 'PNG' WHEN 1 THEN 'JPEG' WHEN 2 THEN 'GIF' WHEN 3 THEN 'BMP' WHEN 4 THEN 'TIFF' WHEN 5 THEN 'WebP' WHEN 6 THEN 'WMF' WHEN 7 THEN 'unknown' ELSE 'EMF' END AS format FROM events")
+def image_formats(spark: SparkSession, d: str) -> DataFrame:
+    heads = ("89504E470D0A1A0A", "FFD8FFE000104A46", "4749463839610000", "424D000000000000", "49492A0000000000", "524946460000000057454250", "D7CDC69A00000000", "424D", "01000000" + "00" * 36 + "20454D46")
+    raw = F.unhex(F.get(F.array(*map(F.lit, heads)), (F.col("event_id") % 9).cast("int")))
+    return read(spark, d, "events").select("event_id", T.image_format(raw)["format"].alias("format"))
+
+
+@query("SELECT event_id, event_type AS food, [event_type, 'b'] AS words, CASE WHEN event_id % 2 = 0 THEN [event_type, 'b', 'c'] ELSE ['中', '文'] END AS tokens, 'ab' AS flat FROM events")
+def food_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names without their filing note, lines of stop words, tokens, vertical tabs."""
+    e, k = F.col("event_type"), F.col("event_id")
+    tokens = F.when(k % 2 == 0, T.tokens(F.concat(e, F.lit(" b\tc")))).otherwise(T.tokens(F.lit(" 中 文 "), "zh"))
+    return read(spark, d, "events").select("event_id", T.clean_food_name(F.concat(e, F.lit("备案入\n2020"))).alias("food"), T.stop_word_lines(F.concat(e, F.lit(" \n\n b"))).alias("words"), tokens.alias("tokens"), T.clean_vertical_tabs(F.lit("a\x0b_x000B_b")).alias("flat"))
+
+
+@query(r"SELECT event_id, regexp_extract(url, '^(.*)/[^/]*$', 1) AS dir, regexp_replace(regexp_extract(url, '([^/]*)$', 1), '^(.+)\.[^.]*$', '\1') AS stem FROM (SELECT page_id AS event_id, url || '.tar.gz' AS url FROM pages)")
+def path_parts(spark: SparkSession, d: str) -> DataFrame:
+    u = F.concat("url", F.lit(".tar.gz"))
+    return read(spark, d, "pages").select(F.col("page_id").alias("event_id"), T.dirname(u).alias("dir"), T.stem(u).alias("stem"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN props || chr(10) || event_type ELSE event_type END AS cell FROM events")
+def table_cells(spark: SparkSession, d: str) -> DataFrame:
+    mode = F.when(F.col("event_id") % 4 == 0, "1").when(F.col("event_id") % 4 == 1, "paragraph_up").otherwise("0")
+    return read(spark, d, "events").select("event_id", V.table_cell(F.col("props"), F.col("event_type"), mode).alias("cell"))
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN '医学' WHEN 1 THEN '金融' ELSE '其他' END AS domain FROM events")
+def text_domains(spark: SparkSession, d: str) -> DataFrame:
+    words = {"医学": ["doctor", "drug"], "金融": ["bank"], "法律": ["court", "law"]}
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, "a drug, a doctor, a bank").when(k == 1, "bank and court, bank").otherwise(F.concat(F.repeat(F.lit(" "), 1000), F.lit("law")))
+    return with_domain(read(spark, d, "events").select("event_id", text.alias("text")), words).select("event_id", "domain")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'own' ELSE upper(event_type) END AS translation FROM events")
+def dispatched_translations(spark: SparkSession, d: str) -> DataFrame:
+    """By the model asked for; stop words stay, custom translations come first."""
+    models = Dispatcher({"upper": DictionaryTranslator({r[0]: r[0].upper() for r in read(spark, d, "events").select("event_type").distinct().limit(1000).collect()})}, ("click",), {"view": "own"})
+    return translate(read(spark, d, "events").select("event_id", F.col("event_type").alias("text")), models.by("upper"), "English", "Chinese").select("event_id", "translation")
 
 
 @query(rf"SELECT conv_id, list_filter(list_transform(string_split(string_agg(text, '[block]' ORDER BY turn), '[block]'), lambda s: {_STRIP.format('s')}), lambda s: s <> '') AS parts FROM conversations GROUP BY conv_id")
@@ -154,6 +212,19 @@ def bilingual_texts(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", V.bilingual(F.col("event_type"), F.col("props"), mode).alias("text"), V.annotation_note(even("event_type"), F.lit(""), even("props")).alias("note"))
 
 
+_FORMS = "CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 2 THEN strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S') END"
+
+
+@query(f"SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') || ' 00:00:00' WHEN 3 THEN '' ELSE replace({_FORMS}, 'T', ' ') END AS shown, CASE WHEN event_id % 4 = 0 THEN strftime(ts, '%Y-%m-%d') || ' 23:59:59' END AS last FROM events")
+def time_forms(spark: SparkSession, d: str) -> DataFrame:
+    """A day, a local ISO time, one with an offset, and none; an end at midnight means the day's end."""
+    k, iso = F.col("event_id") % 4, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    raw = F.when(k == 0, F.date_format("ts", "yyyy-MM-dd")).when(k == 1, iso).when(k == 2, F.concat(iso, F.lit("Z"))).otherwise("no time")
+    at = V.parse_datetime(raw)
+    local = F.from_utc_timestamp(at, "Asia/Shanghai")
+    return read(spark, d, "events").select("event_id", V.format_datetime(at).alias("shown"), F.when(k == 0, F.date_format(V.widened_end(local), "yyyy-MM-dd HH:mm:ss")).alias("last"))
+
+
 @query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS shown, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S+08:00') AS iso, CASE WHEN ts = date_trunc('day', ts) THEN true ELSE false END AS midnight FROM events")
 def parsed_times(spark: SparkSession, d: str) -> DataFrame:
     local = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")

@@ -156,10 +156,31 @@ def test_sheet_and_slides(spark, tmp_path):
     with zipfile.ZipFile(raw, "w") as z:
         z.writestr("ppt/slides/slide1.xml", "<sld><sp><p><r><t>Hi</t></r></p><p><r><t>you</t></r></p></sp></sld>")
     (tmp_path / "a.pptx").write_bytes(raw.getvalue())
-    office.register(spark)
-    rows = spark.read.format("sheet").load(str(tmp_path / "*.xlsx")).orderBy("row").collect()
+    rows = office.sheets(spark, str(tmp_path / "*.xlsx")).orderBy("row").collect()
     assert [r.cells for r in rows] == [["english", None, "2"], ["你好"]]
-    assert spark.read.format("slides").load(str(tmp_path / "*.pptx")).first().text == "Hi\nyou"
+    assert office.slides(spark, str(tmp_path / "*.pptx")).first().text == "Hi\nyou"
+
+
+def workbook(path, sheets, order=()):
+    """sheets: number -> rows of texts; order: the numbers as the workbook lists them."""
+    with zipfile.ZipFile(path, "w") as z:
+        for n, rows in sheets.items():
+            cells = "".join(f'<row r="{k}">' + "".join(f'<c t="inlineStr"><is><t>{t}</t></is></c>' for t in row) + "</row>" for k, row in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{n}.xml", f"<worksheet><sheetData>{cells}</sheetData></worksheet>")
+        if order:
+            z.writestr("xl/workbook.xml", '<workbook xmlns:r="x"><sheets>' + "".join(f'<sheet name="s{n}" r:id="r{n}"/>' for n in order) + "</sheets></workbook>")
+            z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="r{n}" Target="worksheets/sheet{n}.xml"/>' for n in order) + "</Relationships>")
+
+
+def test_the_first_sheet_is_that_of_the_workbook(spark, tmp_path):
+    workbook(tmp_path / "a.xlsx", {2: [["two"]], 10: [["ten"]]})
+    workbook(tmp_path / "b.xlsx", {2: [["two"]], 10: [["ten"]]}, (10, 2))
+    workbook(tmp_path / "c.xlsx", {})
+    workbook(tmp_path / "d.xlsx", {1: [R.HEADER, ("hello", "你好", "Hallo", "x", "1")]})
+    found = office.sheets(spark, str(tmp_path / "*.xlsx"))
+    assert {r.file: r.cells for r in found.where("row = 1 and file < 'd'").collect()} == {"a.xlsx": ["two"], "b.xlsx": ["ten"]}
+    rows = office.with_header(found, R.HEADER).collect()
+    assert [(r.file, r.row, r.english, r.is_public) for r in rows] == [("d.xlsx", 2, "hello", "1")]
 
 
 def test_files(spark, tmp_path):
@@ -212,13 +233,13 @@ def test_task_queries_read_every_event(spark, tmp_path):
     busy = {u: sum(status[k] == "processing" for k in of[u]) for u in of}
     waiting = {u: sorted((k for k in of[u] if status[k] == "waiting"), key=lambda k: (k % 3, n[k][0], k)) for u in of}
     want = {u: (max(10 - busy[u], 0), busy[u] + len(waiting[u]) >= 10) for u in of}
-    assert {r.queue: (r.available_slots, r.queue_full) for r in Q["queue_summaries_all"](spark, d).collect()} == want
-    assert sorted(r.task_id for r in Q["next_tasks_all"](spark, d).collect()) == sorted(k for u in of for k in waiting[u][: want[u][0]])
-    assert {r.task_id: r.record_id for r in Q["task_records_all"](spark, d).collect()} == {k: None if k % 4 == 3 else k for k in n}
+    assert {r.queue: (r.available_slots, r.queue_full) for r in Q["queue_summaries"](spark, d).collect()} == want
+    assert sorted(r.task_id for r in Q["next_tasks"](spark, d).collect()) == sorted(k for u in of for k in waiting[u][: want[u][0]])
+    assert {r.task_id: r.record_id for r in Q["task_records"](spark, d).collect()} == {k: None if k % 4 == 3 else k for k in n}
     order = sorted(n, key=lambda k: ((3, 2, 1, 0)[k % 4], k % 3, n[k][0], k))
-    assert {r.task_id: r.place for r in Q["scheduled_tasks_all"](spark, d).collect()} == {k: p for p, k in enumerate(order, 1)}
+    assert {r.task_id: r.place for r in Q["scheduled_tasks"](spark, d).collect()} == {k: p for p, k in enumerate(order, 1)}
     fails = {t: [k * 37 % 101 < 35 for k in range(10 * t, 10 * t + 10)] for t in range(40)}
-    got = {r.task_id: (r.status, r.retry_count) for r in Q["task_retries_all"](spark, d).collect()}
+    got = {r.task_id: (r.status, r.retry_count) for r in Q["task_retries"](spark, d).collect()}
     assert got == {t: (("waiting" if sum(f) <= 3 else "failed") if f[-1] else "processing", min(sum(f), 3)) for t, f in fails.items()}
     assert len({s for s, _ in got.values()}) == 3
 
@@ -242,3 +263,113 @@ def test_matching_reads_whole_texts_and_all_items(spark, tmp_path):
     got = {r.place: (r.translation, r.stage) for r in Q["matched_paragraphs"](spark, d).collect()}
     assert got == E.assign_paragraphs(texts, [(x, f"T{k}") for k, x in enumerate(source)]) and got[1] == ("T2", "exact")
     assert {r.place: r.shape for r in Q["matched_shapes"](spark, d).collect()}[1] == 2
+
+
+def entries(spark, rows):
+    return spark.createDataFrame(rows, "id int, english string, chinese string, dutch string, category string, user_id int, is_public boolean")
+
+
+OLD = [(1, "a", "x", None, None, 7, False), (2, "b", "x", None, None, 7, True), (3, "c", "x", None, None, 8, False), (4, "d", "x", None, None, 8, True), (5, "b", "x", None, None, 7, False)]
+
+
+@pytest.mark.parametrize(("user", "admin", "ids"), [(7, False, {1, 5}), (8, False, {3}), (9, False, set()), (7, True, {1, 5, 2, 4}), (9, True, {2, 4})])
+def test_who_may_delete(spark, user, admin, ids):
+    assert {r.id for r in R.deletable(entries(spark, OLD), user, admin).collect()} == ids
+
+
+@pytest.mark.parametrize(
+    ("user", "admin", "change", "status"),
+    [
+        (7, False, (1, "z", "y", None), "changed"), (8, False, (1, "z", "y", None), "forbidden"), (8, True, (1, "z", "y", None), "forbidden"),
+        (7, False, (2, "z", "y", None), "forbidden"), (9, True, (2, "z", "y", None), "changed"), (9, True, (2, "d", "y", None), "exists"),
+        (9, True, (2, "a", "y", None), "changed"), (7, False, (1, "b", "y", None), "exists"), (7, False, (1, "c", "y", None), "changed"),
+        (7, False, (1, "a", "y", None), "changed"), (7, False, (1, "z", "", None), "incomplete"), (7, False, (1, None, "y", None), "incomplete"),
+        (7, False, (1, "z", "y", True), "forbidden"), (7, False, (1, "z", "y", False), "changed"), (7, True, (1, "d", "y", True), "exists"),
+        (7, True, (1, "z", "y", True), "changed"), (9, True, (2, "z", "y", False), "changed"),
+    ],
+)
+def test_who_may_change_what(spark, user, admin, change, status):
+    asked = spark.createDataFrame([(*change[:3], None, None, change[3])], "id int, english string, chinese string, dutch string, category string, is_public boolean")
+    got = {r.id: r for r in R.updated(entries(spark, OLD), asked, user, admin).collect()}
+    assert got[change[0]].status == status and len(got) == len(OLD)
+    old = {r[0]: r for r in OLD}
+    for k, r in got.items():
+        if k != change[0] or status != "changed":
+            assert tuple(r)[:7] == old[k]
+        else:
+            assert (r.english, r.chinese) == change[1:3] and r.is_public == (old[k][6] if change[3] is None else change[3])
+
+
+def test_additions_come_one_after_another(spark):
+    new = [
+        (1, "x", "", 9, False, False), (2, "x", "y", 9, False, False), (3, "x", "y", 9, False, False), (4, "x", "y", 8, True, False),
+        (5, "p", "y", 9, True, True), (6, "p", "y", 9, False, True), (7, "p", "y", 8, False, False), (8, "p", "y", 8, True, True),
+        (9, "b", "y", 9, True, True), (10, "b", "y", 9, False, False), (11, "a", "y", 7, False, False), (12, "q", "y", 6, False, True), (13, "q", "y", 6, True, True),
+    ]
+    rows = spark.createDataFrame(new, "row int, english string, chinese string, user_id int, is_public boolean, admin boolean")
+    got = {r.row: (r.status, r.is_public) for r in R.accepted(rows, entries(spark, OLD), admin="admin").collect()}
+    held = [(e, u, p) for _, e, _, _, _, u, p in OLD]
+    for row, english, chinese, user, public, admin in new:  # as the application adds them
+        public = public and admin
+        clash = any(e == english and (p if public else u == user) for e, u, p in held)
+        want = "incomplete" if not chinese else "accepted" if not clash else "exists" if any(e == english and (p if public else u == user) for _, e, _, _, _, u, p in OLD) else "repeated"
+        assert got[row] == (want, public), row
+        if want == "accepted":
+            held.append((english, user, public))
+
+
+def test_new_users_get_the_next_ids(spark):
+    users = spark.createDataFrame([(4, "ann", "a@x", "Ann", "pending"), (9, "bob", "b@x", "Bob", "approved")], "id int, username string, email string, display_name string, status string")
+    users = users.selectExpr("*", "cast(null as string) AS sso_provider", "cast(null as string) AS sso_subject", "cast(null as timestamp) AS last_login")
+    logins = spark.createDataFrame([("ann", "a@x", "", "s1"), ("cy", "c@x", "Cy", None), ("bob", "other@x", "B", "s3")], "username string, email string, display_name string, sub string")
+    got = {(r.username, r.email): r for r in R.upserted(users, logins, ["display_name"], provider="oidc").collect()}
+    assert sorted(r.id for r in got.values()) == [4, 9, 10, 11]
+    assert got["ann", "a@x"].display_name == "Ann" and got["ann", "a@x"].sso_subject == "s1" and got["ann", "a@x"].status == "pending"
+    assert got["cy", "c@x"].status == "approved" and got["cy", "c@x"].sso_subject == "" and got["cy", "c@x"].last_login is not None
+    assert got["bob", "b@x"].sso_provider is None and got["bob", "other@x"].id in (10, 11)
+
+
+def test_patterns_that_java_reads_otherwise(spark):
+    found = lambda text, *patterns: one(spark, L.any_pattern(F.col("a"), patterns), text)
+    assert found("xaa", r"(?P<c>a)(?P=c)") and not found("xab", r"(?P<c>a)(?P=c)")
+    assert found("aXbXb", r"(a)x", r"(b)x\1") and found("select x from 表", *L.SQL_PATTERNS)
+    assert found("1 [abc", "[ABC") and not found("abc", "[abc")
+    assert found("a{,2}", "a{,2}") in (True, False)  # runs, whichever way it is read
+    assert not found(None, "a")
+
+
+def test_places_over_large_groups(spark):
+    from glossalake.operators.numbering import numbered
+
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 500).alias("at"), "id")
+    got = numbered(df, ["g"], ["at", "id"], F.floor(F.col("at") / 40)).collect()
+    for g in range(3):
+        rows = sorted((r.at, r.id, r.place) for r in got if r.g == g)
+        assert [p for *_, p in rows] == list(range(1, len(rows) + 1))
+
+
+def test_shapes_and_paragraphs_as_the_application_matches_them(spark):
+    texts = spark.createDataFrame([(1, 0, "a\nb"), (1, 1, ""), (1, 2, "some longer text")], "slide int, place int, text string")
+    shapes = spark.createDataFrame([(1, 0, ""), (1, 1, " a\r\nb "), (1, 2, "some longer texts")], "slide int, place int, text string")
+    assert {r.place: r.shape for r in E.match_shape(texts, shapes, "slide").collect()} == {0: 1, 1: 0, 2: 2}
+    left = spark.createDataFrame([(1, 0, "12.5 %"), (1, 1, "a text")], "slide int, place int, text string")
+    right = spark.createDataFrame([(1, 0, "12.5 %", "t0"), (1, 1, "a text", "t1")], "slide int, place int, source string, target string")
+    assert [(r.place, r.translation) for r in E.match_paragraphs(left, right, "slide").collect()] == [(1, "t1")]
+
+
+def test_unknown_models_are_refused():
+    from glossalake.functions.translate import DictionaryTranslator, Dispatcher
+
+    models = Dispatcher({"a": DictionaryTranslator({"x": "y"})}, ("stop",), {"own": "mine"})
+    assert models.by("a").translate(["x", "stop", "own", "z"], "English", "Dutch") == ["y", "stop", "mine", None]
+    with pytest.raises(ValueError, match="unknown model"):
+        models.by("b")
+
+
+def test_more_text_edges(spark):
+    assert one(spark, T.is_page_number(F.col("a")), "１２") and one(spark, T.is_page_number(F.col("a")), "٣٤") and not one(spark, T.is_page_number(F.col("a")), "０")
+    assert one(spark, T.image_format(F.unhex(F.col("a"))), "424D").asDict() == {"format": "unknown", "media_type": "unknown"}
+    assert one(spark, T.image_format(F.unhex(F.col("a"))), "524946460574542505000000")["format"] == "unknown"
+    assert one(spark, T.valid_utf8(F.unhex(F.col("a"))), "41FFEFBFBD42C3") == "A\ufffdB"
+    odd = L.parse(spark.createDataFrame([("\x01a\x01b\x01c\x01d",)], "value string")).first()
+    assert (odd.logger, odd.level) == ("unknown", "INFO")
