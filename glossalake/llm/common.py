@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossalake.shared import shared_dir
+
 #: Rows in one Arrow batch sent to Python; a batch of texts stays within tens of MB.
 ARROW_ROWS = 500
 
@@ -18,6 +19,14 @@ def inputs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or the next longer one that df has no column of, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the memory of Python workers: a batch holds at most ARROW_ROWS rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -25,17 +34,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share; one of our own only where it is unset."""
-    sc = spark.sparkContext
-    got = sc._jsc.sc().getCheckpointDir()
-    if got.isDefined():
-        return got.get()
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="glossalake-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: the plan is cut there, and a lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
@@ -58,10 +56,20 @@ def remainder(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n))
 
 
+#: Bytes of text that a training sample holds, about.
+SAMPLE_BYTES = 64 << 20
+
+
+def sampled(df: DataFrame, most: int, seed: str, text_col: str = "text", most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """About ``most`` rows of df (all, if it has no more) and at most about ``most_bytes`` of text, picked by a hash of their id; at most twice as many rows whatever the ids are."""
+    parts, total = 1_000_000, df.count()
+    key = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(parts))
+    share = parts if total <= most else max(1, most * parts // total)
+    size = df.where(key < share).agg(F.sum(F.octet_length(text_col))).first()[0] or 0  # texts are read of the sample alone
+    if size > most_bytes:
+        share = max(1, share * most_bytes // size)
+    return (df if share == parts else df.where(key < share)).limit(2 * most)
+
+
 def bounded_sample(df: DataFrame, most: int, seed: str) -> list:
-    """About ``most`` rows of df (all, if it has no more), picked by a hash of their id; at most twice as many whatever the ids are."""
-    total = df.count()
-    if total > most:
-        key = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1_000_000))
-        df = df.where(key < max(1, most * 1_000_000 // total))
-    return df.limit(2 * most).collect()
+    return sampled(df, most, seed).collect()
