@@ -1,23 +1,27 @@
 """Sharding by minimax contiguous partition, in DataFrame operations only.
 
-Documents are ordered by a hash of their text, so that equal texts lie together in
-one of ``CELLS`` cells; a cell is the atomic group. The sizes of all cells (a number
-that doesn't grow with the data) give the smallest shard capacity by binary search,
-each trial checked greedily, and the order is cut there.
+Documents are ordered by a hash of their text; equal texts are one atomic group. The
+driver sees sums over stretches of that order, at first coarse ones. They bound the smallest
+capacity of a shard (binary search, each trial checked greedily) from above, by cutting between
+stretches only, and from below, by cutting anywhere but inside a single group. Until the
+bounds meet, the stretches in which a cut can fall are looked at more finely, so that the
+capacity is the smallest one over the groups themselves and a few numbers reach the driver.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossalake.llm.common import inputs
+from glossalake.llm.common import dropped, inputs, stored
 
-#: Atomic groups in the order; a power of two.
-CELLS = 1 << 16
+#: Bits of the hash that part the first stretches, and further bits for each closer look.
+FIRST, CLOSER = 16, 8
 #: Bytes that a row takes beside its text.
 OVERHEAD = 8
 #: Slots are numbered within COARSE x SALTS pieces of the order, so that no task numbers a whole shard or a hot text.
@@ -28,9 +32,9 @@ def _text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def cell(text: Column) -> Column:
-    """The place of a text in the order; null counts as empty."""
-    return F.shiftrightunsigned(F.xxhash64(_text(text)), 48).cast("int")
+def place(text: Column) -> Column:
+    """Where a text stands in the order, a signed 64-bit number; null counts as empty."""
+    return F.xxhash64(_text(text))
 
 
 def size(text: Column) -> Column:
@@ -41,62 +45,148 @@ def cuts(sizes: list[int], shards: int) -> list[int]:
     """Ends (exclusive) of the shards over ordered group sizes: none exceeds the smallest feasible capacity, and within it sizes are as even as the order allows."""
     ends = [0, *accumulate(sizes)]
     groups, total = len(sizes), ends[-1]
-
-    def reach(start: int, capacity: int) -> int:
-        return bisect_right(ends, ends[start] + capacity) - 1
-
-    def feasible(start: int, left: int, capacity: int) -> bool:
-        for _ in range(left):
-            start = reach(start, capacity)
-        return start >= groups
-
-    low, high = max([-(-total // shards), *sizes], default=0), total
-    while low < high:
-        mid = (low + high) // 2
-        low, high = (low, mid) if feasible(0, shards, mid) else (mid + 1, high)
+    low = capacity(sizes, shards)
     out, start = [], 0
     for left in range(shards, 0, -1):
-        most = reach(start, low)
+        most = _reach(ends, start, low)
         aim = ends[start] + (total - ends[start]) / left
         at = bisect_left(ends, aim)
         at = at if at <= groups and (at == 0 or ends[min(at, groups)] - aim <= aim - ends[at - 1]) else at - 1
         a, b = start, most  # the least end from which the rest still fits
         while a < b:
             mid = (a + b) // 2
-            a, b = (a, mid) if feasible(mid, left - 1, low) else (mid + 1, b)
+            a, b = (a, mid) if _fits(ends, mid, left - 1, low) else (mid + 1, b)
         start = min(most, max(a, at))
         out.append(start)
     return out
 
 
-def plan(df: DataFrame, shards: int, text_col: str = "text") -> list[int]:
-    """Ends of the shards, as cell numbers. At most CELLS sums reach the driver; an empty table gives empty shards."""
-    sums = df.groupBy(cell(F.col(text_col)).alias("cell")).agg(F.sum(size(F.col(text_col))).alias("bytes")).collect()
-    sizes = [0] * CELLS
-    for r in sums:
-        sizes[r["cell"]] = r["bytes"]
-    return cuts(sizes, shards)
+def _reach(ends: list[int], start: int, most: int) -> int:
+    return bisect_right(ends, ends[start] + most) - 1
+
+
+def _fits(ends: list[int], start: int, shards: int, most: int) -> bool:
+    for _ in range(shards):
+        start = _reach(ends, start, most)
+    return start >= len(ends) - 1
+
+
+def _smallest(low: int, high: int, feasible) -> int:
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if feasible(mid) else (mid + 1, high)
+    return low
+
+
+def capacity(sizes: list[int], shards: int) -> int:
+    """The smallest capacity of which ``shards`` shards hold all groups in order."""
+    ends = [0, *accumulate(sizes)]
+    return _smallest(max([-(-ends[-1] // shards), *sizes], default=0), ends[-1], lambda most: _fits(ends, 0, shards, most))
+
+
+@dataclass(frozen=True)
+class Stretch:
+    """A stretch of the order: its first possible place, its bytes, and whether it is a single group."""
+
+    start: int
+    bytes: int
+    single: bool
+
+
+def open_stretches(parts: list[Stretch], shards: int) -> list[int]:
+    """Numbers of the stretches that a closer look must part; none once the capacity is the smallest one over the groups."""
+    sizes = [p.bytes for p in parts]
+    ends = [0, *accumulate(sizes)]
+    total, above = ends[-1], capacity(sizes, shards)
+
+    def walk(most: int, anywhere: bool) -> list[int]:
+        """Bytes before each cut if shards are filled greedily; a stretch of several groups is cut at any byte, or not at all."""
+        at, out = 0, []
+        for _ in range(shards):
+            to = min(at + most, total)
+            k = bisect_right(ends, to) - 1
+            if ends[k] != to and not (anywhere and not parts[k].single):
+                to = max(at, ends[k])
+            at = to
+            out.append(at)
+        return out
+
+    least = max([-(-total // shards), *(p.bytes for p in parts if p.single)], default=0)
+    below = _smallest(least, above, lambda most: walk(most, True)[-1] >= total)
+    if below >= above:
+        return []
+    found: set[int] = set()
+    for a, b in zip(walk(below, False), walk(above, True), strict=True):
+        found.update(range(max(0, bisect_right(ends, a) - 1), min(len(parts), bisect_left(ends, b) + 1)))
+    return sorted(k for k in found if not parts[k].single)
+
+
+def plan(df: DataFrame, shards: int, text_col: str = "text", first: int = FIRST, closer: int = CLOSER) -> list[int]:
+    """The places at which a new shard begins, in order, one less than there are shards; an empty table gives empty shards.
+
+    No shard exceeds the smallest capacity that the groups of equal texts allow in their order (groups of one
+    64-bit hash count as equal). At most 2 ** first sums reach the driver, and 2 ** closer for each stretch that a cut can fall in.
+    """
+    text = F.col(text_col)
+    groups = stored(df.select(place(text).alias("h"), size(text).alias("bytes")).groupBy("h").agg(F.sum("bytes").alias("bytes")), "groups")
+    bits, parts = first, _sums(groups, first)
+    while bits < 64 and (wanted := open_stretches(parts, shards)):
+        ranges = [(parts[k].start, parts[k].start + (1 << (64 - bits)) - 1) for k in wanted]
+        inside = reduce(Column.__or__, (F.col("h").between(a, b) for a, b in _joined(ranges)))
+        bits = min(64, bits + closer)
+        kept = set(wanted)
+        parts = sorted([*(p for k, p in enumerate(parts) if k not in kept), *_sums(groups.where(inside), bits)], key=lambda p: p.start)
+    dropped(df.sparkSession, groups)
+    ends = cuts([p.bytes for p in parts], shards)
+    past = (1 << 63) - 1  # a shard after the last group begins nowhere
+    return [parts[e].start if e < len(parts) else past for e in ends[:-1]]
+
+
+def _sums(groups: DataFrame, bits: int) -> list[Stretch]:
+    """Bytes of the stretches that the first bits of the hash part."""
+    rows = groups.groupBy(F.shiftright("h", 64 - bits).alias("at")).agg(F.sum("bytes").alias("bytes"), (F.count("*") == 1).alias("single")).collect()
+    return sorted((Stretch(r["at"] << (64 - bits), r["bytes"], r["single"]) for r in rows), key=lambda p: p.start)
+
+
+def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Neighbouring ranges as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in ranges:
+        if out and a == out[-1][1] + 1:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _shard(at: Column, begins: list[int]) -> Column:
+    return sum(((at >= b).cast("int") for b in begins), F.lit(0))
 
 
-def assign(df: DataFrame, ends: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot for every row.
+def assign(df: DataFrame, begins: list[int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot for every row, by the places that plan() gives.
 
     A null text counts as empty. Equal texts share a shard. Slots of a shard run from 0
-    without gaps in the order of cells; repeated rows take neighbouring slots.
+    without gaps, roughly in the order of places; repeated rows take slots of their own.
     """
-    rows = inputs(df, id_col, text_col).select("doc_id", size(F.col("text")).alias("size"), F.crc32(_text(F.col("text")).cast("binary")).alias("text_crc32"), cell(F.col("text")).alias("cell"))
-    shard = sum(((F.col("cell") >= end).cast("int") for end in ends[:-1]), F.lit(0))
-    rows = rows.select("*", shard.alias("shard"), F.shiftright("cell", 6).alias("coarse"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    text = F.col("text")
+    rows = inputs(df, id_col, text_col).select("doc_id", size(text).alias("size"), F.crc32(_text(text).cast("binary")).alias("text_crc32"), place(text).alias("at"))
+    coarse = F.shiftright("at", 64 - (COARSE.bit_length() - 1)).cast("int")
+    rows = rows.select("*", _shard(F.col("at"), begins).alias("shard"), coarse.alias("coarse"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
     piece = ["shard", "coarse", "salt"]
     before = Window.partitionBy("shard").orderBy("coarse", "salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy(*piece).agg(F.count("*").alias("n")).select(*piece, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy(*piece).orderBy("cell", "doc_id", "text_crc32")))
-    return placed.join(offsets, piece).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("at") - 1).alias("slot"))
+    placed = rows.withColumn("k", F.row_number().over(Window.partitionBy(*piece).orderBy("at", "doc_id", "text_crc32")))
+    return placed.join(offsets, piece).select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("k") - 1).alias("slot"))
 
 
 def write_shards(df: DataFrame, path: str, shards: int, text_col: str = "text") -> None:
-    """Write df's rows, all columns, to one folder per shard; several files to a folder."""
-    ends = plan(df, shards, text_col)
-    shard = sum(((cell(F.col(text_col)) >= end).cast("int") for end in ends[:-1]), F.lit(0))
-    spread = df.withColumn("__shard", shard).repartition("__shard", F.pmod(cell(F.col(text_col)), F.lit(16)))
-    spread.write.partitionBy("__shard").parquet(path)
+    """Write df's rows, all columns, to one folder per shard (``shard=0`` ...); several files to a folder.
+
+    A null text counts as empty, equal texts and repeated rows share a folder, an empty table gives no folder. df has no column ``shard``.
+    """
+    if "shard" in df.columns:
+        raise ValueError("the table has a column named shard")
+    at = place(F.col(text_col))
+    spread = df.withColumn("shard", _shard(at, plan(df, shards, text_col))).repartition(F.col("shard"), F.pmod(at, F.lit(16)))
+    spread.write.partitionBy("shard").parquet(path)
