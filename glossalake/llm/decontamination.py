@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossalake.llm.common import inputs, small_batches
+from glossalake.llm.common import inputs, small_batches, unused
 
 LEAST = 5
 THRESHOLD = 0.5
@@ -26,6 +26,7 @@ THRESHOLD = 0.5
 BROADCAST_BYTES = 16 << 20
 _WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def words(text: str | None) -> list[str]:
@@ -50,41 +51,65 @@ def rolling(numbers: np.ndarray, length: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+class Stretches:
+    """Karp-Rabin hashes of a row of numbers (0 matches nothing), by prefix sums, of the stretches that are still free."""
+
+    def __init__(self, numbers: np.ndarray) -> None:
+        n = len(numbers)
+        with np.errstate(over="ignore"):
+            up = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, _BASE))))
+            self.down = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n, _INVERSE))))
+            self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_spread(numbers) * up[:n], dtype=np.uint64)))
+        self.free = numbers > 0
+
+    def of(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the free stretches of a length, and their hashes."""
+        taken = np.concatenate(([0], np.cumsum(~self.free)))
+        at = np.flatnonzero(taken[length:] == taken[: len(taken) - length])
+        return at, (self.sums[at + length] - self.sums[at]) * self.down[at]
+
+
+def _spread(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
 def tile(item: list, text: list, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item place, text place, length >= least), longest first; equal lengths in order of place."""
-    free_item, free_text = [True] * len(item), [True] * len(text)
-    numbers = {w: k + 1 for k, w in enumerate(dict.fromkeys(item))}
-    a, b = ([numbers.get(w, 0) for w in x] for x in (item, text))
-    tiles, length = [], len(item)
-    mod, base = (1 << 61) - 1, 1_000_003
-
-    def hashes(x: list[int], free: list[bool], n: int) -> Iterator[tuple[int, int]]:
-        """(hash, place) of the stretches of n that are unmarked, by one rolling pass."""
-        top, h, run = pow(base, n - 1, mod), 0, 0
-        for at, v in enumerate(x):
-            if not free[at] or not v:
-                h = run = 0
-                continue
-            if run >= n:
-                h = (h - x[at - n] * top) % mod
-            h, run = (h * base + v) % mod, run + 1
-            if run >= n:
-                yield h, at - n + 1
+    """Greedy tiles (item place, text place, length >= least), longest first; equal lengths in order of place.
 
-    while length >= least:
+    Each round jumps to the longest length of which both sides have an equal free stretch (halving, as shorter
+    stretches of it are equal too) and marks all of that length. Of each hash the free places of the text are a
+    queue, since a place once taken stays so: no pairs of places are listed.
+    """
+    numbers = {w: k + 1 for k, w in enumerate(dict.fromkeys(item))}
+    a, b = (np.array([numbers.get(w, 0) for w in x], np.int64) for x in (item, text))
+    left, right = Stretches(a), Stretches(b)
+    tiles, most = [], min(len(a), len(b))
+
+    def shared(length: int) -> bool:
+        return bool(np.isin(left.of(length)[1], right.of(length)[1]).any())
+
+    while most >= least and shared(least):
+        low, high = least, most
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if shared(mid) else (low, mid - 1)
         places: dict[int, list[int]] = {}
-        for h, at in hashes(b, free_text, length):
-            places.setdefault(h, []).append(at)
-        found = []
-        for h, i in hashes(a, free_item, length):
-            for j in places.get(h, ()):
-                if a[i : i + length] == b[j : j + length]:
-                    found.append((i, j))
-        for i, j in found:  # of this length, the longest there is: occluded ones come again shorter
-            if all(free_item[i : i + length]) and all(free_text[j : j + length]):
-                free_item[i : i + length] = free_text[j : j + length] = [False] * length
-                tiles.append((i, j, length))
-        length -= 1
+        for j, h in zip(*(x.tolist() for x in right.of(low)), strict=True):
+            places.setdefault(h, []).append(j)
+        begun = dict.fromkeys(places, 0)
+        for i, h in zip(*(x.tolist() for x in left.of(low)), strict=True):
+            if not left.free[i : i + low].all():
+                continue
+            queue = places.get(h, ())
+            while begun.get(h, 0) < len(queue):
+                j = queue[begun[h]]
+                if right.free[j : j + low].all() and (a[i : i + low] == b[j : j + low]).all():
+                    left.free[i : i + low] = right.free[j : j + low] = False
+                    tiles.append((i, j, low))
+                    break
+                begun[h] += 1
+        most = low - 1  # none of this length is left
     return tiles
 
 
@@ -140,6 +165,10 @@ class Benchmark:
         tiles = tile(self.items[item], near, self.least)
         return sum(n for *_, n in tiles) / len(self.items[item]), len(tiles)
 
+    def hopeful(self, item: int, places: list[int], threshold: float) -> bool:
+        """Whether so many seeds can make tiles of the threshold: a tile of n words has n + 1 - least seeds, a least-th of n or more."""
+        return len(places) * self.least >= threshold * len(self.items[item])
+
 
 def contaminations(df: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, item_id, coverage and tiles for each document and item of which it holds the threshold or more.
@@ -151,11 +180,12 @@ def contaminations(df: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
     small_batches(df.sparkSession)
     items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = _by_broadcast(inputs(df, id_col, text_col), items, least) if size <= broadcast_bytes else _by_shuffle(inputs(df, id_col, text_col), items, least)
+    meet = _by_broadcast if size <= broadcast_bytes else _by_shuffle
+    found = meet(inputs(df, id_col, text_col), items, least, threshold)
     return found.where(F.col("coverage") >= threshold)
 
 
-def _by_broadcast(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
+def _by_broadcast(docs: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
     rows = sorted((r["item_id"], r["text"]) for r in items.collect())
     shared = docs.sparkSession.sparkContext.broadcast(Benchmark.of(rows, least))
 
@@ -165,7 +195,8 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
             for k, text in zip(ids, batch.column("text"), strict=True):
                 tokens = words(text.as_py())
                 for item, places in sorted(shared.value.candidates(tokens).items()):
-                    found.append((k, item, *shared.value.coverage(item, tokens, places)))
+                    if shared.value.hopeful(item, places, threshold):
+                        found.append((k, item, *shared.value.coverage(item, tokens, places)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (batch.column("doc_id").type, pa.int64(), pa.float64(), pa.int32()), strict=True)], ["doc_id", "item_id", "coverage", "tiles"])
 
@@ -173,13 +204,13 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, item_id bigint, coverage double, tiles int")
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
+def _by_shuffle(docs: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
     """For a benchmark too large to broadcast: equal seeds meet in a join, and texts follow only for the pairs found."""
 
     @F.pandas_udf("array<bigint>")
     def seeds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield texts.map(lambda t: np.unique(rolling(_numbers(words(t)), least)).view(np.int64), na_action=None)
+            yield texts.map(lambda t: rolling(_numbers(words(t)), least).view(np.int64), na_action=None)
 
     @F.pandas_udf("struct<coverage:double,tiles:int>")
     def cover(texts: pd.Series, others: pd.Series) -> pd.DataFrame:
@@ -190,17 +221,25 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
             out.append(one.coverage(0, tokens, one.candidates(tokens).get(0, [])) if one.items else (0.0, 0))
         return pd.DataFrame(out, columns=["coverage", "tiles"])
 
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    left = docs.select("row", F.explode(seeds("text")).alias("seed"))
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))  # the same whenever the table is read; equal rows share it
+    left = docs.select("doc_id", "key", F.explode(seeds("text")).alias("seed")).distinct()
     items = items.groupBy("item_id").agg(F.max("text").alias("item"))
-    right = items.select("item_id", F.explode(seeds("item")).alias("seed"))
-    pairs = left.join(right, "seed").select("row", "item_id").distinct()
-    both = pairs.join(items, "item_id").join(docs, "row")
+    seeded = items.select("item_id", seeds("item").alias("seeds"))
+    places = seeded.select("item_id", F.size("seeds").alias("m"), F.explode("seeds").alias("seed")).groupBy("item_id", "m", "seed").agg(F.count("*").alias("n"))
+    met = left.join(places, "seed").groupBy("doc_id", "key", "item_id", "m").agg(F.sum("n").alias("n"))
+    # an item of n words has n + 1 - least seeds, and so has a tile: a least-th of its words or more
+    pairs = met.where(F.col("n") * least >= F.lit(threshold) * (F.col("m") + least - 1))
+    pairs = pairs.select(F.col("doc_id").alias("p_id"), F.col("key").alias("p_key"), "item_id")
+    both = pairs.join(items, "item_id").join(docs, (F.col("p_key") == docs["key"]) & docs["doc_id"].eqNullSafe(F.col("p_id")))
     return both.select("doc_id", "item_id", cover("text", "item").alias("c")).select("doc_id", F.col("item_id").cast("bigint").alias("item_id"), "c.coverage", "c.tiles")
 
 
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """df's rows, columns unchanged, without the documents that hold a benchmark item."""
-    found = contaminations(df, benchmark, **options).select(F.col("doc_id").alias("__held")).distinct()
+    """df's rows, columns unchanged, without the documents that hold a benchmark item.
+
+    All rows of an id go if one of them does, those with a null id as one. Null and empty texts stay, repeated
+    rows stay as often as they come; an empty benchmark leaves df as it is.
+    """
     id_col = options.get("id_col", "doc_id")
-    return df.join(found, df[id_col].eqNullSafe(F.col("__held")), "left_anti")
+    held = contaminations(df, benchmark, **options).select("doc_id").distinct().withColumnRenamed("doc_id", (name := unused(df, "held")))
+    return df.join(held, df[id_col].eqNullSafe(F.col(name)), "left_anti")
