@@ -4,7 +4,8 @@ Emails, addresses, cards and phone numbers are the protected entities. A term in
 an entity discloses it by its pointwise mutual information, estimated from how many
 documents of the corpus hold the term, the entity, and both. As a share of the entity's own
 information, a disclosure over one threshold has the term generalised, over a higher one
-removed, wherever it stands in a text that holds the entity.
+removed, wherever it stands in a text that holds the entity. Only positions and 64-bit hashes of
+entities and terms are written down, never their text.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossalake.llm.common import inputs, stored
+from glossalake.llm.common import inputs, stored, unused
 
 #: kind -> pattern. Possessive, and anchored to where a run begins or the last match ended, so that
 #: neither the stack nor the time grows out of proportion on long runs; the matches are those of the plain patterns.
@@ -30,18 +31,23 @@ _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 _IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 #: Matches that are placed at a time.
 _BLOCK = 128
-_TERM = r"\p{L}{4,}+"
-_SPAN = "array<struct<kind:string,order:int,start:int,end:int,value:string>>"
+_SPAN = "array<struct<kind:string,order:int,start:int,end:int>>"
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """support: documents that must hold a term and an entity; shares of the entity's information from which a term goes."""
+    """support: documents that must hold a term and an entity; shares of the entity's information from which a term goes;
+    shortest: letters and digits that a term has at least."""
 
     support: int = 3
+    shortest: int = 1
     generalise: float = 0.6
     remove: float = 0.8
 
+    @property
+    def term(self) -> str:
+        return rf"[\p{{L}}\p{{N}}]{{{self.shortest},}}+"
+
 
 def located(text: Column, pattern: str) -> Column:
     """Matches of a pattern as value, start and end (code points): the pieces between them tell where they stand.
@@ -78,14 +84,20 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def base_spans(text: Column) -> Column:
-    """Entities of all kinds by start, then in the order of KINDS; none for a null text."""
+    """Entities of all kinds by start, then in the order of KINDS, with a hash of kind and value in lower case; none for a null text."""
     all_kinds = [_of_kind(text, order, kind, pattern) for order, (kind, pattern) in enumerate(PATTERNS.items())]
     return F.array_sort(F.concat(*all_kinds), _before)
 
 
 def _of_kind(text: Column, order: int, kind: str, pattern: str) -> Column:
     kept = F.filter(located(F.coalesce(text, F.lit("")), pattern), lambda m: _valid(kind, m["value"]))
-    return F.transform(kept, lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("order"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"))).cast(_SPAN)
+    value = lambda m: F.xxhash64(F.lit(kind), F.lower(m["value"])).alias("entity")
+    return F.transform(kept, lambda m: F.struct(F.lit(kind).alias("kind"), F.lit(order).alias("order"), m["start"].alias("start"), m["end"].alias("end"), value(m)))
+
+
+def _terms(text: Column, pattern: str) -> Column:
+    """The hash and place of each term of a text."""
+    return F.transform(located(text, pattern), lambda m: F.struct(F.xxhash64(F.lower(m["value"])).alias("term"), m["start"].alias("start"), m["end"].alias("end")))
 
 
 def _before(a: Column, b: Column) -> Column:
@@ -93,49 +105,58 @@ def _before(a: Column, b: Column) -> Column:
 
 
 def find(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash and spans (kind, order, start, end, value) for every row of df, by start, then order.
+    """doc_id, text_hash and spans (kind, order, start, end) for every row of df, by start, then order.
 
-    The kinds of terms, after the base ones, are ``generalised`` and ``removed``; their value is null. A null text
-    counts as empty. A repeated row counts as another document in the corpus counts.
+    The kinds of terms, after the base ones, are ``generalised`` and ``removed``. A null text counts as empty;
+    a null id is an id of its own. A repeated row counts as another document in the corpus counts. Words
+    inside an entity are no spans of their own.
     """
     rule = rule or Disclosure()
     rows = inputs(df, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     based = rows.withColumn("base", base_spans(F.col("text")))
-    entity = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
-    kept = F.when(F.size("base") > 0, F.col("text"))  # only the texts with entities are read again
-    found = stored(based.select("doc_id", F.xxhash64("text").alias("text_hash"), "base", entity.alias("entities"), kept.alias("text")), "entities")
+    entity = F.array_distinct(F.transform("base", lambda s: s["entity"]))
+    terms = F.when(F.size("base") > 0, _terms(F.col("text"), rule.term))  # only those of texts with entities are needed again
+    found = stored(based.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("base"), entity.alias("entities"), terms.alias("terms")), "entities")
     docs = found.count()
     some = found.where(F.size("base") > 0)
-    distinct = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
     entities = some.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    met = some.select("entities", F.explode(distinct).alias("term")).select(F.explode("entities").alias("entity"), "term")
+    # an entity in fewer documents than the support has no term, whatever stands beside it
+    often = entities.where(F.col("n_e") >= rule.support)
+    held = some.select("doc_id", "text_hash", F.explode("entities").alias("entity"), "terms").join(often.select("entity"), "entity")
+    met = held.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
     joint = met.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= rule.support)
+    distinct = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(rule.term), F.lit(0)), lambda t: F.xxhash64(F.lower(t))))
     frequency = rows.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    told = joint.join(frequency, "term").join(entities, "entity")
+    told = joint.join(frequency, "term").join(often, "entity")
     own = F.log2(F.lit(docs) / F.col("n_e"))
     share = F.when(own > 0, F.log2(F.lit(docs) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / own).otherwise(0.0)
     told = told.select("entity", "term", share.alias("share")).where(F.col("share") >= rule.generalise)
     removed = F.col("share") >= rule.remove
-    places = some.select("doc_id", "text_hash", "entities", F.explode(located(F.col("text"), _TERM)).alias("t"))
-    contexts = places.select("doc_id", "text_hash", F.explode("entities").alias("entity"), F.lower("t.value").alias("term"), "t.start", "t.end")
-    hit = contexts.join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max(removed).alias("removed"))
+    places = held.select("doc_id", "text_hash", "entity", F.explode("terms").alias("t")).select("doc_id", "text_hash", "entity", "t.term", "t.start", "t.end")
+    hit = places.join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max(removed).alias("removed"))
     kind = F.when(F.col("removed"), REMOVED).otherwise(GENERALISED)
     order = F.when(F.col("removed"), len(KINDS) + 1).otherwise(len(KINDS))
-    terms = hit.select("doc_id", "text_hash", F.struct(kind.alias("kind"), order.alias("order"), "start", "end", F.lit(None).cast("string").alias("value")).alias("span"))
-    terms = terms.groupBy("doc_id", "text_hash").agg(F.collect_list("span").cast(_SPAN).alias("terms"))
-    terms = terms.withColumnsRenamed({"doc_id": "t_id", "text_hash": "t_hash"})
-    both = found.join(terms, found["doc_id"].eqNullSafe(terms["t_id"]) & (found["text_hash"] == terms["t_hash"]), "left")
-    outside = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
-    spans = F.array_sort(F.concat("base", F.coalesce(outside, F.array().cast(_SPAN))), _before)
+    marked = hit.select("doc_id", "text_hash", F.struct(kind.alias("kind"), order.alias("order"), "start", "end").alias("span"))
+    marked = marked.groupBy("doc_id", "text_hash").agg(F.collect_list("span").cast(_SPAN).alias("marked"))
+    marked = marked.withColumnsRenamed({"doc_id": "t_id", "text_hash": "t_hash"})
+    both = found.join(marked, found["doc_id"].eqNullSafe(marked["t_id"]) & (found["text_hash"] == marked["t_hash"]), "left")
+    base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["order"].alias("order"), s["start"].alias("start"), s["end"].alias("end"))).cast(_SPAN)
+    outside = F.filter("marked", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
+    spans = F.array_sort(F.concat(base, F.coalesce(outside, F.array().cast(_SPAN))), _before)
     return both.select("doc_id", "text_hash", spans.alias("spans"))
 
 
 def sanitise(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df, columns unchanged, with entities replaced by [KIND], generalised terms by [TERM], and removed terms left out. Where spans overlap, all that they cover goes, under the tag of the first. Null texts stay null."""
-    spans = find(df, rule, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
+    """df, columns unchanged, with entities replaced by [KIND], generalised terms by [TERM], and removed terms left out.
+
+    Where spans overlap, all that they cover goes, under the tag of the first. Null texts stay null, empty ones empty;
+    repeated rows and rows with a null id are treated like any other.
+    """
+    found = find(df, rule, id_col, text_col).where(F.size("spans") > 0).dropDuplicates(["doc_id", "text_hash"])
+    id_, hash_, spans = (unused(df, c) for c in ("pii_id", "pii_hash", "pii_spans"))
+    found = found.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("spans").alias(spans))
     text = F.col(text_col)
-    same = df[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col("__hash"))
+    same = df[id_col].eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == F.col(hash_))
 
     def step(state: Column, s: Column) -> Column:
         tag = F.when(s["kind"] == REMOVED, "").when(s["kind"] == GENERALISED, "[TERM]").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
@@ -144,6 +165,6 @@ def sanitise(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_i
         return F.when(s["start"] < state["at"], longer).otherwise(F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(piece)).alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
-    joined = df.join(spans, same, "left")
-    return joined.select(*(F.when(F.col("__spans").isNull(), text).otherwise(clean).alias(c) if c == text_col else df[c] for c in df.columns))
+    clean = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, s["at"] + 1, F.length(text))))
+    joined = df.join(found, same, "left")
+    return joined.select(*(F.when(F.col(spans).isNull(), text).otherwise(clean).alias(c) if c == text_col else df[c] for c in df.columns))
