@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossalake.llm.common import dropped, inputs, small_batches, stored
+from glossalake.llm.common import dropped, inputs, small_batches, stored, unused
 from glossalake.llm.components import components
 
 WORDS, PERCENT = 5, 80
-#: Bounds on the table of common shingles and on that of copied sets, both broadcast.
-COMMON, COPIED = 400_000, 50_000
+#: Bound on the table of common shingles, which is broadcast.
+COMMON = 400_000
 #: Shingles counted together when common ones are looked for, and copies from which one counts there.
 CHUNK, OFTEN = 4_000_000, 4
 #: Elements of a set for each further element to share, and how many more a costly prefix may ask for.
@@ -99,8 +99,8 @@ def needed(n: int, percent: int = PERCENT) -> int:
 
 
 def survey(docs: DataFrame, size: int) -> DataFrame:
-    """One pass over the texts: rows of documents (doc_id, n, a, b: size and signature of the set), and of
-    shingles (token, count) that occur OFTEN or more in a chunk of texts; ``count`` is null for the former."""
+    """One pass over the texts (doc_id, hash, text): rows of documents (doc_id, hash, n, a, b: size and signature of the set),
+    and of shingles (token, count) that occur OFTEN or more in a chunk of texts; ``count`` is null for the former."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(**columns) -> pa.RecordBatch:
@@ -111,7 +111,7 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
             tokens, n = np.unique(np.concatenate(held), return_counts=True)
             return rows(token=tokens[n >= OFTEN].view(np.int64), count=n[n >= OFTEN])
 
-        names = ["doc_id", "n", "a", "b", "token", "count"]
+        names = ["doc_id", "hash", "n", "a", "b", "token", "count"]
         held, total = [], 0
         for batch in batches:
             out = np.zeros((3, batch.num_rows), np.int64)
@@ -124,11 +124,11 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
                 if total > CHUNK:
                     yield often(held)
                     held, total = [], 0
-            yield rows(doc_id=batch.column("doc_id"), n=out[0], a=out[1], b=out[2])
+            yield rows(doc_id=batch.column("doc_id"), hash=batch.column("hash"), n=out[0], a=out[1], b=out[2])
         if held:
             yield often(held)
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, a bigint, b bigint, token bigint, count bigint")
+    return docs.mapInArrow(run, "doc_id bigint, hash bigint, n bigint, a bigint, b bigint, token bigint, count bigint")
 
 
 def _threshold(counts: DataFrame, column: str, most: int) -> float:
@@ -153,15 +153,14 @@ def common_shingles(surveyed: DataFrame) -> Order:
     return out
 
 
-def _postings(docs: DataFrame, order, copied, size: int, percent: int) -> DataFrame:
+def _postings(docs: DataFrame, order, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = copied.value
         for batch in batches:
             tokens, owners, needs = [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 s = shingles(text.as_py(), size)
-                if doc is None or not len(s) or first.get(xxhash.xxh3_128_digest(s.tobytes()), doc) != doc:
-                    continue  # a copy of a set that is indexed already
+                if doc is None or not len(s):
+                    continue
                 tokens.append(order.value.prefix(s, percent)[0])
                 owners.append(np.full(len(tokens[-1]), doc, np.int64))
                 needs.append(np.full(len(tokens[-1]), needed(len(s), percent), np.int32))
@@ -283,17 +282,17 @@ def join(df: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str =
     """
     spark = df.sparkSession
     small_batches(spark)
-    docs = inputs(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    docs = inputs(df, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("hash"), "text")
     surveyed = stored(survey(docs, size), "survey")
-    signed = surveyed.where("count is null").select("doc_id", "n", "a", "b")
+    signed = surveyed.where("count is null").select("doc_id", "hash", "n", "a", "b")
     full = signed.where("n > 0 and doc_id is not null")
     sets = stored(full.groupBy("a", "b").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "sets")
-    most = sets.where(F.col("copies") >= F.lit(float(_threshold(sets, "copies", COPIED)))).toArrow()
-    digests = np.column_stack([most.column(c).to_numpy() for c in ("a", "b")])
-    copied = spark.sparkContext.broadcast({d.tobytes(): f for d, f in zip(digests, most.column("first").to_pylist(), strict=True)})
+    copies = stored(full.join(sets, ["a", "b"]).where("doc_id <> first").select(F.col("doc_id").alias("copy"), F.col("hash").alias("copy_hash"), "first"), "copies")
+    # of the documents with one set, only the first is compared with others
+    lone = docs.join(copies, (docs["doc_id"] == copies["copy"]) & (docs["hash"] == copies["copy_hash"]), "left_anti")
     order = spark.sparkContext.broadcast(common_shingles(surveyed))
 
-    tokens = _postings(docs, order, copied, size, percent).repartition("token").sortWithinPartitions("token", "doc")
+    tokens = _postings(lone, order, size, percent).repartition("token").sortWithinPartitions("token", "doc")
     shared = stored(tokens.mapInArrow(_shared, "token bigint, doc bigint, pivot bigint, need bigint"), "shared")
     enough = shared.groupBy("doc").agg(F.min("pivot").alias("home"), F.min("need").alias("need"), F.count("*").alias("k")).where("k >= need")
     near = stored(enough.select("doc", "home", "need"), "near")
@@ -317,14 +316,16 @@ def join(df: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str =
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
     together = visits.unionByName(stays).join(texts, "doc").select("x", "y", "doc", "side", "text").repartition("x", "y").sortWithinPartitions("x", "y")
     found = together.mapInArrow(_verify(order, size, percent), "a bigint, b bigint")
-    copies = full.join(sets, ["a", "b"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    comp = components(found.unionByName(copies))
-    for table in (shared, near, ours, homes, blocks, held):
+    comp = components(found.unionByName(copies.select(F.col("copy").alias("a"), F.col("first").alias("b"))))
+    for table in (sets, copies, shared, near, ours, homes, blocks, held):
         dropped(spark, table)
     return signed.join(comp, signed["doc_id"] == comp["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """df's rows, columns unchanged, without the documents that link, directly or not, with one of a smaller id."""
-    found = join(df, id_col=id_col, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__later")).distinct()
-    return df.join(found, df[id_col] == F.col("__later"), "left_anti")
+    """df's rows, columns unchanged, without the documents that link, directly or not, with one of a smaller id.
+
+    Null, empty and wordless texts link with nothing and stay, as do rows with a null id; all rows of an id stay or go together.
+    """
+    later = join(df, id_col=id_col, **options).where("doc_id <> component_id").select("doc_id").distinct().withColumnRenamed("doc_id", (name := unused(df, "later")))
+    return df.join(later, df[id_col] == F.col(name), "left_anti")
