@@ -124,7 +124,7 @@ _SCANNERS: dict[tuple, Scanner] = {}
 
 
 def scan(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and spans, by start and then in the order of the rules, for every row of df; none for null or empty texts."""
+    """doc_id and spans, by start and then in the order of the rules, for every row of df, repeated ones and those with a null id too; none for null or empty texts."""
     small_batches(df.sparkSession)
     rows = inputs(df, id_col, text_col)
 
