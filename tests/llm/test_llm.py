@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
-from glossalake.llm import automaton, byte_bpe, decontamination, embedding_dedup, language_id, ngram_join, pii, queries, secrets, sharding, substring_dedup, toxicity
+from glossalake.llm import automaton, byte_bpe, common, decontamination, embedding_dedup, language_id, ngram_join, pii, queries, secrets, sharding, substring_dedup, toxicity
 from glossalake.llm.components import components
 
 
@@ -338,8 +338,8 @@ def test_only_letters_count_above_the_basic_plane(text, same):
 
 
 def test_languages_are_learnt_from_the_whole_bounded_sample(spark):
-    df = spark.range(3600).select(F.col("id").alias("doc_id"), F.concat(F.lit("a text "), F.col("id")).alias("text"))
-    assert len(language_id.bounded_sample(df, language_id.MAX_DOCS, "language")) == 3600 and language_id.MAX_DOCS == 4000
+    df = spark.range(3600).select(F.col("id").cast("string").alias("doc_id"), F.concat(F.lit("a text "), F.col("id")).alias("text"), F.lit("en").alias("label"))
+    assert len(language_id.samples(df, language_id.MAX_DOCS)) == 3600 and language_id.MAX_DOCS == 4000
 
 
 def test_emoji_alone_have_no_language():
@@ -395,22 +395,232 @@ def test_toxicity_learns_and_scores_every_text(spark):
     assert all(0 <= s <= 1 for s in got.values()) and toxicity.score(table(spark, []), model).count() == 0
 
 
+# plain versions, through the queries
+
+
+def folder_of(tmp_path, spark, **tables):
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def documents(rows):
+    return [(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS
+
+
+def test_tiles_are_those_of_plain_greedy_tiling():
+    rng = random.Random(12)
+    for size in (2, 3, 8):
+        for _ in range(60):
+            item, text = ([rng.choice("abcdefgh"[:size]) for _ in range(rng.randrange(1, 30))] for _ in range(2))
+            assert decontamination.tile(item, text, 3) == brute.tiles(item, text, 3)
+
+
+def test_tiling_repetitive_texts_takes_no_pair_list():
+    import time
+
+    start = time.perf_counter()
+    got = decontamination.tile(["a"] * 500, (["a"] * 40 + ["b"]) * 270, 5)
+    assert sum(n for *_, n in got) == 500 and time.perf_counter() - start < 20
+
+
+def test_decontamination_query_against_plain_tiling(spark, tmp_path):
+    rng = random.Random(13)
+    items = [(k, words(rng, 12 + k, 60)) for k in range(8)] + [(70, "too short")]
+    docs = []
+    for k in range(30):
+        w = items[k % 8][1].split()
+        cut = rng.randrange(1, len(w))
+        part = w[cut:] + (w[:cut] if k % 3 else [])
+        docs.append((k, " ".join([words(rng, 10, 60), *(part if k % 5 else w), words(rng, 5, 60)])))
+    d = folder_of(tmp_path, spark, documents=documents([*docs, (99, None), (98, "")]), benchmark=(items, "item_id long, text string"))
+    want = sorted((i, k, round(c, 9)) for i, k, c in brute.contaminations(docs, items))
+    assert len(want) > 10
+    assert sorted((r.doc_id, r.item_id, round(r.coverage, 9)) for r in queries.op3_decontamination(spark, d).collect()) == want
+    many = decontamination.contaminations(spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet"), broadcast_bytes=0)
+    assert sorted((r.doc_id, r.item_id, round(r.coverage, 9)) for r in many.collect()) == want
+
+
+def test_disclosure_query_against_the_plain_version(spark, tmp_path):
+    rng = random.Random(14)
+    people = [(f"p{k}@mail.org", [f"Name{k}", f"Tm{k}", "k" + str(k)]) for k in range(4)]
+    rows = []
+    for k in range(120):
+        t = words(rng, 25, 50).split()
+        if k % 3 == 0:
+            mail, terms = people[k % 4]
+            t[5], t[9], t[14] = mail, terms[0], terms[k % 3]
+            if k % 2:
+                t[20] = terms[2].upper()
+        if k % 17 == 0:
+            t[2] = people[0][1][0]
+        rows.append((k, " ".join(t)))
+    rows += [(500, None), (501, ""), (502, "p0@mail.org")]
+    want = brute.disclosures(rows)
+    got = {r.doc_id: r.spans for r in queries.op2_pii(spark, folder_of(tmp_path, spark, documents=documents(rows))).collect()}
+    assert got == want and any("removed" in x for x in want.values()) and any("generalised" in x for x in want.values())
+
+
+def test_nothing_of_an_entity_is_written_down(spark, tmp_path):
+    import glob
+
+    before = set(glob.glob(f"{common.shared_dir(spark).removeprefix('file:')}/entities-*"))
+    assert pii.find(table(spark, [(1, "Ada wrote to secret.person@mail.org")])).count() == 1
+    made = set(glob.glob(f"{common.shared_dir(spark).removeprefix('file:')}/entities-*")) - before
+    assert len(made) == 1
+    rows = spark.read.parquet(made.pop()).collect()
+    assert "secret.person" not in str(rows) and "Ada" not in str(rows)
+
+
+def test_sharding_is_minimax_over_groups(spark):
+    rng = random.Random(15)
+    for shards, first, closer in ((3, 1, 1), (4, 2, 1), (5, 1, 3)):
+        rows = [(k, "x" * rng.randrange(60) + str(k % 17)) for k in range(50)] + [(k, None) for k in range(100, 104)] + [(200, "é" * 400)]
+        df = table(spark, rows)
+        groups = df.select(sharding.place(F.col("text")).alias("h"), sharding.size(F.col("text")).alias("b")).groupBy("h").agg(F.sum("b").alias("b")).orderBy("h").collect()
+        placed = sharding.assign(df, sharding.plan(df, shards, first=first, closer=closer))
+        most = placed.groupBy("shard").agg(F.sum("size").alias("b")).agg(F.max("b")).first()[0]
+        assert most == brute.capacity([g.b for g in groups], shards)
+
+
+def test_sharding_query(spark, tmp_path):
+    rows = [(k, f"text {k % 37} é" * (1 + k % 5)) for k in range(400)] + [(900, None), (901, ""), (902, "")]
+    got = queries.op6_sharding(spark, folder_of(tmp_path, spark, documents=documents(rows))).collect()
+    import zlib
+
+    assert {r.doc_id: (r.size, r.text_crc32) for r in got} == {i: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows}
+    assert len({r.shard for r in got if r.text_crc32 == 0}) == 1 and all(r.law == "bytes" and r.grown_shard is None for r in got)
+
+
+def test_shards_are_written(spark, tmp_path):
+    df = table(spark, [(k, f"text {k % 9}") for k in range(100)] + [(900, None), (901, None)])
+    sharding.write_shards(df, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 102 and back.groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
+    assert sorted(back.columns) == ["doc_id", "n", "row", "score", "shard", "text"]
+    with pytest.raises(ValueError, match="shard"):
+        sharding.write_shards(df.withColumn("shard", F.lit(1)), str(tmp_path / "other"), 4)
+
+
+def test_secret_query_against_the_plain_patterns(spark, tmp_path):
+    rng = random.Random(16)
+    parts = ["password", "TOKEN", "=", ": ", "'", "AKIA", "A1B2C3D4E5F6G7H8", "0123456789abcdef", "é", "x.y/z+abcdefghij", "\n", "ghp_" + "a1B2" * 10]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(rng.randrange(20)))) for k in range(300)] + [(900, None), (901, "")]
+    got = {r.doc_id: r for r in queries.op7_secret_scan(spark, folder_of(tmp_path, spark, documents=documents(rows))).collect()}
+    for i, t in rows:
+        base = brute.secrets(t)
+        assert ",".join(x for x in got[i].spans.split(",") if x.split(":")[0] in secrets.BASE) == base
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and got[i].n_hex == base.count("hex:")
+
+
+def test_toxicity_scores_are_those_of_a_plain_forward_pass(spark):
+    rng, net = random.Random(17), toxicity.Network()
+    texts = [None, "", "one", words(rng, 23), words(rng, 24), words(rng, 40), "é Ünïcode, words!"]
+    got = {r.doc_id: r.score for r in toxicity.score(table(spark, list(enumerate([*texts, texts[5]]))), net).collect()}
+    for k, t in enumerate([*texts, texts[5]]):
+        assert abs(got[k] - brute.toxicity_score(net, t)) < 1e-5
+
+
+def test_toxicity_query_on_held_out_documents(spark):
+    d = "/root/testdata/sf0.1"  # as many labels as training takes
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
+    got = queries.op1_toxicity(spark, d).join(labels, "doc_id").where("held_out").collect()
+    bad, fine = ([r.predicted for r in got if r.toxic == y] for y in (1, 0))
+    assert len(bad) > 100 and sum(bad) >= 0.9 * len(bad) and sum(fine) <= 0.03 * len(fine)
+
+
+def test_language_weights_are_those_of_plain_ftrl():
+    rows = [(f"the cat {k} and the dog sat", "en") for k in range(7)] + [(f"der hund {k} und die katze", "de") for k in range(6)]
+    idf = np.linspace(0.5, 2, 1 << language_id.BITS)
+    model = language_id.fit(rows, idf, epochs=3)
+    values = []
+    for t, y in rows:
+        i, n = language_id.sparse(t)
+        values.append(({int(b): float(np.float32(c / n.sum() * language_id.GAIN * idf[b])) for b, c in zip(i, n, strict=True)}, y))
+    want = brute.ftrl(values, ["de", "en"], 1 << language_id.BITS, np.random.default_rng(7), 3)
+    for (b, y), w in want.items():
+        k = model.labels.index(y)
+        got = model.bias[k] if b == 1 << language_id.BITS else model.weights[b, k] / idf[b]
+        assert abs(got - w) < 1e-4
+    assert np.count_nonzero(model.weights) < len(want)  # the penalty leaves zeros
+
+
+def test_a_family_of_near_copies_is_one_component(spark):
+    rng = random.Random(18)
+    base = words(rng, 120, 5000).split()
+    rows = []
+    for k in range(700):
+        w = list(base)
+        if k % 7:
+            w[rng.randrange(len(w))] = f"e{k}"
+        rows.append((k, " ".join(w)))
+    got = {r.component_id for r in ngram_join.join(table(spark, rows)).collect()}
+    assert got == {0}
+
+
+# stages of the pipeline
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_at_their_edges(spark, tmp_path, stage):
+    import corpus_pipeline
+
+    d = folder_of(tmp_path, spark, benchmark=([(1, "one two three four five six seven"), (2, None)], "item_id long, text string"))
+    long = " ".join(f"word{k % 900}" for k in range(30_000))
+    rows = [(1, None), (2, ""), (3, "a plain text of some words"), (3, "a plain text of some words"), (None, "another text without an id"), (5, long), (6, "see one two three four five six seven"), (7, "mail a@b.org or 1.2.3.4 please"), (8, "\U0001f600")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, held string, later string, pii_id long, pii_spans string, row string, ids string"
+    docs = spark.createDataFrame([(i, t, "en" if t else None, None, None, "h", "l", 4, "s", "r", "i") for i, t in rows], schema)
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, docs, d)
+    got = out.collect()
+    if stage < 4:
+        assert out.columns == docs.columns and all((r.held, r.later, r.pii_id, r.row) == ("h", "l", 4, "r") for r in got)
+    ids = sorted(str(r.doc_id) for r in got)
+    every = sorted(str(i) for i, _ in rows)
+    gone = {"language_id": ["1", "2", "8"], "near_copies": [], "decontamination": ["6"], "pii": [], "byte_bpe": []}[name]
+    assert ids == [i for i in every if i not in gone]
+    if name == "pii":
+        assert {r.doc_id: r.text for r in got}[7] == "mail [EMAIL] or [IP] please" and {r.doc_id: r.text for r in got}[1] is None
+    if name == "byte_bpe":
+        assert all(r.round_trip for r in got) and {r.doc_id: r.n_tokens for r in got}[1] == 0
+    assert run(spark, docs.limit(0), d).count() == 0
+
+
 # contracts
 
 
-@pytest.mark.parametrize("name", ["op2_pii", "op4_byte_bpe", "op5_substring_dedup", "op6_sharding", "op7_secret_scan", "op8_ngram_jaccard"])
+CONTRACTS = {
+    "op1_toxicity": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
+    "op2_pii": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"},
+    "op3_decontamination": {"doc_id": "bigint", "item_id": "bigint", "coverage": "double", "tiles": "int"},
+    "op4_byte_bpe": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op5_substring_dedup": {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"},
+    "op6_sharding": {"doc_id": "bigint", "size": "bigint", "text_crc32": "bigint", "law": "string", "shard": "int", "slot": "bigint", "grown_shard": "int"},
+    "op7_secret_scan": {"doc_id": "bigint", "n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"},
+    "op8_ngram_jaccard": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op9_embedding_dedup": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
+    "op10_language_id": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
 def test_contract_columns(spark, data, name):
-    want = {
-        "op2_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
-        "op4_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        "op5_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"],
-        "op6_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
-        "op7_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
-        "op8_ngram_jaccard": ["doc_id", "n_shingles", "component_id"],
-    }
     df = queries.QUERIES[name](spark, data)
-    assert df.columns == want[name]
-    assert df.count() == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert dict(df.dtypes) == CONTRACTS[name]
+    if name != "op3_decontamination":
+        table = "embeddings" if "vec_id" in df.columns else "documents"
+        assert df.count() == spark.read.parquet(f"{data}/{table}.parquet").count()
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql_gives_the_same(spark, duck, data, name):
+    df = queries.QUERIES[name](spark, data)
+    order = sorted(df.columns)
+    want = duck.sql(queries.ORACLES[name]).project(", ".join(order)).fetchall()
+    assert sorted(map(str, (tuple(r[c] for c in order) for r in df.collect()))) == sorted(map(str, want))
 
 
 def test_pipeline_keeps_clean_documents(spark, data):
