@@ -6,6 +6,8 @@ sets that reach the threshold, the first ``n - ceil(t n) + l`` elements of each
 at least; a document whose prefix looks costly (common shingles) takes a longer prefix
 and a larger l. Documents are gathered in blocks; a task compares two blocks that share enough elements, counts those
 of each pair and verifies exactly what is left. It returns a spanning forest of the links, never the pairs.
+A family of near copies that fills several blocks is first compared with a few of its documents; only what
+they don't link to the rest then meets all blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossalake.llm.common import dropped, inputs, small_batches, stored, unused
@@ -31,6 +33,8 @@ CHUNK, OFTEN = 4_000_000, 4
 #: Elements of a set for each further element to share, and how many more a costly prefix may ask for.
 STEP, COSTLY = 16, 8
 BLOCK = 256
+#: Documents of a family of several blocks that are compared with all of it first.
+GUESTS = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -273,6 +277,38 @@ def _verify(order, size: int, percent: int):
     return run
 
 
+def _blocks_of(home: str = "home", parts: str = "parts") -> Column:
+    """The blocks of a family, by the rule that deals its documents."""
+    return F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda k: F.xxhash64(home, k.cast("bigint")))
+
+
+def _guests(family: DataFrame) -> DataFrame:
+    """A few documents of a family of several blocks, as further members of all its other blocks."""
+    picked = [F.min_by(F.struct("doc", "block"), F.xxhash64("doc", F.lit(k))) for k in range(GUESTS)]
+    guests = family.groupBy("home", "parts").agg(F.array_distinct(F.array(*picked)).alias("g"))
+    each = guests.select("home", "parts", F.explode("g").alias("g")).select("g.doc", "g.block", F.explode(_blocks_of()).alias("x"))
+    return each.where("block <> x").select("doc", "x", F.col("x").alias("y"), F.lit(0).alias("side"))
+
+
+def _unsettled(family: DataFrame, found: DataFrame) -> DataFrame:
+    """What is left to compare in families of several blocks.
+
+    The links found so far, within blocks and with the guests, make components. Two documents of the largest one of their
+    family need no comparison; every other document meets all blocks of the family, in groups of two blocks' size.
+    """
+    joined = components(found.join(family.select(F.col("doc").alias("a")), "a", "left_semi"))
+    placed = family.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    counts = placed.groupBy("home", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("home").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    rest = placed.join(main, "home").where("component <> main")
+    chunks = rest.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    dealt = rest.join(chunks, "home").withColumn("chunk", F.pmod(F.xxhash64("doc", F.lit(1)), F.col("chunks")).cast("int"))
+    group = F.xxhash64("x", "chunk").alias("y")
+    visitors = dealt.select("doc", "block", "chunk", F.explode(_blocks_of()).alias("x")).where("block <> x").select("doc", "x", group, F.lit(1).alias("side"))
+    residents = family.join(chunks, "home").select("doc", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    return visitors.unionByName(residents.select("doc", "x", group, F.lit(0).alias("side")))
+
+
 def join(df: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) for every row of df.
 
@@ -303,21 +339,27 @@ def join(df: DataFrame, size: int = WORDS, percent: int = PERCENT, id_col: str =
     parts = homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
     blocks = stored(homes.join(parts, "home").select("doc", "need", "home", "parts", F.xxhash64("home", part.cast("bigint")).alias("block")), "blocks")
-    # the blocks of one family all meet; a document goes to another family only if it shares enough elements with a block there
-    kin = blocks.where("parts > 1").select("doc", "block", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.xxhash64("home", k.cast("bigint")))).alias("other")).where("block <> other")
+    # a document goes to another family only if it shares enough elements with a block there
     held = stored(ours.select("token", "doc").join(blocks.drop("parts"), "doc"), "held")
     places = held.select("token", F.col("home").alias("other_home"), F.col("block").alias("other")).distinct()
     several = held.groupBy("token").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a < b").select("token")
     far = held.join(several, "token").join(places, "token").where("home <> other_home").groupBy("doc", "block", "other", "need").agg(F.count("*").alias("k")).where("k >= need")
-    visits = kin.unionByName(far.select("doc", "block", "other"))
-    visits = visits.select("doc", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    far = far.select("doc", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") > F.col("other")).cast("int").alias("side"))
     within = blocks.groupBy("block").agg(F.count("*").alias("k")).where("k > 1").select("block")
     stays = blocks.join(within, "block").select("doc", F.col("block").alias("x"), F.col("block").alias("y"), F.lit(0).alias("side"))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("doc"), "text")
-    together = visits.unionByName(stays).join(texts, "doc").select("x", "y", "doc", "side", "text").repartition("x", "y").sortWithinPartitions("x", "y")
-    found = together.mapInArrow(_verify(order, size, percent), "a bigint, b bigint")
+
+    def compared(groups: DataFrame) -> DataFrame:
+        together = groups.join(texts, "doc").select("x", "y", "doc", "side", "text").repartition("x", "y").sortWithinPartitions("x", "y")
+        return together.mapInArrow(_verify(order, size, percent), "a bigint, b bigint")
+
+    family = stored(blocks.where("parts > 1").select("doc", "home", "parts", "block"), "family")
+    found = stored(compared(far.unionByName(stays).unionByName(_guests(family))), "found")
+    if not family.isEmpty():
+        later = stored(_unsettled(family, found), "later")
+        found = found.unionByName(compared(later))
     comp = components(found.unionByName(copies.select(F.col("copy").alias("a"), F.col("first").alias("b"))))
-    for table in (sets, copies, shared, near, ours, homes, blocks, held):
+    for table in (sets, copies, shared, near, ours, homes, blocks, held, family):
         dropped(spark, table)
     return signed.join(comp, signed["doc_id"] == comp["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

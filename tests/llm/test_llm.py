@@ -561,6 +561,22 @@ def test_a_family_of_near_copies_is_one_component(spark):
     assert got == {0}
 
 
+def test_families_of_many_blocks_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(19)
+    rows = corpus(3)
+    for f in range(3):
+        base = words(rng, 60, 5000).split()
+        for k in range(40):  # some link with the base alone, some with few others, some with none
+            w = list(base)
+            for _ in range(rng.randrange(4)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(30)}"
+            rows.append((9000 + 100 * f + k, " ".join(w)))
+    want = brute.near_copies(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(table(spark, rows)).collect()} == want
+    assert len({c for i, (_, c) in want.items() if i >= 9000}) > 6
+
+
 # stages of the pipeline
 
 
