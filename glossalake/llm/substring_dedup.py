@@ -2,10 +2,12 @@
 
 Anchors are winnowed word sequences: every window of ``window`` words holds, by its own
 content alone, exactly one anchor (its least k-gram). All windows that share an anchor
-occurrence form a run, the extension of the anchor to both sides. Occurrences meet by
-anchor in a sorted stream, of which a task holds one row: runs that come twice as a whole
-are settled there; where an anchor has several different runs, the windows of one copy of
-each meet in the same way. Nothing is kept but windows that repeat.
+occurrence form a run. Occurrences meet by anchor in a sorted stream, of which a task holds
+one row: runs that come twice as a whole are settled there. Where an anchor has several
+different runs, one copy of each meets the others with its words: every two are extended from
+the anchor to both sides, word by word, and the maximal repeats of a window's length or more
+are kept. Of an anchor with more than ``CROWD`` runs, the windows of the runs meet by hash
+instead, as pairs of runs would be too many. Nothing is kept but windows that repeat.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from glossalake.llm.common import inputs, small_batches, stored
 
 WINDOW, SEED = 35, 8
+#: Different runs of an anchor up to which every two are extended.
+CROWD = 64
 #: Kinds of occurrence rows.
 SINGLE, SETTLED, HIT = 0, 1, 2
 _ODD = 0x9E3779B97F4A7C15
@@ -77,8 +81,8 @@ class Hashes:
         return self.stretch(at, at + length)
 
 
-def runs(tokens: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Per anchor occurrence: hash of the anchor, first window, windows, and hash of the run; None for a text shorter than a window."""
+def runs(tokens: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Per anchor occurrence: hash of the anchor, first window, windows, hash of the run, and place of the anchor; None for a text shorter than a window."""
     n = len(tokens) - window + 1
     if n < 1:
         return None
@@ -97,7 +101,7 @@ def runs(tokens: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple[H
     anchor = at[first]
     # a run is known by its words and by where the anchor stands in it
     run = _mixed(hashes.stretch(first, first + count + window - 1) ^ _mixed((anchor - first).astype(np.uint64) * np.uint64(64) + count.astype(np.uint64)))
-    return hashes, value[anchor], first, count, run
+    return hashes, value[anchor], first, count, run, anchor
 
 
 def _batch(names: list[str], columns: list, types: list) -> pa.RecordBatch:
@@ -117,7 +121,7 @@ def _occurrences(docs: DataFrame, window: int, seed: int) -> DataFrame:
             out, owner = [], []
             for k, text in enumerate(batch.column("text")):
                 if (got := runs(words(text.as_py()), window, seed)) is not None:
-                    _, anchor, first, count, whole = got
+                    _, anchor, first, count, whole, _ = got
                     out.append((anchor.view(np.int64), whole.view(np.int64), first.astype(np.int32), count.astype(np.int32)))
                     owner.append(np.full(len(first), k))
             if out:
@@ -138,78 +142,174 @@ def _occurrences(docs: DataFrame, window: int, seed: int) -> DataFrame:
     return docs.mapInArrow(run, f"anchor bigint, run bigint, kind tinyint, key bigint, doc_id {kind}, first int, count int")
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(crowd: int):
     """Occurrences sorted by anchor and run -> hits (runs that come twice or more: each occurrence) and, where an
-    anchor has several runs, one occurrence of each (``wanted``; ``single`` if it is the only one)."""
-    anchor = run = one = None
-    count, mixed = 0, False
-    for batch in batches:
-        hit, out = [], ([], [], [], [], [])
-
-        def emit(row: tuple, wanted: bool, single: bool) -> None:
-            for c, x in zip(out, (*row, wanted), strict=True):
-                c.append(x)
-            hit.append(single)
+    anchor has several runs, one occurrence of each (``wanted``; ``single`` if it is the only one; ``few`` unless the anchor is crowded)."""
 
-        for a, r, kind, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "run", "kind", "key", "doc_id", "first", "count")), strict=True):
-            if kind == HIT:
-                emit(row, False, False)
-                continue
-            if a == anchor and r == run:
-                if count == 1:
-                    emit(one, False, False)
-                if kind == SINGLE:
-                    emit(row, False, False)
-                count += 1
-                continue
-            if one is not None and (mixed or a == anchor):
-                emit(one, True, count == 1)
-            mixed = a == anchor
-            anchor, run, one, count = a, r, row, 1 if kind == SINGLE else 2
-        yield _batch(["key", "doc_id", "first", "count", "wanted", "single"], [*out, hit], [pa.int64(), batch.column("doc_id").type, pa.int32(), pa.int32(), pa.bool_(), pa.bool_()])
-    if one is not None and mixed:
-        yield _batch(["key", "doc_id", "first", "count", "wanted", "single"], [[x] for x in (*one, True, count == 1)], [pa.int64(), batch.column("doc_id").type, pa.int32(), pa.int32(), pa.bool_(), pa.bool_()])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor = run = one = None
+        count, held, crowded = 0, [], False
+        out: list[list] = [[] for _ in range(7)]
 
+        def emit(row: list, *flags: bool) -> None:
+            for c, x in zip(out, (*row, *flags), strict=True):
+                c.append(x)
 
-def _windows(docs: DataFrame, window: int, seed: int) -> DataFrame:
-    """The single windows of the runs that ``wanted`` names by their first window, for rows (key, doc_id, text, wanted)."""
-    names = ["anchor", "window", "key", "doc_id", "first", "single"]
+        def run_over() -> None:
+            nonlocal held, crowded
+            if one is not None:
+                held.append((one, count == 1))
+            if crowded or len(held) > crowd:
+                crowded = True
+                for row, single in held:
+                    emit(row, True, single, False)
+                held = []
+
+        def anchor_ends() -> None:
+            nonlocal held, crowded
+            if len(held) > 1:
+                for row, single in held:
+                    emit(row, True, single, True)
+            held, crowded = [], False
+
+        def made(kind: pa.DataType) -> pa.RecordBatch:
+            batch = _batch(["key", "doc_id", "first", "count", "wanted", "single", "few"], out, [pa.int64(), kind, pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_()])
+            for c in out:
+                c.clear()
+            return batch
+
+        kind = None
+        for batch in batches:
+            kind = batch.column("doc_id").type
+            for a, r, sort, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "run", "kind", "key", "doc_id", "first", "count")), strict=True):
+                if sort == HIT:
+                    emit(row, False, False, False)
+                    continue
+                if a == anchor and r == run:
+                    if count == 1:
+                        emit(one, False, False, False)
+                    if sort == SINGLE:
+                        emit(row, False, False, False)
+                    count += 1
+                    continue
+                run_over()
+                if a != anchor:
+                    anchor_ends()
+                anchor, run, one, count = a, r, row, 1 if sort == SINGLE else 2
+            yield made(kind)
+        if kind is not None:
+            run_over()
+            anchor_ends()
+            yield made(kind)
+
+    return run
+
+
+def _wanted_runs(docs: DataFrame, window: int, seed: int) -> DataFrame:
+    """The runs that ``wanted`` names by their first window, for rows (key, doc_id, text, wanted): those of few whole, with their words and the anchor's place
+    among them (``window`` is 0), those of a crowded anchor as their single windows."""
+    names = ["anchor", "window", "key", "doc_id", "first", "count", "single", "at", "words"]
+    types = [pa.int64(), pa.int64(), pa.int64(), None, pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, owner = [], []
-            for at, (text, wanted) in enumerate(zip(batch.column("text"), batch.column("wanted").to_pylist(), strict=True)):
-                hashes, anchor, first, count, _ = runs(words(text.as_py()), window, seed)
-                single = hashes.every(window)
+            out: list[list] = [[] for _ in names]
+            for key, doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "text", "wanted")), strict=True):
+                tokens = words(text)
+                hashes, anchor, first, count, _, place = runs(tokens, window, seed)
                 for w in wanted:
                     k = int(np.searchsorted(first, w["first"]))
-                    place = np.arange(first[k], first[k] + count[k])
-                    out.append((np.full(len(place), anchor[k]).view(np.int64), single[place].view(np.int64), place.astype(np.int32), np.full(len(place), w["single"])))
-                    owner.append(np.full(len(place), at))
-            if out:
-                anchor, one, first, alone = (np.concatenate(c) for c in zip(*out, strict=True))
-                at = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(one), batch.column("key").take(at), batch.column("doc_id").take(at), pa.array(first), pa.array(alone)], names)
+                    start, n, a = int(first[k]), int(count[k]), int(anchor[k].view(np.int64))
+                    if w["few"]:
+                        rows = [(a, 0, key, doc, start, n, w["single"], int(place[k]) - start, b" ".join(tokens[start : start + n + window - 1]))]
+                    else:
+                        single = hashes.stretch(np.arange(start, start + n), np.arange(start + window, start + n + window)).view(np.int64).tolist()
+                        rows = [(a, h, key, doc, start + j, 1, w["single"], None, None) for j, h in enumerate(single)]
+                    for row in rows:
+                        for c, x in zip(out, row, strict=True):
+                            c.append(x)
+            yield _batch(names, out, [batch.column("doc_id").type if t is None else t for t in types])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"anchor bigint, window bigint, key bigint, doc_id {kind}, first int, single boolean")
+    return docs.mapInArrow(run, f"anchor bigint, window bigint, key bigint, doc_id {kind}, first int, count int, single boolean, at int, words binary")
 
 
-def _meet_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows sorted by anchor and content -> those of different runs that are equal; only of single runs, as the others are hits already."""
-    at, one, count = None, None, 0
-    for batch in batches:
-        out = ([], [], [])
-        for a, w, single, *row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "window", "single", "key", "doc_id", "first")), strict=True):
-            if (a, w) == at:
+def extended(found: list[tuple[int, list[bytes]]], window: int = WINDOW, seed: int = SEED) -> np.ndarray:
+    """run x run -> first word and number of words of the maximal repeat round their anchor, within the first of the two (0 words if it is shorter than a window).
+
+    Runs are given as the anchor's place and their words. Words are compared, to the left of the anchor and from it to the right.
+    """
+    numbers: dict[bytes, int] = {}
+    ids = [[numbers.setdefault(w, len(numbers)) for w in words] for _, words in found]
+    alone = -1 - np.arange(len(found))  # what fills a row up equals nothing in others
+
+    def same(rows: list[list[int]]) -> np.ndarray:
+        """Equal words from the start, for every two rows."""
+        most = max(map(len, rows))
+        m = np.repeat(alone[:, None], most, axis=1)
+        for k, row in enumerate(rows):
+            m[k, : len(row)] = row
+        return np.logical_and.accumulate(m[:, None] == m[None], axis=2).sum(axis=2)
+
+    at = np.array([a for a, _ in found])
+    left = same([x[:a][::-1] for (a, _), x in zip(found, ids, strict=True)])
+    right = same([x[a:] for (a, _), x in zip(found, ids, strict=True)])
+    size = np.where((right >= seed) & (left + right >= window), left + right, 0)
+    np.fill_diagonal(size, 0)
+    return np.stack([at[:, None] - left, size], axis=2)
+
+
+def _meet_runs(window: int, seed: int):
+    """Rows sorted by anchor and window -> the windows of single runs that come again in another run (those of other runs are hits already).
+
+    Runs of an anchor are extended, those of few; windows of crowded ones are compared by hash, one being held.
+    """
+    names = ["key", "doc_id", "first", "count"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, one, count, group, kind = None, None, 0, [], None
+        out: list[list] = [[] for _ in names]
+
+        def emit(row: tuple) -> None:
+            for c, x in zip(out, row, strict=True):
+                c.append(x)
+
+        def group_ends() -> None:
+            if len(group) > 1:
+                found = extended([(a, w.split(b" ")) for *_, a, w in group], window, seed)
+                for (key, doc, first, _, single, *_), repeats in zip(group, found.tolist(), strict=True):
+                    if single:
+                        for start, n in {(start, n) for start, n in repeats if n}:
+                            emit((key, doc, first + start, n - window + 1))
+            group.clear()
+
+        for batch in batches:
+            kind = batch.column("doc_id").type
+            for a, w, *row, text in zip(*(batch.column(c).to_pylist() for c in ("anchor", "window", "key", "doc_id", "first", "count", "single", "at", "words")), strict=True):
+                if (a, w) != at:
+                    group_ends()
+                    at, one, count = (a, w), None, 0
+                if text is not None:
+                    group.append((*row, text))
+                    continue
                 count += 1
-                found = ([one] if count == 2 and one is not None else []) + ([row] if single else [])
-                for x in found:
-                    for c, v in zip(out, x, strict=True):
-                        c.append(v)
-            else:
-                at, one, count = (a, w), row if single else None, 1
-        yield _batch(["key", "doc_id", "first", "count"], [*out, [1] * len(out[0])], [pa.int64(), batch.column("doc_id").type, pa.int32(), pa.int32()])
+                key, doc, first, _, single, _ = row
+                if count == 1:
+                    one = (key, doc, first, 1) if single else None
+                else:
+                    if one is not None:
+                        emit(one)
+                        one = None
+                    if single:
+                        emit((key, doc, first, 1))
+            yield _batch(names, out, [pa.int64(), kind, pa.int32(), pa.int32()])
+            for c in out:
+                c.clear()
+        group_ends()
+        if kind is not None:
+            yield _batch(names, out, [pa.int64(), kind, pa.int32(), pa.int32()])
+
+    return run
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -224,7 +324,7 @@ def _with(docs: DataFrame, other: DataFrame, column: str, how: str) -> DataFrame
     return docs.join(right, (docs["key"] == right["__key"]) & docs["doc_id"].eqNullSafe(right["__id"]), how).select(docs["doc_id"], docs["text"], docs["key"], column)
 
 
-def repeated(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated(df: DataFrame, window: int = WINDOW, seed: int = SEED, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and hits (first window and number of windows that have a second occurrence) for every row of df.
 
     A window occurs a second time if its words start anywhere else, in the same row or another; repeated rows are
@@ -234,11 +334,11 @@ def repeated(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str
     docs = _keyed(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = _occurrences(docs, window, seed).repartition("anchor").sortWithinPartitions("anchor", "run")
-    met = stored(found.mapInArrow(_meet, f"key bigint, doc_id {kind}, first int, count int, wanted boolean, single boolean"), "runs")
-    wanted = met.where("wanted").groupBy("key", "doc_id").agg(F.collect_list(F.struct("first", "single")).alias("wanted"))
+    met = stored(found.mapInArrow(_meet(crowd), f"key bigint, doc_id {kind}, first int, count int, wanted boolean, single boolean, few boolean"), "runs")
+    wanted = met.where("wanted").groupBy("key", "doc_id").agg(F.collect_list(F.struct("first", "single", "few")).alias("wanted"))
     # rows that are there twice have no single runs and so no say here
-    single = _windows(_with(docs, wanted, "wanted", "inner"), window, seed).repartition("anchor", "window").sortWithinPartitions("anchor", "window")
-    parts = stored(single.mapInArrow(_meet_windows, f"key bigint, doc_id {kind}, first int, count int"), "windows")
+    once = _wanted_runs(_with(docs, wanted, "wanted", "inner"), window, seed).repartition("anchor", "window").sortWithinPartitions("anchor", "window")
+    parts = stored(once.mapInArrow(_meet_runs(window, seed), f"key bigint, doc_id {kind}, first int, count int"), "repeats")
     hits = met.where("not wanted").select("key", "doc_id", "first", "count").unionByName(parts)
     return _with(docs, hits.groupBy("key", "doc_id").agg(F.collect_list(F.struct("first", "count")).alias("hits")), "hits", "left")
 
@@ -254,7 +354,7 @@ def covered(hits: list, window: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove(df: DataFrame, window: int = WINDOW, seed: int = SEED, crowd: int = CROWD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, removed (stretches of words, first and past the last) and kept (the words left, joined by one blank) for every row of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +373,6 @@ def remove(df: DataFrame, window: int = WINDOW, seed: int = SEED, id_col: str =
                 kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
             yield _batch(["doc_id", "n_words", "n_removed", "removed", "kept"], [batch.column("doc_id"), n, gone, spans, kept], [batch.column("doc_id").type, pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])), pa.string()])
 
-    marked = repeated(df, window, seed, id_col, text_col)
+    marked = repeated(df, window, seed, crowd, id_col, text_col)
     kind = marked.schema["doc_id"].dataType.simpleString()
     return marked.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_removed bigint, removed array<struct<first:int,end:int>>, kept string")

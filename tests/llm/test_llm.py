@@ -98,6 +98,23 @@ def test_substring_dedup_is_exact(spark):
     assert got == brute.substring(rows)
 
 
+def test_crowded_anchors_give_the_same(spark):
+    rng = random.Random(22)
+    line = words(rng, 12, 50)
+    rows = [(k, f"{words(rng, 40, 8)} {line} {words(rng, 40, 8)}") for k in range(40)] + [(100 + k, f"{words(random.Random(k % 5), 30)} {line} {words(random.Random(k % 7), 30)}") for k in range(35)]
+    want = brute.substring(rows)
+    for crowd in (64, 2, 1):
+        got = sorted((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in substring_dedup.remove(table(spark, rows), crowd=crowd).collect())
+        assert got == want
+
+
+def test_every_two_runs_are_extended():
+    one, two = b"z a b c d e x".split(), b"q q a b c d e y".split()
+    found = substring_dedup.extended([(2, one), (3, two), (2, b"o o b c k".split())], window=4, seed=2)
+    assert found[0, 1].tolist() == [1, 5] and found[1, 0].tolist() == [2, 5]
+    assert found[0, 2, 1] == found[2, 0, 1] == found[0, 0, 1] == 0
+
+
 def test_substring_dedup_edges(spark):
     rows = [*EDGES, (10, words(random.Random(5), 50)), (10, words(random.Random(5), 50))]
     got = sorted((str(r.doc_id), r.n_words, r.n_removed) for r in substring_dedup.remove(table(spark, rows)).collect())
