@@ -147,7 +147,7 @@ def _meet(crowd: int):
     anchor has several runs, one occurrence of each (``wanted``; ``single`` if it is the only one; ``few`` unless the anchor is crowded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor = run = one = None
+        anchor = words_hash = one = None
         count, held, crowded = 0, [], False
         out: list[list] = [[] for _ in range(7)]
 
@@ -185,7 +185,7 @@ def _meet(crowd: int):
                 if sort == HIT:
                     emit(row, False, False, False)
                     continue
-                if a == anchor and r == run:
+                if a == anchor and r == words_hash:
                     if count == 1:
                         emit(one, False, False, False)
                     if sort == SINGLE:
@@ -195,7 +195,7 @@ def _meet(crowd: int):
                 run_over()
                 if a != anchor:
                     anchor_ends()
-                anchor, run, one, count = a, r, row, 1 if sort == SINGLE else 2
+                anchor, words_hash, one, count = a, r, row, 1 if sort == SINGLE else 2
             yield made(kind)
         if kind is not None:
             run_over()

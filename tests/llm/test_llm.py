@@ -594,6 +594,19 @@ def test_families_of_many_blocks_are_exact(spark, monkeypatch):
     assert len({c for i, (_, c) in want.items() if i >= 9000}) > 6
 
 
+def test_scratch_leaves_nothing_behind(spark):
+    import os
+
+    at = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(at))
+    with common.scratch(spark):
+        for run in (substring_dedup.remove, ngram_join.join, pii.find, pii.sanitise):
+            assert run(table(spark, corpus(4)[:30])).count() == 30
+        kept = common.stored(spark.range(3), "kept", keep=True)
+        assert set(os.listdir(at)) - before
+    assert {x.split("-")[0] for x in set(os.listdir(at)) - before} == {"kept"} and kept.count() == 3
+
+
 # stages of the pipeline
 
 
