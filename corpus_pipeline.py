@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossalake.llm import byte_bpe, decontamination, language_id, ngram_join, pii
-from glossalake.llm.common import stored
+from glossalake.llm.common import scratch, stored
 from glossalake.llm.queries import tokenizer
 
 
@@ -51,7 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of sf_dir; the tables between stages stay in the shared folder until it is cleared."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what a stage stores for itself goes once its result is written
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
