@@ -27,7 +27,7 @@ HIDDEN, EMBED, BUCKETS = 8, 12, 1 << 14
 #: Bound on the labelled documents the network is trained on: a third with label 1, where there are so many.
 MAX_DOCS = 2400
 #: Windows that run side by side.
-LANES = 1024
+LANES = 2048
 _WORD = re.compile(r"\w+")
 _f = np.float32
 
@@ -73,6 +73,30 @@ def layout(texts: list[list[str]], stride: int = STRIDE) -> tuple[list[str], np.
     return list(numbers), np.concatenate(rows), np.concatenate(owner)
 
 
+def line_up(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """All words in a row, texts shorter than a window filled up to one; the first and last window of each text (-1 without words); which places hold a word."""
+    row: list[str] = []
+    first, last, filled = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64), []
+    for k, t in enumerate(texts):
+        if t:
+            short = max(0, WINDOW - len(t))
+            first[k] = len(row)
+            row += t
+            row += [""] * short
+            last[k] = len(row) - WINDOW
+            filled += [np.ones(len(t), bool), np.zeros(short, bool)]
+    return row, first, last, np.concatenate(filled) if filled else np.empty(0, bool)
+
+
+def words_apart(row: list[str], filled: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Distinct words, and the number of the one at each place (-1 where there is none)."""
+    numbers: dict[str, int] = {}
+    ids = np.fromiter([numbers.setdefault(w, len(numbers)) for w in row], np.int64, len(row))
+    if (gap := numbers.get("")) is not None:  # no word is empty
+        ids = np.where(filled, ids - (ids > gap), -1)
+    return [w for w in numbers if w], ids
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return _f(0.5) * np.tanh(_f(0.5) * x) + _f(0.5)
 
@@ -124,15 +148,61 @@ class Network:
         return [np.concatenate([x @ self.p[f"W{k}"] + self.p[f"b{k}"], self.p[f"b{k}"][None]]) for k in (0, 1)]
 
     def scores(self, texts: list[list[str]]) -> np.ndarray:
-        """0 to 1 for each text, given as words; 0.0 without words."""
-        vocabulary, rows, owner = layout(texts, 1)
+        """0 to 1 for each text, given as words; 0.0 without words. All overlapping windows count."""
+        words, first, last, filled = line_up(texts)
         best = np.full(len(texts), -np.inf)
-        if len(rows):
-            projected = self.project(self.embed(vocabulary)[0])
-            for at in range(0, len(rows), LANES):
-                np.maximum.at(best, owner[at : at + LANES], self.run(projected, rows[at : at + LANES])[0])
+        if len(words):
+            logit = self.sweep(*words_apart(words, filled))
+            some = np.flatnonzero(last >= 0)
+            bounds = np.stack([first[some], last[some] + 1], axis=1).ravel()
+            best[some] = np.maximum.reduceat(np.append(logit, -np.inf), bounds)[::2]
         return 1 / (1 + np.exp(-np.clip(best, -700, 700))) * np.isfinite(best)
 
+    def sweep(self, vocabulary: list[str], ids: np.ndarray) -> np.ndarray:
+        """The logit of the window from each place on, over words in a row (-1: past the end of a text).
+
+        Windows that start side by side run as lanes of one matrix, so that the inputs of a step are a slice
+        of it. Of a place only its attention and its share of the output are kept. What ``run`` computes, but
+        sigmoids are halves of hyperbolic tangents, their factors 1/2 moved into the weights.
+        """
+        n, h, p = len(ids) - WINDOW + 1, HIDDEN, self.p
+        half = np.concatenate([np.full(2 * h, 0.5, _f), np.ones(h, _f)])[:, None]
+        inputs = [np.ascontiguousarray((x.T * half)[:, ids]) for x in self.project(self.embed(vocabulary)[0])]
+        hidden = [np.ascontiguousarray(p[f"U{k}"].T) * _f(0.5) for k in (0, 1)]
+        tell = [np.stack([p[x][k * h : (k + 1) * h] for x in ("v", "o")]) for k in (0, 1)]
+        past = np.where(ids < 0, _f(-1e9), _f(0.0))
+        out = np.empty(n, _f)
+        for at in range(0, n, LANES):
+            lanes = min(LANES, n - at)
+            told = np.empty((WINDOW, 2, lanes), _f)
+            hu, gates, new, step = (np.empty((k * h, lanes), _f) for k in (3, 2, 1, 1))
+            for k in (0, 1):
+                state = np.zeros((h, lanes), _f)
+                for t in range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1):
+                    x = inputs[k][:, at + t : at + t + lanes]
+                    np.matmul(hidden[k], state, out=hu)
+                    np.tanh(np.add(hu[: 2 * h], x[: 2 * h], out=gates), out=gates)
+                    z, r, hn = gates[:h], gates[h:], hu[2 * h :]
+                    np.multiply(r, hn, out=new)
+                    new += hn
+                    new += x[2 * h :]
+                    np.tanh(new, out=new)
+                    np.subtract(state, new, out=step)
+                    step *= _f(0.5)
+                    new += step
+                    step *= z
+                    np.add(new, step, out=state)
+                    if k == 0:
+                        np.matmul(tell[k], state, out=told[t])
+                    else:
+                        told[t] += tell[k] @ state
+            weight = told[:, 0]
+            for t in range(WINDOW):
+                weight[t] += past[at + t : at + t + lanes]
+            a = np.exp(weight - weight.max(axis=0))
+            out[at : at + lanes] = (a * told[:, 1]).sum(axis=0) / a.sum(axis=0)
+        return out + p["c"]
+
     def gradients(self, texts: list[list[str]], labels: np.ndarray, sharp: float) -> tuple[dict[str, np.ndarray], dict[str, tuple]]:
         """Of the cross-entropy of a batch: dense ones, and (rows, values) for the two embeddings."""
         vocabulary, rows, owner = layout(texts)
@@ -227,7 +297,7 @@ def train(df: DataFrame, label_col: str = "toxic", max_docs: int = MAX_DOCS, id_
 
 
 def score(df: DataFrame, model: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) for every row of df; null, empty and wordless texts score 0.0."""
+    """doc_id and score (0 to 1) for every row of df, repeated ones and those with a null id too; null, empty and wordless texts score 0.0."""
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
@@ -235,12 +305,15 @@ def score(df: DataFrame, model: Network, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out, group, size = [], [], 0
-            for text in texts:  # a group's words stay within bounds, whatever the texts' lengths
+            distinct = list(dict.fromkeys(texts))  # copies within a batch are scored once
+            for text in distinct:  # a group's words stay within bounds, whatever the texts' lengths
                 group.append(words(text))
                 size += len(group[-1])
                 if size > 100_000:
                     out.append(shared.value.scores(group))
                     group, size = [], 0
-            yield pd.Series(np.concatenate([*out, shared.value.scores(group)]))
+            got = np.concatenate([*out, shared.value.scores(group)])
+            scores = dict(zip(distinct, got.tolist(), strict=True))
+            yield pd.Series([scores[t] for t in texts], dtype=float)
 
     return inputs(df, id_col, text_col).select("doc_id", run("text").alias("score"))
