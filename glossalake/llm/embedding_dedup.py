@@ -23,8 +23,8 @@ from glossalake.llm.components import components
 COSINE = 0.93
 #: Width of a quantisation step for vectors of length 1, and the share of the closest allowed pairs that may be missed.
 WIDTH, MISS = 2.0, 0.004
-#: Representatives of a block; two blocks make a task's group, and TILE rows are compared at a time.
-BLOCK, TILE = 2048, 256
+#: Unrelated vectors that a bucket may hold, about; representatives of a block, of which two make a task's group; rows that are compared at a time.
+BUCKET, BLOCK, TILE = 2048, 512, 256
 #: Bits of a sketch, and standard deviations above the closest allowed pairs' mean from which sketches are apart.
 BITS, SIGMAS = 128, 5
 
@@ -37,9 +37,9 @@ def collide(distance: float, width: float = WIDTH) -> float:
 
 
 def tables(n: int, cosine: float = COSINE) -> tuple[int, int]:
-    """Projections a table and tables: buckets of unrelated vectors stay near a block's size as n grows, and MISS holds."""
+    """Projections a table and tables: buckets of unrelated vectors stay near BUCKET as n grows, and MISS holds."""
     near, far = collide(math.sqrt(2 - 2 * cosine)), collide(math.sqrt(2))
-    k = max(1, math.ceil(math.log(max(1, n / BLOCK)) / -math.log(far)))
+    k = max(1, math.ceil(math.log(max(1, n / BUCKET)) / -math.log(far)))
     return k, max(1, math.ceil(math.log(MISS) / math.log(1 - near**k)))
 
 
