@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossalake.llm.common import bounded_sample, inputs, small_batches
+from glossalake.llm.common import inputs, sampled, small_batches
 
 ORDERS = (1, 2, 3, 4)
 BITS = 16
@@ -59,9 +59,9 @@ def grams(text: str | None) -> np.ndarray:
 
 
 def sparse(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their term frequencies."""
+    """Distinct buckets of a text and how often each occurs."""
     ids, n = np.unique(grams(text), return_counts=True)
-    return ids.astype(np.int32), (n / max(1, n.sum()) * GAIN).astype(np.float32)
+    return ids.astype(np.uint16), n.astype(np.uint16 if len(n) == 0 or n.max() < 1 << 16 else np.uint32)
 
 
 @dataclass
@@ -114,9 +114,10 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def fit(rows: Iterable[tuple[str, str]], idf: np.ndarray, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> LanguageModel:
+def fit(rows: Iterable[tuple[str | None, str]], idf: np.ndarray, epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> LanguageModel:
     """FTRL-proximal on (text, label) rows; every tenth row is kept for the temperature (all rows, if fewer than 20)."""
-    data = [(i, (v * idf[i]).astype(np.float32), y) for (i, v), y in ((sparse(t), y) for t, y in rows) if len(i)]
+    data = [(*sparse(t), y) for t, y in rows]
+    data = [(i, n, y) for i, n, y in data if len(i)]
     labels = sorted({y for *_, y in data})
     d, k = len(idf) + 1, len(labels)
     if not k:
@@ -130,8 +131,9 @@ def fit(rows: Iterable[tuple[str, str]], idf: np.ndarray, epochs: int = 4, alpha
         zz, nn = z[at], n[at]
         return np.where(np.abs(zz) <= l1, 0.0, -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(nn)) / alpha + l2))
 
-    def features(i: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.append(i, np.int32(d - 1)), np.append(v, np.float32(1.0))
+    def features(i: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values of a document's features, the bias last; made anew each time, so that a document is held by its counts alone."""
+        return np.append(i, np.int32(d - 1)).astype(np.int64), np.append((n * (GAIN / n.sum()) * idf[i]).astype(np.float32), np.float32(1.0))
 
     def softmax(s: np.ndarray) -> np.ndarray:
         e = np.exp(s - s.max())
@@ -169,11 +171,16 @@ def train(df: DataFrame, label_col: str = "lang", max_docs: int = MAX_DOCS, id_c
     Rows with a null label or text are left out; without any row the model knows no language.
     """
     small_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("label is not null and text is not null")
+    rows = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc_id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null and text is not null")
     freq, docs = document_frequencies(rows)
     idf = np.log((1 + docs) / (1 + freq)) + 0.1
-    # a generator: the sample's texts are let go once their n-grams are counted
-    return fit(((r.text, r.label) for r in sorted(bounded_sample(rows, max_docs, "language"), key=lambda r: (str(r.doc_id), r.text))), idf)
+    return fit(samples(rows, max_docs), idf)
+
+
+def samples(rows: DataFrame, max_docs: int) -> list[tuple[str, str]]:
+    """Text and label of the sampled rows (doc_id, text, label), by id and text."""
+    got = sampled(rows, max_docs, "language").collect()
+    return [(r["text"], r["label"]) for r in sorted(got, key=lambda r: (r["doc_id"], r["text"]))]
 
 
 def predictor(df: DataFrame, model: LanguageModel):
@@ -200,7 +207,7 @@ def identify(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
 
 
 def keep_known(df: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """df's rows, columns unchanged, whose language is known with a probability of least or more."""
+    """df's rows, columns unchanged, whose language is known with a probability of least or more; repeated rows and null ids are judged like others, null and empty texts go."""
     p: Column = predictor(df, model)(F.col(text_col))
     kept = df.select(F.struct("*").alias("row"), p.alias("p")).where((F.col("p.lang") != "und") & (F.col("p.score") >= least))
     return kept.select("row.*")
