@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
-from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -86,9 +85,10 @@ def capacity(sizes: list[int], shards: int) -> int:
 
 @dataclass(frozen=True)
 class Stretch:
-    """A stretch of the order: its first possible place, its bytes, and whether it is a single group."""
+    """A stretch of the order: its first possible place, the bits of the hash that part it from others, its bytes, and whether it is a single group."""
 
     start: int
+    bits: int
     bytes: int
     single: bool
 
@@ -129,13 +129,14 @@ def plan(df: DataFrame, shards: int, text_col: str = "text", first: int = FIRST,
     """
     text = F.col(text_col)
     groups = stored(df.select(place(text).alias("h"), size(text).alias("bytes")).groupBy("h").agg(F.sum("bytes").alias("bytes")), "groups")
-    bits, parts = first, _sums(groups, first)
-    while bits < 64 and (wanted := open_stretches(parts, shards)):
-        ranges = [(parts[k].start, parts[k].start + (1 << (64 - bits)) - 1) for k in wanted]
-        inside = reduce(Column.__or__, (F.col("h").between(a, b) for a, b in _joined(ranges)))
-        bits = min(64, bits + closer)
-        kept = set(wanted)
-        parts = sorted([*(p for k, p in enumerate(parts) if k not in kept), *_sums(groups.where(inside), bits)], key=lambda p: p.start)
+    parts = _sums(groups, first)
+    while wanted := open_stretches(parts, shards):
+        gone = set(wanted)
+        whole = [p for k, p in enumerate(parts) if k not in gone]
+        for bits in {parts[k].bits for k in wanted}:
+            inside = F.shiftright("h", 64 - bits).isin([parts[k].start >> (64 - bits) for k in wanted if parts[k].bits == bits])
+            whole += _sums(groups.where(inside), min(64, bits + closer))
+        parts = sorted(whole, key=lambda p: p.start)
     dropped(df.sparkSession, groups)
     ends = cuts([p.bytes for p in parts], shards)
     past = (1 << 63) - 1  # a shard after the last group begins nowhere
@@ -145,18 +146,7 @@ def plan(df: DataFrame, shards: int, text_col: str = "text", first: int = FIRST,
 def _sums(groups: DataFrame, bits: int) -> list[Stretch]:
     """Bytes of the stretches that the first bits of the hash part."""
     rows = groups.groupBy(F.shiftright("h", 64 - bits).alias("at")).agg(F.sum("bytes").alias("bytes"), (F.count("*") == 1).alias("single")).collect()
-    return sorted((Stretch(r["at"] << (64 - bits), r["bytes"], r["single"]) for r in rows), key=lambda p: p.start)
-
-
-def _joined(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Neighbouring ranges as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in ranges:
-        if out and a == out[-1][1] + 1:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+    return sorted((Stretch(r["at"] << (64 - bits), bits, r["bytes"], r["single"] or bits == 64) for r in rows), key=lambda p: p.start)
 
 
 def _shard(at: Column, begins: list[int]) -> Column:
