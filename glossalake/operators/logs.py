@@ -53,16 +53,22 @@ def parse(lines: DataFrame, column: str = "value", strict_compat: bool = True) -
     raw = F.col(column)
     others = [c for c in lines.columns if c != column]
     # one pass of the expression tells all parts: a line of the form becomes five pieces, the first one empty
-    pieces = F.split(F.regexp_replace(raw, rf"{LINE}(?s:.*)$", "\x01$1\x01$2\x01$3\x01$4"), "\x01", 5)
-    out = lines.where(strip(raw) != "").select(*others, raw.alias("raw_line"), pieces.alias("__p"))
+    pieces = F.split(F.regexp_replace("raw_line", rf"{LINE}(?s:.*)$", "\x01$1\x01$2\x01$3\x01$4"), "\x01", 5)
+    out = _settled(lines.where(strip(raw) != "").select(*others, raw.alias("raw_line")), "__p", pieces)
     known = (F.size("__p") == 5) & (F.get("__p", F.lit(0)) == "") & ~raw_starts_odd(F.col("raw_line"))
 
     def part(k: int, other: Column) -> Column:
         return F.when(known, strip(F.get("__p", F.lit(k)))).otherwise(other)
 
-    out = out.select(*others, part(1, F.lit("")).alias("timestamp_str"), part(2, F.lit("unknown")).alias("logger"), part(3, F.lit("INFO")).alias("level"), part(4, strip(F.col("raw_line"))).alias("message"), "raw_line")
+    fields = F.struct(part(1, F.lit("")).alias("timestamp_str"), part(2, F.lit("unknown")).alias("logger"), part(3, F.lit("INFO")).alias("level"), part(4, strip(F.col("raw_line"))).alias("message"))
+    out = _settled(out, "__f", fields).select(*others, "__f.*", "raw_line")
     read = F.col("timestamp_str") if strict_compat else F.regexp_replace("timestamp_str", r",\d+$", "")
-    return out.withColumn("timestamp", F.when(F.col("timestamp_str") != "", parse_datetime(read)))
+    return _settled(out, "timestamp", F.when(F.col("timestamp_str") != "", parse_datetime(read)))
+
+
+def _settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a further column that is computed once a row: filters on it stay above, where a plain one would be copied into each of them."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def raw_starts_odd(raw: Column) -> Column:
