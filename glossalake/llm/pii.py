@@ -122,7 +122,10 @@ def find(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_id",
     entities = some.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
     # an entity in fewer documents than the support has no term, whatever stands beside it
     often = entities.where(F.col("n_e") >= rule.support)
-    held = some.select("doc_id", "text_hash", F.explode("entities").alias("entity"), "terms").join(often.select("entity"), "entity")
+    # its texts are found by their keys first, so that terms of other texts don't move
+    pairs = some.select(F.col("doc_id").alias("n_id"), F.col("text_hash").alias("n_hash"), F.explode("entities").alias("entity"))
+    near = stored(pairs.join(often.select("entity"), "entity").distinct(), "near")
+    held = some.join(near, some["doc_id"].eqNullSafe(near["n_id"]) & (some["text_hash"] == near["n_hash"])).select("doc_id", "text_hash", "entity", "terms")
     met = held.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
     joint = met.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= rule.support)
     distinct = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(rule.term), F.lit(0)), lambda t: F.xxhash64(F.lower(t))))
