@@ -131,18 +131,40 @@ def merge(ranks: dict[bytes, int], word: bytes) -> list[int]:
     return [ranks[word[k : end[k]]] for k in range(n) if live[k]]
 
 
+def _packed(head: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, head.schema) as stream:
+        stream.write_table(head)
+    return out.getvalue().to_pybytes()
+
+
+_HEAD: list = [b"", {}]
+
+
+def _unpacked(head: bytes) -> dict[str, str]:
+    """Word -> ids; made once in a worker and kept until it sees another head."""
+    if _HEAD[0] is not head:
+        table = pa.ipc.open_stream(head).read_all()
+        _HEAD[:] = head, dict(zip(table.column("w").to_pylist(), table.column("ids").to_pylist(), strict=True))
+    return _HEAD[1]
+
+
 class Tokenizer:
     """Encodes and decodes by a rank table and a split pattern; every single byte must have a rank."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> None:
         self.spark, self.ranks = spark, ranks
         self.pattern = f"(?U){pattern}"  # blanks as Unicode has them
-        self.hex_ranks = {k.hex().upper(): v for k, v in ranks.items()}
         pieces = [""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             pieces[v] = k.hex()
         self.pieces = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
-        self.head: dict[str, str] = {}
+        self.head = pa.table({"w": pa.array([], pa.string()), "ids": pa.array([], pa.string())})
+
+    @property
+    def hex_ranks(self) -> dict[str, int]:
+        """The rank of each piece, written in hex."""
+        return {k.hex().upper(): v for k, v in self.ranks.items()}
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
@@ -161,22 +183,23 @@ class Tokenizer:
             least = at
         if least < math.inf:
             chosen = counts.where((level >= least) & (F.octet_length("w") <= LONG))
-            spread = chosen.repartition(max(1, min(200, self.spark.sparkContext.defaultParallelism * 2)))
+            # written first: the plan that holds the rank map has no shuffle, and so is made once
+            spread = stored(chosen.select("w").repartition(max(1, min(200, self.spark.sparkContext.defaultParallelism * 2))), "head")
             ids = _bound(self.hex_ranks, "int", lambda rank: fold(rank, F.hex(F.col("w").cast("binary"))))
-            got = spread.select("w", ids.alias("ids")).toArrow()
-            self.head = dict(zip(got.column("w").to_pylist(), got.column("ids").to_pylist(), strict=True))
+            self.head = spread.select("w", ids.alias("ids")).toArrow()  # stays in Arrow here; workers make a dict of it
+            dropped(self.spark, spread)
         dropped(self.spark, counts)
         return self
 
     def encode(self, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-        """doc_id and ids (ranks, comma-joined) for every row, after it ``text`` if kept; '' for null and empty texts."""
+        """doc_id and ids (ranks, comma-joined) for every row, repeated ones and those with a null id too, after it ``text`` if kept; '' for null and empty texts."""
         small_batches(self.spark)
         # a vocabulary and at most head_words entries, whatever the data
-        shared = self.spark.sparkContext.broadcast((self.ranks, self.head))
+        shared = self.spark.sparkContext.broadcast((self.ranks, _packed(self.head)))
 
         @F.arrow_udf("string")
         def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            ranks, head = shared.value
+            ranks, head = shared.value[0], _unpacked(shared.value[1])
             rare: dict[str, str] = {}
 
             def one(word: str) -> str:
