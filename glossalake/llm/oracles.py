@@ -71,4 +71,39 @@ marked AS (SELECT r, lo, hi, max(share) AS share FROM near JOIN places USING (r)
 spans AS (SELECT r, o, kind, lo, hi FROM base UNION ALL SELECT r, 4, CASE WHEN share >= 0.8 THEN 'removed' ELSE 'generalised' END, lo, hi FROM marked m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = m.r AND b.lo <= m.lo AND m.hi <= b.hi))
 SELECT doc_id, {", ".join(f"(SELECT count(*) FROM base s WHERE s.r = docs.r AND kind = '{k}') AS n_{k}" for k in _PII)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN {_digest("spans", 4)} USING (r)"""
 
-ORACLES = {"op2_pii": OP2, "op5_substring_dedup": OP5, "op7_secret_scan": OP7, "op8_ngram_jaccard": OP8, "op9_embedding_dedup": OP9}
+_LENGTHS = range(5, 11)
+_LATER = ", ".join(f"coalesce(sum(length(word)) FILTER (WHERE later_{n}), 0)::BIGINT AS dup_chars_{n}" for n in _LENGTHS)
+OP11 = f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+words AS (SELECT r, k, w[k] AS word FROM docs, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS k)),
+{"".join(f"""w{n} AS (SELECT r, k, count(*) OVER (PARTITION BY r, win) > 1 AS twice, row_number() OVER (PARTITION BY r, win ORDER BY k) > 1 AS again FROM (SELECT r, k, array_to_string(w[k : k + {n - 1}], ' ') AS win FROM docs, LATERAL (SELECT unnest(range(1, len(w) - {n - 2})) AS k))),
+""" for n in _LENGTHS)}marked AS (SELECT r, word, {", ".join(f"coalesce(bool_or(w{n}.again) OVER (PARTITION BY words.r ORDER BY words.k ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW), false) AS later_{n}" for n in _LENGTHS)},
+coalesce(bool_or(w5.twice) OVER (PARTITION BY words.r ORDER BY words.k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), false) AS twice FROM words {" ".join(f"LEFT JOIN w{n} USING (r, k)" for n in _LENGTHS)}),
+counted AS (SELECT r, sum(length(word))::BIGINT AS word_chars, count(*) FILTER (WHERE twice) AS n_repeat_words, {_LATER} FROM marked GROUP BY r),
+lines AS (SELECT r, line, count(*) - 1 AS more FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line HAVING count(*) > 1),
+again AS (SELECT r, sum(more)::BIGINT AS n_dup_lines, sum(more * length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')))::BIGINT AS dup_line_chars FROM lines GROUP BY r),
+found AS (SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+coalesce(dup_line_chars, 0) AS dup_line_chars, {", ".join(f"coalesce(dup_chars_{n}, 0) AS dup_chars_{n}" for n in _LENGTHS)} FROM docs LEFT JOIN counted USING (r) LEFT JOIN again USING (r)),
+based AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM found)
+SELECT *, NOT base_failed AND 100 * dup_line_chars <= 30 * word_chars AND {" AND ".join(f"100 * dup_chars_{n} <= {25 - n} * word_chars" for n in _LENGTHS)} AS kept FROM based"""
+
+
+def _clusters(rounds: int) -> str:
+    """Rounds of assigning and moving, one after the other."""
+    nearest = "(SELECT vec_id, v, unnest(list_transform(c, lambda m, i: {{'d': list_sum(list_transform(v, lambda x, j: (x - m[j]) * (x - m[j]))), 'k': i - 1}})) AS o FROM kept, m{0})"
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS MATERIALIZED (SELECT id, any_value(vec_id) AS vec_id, any_value(v) AS v, min(o) AS o FROM {nearest.format(n).replace('vec_id, v, unnest', 'id, vec_id, v, unnest')} GROUP BY id)")
+        if n < rounds:
+            steps.append(f"""s{n} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM (SELECT o.k AS k, unnest(v) AS x, unnest(range(1, 65)) AS j FROM a{n}) GROUP BY k, j),
+t{n} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM s{n} GROUP BY k),
+m{n + 1} AS MATERIALIZED (SELECT list(coalesce(t.c, old.c) ORDER BY old.k) AS c FROM (SELECT unnest(c) AS c, unnest(range(0, len(c))) AS k FROM m{n}) old LEFT JOIN t{n} t USING (k))""")
+    return ",\n".join(steps)
+
+
+OP13 = f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS MATERIALIZED (SELECT list(v ORDER BY h) AS c FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 8)),
+{_clusters(10)},
+sums AS (SELECT o.k AS k, sum(o.d) AS cluster_inertia FROM a10 GROUP BY ALL)
+SELECT vec_id, CAST(o.k AS INTEGER) AS cluster, CAST(o.d AS BIGINT) AS distance, CAST(cluster_inertia AS BIGINT) AS cluster_inertia, CAST((SELECT sum(cluster_inertia) FROM sums) AS BIGINT) AS inertia, sha256(array_to_string((SELECT c FROM m10)[o.k + 1], ',')) AS centroid_sha256 FROM a10 JOIN sums ON sums.k = o.k"""
+
+ORACLES = {"op2_pii": OP2, "op5_substring_dedup": OP5, "op7_secret_scan": OP7, "op8_ngram_jaccard": OP8, "op9_embedding_dedup": OP9, "op11_quality_rules": OP11, "op13_centroid_clusters": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossalake.llm import byte_bpe, decontamination, embedding_dedup, language_id, ngram_join, pii, secrets, sharding, substring_dedup, toxicity
+from glossalake.llm import alignment, byte_bpe, centroids, decontamination, embedding_dedup, language_id, ngram_join, pii, repetition, secrets, sharding, substring_dedup, toxicity
 from glossalake.llm.common import remainder
 from glossalake.llm.oracles import ORACLES as ORACLES
 
@@ -95,6 +95,27 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(secrets.digest(spans, secrets.BASE).cast("binary"), 256).alias("base_sha256"), secrets.digest(spans).alias("spans"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document with what the rules count and whether it stays. Edges as in ``repetition.rate``."""
+    rated = repetition.rate(table(spark, sf_dir, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rated.select(*base, *(c for c in repetition.COUNTS if c not in base))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document with its groups and links between the tokens of two vocabularies. Edges as in ``alignment.align``."""
+    import public_tokenizers as public
+
+    pair = alignment.Pair(public.path("byte_bpe_50k.json"), public.PATTERN, public.path("piece_bpe_32k.model"))
+    found = alignment.align(table(spark, sf_dir, "documents"), pair, digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a vector with its cluster, its distance and the sums of these. Edges as in ``centroids.cluster``."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -106,4 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_language_id": op10_language_id,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
