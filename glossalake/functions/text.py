@@ -142,10 +142,9 @@ def _worth_translating(stripped: Column, least: int = 2) -> Column:
 
 
 def is_translatable_paragraph(c: Column) -> Column:
-    """Not numeric, punctuation only, a single character or special characters only."""
-    s = strip(c)
-    out = (F.length(s) > 1) & ~s.rlike(r"^[\d\s.,\-%]+$") & ~s.rlike(rf"^[^{WORD}\s]+$") & ~s.rlike(r"^[\s\-_=+*#@$%^&()]+$")
-    return F.coalesce(out, F.lit(False))
+    """Not numeric, punctuation only, a single character or special characters only; digits and white space are those of all scripts."""
+    other = rf"(?U)^[\p{{Nd}}\s\x1C-\x1F.,\-%]+$|^[^{WORD}\s]+$|^[\s\-_=+*#@$%^&()]+$"
+    return F.coalesce(once(strip(c), lambda s: (F.length(s) > 1) & ~s.rlike(other)), F.lit(False))
 
 
 def sentences(c: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -25,17 +27,40 @@ class DictionaryTranslator:
         return [self.entries.get(t) for t in texts]
 
 
-def translate(df: DataFrame, translator: Translator, source: str, target: str, column: str = "text") -> DataFrame:
-    """df with translation and error; where the translator gives null or fails, the original stays."""
+#: Calls that run side by side, calls in all for a text that fails, and the seconds before the second one, which double.
+CONCURRENCY, ATTEMPTS, DELAY = 3, 3, 2.0
+
+
+def answered(translator: Translator, texts: list[str], source: str, target: str, concurrency: int = CONCURRENCY, attempts: int = ATTEMPTS, delay: float = DELAY) -> list[tuple[str | None, str | None]]:
+    """(translation, error) for each text: every one is a call of its own, at most ``concurrency`` at a time, and a failing one is tried again by itself."""
+
+    def one(text: str) -> tuple[str | None, str | None]:
+        for k in range(attempts):
+            try:
+                return translator.translate([text], source, target)[0], None
+            except Exception as e:  # noqa: BLE001  whatever fails is told in the row
+                error = str(e)[:255] or type(e).__name__
+                if k + 1 < attempts and delay:
+                    time.sleep(delay * 2**k)
+        return None, error
+
+    with ThreadPoolExecutor(concurrency) as pool:
+        return list(pool.map(one, texts))
+
+
+def translate(df: DataFrame, translator: Translator, source: str, target: str, column: str = "text", concurrency: int = CONCURRENCY, attempts: int = ATTEMPTS, delay: float = DELAY) -> DataFrame:
+    """df with translation and error; where the translator gives null or fails on a text, the original stays. A null text counts as empty.
+
+    A task asks for each distinct text of an Arrow batch once. The bound on concurrency is a task's: the cores of the cluster times it is what a service must bear.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch[column].fillna("").tolist()
-            try:
-                got, error = translator.translate(texts, source, target), None
-            except Exception as e:  # noqa: BLE001  a failed batch is reported row by row
-                got, error = [None] * len(texts), str(e)[:255]
-            yield batch.assign(translation=[t if g is None else g for t, g in zip(texts, got, strict=True)], error=error)
+            texts = batch[column].fillna("")
+            distinct = texts.unique().tolist()
+            got = dict(zip(distinct, answered(translator, distinct, source, target, concurrency, attempts, delay), strict=True))
+            pairs = [got[t] for t in texts]
+            yield batch.assign(translation=[t if g is None else g for t, (g, _) in zip(texts, pairs, strict=True)], error=[e for _, e in pairs])
 
     return df.mapInPandas(run, StructType([*df.schema, StructField("translation", StringType()), StructField("error", StringType())]))
 

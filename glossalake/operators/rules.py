@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, NumericType, StringType, StructType
 
 from glossalake.functions.text import blank, strip
 from glossalake.operators.numbering import numbered
@@ -20,19 +23,51 @@ ROLES = ("admin", "user")
 USER_PERMISSIONS = ("file_upload", "translation", "pdf_annotation", "dictionary_management", "stop_words_management", "ingredient_search", "download_files")
 
 
-def parse_flag(c):
-    """1, true, yes and 是 (any case), or a number other than 0."""
-    low = F.lower(strip(c.cast("string")))
-    number = low.try_cast("double")
-    return F.coalesce(low.isin("1", "true", "yes", "是") | (number.isNotNull() & (number != 0)), F.lit(False))
+def cell_kinds(kind: DataType) -> dict[str, DataType]:
+    """The columns that a cell may stand in: those of a typed cell (a struct), or the one column itself ('')."""
+    return {f.name: f.dataType for f in kind.fields} if isinstance(kind, StructType) else {"": kind}
+
+
+def _first(c: Column, kind: DataType, each: Callable[[Column, DataType], Column]) -> Column:
+    """each over the field of a cell that is there; null for an empty cell."""
+    parts = [c[name] if name else c for name in cell_kinds(kind)]
+    return F.coalesce(*(F.when(p.isNotNull(), each(p, k)) for p, k in zip(parts, cell_kinds(kind).values(), strict=True)))
+
+
+def parse_flag(c: Column, kind: DataType = StringType()) -> Column:
+    """Of a text whether it is 1, true, yes or 是 (any case), of a number or flag whether it isn't 0; false for any other cell."""
+
+    def one(p: Column, k: DataType) -> Column:
+        if isinstance(k, StringType):
+            return F.lower(strip(p)).isin("1", "true", "yes", "是")
+        return p.cast("double") != 0 if isinstance(k, NumericType | BooleanType) else F.lit(False)
+
+    return F.coalesce(_first(c, kind, one), F.lit(False))
+
+
+def parse_text(c: Column, kind: DataType = StringType(), zero: bool = True) -> Column:
+    """A cell as text: stripped, whole numbers without a point; null if empty, and for a number 0 or a flag false unless ``zero``."""
+
+    def one(p: Column, k: DataType) -> Column:
+        if isinstance(k, StringType):
+            return F.when(strip(p) != "", strip(p))
+        text = F.when(p == F.floor(p), p.cast("decimal(38,0)").cast("string")).otherwise(p.cast("string")) if isinstance(k, DoubleType | FloatType) else p.cast("string")
+        return text if zero or not isinstance(k, NumericType | BooleanType) else F.when(p.cast("double") != 0, text)
+
+    return _first(c, kind, one)
 
 
 def parse_import(rows: DataFrame, admin: bool, position: str = "row") -> DataFrame:
-    """Import rows with stripped texts, flag and ``error``: a half-filled row is one, an empty row is skipped. Only an admin's rows may be public."""
-    cols = {c: F.when(~blank(strip(F.col(c))), strip(F.col(c))) for c in HEADER[:4]}
-    out = rows.withColumns(cols | {"is_public": parse_flag(F.col("is_public")) & F.lit(admin)})
-    out = out.where(F.coalesce("english", "chinese", "dutch", "category").isNotNull())
-    return out.withColumn("error", F.when(blank(F.col("english")) | blank(F.col("chinese")), F.format_string("row %d: english and chinese are required", F.col(position))))
+    """Import rows with stripped texts, flag and ``error``; only an admin's rows may be public.
+
+    A row needs english and chinese: with one of them it is an error, with neither it is skipped, whatever else it holds.
+    Columns are texts, numbers or flags, or typed cells as ``sources.office`` reads them.
+    """
+    kinds = {f.name: f.dataType for f in rows.schema}
+    cols = {c: parse_text(F.col(c), kinds[c], zero=c not in ("english", "chinese")) for c in HEADER[:4]}
+    out = rows.withColumns(cols | {"is_public": parse_flag(F.col("is_public"), kinds["is_public"]) & F.lit(admin)})
+    out = out.where(F.coalesce("english", "chinese").isNotNull())
+    return out.withColumn("error", F.when(F.col("english").isNull() | F.col("chinese").isNull(), F.format_string("row %d: english and chinese are required", F.col(position))))
 
 
 def valid_header(header: list[str]) -> bool:
@@ -128,24 +163,34 @@ def added_once(existing: DataFrame, new: DataFrame, key: list[str], order: str)
     return first.join(existing.select(*key).distinct(), key, "left_anti")
 
 
-def upserted(users: DataFrame, logins: DataFrame, fields: list[str], key: str = "id", provider: str | None = None, as_of: Column | None = None) -> DataFrame:
-    """Users after single-sign-on logins: matched by name and mail, non-empty fields replace; others are new and approved, with the next ids.
+def upserted(users: DataFrame, logins: DataFrame, fields: list[str], key: str = "id", provider: str | None = None, as_of: Column | None = None, order: str | None = None) -> DataFrame:
+    """Users after single-sign-on logins: matched by name and mail (two without a mail match too), non-empty fields replace; others are new and approved, with the next ids.
 
-    With a provider, sso_provider, sso_subject (the login's ``sub``, '' without one) and last_login are set for all that logged in.
+    Of several logins of one name and mail, which make one account, the last non-empty value of a field counts; ``order`` names the column that tells
+    which is last (without it, the greatest row). Logins without a name are refused. Where accounts share name and mail, the one of the least id logs in.
+    With a provider, sso_provider, sso_subject (the last login's ``sub``, '' without one) and last_login are set for all that logged in.
     """
+    at = F.col(order) if order else F.struct(*sorted(logins.columns))
     subject = F.coalesce(F.col("sub"), F.lit("")) if "sub" in logins.columns else F.lit("")
-    new = logins.select("username", "email", *(F.col(c).alias(f"__{c}") for c in fields), subject.alias("__sub"), F.lit(True).alias("__login"))
-    met = users.join(new, ["username", "email"], "full")
-    cols = {c: F.coalesce(F.when(~blank(F.col(f"__{c}")), F.col(f"__{c}")), F.col(c)) for c in fields}
-    cols["status"] = F.coalesce("status", F.lit("approved"))
-    if provider is not None:
-        seen = {"sso_provider": F.lit(provider), "sso_subject": F.col("__sub"), "last_login": as_of if as_of is not None else F.current_timestamp()}
-        cols |= {c: F.when(F.col("__login"), v).otherwise(F.col(c)) for c, v in seen.items()}
-    met = met.withColumns(cols)
+    filled = {c: ~blank(F.col(c)) for c in fields}
+    values = [F.max_by(F.when(ok, F.col(c)), F.when(ok, at)).alias(f"__{c}") for c, ok in filled.items()]  # max_by passes over rows without an order
+    seen = logins.where(~blank(F.col("username"))).groupBy(F.col("username").alias("__name"), F.col("email").alias("__mail")).agg(*values, F.max_by(subject, at).alias("__sub"))
+    owners = users.groupBy("username", "email").agg(F.min(key).alias("__key"))
+    met = seen.join(owners, F.col("__name").eqNullSafe(F.col("username")) & F.col("__mail").eqNullSafe(F.col("email")), "left").drop("username", "email")
+
+    def logged_in(rows: DataFrame, came: Column) -> DataFrame:
+        cols = {c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in fields}
+        if provider is not None:
+            now = {"sso_provider": F.lit(provider), "sso_subject": F.col("__sub"), "last_login": as_of if as_of is not None else F.current_timestamp()}
+            cols |= {c: F.when(came, v).otherwise(F.col(c)) for c, v in now.items()}
+        return rows.withColumns(cols).select(*users.columns)
+
+    old = users.join(met.where(F.col("__key").isNotNull()), F.col(key) == F.col("__key"), "left")
     last = users.agg(F.coalesce(F.max(key), F.lit(0)).alias("__last"))
-    fresh = numbered(met.where(F.col(key).isNull()).crossJoin(F.broadcast(last)), [], ["username", "email"], F.pmod(F.xxhash64("username", "email"), F.lit(64)), "__n")
-    fresh = fresh.withColumn(key, (F.col("__last") + F.col("__n")).cast(users.schema[key].dataType))
-    return met.where(F.col(key).isNotNull()).select(*users.columns).unionByName(fresh.select(*users.columns))
+    fresh = numbered(met.where(F.col("__key").isNull()).crossJoin(F.broadcast(last)), [], ["__name", "__mail"], F.pmod(F.xxhash64("__name", "__mail"), F.lit(64)), "__n")  # last is one row
+    given = {key: (F.col("__last") + F.col("__n")), "username": F.col("__name"), "email": F.col("__mail"), "status": F.lit("approved")}
+    fresh = fresh.withColumns({f.name: given.get(f.name, F.lit(None)).cast(f.dataType) for f in users.schema})
+    return logged_in(old, F.col("__key").isNotNull()).unionByName(logged_in(fresh, F.lit(True)))
 
 
 def roles_from_groups(users: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -70,16 +70,37 @@ def paragraph_statistics(paragraph_rows: DataFrame) -> DataFrame:
     )
 
 
-def runs_by_format(characters: DataFrame, group: list[str], order: str, text: str, formats: list[str]) -> DataFrame:
-    """Runs of neighbouring characters with equal format; a line feed ends one and belongs to none."""
-    w = Window.partitionBy(*group).orderBy(order)
-    same = F.lit(True)
-    for c in formats:
-        same = same & F.col(c).eqNullSafe(F.lag(c).over(w))
-    fresh = F.when(F.coalesce(same, F.lit(False)) & (F.lag(text).over(w) != "\n") & (F.row_number().over(w) > 1), 0).otherwise(1)
-    marked = characters.withColumn("__new", fresh).withColumn("run", F.sum("__new").over(w)).where(F.col(text) != "\n")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
-    return marked.groupBy(*group, "run", *formats).agg(F.array_join(ordered, "").alias(text), F.min(order).alias("start"))
+#: Characters that one task looks through for runs, if their order is a number.
+RUN_BLOCK = 4096
+
+
+def runs_by_format(characters: DataFrame, group: list[str], order: str, text: str, formats: list[str], block: Column | None = None) -> DataFrame:
+    """Runs of neighbouring characters with equal format (nulls are equal): run, their text and where it starts. A line feed or carriage return ends one and belongs to none; runs of blanks alone are left out.
+
+    Runs are found within blocks of the order, which ``block`` must rise with; at the border of two blocks they are stitched
+    if the last format of one is the first of the other. Only one row a block meets beyond its block. ``run`` rises within a group, with gaps.
+    """
+    broken = F.coalesce(F.col(text).isin("\n", "\r"), F.lit(False))
+    rows = characters.select(*group, F.col(order).alias("__at"), F.col(text).alias("__c"), broken.alias("__broken"), F.struct(*formats).alias("__format"), (block if block is not None else F.floor(F.col(order) / RUN_BLOCK)).alias("__block"))
+    w = Window.partitionBy(*group, "__block").orderBy("__at")
+    same = F.col("__format").eqNullSafe(F.lag("__format").over(w)) & ~F.lag("__broken").over(w) & ~F.col("__broken")
+    marked = rows.withColumn("__new", F.when(F.coalesce(same & F.lag("__at").over(w).isNotNull(), F.lit(False)), 0).otherwise(1)).withColumn("__k", F.sum("__new").over(w))
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("__at", "__c"))), lambda x: x["__c"])  # of a block's run
+    pieces = marked.groupBy(*group, "__block", "__k", "__format", "__broken").agg(F.array_join(texts, "").alias("__c"), F.min("__at").alias("__at"))
+
+    edge = F.struct("__at", "__format", "__broken")
+    blocks = pieces.groupBy(*group, "__block").agg(F.max("__k").alias("__n"), F.min_by(edge, "__k").alias("__first"), F.max_by(edge, "__k").alias("__last"))
+    along = Window.partitionBy(*group).orderBy("__block")
+    last = F.lag("__last").over(along)
+    goes_on = last.isNotNull() & last["__format"].eqNullSafe(F.col("__first.__format")) & ~last["__broken"] & ~F.col("__first.__broken")
+    blocks = blocks.withColumn("__joined", F.when(F.coalesce(goes_on, F.lit(False)), 1).otherwise(0))
+    before = F.coalesce(F.sum(F.col("__n") - F.col("__joined")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.col("__joined")
+    names = [*group, "__block"]
+    offsets = blocks.select(*(F.col(c).alias(f"__{k}") for k, c in enumerate(names)), before.alias("__before"))
+    numbered = pieces.join(offsets, [F.col(c).eqNullSafe(F.col(f"__{k}")) for k, c in enumerate(names)]).withColumn("run", F.col("__k") + F.col("__before"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__c"))), lambda x: x["__c"]), "").alias(text)
+    runs = numbered.where("not __broken").groupBy(*group, "run", "__format").agg(whole, F.min("__at").alias("start"))
+    return runs.where(strip(F.col(text)) != "").select(*group, "run", "__format.*", text, "start")
 
 
 def model_items(raw: Column) -> Column:

@@ -44,11 +44,25 @@ def fifo_positions(tasks: DataFrame) -> DataFrame:
     return placed.unionByName(tasks.where(~waits).withColumn("position", F.lit(None).cast("bigint")))
 
 
+#: Parts that a key's rows are dealt into before the best of each part meet.
+SALTS = 32
+
+
+def top_rows(df: DataFrame, keys: list[str], order: list[Column], most: int, place: str = "place", salts: int = SALTS) -> DataFrame:
+    """The first ``most`` rows of each key by order, with their 1-based place, in two phases: those of each of ``salts`` parts of a key, then those of what is left, at most salts x most rows a key.
+
+    The order should be whole: of rows that tie, any come first.
+    """
+    salt = F.pmod(F.xxhash64(*(o for o in df.columns if df.schema[o].dataType.simpleString().partition("<")[0] != "map")), F.lit(salts))
+    part = df.withColumn("__salt", salt)
+    some = part.withColumn(place, F.row_number().over(Window.partitionBy(*keys, "__salt").orderBy(*order))).where(F.col(place) <= most).drop("__salt")
+    return some.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= most)
+
+
 def next_tasks(tasks: DataFrame, pool: str = "queue", most: int = MAX_ACTIVE) -> DataFrame:
-    """Waiting tasks that find a free slot in their queue: by priority, then arrival."""
+    """Waiting tasks that find a free slot in their queue: by priority, then arrival. No more than ``most`` of a queue can, so only its first ones are placed."""
     active = tasks.groupBy(pool).agg(F.count_if(F.col("status") == "processing").alias("active"))
-    place = F.row_number().over(Window.partitionBy(pool).orderBy("priority", "created_at", "task_id"))
-    waiting = tasks.where(F.col("status") == "waiting").withColumn("place", place)
+    waiting = top_rows(tasks.where(F.col("status") == "waiting"), [pool], [F.col(c) for c in ("priority", "created_at", "task_id")], most)
     return waiting.join(active, pool).where(F.col("place") <= F.greatest(F.lit(most) - F.col("active"), F.lit(0))).drop("active")
 
 
@@ -77,9 +91,8 @@ def latest_per(df: DataFrame, key: str, order: list[str], columns: list[str]) ->
 
 
 def last_rows(df: DataFrame, key: str, order: list[str], most: int) -> DataFrame:
-    """The last ``most`` rows of each key."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
-    return df.withColumn("from_last", place).where(F.col("from_last") <= most)
+    """The last ``most`` rows of each key, numbered from the last (``from_last``)."""
+    return top_rows(df, [key], [F.desc(c) for c in order], most, "from_last")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
@@ -90,27 +103,65 @@ def fold_events(events: DataFrame) -> DataFrame:
     return state.select("task_id", status.alias("status"), retries.cast("int").alias("retry_count"))
 
 
-def admissions(requests: DataFrame, pool: str = "queue", most: int = MAX_ACTIVE) -> DataFrame:
+#: Seconds of arrivals that one task looks through for the beginnings of busy periods.
+PERIOD_BLOCK = 3600
+
+
+def busy_periods(requests: DataFrame, pool: str = "queue", block: Column | None = None) -> DataFrame:
+    """requests with ``period``: how many times, up to each of them, its queue had surely run empty.
+
+    A request that starts at or after the greatest end of all earlier ones finds nothing open, whichever of those were
+    admitted, and so begins a period that depends on none before it. That greatest end is a prefix maximum: over rows
+    within a block of the order, and over one row a block beyond. ``block`` must rise with created_at. Requests that
+    have no end stay open, so that no period begins after them.
+    """
+    never = F.lit(float("inf"))
+    end = F.coalesce(F.col("finished_at").cast("double"), never)
+    rows = requests.withColumns({"__block": block if block is not None else F.floor(F.col("created_at") / PERIOD_BLOCK), "__end": end})
+    order = ["created_at", "task_id"]
+    earlier = Window.partitionBy(pool, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(pool, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(pool).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+
+    def of_blocks(df: DataFrame, value: Column, name: str) -> DataFrame:
+        """One row a block: value over the blocks before it."""
+        sums = df.groupBy(pool, "__block").agg(value.alias("__v"))
+        over = F.max("__v") if name == "__most" else F.sum("__v")
+        return sums.select(F.col(pool).alias("__pool"), F.col("__block").alias("__b"), over.over(before).alias(name))
+
+    def met(df: DataFrame, blocks: DataFrame) -> DataFrame:
+        return df.join(blocks, F.col(pool).eqNullSafe(F.col("__pool")) & F.col("__block").eqNullSafe(F.col("__b"))).drop("__pool", "__b")
+
+    most = F.greatest(F.col("__most"), F.max("__end").over(earlier))  # greatest passes over nulls
+    opened = met(rows, of_blocks(rows, F.max("__end"), "__most")).withColumn("__opens", F.when(most.isNull() | (F.col("created_at") >= most), 1).otherwise(0))
+    counted = met(opened, of_blocks(opened, F.sum("__opens"), "__count"))
+    period = F.coalesce("__count", F.lit(0)) + F.sum("__opens").over(inside)
+    return counted.select(*requests.columns, period.cast("bigint").alias("period"))
+
+
+def admissions(requests: DataFrame, pool: str = "queue", most: int = MAX_ACTIVE, block: Column | None = None) -> DataFrame:
     """Whether each request is admitted: not while ``most`` earlier admitted ones of its queue are unfinished.
 
-    Requests have created_at, finished_at (seconds) and task_id; order matters, so a queue is read through in order
-    of time, one batch after another, with at most ``most`` open tasks in memory.
+    Requests have created_at, finished_at (seconds; null: it never finishes) and task_id. Each busy period is read through
+    in order of time, one batch after another, with at most ``most`` open tasks in memory; the periods of a queue lie in
+    many tasks. A queue that never runs empty is one period.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        queue, open_until = None, []
+        now, open_until = None, []
         for batch in batches:
             out = []
-            for name, start, end in zip(batch[pool], batch["created_at"], batch["finished_at"], strict=True):
-                if name != queue:
-                    queue, open_until = name, []
+            ends = batch["finished_at"].astype(float).fillna(float("inf"))
+            for name, period, start, end in zip(batch[pool], batch["period"], batch["created_at"], ends, strict=True):
+                if (name, period) != now:
+                    now, open_until = (name, period), []
                 open_until = [t for t in open_until if t > start]
                 out.append(len(open_until) < most)
                 if out[-1]:
                     open_until.append(end)
-            yield batch.assign(admitted=out)
+            yield batch.drop(columns="period").assign(admitted=out)
 
-    ordered = requests.repartition(pool).sortWithinPartitions(pool, "created_at", "task_id")
+    ordered = busy_periods(requests, pool, block).repartition(pool, "period").sortWithinPartitions(pool, "period", "created_at", "task_id")
     return ordered.mapInPandas(run, StructType([*requests.schema, StructField("admitted", BooleanType())]))
 
 

@@ -6,11 +6,13 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from glossalake.functions import text as T
 from glossalake.functions import values as V
 from glossalake.operators import glossary as G
 from glossalake.operators import rules as R
+from glossalake.operators import terms
 from glossalake.plans.base import TRANSLATIONS, USERS, read, registry, translations, users
 from glossalake.sources.writers import aligned
 
@@ -160,9 +162,9 @@ def merge_right_wins(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT c.conv_id * 1000 + c.turn AS id, t.term FROM conversations c JOIN (SELECT DISTINCT string_split(text, ' ')[1] AS term FROM benchmark) t ON contains(c.text, t.term) WHERE length(t.term) > 0")
 def terms_in_texts(spark: SparkSession, d: str) -> DataFrame:
-    terms = read(spark, d, "benchmark").select(F.get(F.split("text", " "), F.lit(0)).alias("term"))
+    wanted = read(spark, d, "benchmark").select(F.get(F.split("text", " "), F.lit(0)).alias("term"))
     texts = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return G.terms_in_texts(texts, terms, "id", "text", "term")
+    return terms.terms_in_texts(texts, wanted, "id", "text", "term")
 
 
 @query("SELECT text, min(turn * 1000000 + conv_id) AS first FROM conversations GROUP BY text")
@@ -191,18 +193,32 @@ def import_decisions(spark: SparkSession, d: str) -> DataFrame:
     return R.accepted(new, translations(spark, d), admin="admin").select("row", "is_public", "status")
 
 
-@query("SELECT CASE WHEN count(*) FILTER (WHERE bad) = 0 THEN count(*) ELSE 0 END AS success, count(*) FILTER (WHERE bad) AS errors, array_to_string(list_slice(list('row ' || k || ': english and chinese are required' ORDER BY k) FILTER (WHERE bad), 1, 10), '|') AS messages FROM (SELECT p_partkey AS k, p_partkey % 50 = 0 AS bad FROM part)")
+# rows with neither english nor chinese are skipped, whatever else they hold; with one of them they are errors
+@query("SELECT CASE WHEN count(*) FILTER (WHERE bad) = 0 THEN count(*) ELSE 0 END AS success, count(*) FILTER (WHERE bad) AS errors, array_to_string(list_slice(list('row ' || k || ': english and chinese are required' ORDER BY k) FILTER (WHERE bad), 1, 10), '|') AS messages FROM (SELECT p_partkey AS k, p_partkey % 50 = 0 AS bad FROM part WHERE p_partkey % 7 <> 0)")
 def import_report(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
-    rows = read(spark, d, "part").select(k.cast("int").alias("row"), F.when(k % 50 == 0, " ").otherwise(F.col("p_name")).alias("english"), F.col("p_type").alias("chinese"), F.col("p_brand").alias("dutch"), F.lit(None).cast("string").alias("category"), F.lit("是").alias("is_public"))
+    rows = read(spark, d, "part").select(k.cast("int").alias("row"), F.when((k % 50 == 0) | (k % 7 == 0), " ").otherwise(F.col("p_name")).alias("english"), F.when(k % 7 != 0, F.col("p_type")).alias("chinese"), F.col("p_brand").alias("dutch"), F.lit(None).cast("string").alias("category"), F.lit("是").alias("is_public"))
     return R.import_report(R.parse_import(rows, admin=True)).select("success", "errors", F.array_join("messages", "|").alias("messages"))
 
 
-@query("SELECT CASE WHEN f IN ('1', 'true', 'yes', '是') OR coalesce(TRY_CAST(f AS DOUBLE) <> 0, false) THEN true ELSE false END AS flag, count(*) AS n FROM (SELECT CASE p_partkey % 6 WHEN 0 THEN '1' WHEN 1 THEN 'yes' WHEN 2 THEN '是' WHEN 3 THEN '0' WHEN 4 THEN '2.0' ELSE 'no' END AS f FROM part) GROUP BY 1")
+@query("SELECT CAST(p_partkey AS INTEGER) AS row, p_name AS english, p_type AS chinese, CASE WHEN p_size % 10 <> 0 THEN CAST(p_size AS VARCHAR) ELSE '0' END AS dutch, p_partkey % 3 = 1 AS is_public, CASE WHEN p_name IS NULL OR p_type IS NULL THEN 'error' END AS error FROM part WHERE p_partkey % 9 <> 0 ")
+def import_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Flags as numbers, a column of numbers, and rows that hold neither text: only Dutch and a category don't make a row."""
+    k = F.col("p_partkey")
+    text = lambda c: F.when(k % 9 != 0, F.concat(F.lit(" "), c, F.lit("\n"))).otherwise("")
+    dutch = F.when(F.col("p_size") % 10 != 0, F.col("p_size").cast("double")).otherwise(F.lit(0.0))
+    flag = F.when(k % 3 == 1, 2.0).when(k % 3 == 2, 0.0)
+    rows = read(spark, d, "part").select(k.cast("int").alias("row"), text("p_name").alias("english"), text("p_type").alias("chinese"), dutch.alias("dutch"), F.lit("c").alias("category"), flag.alias("is_public"))
+    return R.parse_import(rows, admin=True).select("row", "english", "chinese", "dutch", "is_public", "error")
+
+
+# a text counts by its words alone: 2.0 is no number there
+@query("SELECT f IN ('1', 'yes', '是') AS flag, n IN (1, 2.5, -1) AS number_flag, count(*) AS n FROM (SELECT CASE p_partkey % 6 WHEN 0 THEN '1' WHEN 1 THEN 'yes' WHEN 2 THEN '是' WHEN 3 THEN '0' WHEN 4 THEN '2.0' ELSE 'no' END AS f, CASE p_partkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2.5 WHEN 3 THEN -1 ELSE 0 END AS n FROM part) GROUP BY 1, 2")
 def import_flags(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("p_partkey") % 6
-    f = F.when(k == 0, "1").when(k == 1, " YES").when(k == 2, "是").when(k == 3, "0").when(k == 4, "2.0").otherwise("no")
-    return read(spark, d, "part").groupBy(R.parse_flag(f).alias("flag")).agg(F.count("*").alias("n"))
+    k = F.col("p_partkey")
+    f = F.when(k % 6 == 0, "1").when(k % 6 == 1, " YES").when(k % 6 == 2, "是").when(k % 6 == 3, "0").when(k % 6 == 4, "2.0").otherwise("no")
+    number = F.when(k % 5 == 1, 1.0).when(k % 5 == 2, 2.5).when(k % 5 == 3, -1.0).when(k % 5 == 0, 0.0)
+    return read(spark, d, "part").groupBy(R.parse_flag(f).alias("flag"), R.parse_flag(number, DoubleType()).alias("number_flag")).agg(F.count("*").alias("n"))
 
 
 _DELETABLE = f"SELECT 'user' AS who, id FROM {TRANSLATIONS} WHERE NOT is_public AND user_id = 7 UNION ALL SELECT 'admin', id FROM {TRANSLATIONS} WHERE is_public OR user_id = 20"
@@ -243,18 +259,21 @@ def entry_updates(spark: SparkSession, d: str) -> DataFrame:
     return done[0].unionByName(done[1])
 
 
-@query(f"""SELECT uid, username, CASE WHEN uid % 4 = 0 THEN 'renamed' ELSE segment END AS segment, CASE WHEN uid % 2 = 0 THEN 'approved' ELSE 'pending' END AS status, CASE WHEN uid % 2 = 0 THEN 'oidc' END AS sso_provider, CASE WHEN uid % 4 = 0 THEN 's' || uid WHEN uid % 2 = 0 THEN '' END AS sso_subject, CASE WHEN uid % 2 = 0 THEN TIMESTAMP '2024-01-01' END AS last_login FROM {USERS} WHERE uid % 10 <> 0
-UNION ALL SELECT (SELECT max(uid) FROM {USERS} WHERE uid % 10 <> 0) + row_number() OVER (ORDER BY username), NULL, NULL, 'approved', 'oidc', NULL, TIMESTAMP '2024-01-01' FROM {USERS} WHERE uid % 10 = 0""")
+# of two logins the later one counts, but an empty name in it leaves the earlier one's; users without a mail are found too
+@query(f"""SELECT uid, username, CASE WHEN uid % 3 <> 0 THEN username END AS email, CASE WHEN uid % 4 = 0 THEN 'renamed' WHEN uid % 6 = 0 THEN 'early' ELSE segment END AS segment, CASE WHEN uid % 2 = 0 THEN 'approved' ELSE 'pending' END AS status, CASE WHEN uid % 2 = 0 THEN 'oidc' END AS sso_provider, CASE WHEN uid % 4 = 0 THEN 's' || uid WHEN uid % 2 = 0 THEN '' END AS sso_subject, CASE WHEN uid % 2 = 0 THEN TIMESTAMP '2024-01-01' END AS last_login FROM {USERS} WHERE uid % 10 <> 0
+UNION ALL SELECT (SELECT max(uid) FROM {USERS} WHERE uid % 10 <> 0) + row_number() OVER (ORDER BY username), NULL, NULL, NULL, 'approved', 'oidc', NULL, TIMESTAMP '2024-01-01' FROM {USERS} WHERE uid % 10 = 0""")
 def login_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Every second customer logs in; one in ten isn't known yet and gets a new id. Which of them gets which is left open, so their names and subjects aren't shown."""
+    """Every second customer logs in, some of them twice; one in ten isn't known yet and gets a new id. Which of them gets which is left open, so their names and subjects aren't shown."""
+    mail = F.when(F.col("uid") % 3 != 0, F.col("username")).alias("email")
     u = users(spark, d)
-    known = u.where("uid % 10 <> 0").select("uid", "username", F.col("username").alias("email"), "segment", F.when(F.col("uid") % 2 == 0, "approved").otherwise("pending").alias("status"), F.lit(None).cast("string").alias("sso_provider"), F.lit(None).cast("string").alias("sso_subject"), F.lit(None).cast("timestamp").alias("last_login"))
-    logins = u.where("uid % 2 = 0").select("username", F.col("username").alias("email"), F.when(F.col("uid") % 4 == 0, "renamed").otherwise("").alias("segment"), F.when(F.col("uid") % 4 == 0, F.concat(F.lit("s"), F.col("uid").cast("string"))).alias("sub"))
-    done = R.upserted(known, logins, ["segment"], "uid", "oidc", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    known = u.where("uid % 10 <> 0").select("uid", "username", mail, "segment", F.when(F.col("uid") % 2 == 0, "approved").otherwise("pending").alias("status"), F.lit(None).cast("string").alias("sso_provider"), F.lit(None).cast("string").alias("sso_subject"), F.lit(None).cast("timestamp").alias("last_login"))
+    early = u.where("uid % 6 = 0").select("username", mail, F.lit("early").alias("segment"), F.lit("e").alias("sub"), F.lit(1).alias("at"))
+    late = u.where("uid % 2 = 0").select("username", mail, F.when(F.col("uid") % 4 == 0, "renamed").otherwise("").alias("segment"), F.when(F.col("uid") % 4 == 0, F.concat(F.lit("s"), F.col("uid").cast("string"))).alias("sub"), F.lit(2).alias("at"))
+    done = R.upserted(known, late.unionByName(early), ["segment"], "uid", "oidc", F.lit("2024-01-01 00:00:00").cast("timestamp"), "at")
     last = known.agg(F.max("uid").alias("last"))
     shown = lambda c: F.when(F.col("uid") <= F.col("last"), F.col(c)).alias(c)
     out = done.crossJoin(F.broadcast(last))
-    return out.select("uid", shown("username"), shown("segment"), "status", "sso_provider", shown("sso_subject"), F.col("last_login").cast("timestamp_ntz").alias("last_login"))
+    return out.select("uid", shown("username"), shown("email"), shown("segment"), "status", "sso_provider", shown("sso_subject"), F.col("last_login").cast("timestamp_ntz").alias("last_login"))
 
 
 @query("SELECT c_custkey AS user_id, CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 2 END AS role_id FROM customer WHERE c_custkey % 5 <> 0")

@@ -90,11 +90,18 @@ def translations_applied(spark: SparkSession, d: str) -> DataFrame:
     return S.applied(_fragments(spark, d), S.translations(_answers(spark, d))).select("deck", *S.PLACE, "pos", "text")
 
 
-@query("""WITH m AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m)
-SELECT user_id, event_type, min(event_id) AS start, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY user_id, run, event_type""")
+_CHARACTERS = "(SELECT user_id, event_id, event_type, CASE WHEN event_id % 11 = 0 THEN chr(10) WHEN event_id % 13 = 0 THEN chr(13) WHEN event_id % 3 = 0 THEN ' ' ELSE 'x' END AS c FROM events)"
+
+
+# a break, a character behind one and a change of format begin a run; breaks and blank runs go
+@query(f"""WITH m AS (SELECT *, c IN (chr(10), chr(13)) AS broken, CASE WHEN lag(event_type) OVER w = event_type AND c NOT IN (chr(10), chr(13)) AND lag(c) OVER w NOT IN (chr(10), chr(13)) THEN 0 ELSE 1 END AS f FROM {_CHARACTERS} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM m)
+SELECT user_id, event_type, min(event_id) AS start, string_agg(c, '' ORDER BY event_id) AS text FROM r WHERE NOT broken GROUP BY user_id, run, event_type HAVING trim(string_agg(c, '')) <> ''""")
 def format_runs(spark: SparkSession, d: str) -> DataFrame:
-    runs = S.runs_by_format(read(spark, d, "events").withColumn("c", F.lit("x")), ["user_id"], "event_id", "c", ["event_type"])
-    return runs.select("user_id", "event_type", "start", F.length("c").cast("bigint").alias("n"))
+    k = F.col("event_id")
+    c = F.when(k % 11 == 0, "\n").when(k % 13 == 0, "\r").when(k % 3 == 0, " ").otherwise("x")
+    runs = S.runs_by_format(read(spark, d, "events").withColumn("c", c), ["user_id"], "event_id", "c", ["event_type"])
+    return runs.select("user_id", "event_type", "start", F.col("c").alias("text"))
 
 
 @query("SELECT user_id, coalesce(string_agg(event_type, ' ' ORDER BY event_id) FILTER (WHERE value > 10), '') AS text, coalesce(avg(value) FILTER (WHERE value > 10), 0) AS confidence FROM events GROUP BY user_id")

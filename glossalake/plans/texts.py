@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glossalake.functions import text as T
 from glossalake.functions import values as V
-from glossalake.functions.translate import DictionaryTranslator, Dispatcher, translate, with_domain
+from glossalake.functions.translate import Dispatcher, translate, with_domain
 from glossalake.operators import glossary as G
 from glossalake.plans.base import read, registry
 
@@ -66,12 +66,26 @@ def word_classes(spark: SparkSession, d: str) -> DataFrame:
     return _words(spark, d).groupBy(T.is_reference(w).alias("reference"), T.is_page_number(w).alias("page"), T.is_translatable(w).alias("translatable")).agg(F.count("*").alias("n"))
 
 
-@query(rf"SELECT length(s) > 1 AND NOT regexp_matches(s, '^[\d\s.,\-%]+$') AND NOT regexp_matches(s, '^[^{_W}\s]+$') AND NOT regexp_matches(s, '^[\s\-_=+*#@$%^&()]+$') AS translatable, regexp_matches(w, '^\d{{1,3}}$') AS short_number, regexp_matches(w, '^\d+\s*[A-Za-z&\s.\-]+,\s*\d{{4}}') AS citation, count(*) AS n FROM (SELECT w, {_STRIP.format('w')} AS s FROM {_TOKENS}) GROUP BY ALL")
+_PARAGRAPH = rf"length({{0}}) > 1 AND NOT regexp_matches({{0}}, '^[\p{{{{Nd}}}}\p{{{{Z}}}}\s.,\-%]+$') AND NOT regexp_matches({{0}}, '^[^{_W}\s]+$') AND NOT regexp_matches({{0}}, '^[\s\-_=+*#@$%^&()]+$')".replace(_W, _W.replace("{", "{{").replace("}", "}}"))
+
+
+@query(rf"SELECT {_PARAGRAPH.format('s')} AS translatable, regexp_matches(w, '^\d{{1,3}}$') AS short_number, regexp_matches(w, '^\d+\s*[A-Za-z&\s.\-]+,\s*\d{{4}}') AS citation, count(*) AS n FROM (SELECT w, {_STRIP.format('w')} AS s FROM {_TOKENS}) GROUP BY ALL")
 def word_classes_legacy(spark: SparkSession, d: str) -> DataFrame:
     w = F.col("w")
     return _words(spark, d).groupBy(T.is_translatable_paragraph(w).alias("translatable"), T.is_short_number(w).alias("short_number"), T.is_citation(w).alias("citation")).agg(F.count("*").alias("n"))
 
 
+_WIDE = "translate({}, '0123456789', '０１２３４５６７８９')"
+
+
+@query(rf"SELECT {_PARAGRAPH.format('s')} AS translatable, length(s) > 1 AND regexp_matches(s, '^[０-９.,%\-]+$') AS wide_number, count(*) AS n FROM (SELECT {_STRIP.format(_WIDE.format('w'))} AS s FROM {_TOKENS}) GROUP BY ALL")
+def word_classes_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Every word with its digits in full width: numbers are no more worth translating for that."""
+    wide = T.strip(F.translate("w", "0123456789", "０１２３４５６７８９"))
+    number = (F.length(wide) > 1) & wide.rlike("^[０-９.,%\\-]+$")
+    return _words(spark, d).groupBy(T.is_translatable_paragraph(wide).alias("translatable"), number.alias("wide_number")).agg(F.count("*").alias("n"))
+
+
 @query(rf"SELECT doc_id, len(x) AS n, md5(array_to_string(x, '|')) AS h FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.!?。！？]+\s*'), lambda s: {_STRIP.format('s')}), lambda s: s <> '' AND {_GOOD.format('s')}) AS x FROM documents)")
 def sentences(spark: SparkSession, d: str) -> DataFrame:
     found = _docs(spark, d).select("doc_id", T.sentences(F.col("text")).alias("x"))
@@ -144,11 +158,20 @@ def text_domains(spark: SparkSession, d: str) -> DataFrame:
     return with_domain(read(spark, d, "events").select("event_id", text.alias("text")), words).select("event_id", "domain")
 
 
-@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'own' ELSE upper(event_type) END AS translation FROM events")
+class _Upper:
+    """A model that answers in capitals and fails on one kind of text."""
+
+    def translate(self, texts: list[str], source: str, target: str) -> list[str | None]:
+        if "error" in texts:
+            raise ValueError("refused")
+        return [t.upper() for t in texts]
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'own' WHEN 'error' THEN 'error' ELSE upper(event_type) END AS translation, CASE WHEN event_type = 'error' THEN 'refused' END AS error FROM events")
 def dispatched_translations(spark: SparkSession, d: str) -> DataFrame:
-    """By the model asked for; stop words stay, custom translations come first."""
-    models = Dispatcher({"upper": DictionaryTranslator({r[0]: r[0].upper() for r in read(spark, d, "events").select("event_type").distinct().limit(1000).collect()})}, ("click",), {"view": "own"})
-    return translate(read(spark, d, "events").select("event_id", F.col("event_type").alias("text")), models.by("upper"), "English", "Chinese").select("event_id", "translation")
+    """By the model asked for; stop words stay, custom translations come first; where the model fails, that text alone stays as it was."""
+    models = Dispatcher({"upper": _Upper()}, ("click",), {"view": "own"})
+    return translate(read(spark, d, "events").select("event_id", F.col("event_type").alias("text")), models.by("upper"), "English", "Chinese", delay=0).select("event_id", "translation", "error")
 
 
 @query(rf"SELECT conv_id, list_filter(list_transform(string_split(string_agg(text, '[block]' ORDER BY turn), '[block]'), lambda s: {_STRIP.format('s')}), lambda s: s <> '') AS parts FROM conversations GROUP BY conv_id")
