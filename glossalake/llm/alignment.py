@@ -1,10 +1,12 @@
 """Cross-tokenizer alignment: where the tokens of two tokenizers end together.
 
-A worker encodes each text by both and merges the ends of their tokens with two pointers: common ends cut
-the text into groups, and the tokens that end there are linked. What it emits for some MB of text is one
-row: the documents with their groups, the distinct pairs linked, how often, and which of them each document
-has. Pairs are counted over these rows, so that a pair sends a row a batch, not a document; counts, and the
-highest count of each id of the second tokenizer, are joined back to the batches.
+A worker encodes texts by both and merges the ends of their tokens with two pointers: common ends cut a text
+into groups, and the tokens that end there are linked. Neither tokenizer has a token over the end of a word and
+the blank behind it, so this is done once for each different word that a worker meets, and texts are put together
+from words. What it emits for some MB of text is one row: the documents with their groups, the distinct pairs
+linked, how often, and which of them each document has. Pairs are counted over these rows, so that a pair sends
+a row a batch, not a document; counts, and the highest count of each id of the second tokenizer, are joined back
+to the batches.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +27,20 @@ from pyspark.sql import functions as F
 
 from glossalake.llm.common import inputs, small_batches, stored
 
-#: Bytes of text whose documents share a row.
-BATCH_BYTES = 4 << 20
+#: Characters of text whose documents share a row, and documents that are encoded in one call.
+BATCH_BYTES, FEW = 4 << 20, 64
+#: Words up to so many characters are remembered by a worker, about as many as this, before it starts afresh.
+SHORT, REMEMBERED = 64, 1 << 17
 
 
-@dataclass(frozen=True)
 class Side:
-    """A tokenizer: ids of a list of texts, and the bytes of each id, none of them empty if a text can hold it."""
+    """A tokenizer: ids of a list of texts; the bytes of each id (none empty that a text can hold), their number, and the id as text."""
 
-    encode: Callable[[list[str]], list[list[int]]]
-    pieces: list[bytes]
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pieces: list[bytes], by_word: bool) -> None:
+        self.encode, self.pieces = encode, pieces
+        self.by_word = by_word  # a text's tokens are those of its words, each with the blank before it
+        self.sizes = np.array([len(p) for p in pieces], np.int64)
+        self.names = [str(i) for i in range(len(pieces))]
 
 
 def _byte_letters() -> dict[str, int]:
@@ -44,7 +52,10 @@ def _byte_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def byte_level(path: str, pattern: str) -> Side:
-    """A byte-level BPE vocabulary (JSON). Where its merges make the ids in their order, the ids are ranks and a faster library merges by them, the pattern splitting texts; else the vocabulary's own library does."""
+    """A byte-level BPE vocabulary (JSON). Where its merges make the ids in their order, the ids are ranks and a faster library merges by them, the pattern splitting texts; else the vocabulary's own library does.
+
+    No match of the pattern may go on from a character that is no white space to a blank, as none of those that such vocabularies use does.
+    """
     with open(path, encoding="utf-8") as file:
         whole = json.load(file)
     vocabulary, merges, letters = whole["model"]["vocab"], whole["model"]["merges"], _byte_letters()
@@ -55,29 +66,34 @@ def byte_level(path: str, pattern: str) -> Side:
         pieces[i] = bytes(letters[c] for c in word)
     for word in special & vocabulary.keys():
         pieces[vocabulary[word]] = word.encode()
+    by_word = whole["normalizer"] is None  # the pattern parts words
     made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in merges]
     ordered = sorted(ids, key=ids.get)
-    if [len(pieces[ids[w]]) for w in ordered[:256]] == [1] * 256 and ordered[256:] == made and whole["normalizer"] is None:
+    if [len(pieces[ids[w]]) for w in ordered[:256]] == [1] * 256 and ordered[256:] == made and by_word:
         import tiktoken
 
         ranks = {pieces[i]: i for i in ids.values()}
         fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return Side(lambda texts: [fast.encode_ordinary(t) for t in texts], pieces)
+        return Side(lambda texts: [fast.encode_ordinary(t) for t in texts], pieces, by_word)
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
     slow.encode_special_tokens = True
-    return Side(lambda texts: [slow.encode(t, add_special_tokens=False).ids for t in texts], pieces)
+    return Side(lambda texts: [slow.encode(t, add_special_tokens=False).ids for t in texts], pieces, by_word)
 
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Side:
     """A SentencePiece model; U+2581 stands for a space, <0xHH> for a byte."""
     import sentencepiece
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     held = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))]
-    return Side(lambda texts: model.encode(texts, num_threads=1), held)
+    kinds = ModelProto.FromString(model.serialized_model_proto()).normalizer_spec
+    plain = kinds.name == "identity" and kinds.add_dummy_prefix and not kinds.remove_extra_whitespaces
+    crossing = any(p[k] != "▁" and p[k + 1] == "▁" for p in map(model.id_to_piece, range(len(held))) for k in range(len(p) - 1))
+    return Side(lambda texts: model.encode(texts, num_threads=1), held, plain and not crossing)
 
 
 def merged(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
@@ -99,14 +115,37 @@ def merged(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return cut_a, cut_b
 
 
-def grouped(a: list[int], b: list[int], cut_a: list[int], cut_b: list[int]) -> str:
-    """Groups as text: ids of the first, a bar, ids of the second; groups parted by semicolons."""
-    x, y = list(map(str, a)), list(map(str, b))
+def grouped(a: list[str], b: list[str], cut_a: list[int], cut_b: list[int]) -> list[str]:
+    """Groups as text: ids of the first, a bar, ids of the second."""
     out, i, j = [], 0, 0
     for p, q in zip(cut_a, cut_b, strict=True):
-        out.append(f"{x[i] if p == i + 1 else ','.join(x[i:p])}|{y[j] if q == j + 1 else ','.join(y[j:q])}")
+        if p - i == 1 and q - j == 1:
+            out.append(a[i] + "|" + b[j])
+        else:
+            out.append(",".join(a[i:p]) + "|" + ",".join(b[j:q]))
         i, j = p, q
-    return ";".join(out)
+    return out
+
+
+def words(text: str) -> list[str]:
+    """A text's words without the blank before them: it is cut at blanks that a character follows and no white space precedes."""
+    out: list[str] = []
+    for part in text.split(" "):
+        if out and (not part or not out[-1] or out[-1][-1].isspace()):
+            out[-1] += " " + part
+        else:
+            out.append(part)
+    return out
+
+
+class Aligned(NamedTuple):
+    """Tokens of a stretch of text by both sides, its groups as text, and the ids linked (that of the first in the upper half); none where a side doesn't give the text back."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    links: list[int] | None
 
 
 @dataclass(frozen=True)
@@ -117,78 +156,128 @@ class Pair:
     pattern: str
     second: str
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]]]:
-        """For each text its ids by both and the cuts of their groups; nothing for an empty text and one that either doesn't give back byte by byte."""
-        one, two = byte_level(self.first, self.pattern), pieces(self.second)
-        for text in texts:
-            if not text:
-                yield [], [], [], []
-                continue
-            a, b, whole = one.encode([f" {text}"])[0], two.encode([text])[0], f" {text}".encode()
-            held_a, held_b = [one.pieces[i] for i in a], [two.pieces[i] for i in b]
-            if b"".join(held_a) != whole or b"".join(held_b) != whole:
-                yield [], [], [], []
-                continue
-            yield a, b, *merged(_ends(held_a), _ends(held_b))
+    def parts(self, text: str) -> list[str]:
+        """What can be aligned by itself: words, or the whole text where a side may have tokens over their ends."""
+        if not text:
+            return []
+        return words(text) if byte_level(self.first, self.pattern).by_word and pieces(self.second).by_word else [text]
 
+    def aligned(self, parts: list[str]) -> list[Aligned]:
+        """Each part by itself, though they are encoded one behind the other if all of them can be: none may end in white space, and the bytes must come back."""
+        if len(parts) > 1 and (any(p[-1].isspace() for p in parts) or (out := self._joined(parts)) is None):
+            half = len(parts) // 2
+            return self.aligned(parts[:half]) + self.aligned(parts[half:])
+        return out if len(parts) > 1 else [x for p in parts for x in self._joined([p]) or [Aligned(0, 0, 0, "", None)]]
 
-def _ends(held: list[bytes]) -> list[int]:
-    return np.cumsum(np.fromiter(map(len, held), np.int64, len(held))).tolist()
+    def _joined(self, parts: list[str]) -> list[Aligned] | None:
+        one, two = byte_level(self.first, self.pattern), pieces(self.second)
+        text = " " + " ".join(parts)
+        a, b, whole = one.encode([text])[0], two.encode([text[1:]])[0], text.encode()
+        if any(b"".join(map(side.pieces.__getitem__, ids)) != whole for side, ids in ((one, a), (two, b))):
+            return None
+        ends = np.cumsum(one.sizes[a])
+        cut_a, cut_b = merged(ends.tolist(), np.cumsum(two.sizes[b]).tolist())
+        groups = grouped([one.names[i] for i in a], [two.names[i] for i in b], cut_a, cut_b)
+        at_a, at_b = np.array(cut_a), np.array(cut_b)
+        links = ((np.array(a, np.int64)[at_a - 1] << 32) | np.array(b, np.int64)[at_b - 1]).tolist()
+        # the last group of each part, and the tokens before its end
+        last = np.searchsorted(ends[at_a - 1], np.cumsum([len(p.encode()) + 1 for p in parts]), "right")
+        per = [np.diff(x, prepend=0).tolist() for x in (at_a[last - 1], at_b[last - 1])]
+        bounds = last.tolist()
+        return [Aligned(n, m, j - i, ";".join(groups[i:j]), links[i:j]) for n, m, i, j in zip(*per, [0, *bounds[:-1]], bounds, strict=True)]
+
+
+#: Short words that a worker has met, by pair of tokenizers; they stay for its later tasks.
+_KNOWN: dict[Pair, dict[str, Aligned]] = {}
+
+
+class _Parts:
+    """Aligned parts of the texts of one row, numbered; what short ones came to is remembered beyond it."""
+
+    def __init__(self, pair: Pair) -> None:
+        self.pair, self.known = pair, _KNOWN.setdefault(pair, {})
+        self.begin()
+
+    def begin(self) -> None:
+        self.place: dict[str, int] = {}
+        self.found: list[Aligned] = []
+
+    def add(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's parts."""
+        split = [self.pair.parts(t) for t in texts]
+        fresh = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.place]
+        for part in fresh:
+            self.place[part] = len(self.place)
+        asked = [p for p in fresh if p not in self.known]
+        got = dict(zip(asked, self.pair.aligned(asked), strict=True))
+        self.found += [got[p] if p in got else self.known[p] for p in fresh]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        self.known.update((p, x) for p, x in got.items() if len(p) <= SHORT)
+        place = self.place.__getitem__
+        return [list(map(place, parts)) for parts in split]
 
 
 _DOCS = ["n_a", "n_b", "n_groups"]
 
 
-def _batches(pair: Pair, kind: pa.DataType, digest: bool, most: int):
+def _row(number: int, ids: list[pa.Array], docs: list[list[int]], found: list[Aligned], digest: bool) -> pa.RecordBatch:
+    """Documents (the numbers of their parts) as one row: n_a to n_groups and the groups of each, the pairs linked in the row, and by place among these what each document has."""
+    lost = np.array([x.links is None for x in found], bool)
+    n, none = len(docs), [not parts or lost[parts].any() for parts in docs]
+    docs = [[] if gone else parts for parts, gone in zip(docs, none, strict=True)]
+    parts = np.fromiter((p for d in docs for p in d), np.int64)
+    of = np.repeat(np.arange(n), [len(d) for d in docs])
+    sizes = np.array([len(x.links or ()) for x in found], np.int64)
+    links = np.fromiter((k for x in found for k in x.links or ()), np.int64)
+    used = np.zeros(len(found), bool)
+    used[parts] = True
+    pairs = np.unique(links[np.repeat(used, sizes)])
+    place = np.searchsorted(pairs, links)
+    # the links of the parts, in order of documents: each part's stretch of links, one after the other
+    length = sizes[parts]
+    at = np.repeat((np.cumsum(sizes) - sizes)[parts] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    held, times = np.unique(np.repeat(of, length) * max(1, len(pairs)) + place[at], return_counts=True)
+    doc, which = np.divmod(held, max(1, len(pairs)))
+    total = np.bincount(which, times, len(pairs)).astype(np.int64)
+    shown = [";".join([found[p].groups for p in d]) for d in docs]
+    groups = [hashlib.sha256(g.encode()).hexdigest() if digest and g else g for g in shown]
+    per = {c: np.array([getattr(x, c) for x in found], np.int64) for c in _DOCS}
+    columns = {
+        "batch": pa.array([number], pa.int64()),
+        "ids": _one(pa.concat_arrays(ids)),
+        **{c: _one(pa.array(np.bincount(of, per[c][parts], n).astype(np.int64))) for c in _DOCS},
+        "groups": _one(pa.array(groups, pa.string())),
+        "ends": _one(pa.array(np.cumsum(np.bincount(doc, minlength=n)), pa.int32())),
+        "place": _one(pa.array(which, pa.int32())),
+        "times": _one(pa.array(times, pa.int32())),
+        "pairs": _one(pa.array(pairs, pa.int64())),
+        "total": _one(pa.array(total, pa.int64())),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _batches(pair: Pair, digest: bool, most: int):
     """Rows of documents to rows of batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
-        ids: list = []
-        counts: list[tuple[int, int, int]] = []
-        groups: list[str] = []
-        links: list[np.ndarray] = []
-        times: list[np.ndarray] = []
+        number, parts = TaskContext.get().partitionId() << 32, _Parts(pair)
+        ids: list[pa.Array] = []
+        docs: list[list[int]] = []
         size = 0
-
-        def row() -> pa.RecordBatch:
-            sizes = [len(x) for x in links]
-            all_links, all_times = np.concatenate(links), np.concatenate(times)
-            distinct, place = np.unique(all_links, return_inverse=True)
-            total = np.bincount(place, all_times, len(distinct)).astype(np.int64)
-            columns = {
-                "batch": pa.array([(part << 32) + made], pa.int64()),
-                "ids": _one(pa.concat_arrays(ids)),
-                **{name: _one(pa.array([c[k] for c in counts], pa.int64())) for k, name in enumerate(_DOCS)},
-                "groups": _one(pa.array(groups, pa.string())),
-                "ends": _one(pa.array(np.cumsum(sizes), pa.int32())),
-                "place": _one(pa.array(place.ravel(), pa.int32())),
-                "times": _one(pa.array(all_times, pa.int32())),
-                "pairs": _one(pa.array(distinct, pa.int64())),
-                "total": _one(pa.array(total, pa.int64())),
-            }
-            return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
         for batch in batches:
-            for k in range(len(batch)):
-                text = batch.column(1)[k].as_py() or ""
-                a, b, cut_a, cut_b = next(pair.texts([text]))
-                linked = (np.array(a, np.int64)[np.array(cut_a, np.int64) - 1] << 32) | np.array(b, np.int64)[np.array(cut_b, np.int64) - 1]
-                distinct, n = np.unique(linked, return_counts=True)
-                shown = grouped(a, b, cut_a, cut_b)
-                ids.append(batch.column(0).slice(k, 1))
-                counts.append((len(a), len(b), len(cut_a)))
-                groups.append(hashlib.sha256(shown.encode()).hexdigest() if digest and shown else shown)
-                links.append(distinct)
-                times.append(n)
-                size += len(text)
+            for k in range(0, len(batch), FEW):
+                some = batch.slice(k, FEW)
+                texts = [t or "" for t in some.column(1).to_pylist()]
+                ids.append(some.column(0))
+                docs += parts.add(texts)
+                size += sum(map(len, texts))
                 if size >= most:
-                    yield row()
-                    made, size = made + 1, 0
-                    for held in (ids, counts, groups, links, times):
-                        held.clear()
-        if ids:
-            yield row()
+                    yield _row(number, ids, docs, parts.found, digest)
+                    number, size, ids, docs = number + 1, 0, [], []
+                    parts.begin()
+        if docs:
+            yield _row(number, ids, docs, parts.found, digest)
 
     return run
 
@@ -210,7 +299,7 @@ def align(df: DataFrame, pair: Pair, digest: bool = False, id_col: str = "doc_id
     rows = inputs(df, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     arrays = f"ids array<{kind}>, {', '.join(f'{c} array<bigint>' for c in _DOCS)}, groups array<string>, ends array<int>, place array<int>, times array<int>, pairs array<bigint>, total array<bigint>"
-    made = stored(rows.mapInArrow(_batches(pair, kind, digest, batch_bytes), f"batch bigint, {arrays}"), "aligned", keep=True)
+    made = stored(rows.mapInArrow(_batches(pair, digest, batch_bytes), f"batch bigint, {arrays}"), "aligned", keep=True)
     links = made.select("batch", F.posexplode(F.arrays_zip("pairs", "total")).alias("at", "x")).select("batch", "at", F.col("x.pairs").alias("pair"), F.col("x.total").alias("n"))
     counts = links.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)))
     best = counts.groupBy("b").agg(F.max("count").alias("most"))

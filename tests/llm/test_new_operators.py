@@ -204,7 +204,7 @@ def test_every_character_is_split_alike_by_both_libraries(sides):
 def test_two_pointers_meet_at_common_ends():
     assert alignment.merged([1, 3, 4, 9], [2, 3, 7, 9]) == ([2, 4], [2, 4])
     assert alignment.merged([], [1]) == ([], [])
-    assert alignment.grouped([10, 11, 12, 13], [20, 21, 22, 23], [2, 4], [2, 4]) == "10,11|20,21;12,13|22,23"
+    assert alignment.grouped(list("abcd"), list("wxyz"), [2, 3, 4], [2, 3, 4]) == ["a,b|w,x", "c|y", "d|z"]
 
 
 # centroid clusters
