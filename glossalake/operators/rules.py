@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType, NumericType, StringType, StructType
 
@@ -158,8 +158,9 @@ def without(df: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
 
 
 def added_once(existing: DataFrame, new: DataFrame, key: list[str], order: str) -> DataFrame:
-    """New rows whose key neither exists nor came before."""
-    first = new.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("__n = 1").drop("__n")
+    """New rows whose key neither exists nor came before; the first ones merge before the shuffle."""
+    rest = [c for c in new.columns if c not in key]
+    first = new.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("__r")).select(*key, "__r.*").select(*new.columns)
     return first.join(existing.select(*key).distinct(), key, "left_anti")
 
 

@@ -1,12 +1,7 @@
-"""Readers and sinks: each query writes what it reads into a new folder beside the checkpoints.
-
-Single files are made of nation and region, whose sizes are fixed; tables and lines of the large tables are
-written by Spark.
-"""
+"""Readers and sinks: each query writes what it reads into a new folder beside the checkpoints, by Spark and from whole tables."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,10 +11,11 @@ from glossalake.operators import glossary as G
 from glossalake.operators import logs as L
 from glossalake.operators import rules as R
 from glossalake.operators import slides as S
+from glossalake.operators.tasks import state_transition
 from glossalake.plans.base import TRANSLATIONS, read, registry, translations
 from glossalake.plans.logs import LEVEL, lines
 from glossalake.shared import shared_dir
-from glossalake.sources import readers, writers
+from glossalake.sources import readers, versions, writers
 
 QUERIES, ORACLES, query = registry()
 
@@ -28,17 +24,10 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def put(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, in whatever store the path names."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
-    out.write(bytearray(text.encode()))
-    out.close()
-
-
-def _nations(spark: SparkSession, d: str) -> list:
-    return read(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 rows at any scale
+def put_files(rows: DataFrame, key: str, value: str, path: str) -> str:
+    """A folder ``key=...`` for each key, with one text file whose lines are the key's values; Spark's tasks write them."""
+    rows.select(F.col(key).alias("key"), F.col(value).alias("value")).repartition("key").write.partitionBy("key").text(path)
+    return path
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_partkey = 77")
@@ -46,21 +35,21 @@ def row_by_id(spark: SparkSession, d: str) -> DataFrame:
     return readers.by_id(read(spark, d, "part"), 77, "p_partkey").select("p_partkey", "p_name")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE n_name = (SELECT max(n_name) FROM nation) AND n_regionkey = (SELECT arg_max(n_regionkey, n_name) FROM nation)")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name = (SELECT max(p_name) FROM part) AND p_size = (SELECT arg_max(p_size, (p_name, -p_partkey)) FROM part) ORDER BY p_partkey LIMIT 1")
 def row_by_columns(spark: SparkSession, d: str) -> DataFrame:
-    n = read(spark, d, "nation")
-    last = max(_nations(spark, d), key=lambda r: r["n_name"])
-    return readers.one_by(n, n_name=last["n_name"], n_regionkey=last["n_regionkey"]).select("n_nationkey", "n_name")
+    p = read(spark, d, "part")
+    last = p.agg(F.max_by(F.struct("p_name", "p_size"), F.struct("p_name", -F.col("p_partkey"))).alias("r")).first()["r"]
+    return readers.one_by(p.orderBy("p_partkey"), p_name=last["p_name"], p_size=last["p_size"]).select("p_partkey", "p_name")
 
 
-@query("SELECT n_name AS product, 'i' || n_nationkey AS ingredient, CASE WHEN n_nationkey % 2 = 0 THEN 'p\\' || n_nationkey END AS path, n_regionkey || '.json' AS file FROM nation")
+@query("SELECT p_name || ' ' || p_partkey AS product, p_type AS ingredient, CASE WHEN p_partkey % 2 = 0 THEN 'p\\' || p_partkey END AS path FROM part")
 def catalogue_files(spark: SparkSession, d: str) -> DataFrame:
-    """A JSON catalogue for each region, keyed by product."""
-    path = folder(spark, "catalogue")
-    for key in range(5):
-        own = {r["n_name"]: {"ingredient": f"i{r['n_nationkey']}"} | ({"path": f"p\\{r['n_nationkey']}"} if r["n_nationkey"] % 2 == 0 else {}) for r in _nations(spark, d) if r["n_regionkey"] == key}
-        put(spark, f"{path}/{key}.json", json.dumps(own, ensure_ascii=False))
-    return readers.catalogue(spark, path).select("product", "ingredient", "path", "file")
+    """JSON catalogues of a hundred parts each, keyed by product."""
+    k = F.col("p_partkey")
+    entry = F.struct(F.col("p_type").alias("ingredient"), F.when(k % 2 == 0, F.concat(F.lit("p\\"), k.cast("string"))).alias("path"))
+    products = F.map_from_entries(F.collect_list(F.struct(F.concat("p_name", F.lit(" "), k.cast("string")), entry)))
+    made = read(spark, d, "part").groupBy(F.floor(k / 100).alias("at")).agg(F.to_json(products).alias("json"))
+    return readers.catalogue(spark, put_files(made, "at", "json", folder(spark, "catalogue"))).select("product", "ingredient", "path")
 
 
 @query(f"SELECT rotated, level, count(*) AS n FROM (SELECT event_id % 3 = 0 AS rotated, CASE WHEN event_id % 50 = 49 THEN 'INFO' ELSE {LEVEL} END AS level FROM events) GROUP BY ALL")
@@ -75,96 +64,120 @@ def log_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, d: str) -> str:
-    path = folder(spark, "listing")
-    for r in _nations(spark, d):
-        put(spark, f"{path}/r{r['n_regionkey']}/{r['n_name']}.{'txt' if r['n_nationkey'] % 2 else 'XLSX'}", r["n_name"] * (r["n_nationkey"] + 1))
-    return path
+    """Texts, twenty documents a file, a line feed after each."""
+    docs = read(spark, d, "documents").select(F.floor(F.col("doc_id") / 20).alias("at"), F.coalesce("text", F.lit("")).alias("text"))
+    return put_files(docs, "at", "text", folder(spark, "listing"))
 
 
-@query("SELECT n_name || '.XLSX' AS name, length(n_name) * (n_nationkey + 1) AS length FROM nation WHERE n_nationkey % 2 = 0")
+@query("SELECT doc_id // 20 AS key, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS length FROM documents GROUP BY 1")
 def folder_listing(spark: SparkSession, d: str) -> DataFrame:
-    found = readers.listing(spark, _listed(spark, d), ".xlsx")
-    return found.select(F.replace(F.regexp_extract("path", r"([^/]+)$", 1), F.lit("%20"), F.lit(" ")).alias("name"), "length")
+    found = readers.listing(spark, _listed(spark, d), ".TXT")
+    return found.select(F.regexp_extract("path", r"/key=(\d+)/[^/]+$", 1).cast("bigint").alias("key"), "length")
 
 
-@query("SELECT CAST(sum(length(n_name) * (n_nationkey + 1)) AS BIGINT) AS used, count(*) AS files, count(*) AS old, 0 AS young FROM nation")
+@query("SELECT CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS used, count(DISTINCT doc_id // 20) AS files, count(DISTINCT doc_id // 20) AS old, 0 AS young FROM documents")
 def folder_usage(spark: SparkSession, d: str) -> DataFrame:
     """Bytes and files of a tree, and which of the files are older than a day: seen two days later all of them, seen now none."""
-    path = _listed(spark, d)
-    files = readers.listing(spark, path)
-    old, young = (readers.older_than(files, at, 24).agg(F.count("*")).first()[0] for at in (F.current_timestamp() + F.make_dt_interval(F.lit(2)), F.current_timestamp()))
-    return readers.storage_used(spark, path).select("used", "files", F.lit(old).cast("bigint").alias("old"), F.lit(young).cast("int").alias("young"))
+    files = readers.listing(spark, _listed(spark, d))
+    ages = [F.count_if(F.col("modificationTime") < at - F.make_dt_interval(hours=F.lit(24))) for at in (F.current_timestamp() + F.make_dt_interval(F.lit(2)), F.current_timestamp())]
+    return files.where(F.contains("path", F.lit("/key="))).agg(F.sum("length").alias("used"), F.count("*").alias("files"), ages[0].alias("old"), ages[1].cast("int").alias("young"))
 
 
-@query("SELECT n_regionkey || '.json' AS deck, n_nationkey AS page_index, generate_subscripts(string_split(n_name, ' '), 1) - 1 AS pos, unnest(string_split(n_name, ' ')) AS text FROM nation")
+_DECK = "conv_id // 50"
+
+
+@query(f"SELECT {_DECK} AS deck, conv_id AS page_index, turn AS box_index, text FROM conversations WHERE text IS NOT NULL")
 def deck_files(spark: SparkSession, d: str) -> DataFrame:
-    """Slide trees, some as a deck and some as a bare list of pages."""
-    path = folder(spark, "decks")
-    for key in range(5):
-        pages = [
-            {"page_index": r["n_nationkey"], "text_boxes": [{"box_index": 0, "box_id": "b", "paragraphs": [{"paragraph_index": 0, "paragraph_id": "p", "text_fragments": [{"text": w} for w in r["n_name"].split(" ")]}]}]}
-            for r in _nations(spark, d) if r["n_regionkey"] == key
-        ]
-        put(spark, f"{path}/{key}.json", json.dumps(pages if key % 2 else {"presentation_path": "x", "pages": pages}))
-    return S.fragments(readers.slide_trees(spark, path)).select("deck", "page_index", F.col("pos").cast("bigint").alias("pos"), "text")
+    """Slide trees of fifty conversations each (a page each, a box a turn), some as a deck and some as a bare list of pages."""
+    c = read(spark, d, "conversations").where("text is not null").withColumn("deck", F.expr("conv_id div 50"))
+    paragraph = F.struct(F.lit(0).alias("paragraph_index"), F.lit("p").alias("paragraph_id"), F.array(F.struct("text")).alias("text_fragments"))
+    box = F.struct(F.col("turn").alias("box_index"), F.lit("b").alias("box_id"), F.array(paragraph).alias("paragraphs"))
+    pages = c.groupBy("deck", "conv_id").agg(F.struct(F.col("conv_id").alias("page_index"), F.array_sort(F.collect_list(box)).alias("text_boxes")).alias("page"))
+    decks = pages.groupBy("deck").agg(F.collect_list("page").alias("pages"))
+    made = decks.select("deck", F.when(F.col("deck") % 2 == 0, F.to_json(F.struct(F.lit("x").alias("presentation_path"), "pages"))).otherwise(F.to_json("pages")).alias("json"))
+    found = S.fragments(readers.slide_trees(spark, put_files(made, "deck", "json", folder(spark, "decks"))))
+    return found.select(F.expr("page_index div 50").alias("deck"), F.col("page_index").cast("bigint").alias("page_index"), F.col("box_index").cast("bigint").alias("box_index"), "text")
+
+
+_NOTES = "(SELECT page_id // 40 AS doc, 'u' || (page_id // 40) AS user, CAST(page_id % 7 AS INTEGER) AS page, url AS text FROM pages)"
 
 
 def _annotated(spark: SparkSession, d: str) -> DataFrame:
-    path = folder(spark, "annotations")
-    for key in range(5):
-        own = [{"page": r["n_nationkey"] % 4, "type": "note", "coords": {"left": 0.5, "top": 1, "width": 2, "height": 3}, "text": r["n_name"], "ocrResult": "o"} for r in _nations(spark, d) if r["n_regionkey"] == key]
-        put(spark, f"{path}/{key}.json", json.dumps({"timestamp": "2024-01-01T00:00:00", "user": f"u{key}", "annotations": own}))
-    return readers.annotations(spark, path)
+    """A note for each web page, forty in a file of one user."""
+    k = F.col("page_id")
+    coords = F.struct(F.lit(0.5).alias("left"), F.lit(1).alias("top"), F.lit(2).alias("width"), F.lit(3).alias("height"))
+    note = F.struct((k % 7).alias("page"), F.lit("note").alias("type"), coords.alias("coords"), F.col("url").alias("text"), F.lit("o").alias("ocrResult"))
+    files = read(spark, d, "pages").groupBy(F.expr("page_id div 40").alias("doc")).agg(F.collect_list(note).alias("annotations"))
+    made = files.select("doc", F.to_json(F.struct(F.lit("2024-01-01T00:00:00").alias("timestamp"), F.concat(F.lit("u"), F.col("doc").cast("string")).alias("user"), "annotations")).alias("json"))
+    return readers.annotations(spark, put_files(made, "doc", "json", folder(spark, "annotations")))
 
 
-@query("SELECT n_regionkey || '.json' AS file, 'u' || n_regionkey AS user, n_nationkey % 4 AS page, n_name AS text, 0.5::DOUBLE AS \"left\" FROM nation")
+@query(f"SELECT user, page, text, 0.5::DOUBLE AS \"left\" FROM {_NOTES}")
 def annotation_files(spark: SparkSession, d: str) -> DataFrame:
-    return _annotated(spark, d).select("file", "user", "page", "text", F.col("coords.left").alias("left"))
+    return _annotated(spark, d).select("user", "page", "text", F.col("coords.left").alias("left"))
 
 
-@query("SELECT n_name AS text FROM nation WHERE n_nationkey % 4 = 2")
+@query(f"SELECT user, text FROM {_NOTES} WHERE page = 2")
 def annotations_of_page(spark: SparkSession, d: str) -> DataFrame:
-    return S.on_page(_annotated(spark, d), 2).select("text")
+    return S.on_page(_annotated(spark, d), 2).select("user", "text")
 
 
-@query("SELECT n_name AS text, n_nationkey % 4 AS page FROM nation WHERE n_nationkey % 4 BETWEEN 1 AND n_regionkey")
+@query(f"SELECT text, page FROM {_NOTES} WHERE page BETWEEN 1 AND doc % 9")
 def annotations_kept(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with as many pages as the number of their region."""
-    documents = spark.createDataFrame([(f"{k}.json", k) for k in range(5)], "file string, page_count int")
-    return S.on_real_pages(_annotated(spark, d), documents).select("text", "page")
+    """Each user's document has as many pages as the remainder of its number."""
+    documents = read(spark, d, "pages").select(F.expr("page_id div 40").alias("doc")).distinct()
+    documents = documents.select(F.concat(F.lit("u"), F.col("doc").cast("string")).alias("user"), (F.col("doc") % 9).cast("int").alias("page_count"))
+    return S.on_real_pages(_annotated(spark, d), documents, "user").select("text", "page")
 
 
-@query("SELECT 'slide_' || n_regionkey AS slide, n_regionkey AS slide_number, n_name || '.png' AS filename, n_name AS original FROM nation")
+@query("SELECT 'slide_' || o_custkey AS slide, CAST(o_custkey AS INTEGER) AS slide_number, o_orderkey || '.png' AS filename, o_orderpriority AS original FROM orders")
 def image_mappings(spark: SparkSession, d: str) -> DataFrame:
-    path = folder(spark, "mapping")
-    own = {f"slide_{key}": {"slide_number": key, "images": [{"filename": f"{r['n_name']}.png", "shape_id": 1, "left": 1, "all_text": {"text1": r["n_name"]}} for r in _nations(spark, d) if r["n_regionkey"] == key]} for key in range(5)}
-    put(spark, f"{path}/mapping.json", json.dumps(own))
+    """Orders as images, a slide a customer, a hundred slides a file."""
+    image = F.struct(F.concat(F.col("o_orderkey").cast("string"), F.lit(".png")).alias("filename"), F.lit(1).alias("shape_id"), F.lit(1).alias("left"), F.create_map(F.lit("text1"), F.col("o_orderpriority")).alias("all_text"))
+    own = read(spark, d, "orders").groupBy("o_custkey").agg(F.struct(F.col("o_custkey").alias("slide_number"), F.collect_list(image).alias("images")).alias("slide"))
+    named = F.struct(F.concat(F.lit("slide_"), F.col("o_custkey").cast("string")), "slide")
+    made = own.groupBy(F.expr("o_custkey div 100").alias("at")).agg(F.to_json(F.map_from_entries(F.collect_list(named))).alias("json"))
+    path = put_files(made, "at", "json", folder(spark, "mapping"))
     return readers.ocr_mapping(spark, path).select("slide", "slide_number", "filename", F.element_at("all_text", "text1").alias("original"))
 
 
-def _recognised(spark: SparkSession, d: str) -> str:
-    path = folder(spark, "ocr")
-    for r in _nations(spark, d):
-        k = r["n_nationkey"]
-        name = (f"{r['n_name']}.png", r["n_name"], f"{r['n_name']}.png", "other")[k % 4].replace(" ", "_")
-        put(spark, f"{path}/{name}/z_content_list.json", json.dumps([{"type": "text", "text": r["n_name"] if k % 4 != 2 else " "}, {"type": "image", "text": ""}]))
-    return path
+@query("SELECT conv_id, turn, text FROM conversations WHERE trim(text) <> '' AND conv_id % 4 <> 3")
+def ocr_folders(spark: SparkSession, d: str) -> DataFrame:
+    """Recognised text in a folder for each conversation: an item a turn, blank items and images between them; every fourth folder is of another image."""
+    c = read(spark, d, "conversations").where("text is not null").withColumn("text", F.concat(F.col("turn").cast("string"), F.lit(" "), F.col("text")))
+    items = F.array_sort(F.collect_list(F.struct("turn", F.lit("text").alias("type"), "text")))
+    listed = c.groupBy("conv_id").agg(F.transform(items, lambda x: F.struct(x["type"].alias("type"), x["text"].alias("text"))).alias("items"))
+    noise = F.array(F.struct(F.lit("image").alias("type"), F.lit("").alias("text")), F.struct(F.lit("text").alias("type"), F.lit(" ").alias("text")))
+    made = listed.select("conv_id", F.to_json(F.concat(noise, "items")).alias("json"))
+    path = put_files(made, "conv_id", "json", folder(spark, "ocr"))
+    found = readers.ocr_results(spark, path, "*.txt").select(F.regexp_extract("name", r"key=(\d+)", 1).cast("bigint").alias("conv_id"), F.explode(S.content_texts(F.col("items"))).alias("t"))
+    turn = F.regexp_extract("t.value", r"^(\d+) ", 1)
+    return found.where("conv_id % 4 <> 3").select("conv_id", turn.cast("bigint").alias("turn"), F.substr(F.col("t.value"), F.length(turn) + 2).alias("text")).where(F.trim("text") != "")
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'stem' WHEN 2 THEN 'folder' END AS ocr_text FROM supplier")
+def ocr_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    """By the file's name, else its stem, else the folder named like the file."""
+    k, n = F.col("s_suppkey"), read(spark, d, "supplier")
+    file = F.concat("s_name", F.lit(".png"))
+    results = n.where(k % 4 != 3).select(F.when(k % 4 == 0, file).when(k % 4 == 1, F.col("s_name")).otherwise("task").alias("name"), F.when(k % 4 == 2, file).alias("folder"), F.when(k % 4 == 0, "full").when(k % 4 == 1, "stem").otherwise("folder").alias("ocr_text"))
+    return S.attach_ocr(n.select("s_suppkey", file.alias("filename")), results.unionByName(n.where(k % 4 == 3).select(F.lit("task").alias("name"), file.alias("folder"), F.lit("").alias("ocr_text")))).select("s_suppkey", "ocr_text")
 
 
-@query("SELECT replace(n_name, ' ', '_') AS name, n_name AS text FROM nation WHERE n_nationkey % 4 = 1")
-def ocr_folders(spark: SparkSession, d: str) -> DataFrame:
-    found = readers.ocr_results(spark, _recognised(spark, d)).select("name", F.get(S.content_texts(F.col("items")), F.lit(0))["value"].alias("text"))
-    stems = [r["n_name"].replace(" ", "_") for r in _nations(spark, d)]
-    return found.where(F.col("name").isin(stems))
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_KEYS = {"lineitem": "l_orderkey", "labels": "doc_id", "conversations": "conv_id"}
 
 
-@query("SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'stem' WHEN 2 THEN 'folder' END AS ocr_text FROM nation")
-def ocr_fallbacks(spark: SparkSession, d: str) -> DataFrame:
-    """By the file's name, else its stem, else the folder named like the file."""
-    k, n = F.col("n_nationkey"), read(spark, d, "nation")
-    file = F.concat("n_name", F.lit(".png"))
-    results = n.where(k % 4 != 3).select(F.when(k % 4 == 0, file).when(k % 4 == 1, F.col("n_name")).otherwise("task").alias("name"), F.when(k % 4 == 2, file).alias("folder"), F.when(k % 4 == 0, "full").when(k % 4 == 1, "stem").otherwise("folder").alias("ocr_text"))
-    return S.attach_ocr(n.select("n_nationkey", file.alias("filename")), results.unionByName(n.where(k % 4 == 3).select(F.lit("task").alias("name"), file.alias("folder"), F.lit("").alias("ocr_text")))).select("n_nationkey", "ocr_text")
+def _key(table: str) -> str:
+    """The column asked about: the first one by the names of these tables."""
+    names = {"documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "events": "event_id", "part": "p_partkey", "partsupp": "ps_partkey"}
+    return _KEYS.get(table) or names.get(table) or f"{table[0]}_{table[:4] if table == 'customer' else table}key".replace("o_orders", "o_order").replace("s_supplier", "s_supp")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns, count(*) AS n_rows, count(*) = count(DISTINCT {_key(t)}) AS has_key FROM {t}" for t in _TABLES))
+def table_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """What a catalogue says of each table, and whether a column could be its key: its columns, its rows, and if none of its values comes twice."""
+    return readers.profiles({t: read(spark, d, t) for t in _TABLES}, {t: _key(t) for t in _TABLES})
 
 
 @query("SELECT name, type FROM (VALUES ('n_nationkey', 'int'), ('n_name', 'string'), ('n_regionkey', 'int')) AS t(name, type)")
@@ -239,3 +252,21 @@ def mapped_usernames(spark: SparkSession, d: str) -> DataFrame:
     given = lambda most, c: F.when(k % 4 == most, c)
     name = mapped_username(given(0, F.col("c_name")), given(1, F.concat("c_name", F.lit("@x"))), given(2, F.concat(F.lit("s"), k.cast("string"))))
     return read(spark, d, "customer").select(k.alias("uid"), name.alias("name"))
+
+
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'approved' ELSE 'pending' END AS status, 2 AS version FROM customer")
+def committed_state(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as users, all pending at first. Of two sessions over that state one approves every third, the other would reject all: the second one to commit fails, and leaves nothing."""
+    path = folder(spark, "users")
+    with versions.session(spark, path) as first:
+        first.put("users", read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("pending").alias("status")))
+    one, two = versions.Session(spark, path), versions.Session(spark, path)
+    two.put("users", state_transition(two.read("users"), "reject").select("id", "status"))
+    approved = state_transition(one.read("users").where("id % 3 = 0"), "approve").unionByName(one.read("users").where("id % 3 <> 0").withColumn("changed", F.lit(False)))
+    one.put("users", approved.select("id", "status"))
+    one.commit()
+    try:
+        two.commit()
+    except versions.Conflict:
+        pass
+    return versions.state(spark, path, "users").withColumn("version", F.lit(versions.Session(spark, path).base))

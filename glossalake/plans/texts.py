@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from glossalake.functions import text as T
 from glossalake.functions import values as V
+from glossalake.functions.segment import segmenter, word_counts
 from glossalake.functions.translate import Dispatcher, translate, with_domain
+from glossalake.operators import domains
 from glossalake.operators import glossary as G
 from glossalake.plans.base import read, registry
 
@@ -158,6 +160,31 @@ def text_domains(spark: SparkSession, d: str) -> DataFrame:
     return with_domain(read(spark, d, "events").select("event_id", text.alias("text")), words).select("event_id", "domain")
 
 
+_DOMAIN_WORDS = "regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+')"
+_LEARNT = "doc_id % 2 = 0"
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang AS domain, {_DOMAIN_WORDS} AS w FROM documents), known AS (SELECT * FROM t WHERE domain IS NOT NULL AND {_LEARNT}),
+c AS MATERIALIZED (SELECT domain, word, count(*) AS n FROM (SELECT domain, unnest(w) AS word FROM known) GROUP BY ALL),
+s AS MATERIALIZED (SELECT domain, ln(count(*) / (SELECT count(*) FROM known)) AS prior, coalesce((SELECT sum(n) FROM c WHERE c.domain = known.domain), 0) + (SELECT count(DISTINCT word) FROM c) AS total FROM known GROUP BY domain),
+v AS (SELECT DISTINCT word FROM c), words AS MATERIALIZED (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM t) JOIN v USING (word) GROUP BY ALL),
+scores AS (SELECT doc_id, s.domain, prior + coalesce(sum(words.n * ln((coalesce(c.n, 0) + 1) / total)), 0) AS score FROM (SELECT DISTINCT doc_id FROM t) d CROSS JOIN s LEFT JOIN words USING (doc_id) LEFT JOIN c ON c.domain = s.domain AND c.word = words.word GROUP BY doc_id, s.domain, prior)
+SELECT doc_id, arg_max(domain, score) AS domain FROM scores GROUP BY doc_id""")
+def fitted_domains(spark: SparkSession, d: str) -> DataFrame:
+    """Learnt from the documents of even id, with their language as domain, and told for all."""
+    docs = read(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
+    return domains.predict(docs, domains.fit(docs.where(_LEARNT))).select("doc_id", "domain")
+
+
+@query()
+def segmented_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose blanks are gone, in words again: by the words of the benchmark and their counts."""
+    segment = segmenter(word_counts(read(spark, d, "benchmark"), "text"), everything=True)
+    bare = F.regexp_replace("text", r"(?U)\s+", "").alias("text")
+    words = read(spark, d, "documents").select("doc_id", bare).select("doc_id", segment("text").alias("w"))
+    return words.select("doc_id", F.size("w").alias("n_words"), F.sha2(F.array_join("w", " ").cast("binary"), 256).alias("words_sha256"))
+
+
 class _Upper:
     """A model that answers in capitals and fails on one kind of text."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,9 +88,9 @@ def ocr_mapping(spark: SparkSession, path: str) -> DataFrame:
     return one.select(F.col("e.key").alias("slide"), F.col("e.value.slide_number").alias("slide_number"), F.posexplode("e.value.images").alias("pos", "i")).select("slide", "slide_number", "pos", "i.*")
 
 
-def ocr_results(spark: SparkSession, path: str) -> DataFrame:
-    """name (the folder) and content list of every ``*_content_list.json`` below path."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*_content_list.json").text(path, wholetext=True)
+def ocr_results(spark: SparkSession, path: str, files: str = "*_content_list.json") -> DataFrame:
+    """name (the folder) and content list of every content list below path."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path, wholetext=True)
     return raw.select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("name"), F.from_json("value", CONTENT_LIST).alias("items"))
 
 
@@ -111,5 +113,10 @@ def columns_of(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema], "name string, type string, nullable boolean")
 
 
-def tables_of(spark: SparkSession, database: str | None = None) -> DataFrame:
-    return spark.createDataFrame([(t.name, t.tableType, t.isTemporary) for t in spark.catalog.listTables(database)], "name string, type string, temporary boolean")
+def profiles(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
+    """name, n_columns, n_rows and has_key (no value of the table's key column is null or comes twice) of each table; counted by Spark, a pass a table."""
+    rows = [
+        df.agg(F.count("*").alias("n_rows"), F.countDistinct(keys[name]).alias("n")).select(F.lit(name).alias("name"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"), "n_rows", (F.col("n") == F.col("n_rows")).alias("has_key"))
+        for name, df in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
