@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from glossalake.llm.common import inputs, small_batches, unused
 
@@ -117,26 +118,26 @@ def tile(item: list, text: list, least: int) -> list[tuple[int, int, int]]:
 class Benchmark:
     """Items with enough words, and the items that hold each seed."""
 
-    items: dict[int, list[str]]
+    items: dict[object, list[str]]
     seeds: np.ndarray
-    owners: list[list[int]]
+    owners: list[list[object]]
     vocabulary: dict[str, int]
     numbers: np.ndarray
     least: int
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str | None]], least: int) -> Benchmark:
+    def of(cls, rows: list[tuple[object, str | None]], least: int) -> Benchmark:
         items = {k: w for k, t in rows if len(w := words(t)) >= least}
         vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for x in items.values() for w in x))}
         numbers = _numbers(list(vocabulary))
-        held: dict[int, set[int]] = {}
+        held: dict[int, set] = {}
         for k, x in items.items():
             for h in rolling(numbers[[vocabulary[w] for w in x]], least).tolist():
                 held.setdefault(h, set()).add(k)
         seeds = np.array(sorted(held), np.uint64)
         return cls(items, seeds, [sorted(held[h]) for h in seeds.tolist()], vocabulary, numbers, least)
 
-    def candidates(self, tokens: list[str]) -> dict[int, list[int]]:
+    def candidates(self, tokens: list[str]) -> dict[object, list[int]]:
         """Item -> places of the seeds that it shares with a document."""
         get = self.vocabulary.get
         ids = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
@@ -148,13 +149,13 @@ class Benchmark:
             return {}
         hashes = rolling(self.numbers[ids], self.least)[whole]
         at = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
-        out: dict[int, list[int]] = {}
+        out: dict[object, list[int]] = {}
         for k in np.flatnonzero(self.seeds[at] == hashes):
             for item in self.owners[at[k]]:
                 out.setdefault(item, []).append(int(whole[k]))
         return out
 
-    def coverage(self, item: int, tokens: list[str], places: list[int]) -> tuple[float, int]:
+    def coverage(self, item: object, tokens: list[str], places: list[int]) -> tuple[float, int]:
         """Share of the item's words that tiles mark, and their number; only stretches round shared seeds matter."""
         near, last = [], -1
         for at in places:
@@ -165,7 +166,7 @@ class Benchmark:
         tiles = tile(self.items[item], near, self.least)
         return sum(n for *_, n in tiles) / len(self.items[item]), len(tiles)
 
-    def hopeful(self, item: int, places: list[int], threshold: float) -> bool:
+    def hopeful(self, item: object, places: list[int], threshold: float) -> bool:
         """Whether so many seeds can make tiles of the threshold: a tile of n words has n + 1 - least seeds, a least-th of n or more."""
         return len(places) * self.least >= threshold * len(self.items[item])
 
@@ -174,11 +175,13 @@ def contaminations(df: DataFrame, benchmark: DataFrame, least: int = LEAST, thre
     """doc_id, item_id, coverage and tiles for each document and item of which it holds the threshold or more.
 
     Words are compared in lower case. Null and empty texts hold nothing; items of fewer than
-    ``least`` words match nothing; of items with one id, the last in order of text counts.
+    ``least`` words match nothing; of items with one id, the last in order of text counts, even if it is
+    too short; item ids are of any type and keep it. The ways in which small and large benchmarks meet the documents give the same rows.
     Repeated documents give repeated rows.
     """
     small_batches(df.sparkSession)
-    items = benchmark.select("item_id", "text").where("text is not null and item_id is not null")
+    # one text an item, whichever way they meet
+    items = benchmark.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     meet = _by_broadcast if size <= broadcast_bytes else _by_shuffle
     found = meet(inputs(df, id_col, text_col), items, least, threshold)
@@ -198,10 +201,12 @@ def _by_broadcast(docs: DataFrame, items: DataFrame, least: int, threshold: floa
                     if shared.value.hopeful(item, places, threshold):
                         found.append((k, item, *shared.value.coverage(item, tokens, places)))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (batch.column("doc_id").type, pa.int64(), pa.float64(), pa.int32()), strict=True)], ["doc_id", "item_id", "coverage", "tiles"])
+                kinds = batch.column("doc_id").type, item_kind, pa.float64(), pa.int32()
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "coverage", "tiles"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, item_id bigint, coverage double, tiles int")
+    item_kind = to_arrow_type(items.schema["item_id"].dataType)
+    kind, item = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id")))
+    return docs.mapInArrow(run, f"doc_id {kind}, item_id {item}, coverage double, tiles int")
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, least: int, threshold: float) -> DataFrame:
@@ -223,7 +228,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, least: int, threshold: float)
 
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))  # the same whenever the table is read; equal rows share it
     left = docs.select("doc_id", "key", F.explode(seeds("text")).alias("seed")).distinct()
-    items = items.groupBy("item_id").agg(F.max("text").alias("item"))
+    items = items.withColumnRenamed("text", "item")
     seeded = items.select("item_id", seeds("item").alias("seeds"))
     places = seeded.select("item_id", F.size("seeds").alias("m"), F.explode("seeds").alias("seed")).groupBy("item_id", "m", "seed").agg(F.count("*").alias("n"))
     met = left.join(places, "seed").groupBy("doc_id", "key", "item_id", "m").agg(F.sum("n").alias("n"))
@@ -231,7 +236,7 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, least: int, threshold: float)
     pairs = met.where(F.col("n") * least >= F.lit(threshold) * (F.col("m") + least - 1))
     pairs = pairs.select(F.col("doc_id").alias("p_id"), F.col("key").alias("p_key"), "item_id")
     both = pairs.join(items, "item_id").join(docs, (F.col("p_key") == docs["key"]) & docs["doc_id"].eqNullSafe(F.col("p_id")))
-    return both.select("doc_id", "item_id", cover("text", "item").alias("c")).select("doc_id", F.col("item_id").cast("bigint").alias("item_id"), "c.coverage", "c.tiles")
+    return both.select("doc_id", "item_id", cover("text", "item").alias("c")).select("doc_id", "item_id", "c.coverage", "c.tiles")
 
 
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

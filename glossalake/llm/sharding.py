@@ -11,6 +11,7 @@ capacity is the smallest one over the groups themselves and a few numbers reach
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -94,49 +95,65 @@ class Stretch:
 
 
 def open_stretches(parts: list[Stretch], shards: int) -> list[int]:
-    """Numbers of the stretches that a closer look must part; none once the capacity is the smallest one over the groups."""
+    """Numbers of the stretches that a closer look must part, four for each cut at most; none once the capacity is the smallest one over the groups.
+
+    Bounds on the capacity are those of cutting at any byte of a stretch of several groups, and between stretches only. Filled greedily, each shard ends in
+    one stretch: those in which cuts fall, for the lower bound and for the middle of the two, are parted. While the bounds differ, the lower one has such
+    a cut, or the upper one would be as low.
+    """
     sizes = [p.bytes for p in parts]
     ends = [0, *accumulate(sizes)]
     total, above = ends[-1], capacity(sizes, shards)
 
-    def walk(most: int, anywhere: bool) -> list[int]:
-        """Bytes before each cut if shards are filled greedily; a stretch of several groups is cut at any byte, or not at all."""
-        at, out = 0, []
+    def walk(most: int, anywhere: bool) -> tuple[bool, set[int]]:
+        """Whether all fits, and the stretches of several groups within which shards would end."""
+        at, inside = 0, set()
         for _ in range(shards):
             to = min(at + most, total)
             k = bisect_right(ends, to) - 1
-            if ends[k] != to and not (anywhere and not parts[k].single):
-                to = max(at, ends[k])
+            if ends[k] != to:
+                if not parts[k].single:
+                    inside.add(k)
+                if not anywhere or parts[k].single:
+                    to = max(at, ends[k])
             at = to
-            out.append(at)
-        return out
+        return at >= total, inside
 
     least = max([-(-total // shards), *(p.bytes for p in parts if p.single)], default=0)
-    below = _smallest(least, above, lambda most: walk(most, True)[-1] >= total)
+    below = _smallest(least, above, lambda most: walk(most, True)[0])
     if below >= above:
         return []
-    found: set[int] = set()
-    for a, b in zip(walk(below, False), walk(above, True), strict=True):
-        found.update(range(max(0, bisect_right(ends, a) - 1), min(len(parts), bisect_left(ends, b) + 1)))
-    return sorted(k for k in found if not parts[k].single)
+    middle = (below + above) // 2
+    return sorted(set().union(*(walk(most, anywhere)[1] for most in (below, middle) for anywhere in (True, False))))
+
+
+def settled(first: list[Stretch], shards: int, closer: Callable[[list[Stretch]], list[Stretch]]) -> list[Stretch]:
+    """first with stretches parted, as closer() parts those it is given, until the capacity is the smallest one over the groups."""
+    parts = first
+    while wanted := open_stretches(parts, shards):
+        gone = set(wanted)
+        parts = sorted([p for k, p in enumerate(parts) if k not in gone] + closer([parts[k] for k in wanted]), key=lambda p: p.start)
+    return parts
 
 
 def plan(df: DataFrame, shards: int, text_col: str = "text", first: int = FIRST, closer: int = CLOSER) -> list[int]:
     """The places at which a new shard begins, in order, one less than there are shards; an empty table gives empty shards.
 
     No shard exceeds the smallest capacity that the groups of equal texts allow in their order (groups of one
-    64-bit hash count as equal). At most 2 ** first sums reach the driver, and 2 ** closer for each stretch that a cut can fall in.
+    64-bit hash count as equal). At most 2 ** first sums reach the driver, and in a closer look 2 ** closer for each of a few stretches a cut.
     """
     text = F.col(text_col)
     groups = stored(df.select(place(text).alias("h"), size(text).alias("bytes")).groupBy("h").agg(F.sum("bytes").alias("bytes")), "groups")
-    parts = _sums(groups, first)
-    while wanted := open_stretches(parts, shards):
-        gone = set(wanted)
-        whole = [p for k, p in enumerate(parts) if k not in gone]
-        for bits in {parts[k].bits for k in wanted}:
-            inside = F.shiftright("h", 64 - bits).isin([parts[k].start >> (64 - bits) for k in wanted if parts[k].bits == bits])
-            whole += _sums(groups.where(inside), min(64, bits + closer))
-        parts = sorted(whole, key=lambda p: p.start)
+
+    def look(wanted: list[Stretch]) -> list[Stretch]:
+        out = []
+        for bits in {p.bits for p in wanted}:
+            numbers = [(p.start >> (64 - bits),) for p in wanted if p.bits == bits]  # a few for each shard
+            inside = F.broadcast(df.sparkSession.createDataFrame(numbers, "n bigint"))
+            out += _sums(groups.join(inside, F.shiftright("h", 64 - bits) == F.col("n"), "left_semi"), min(64, bits + closer))
+        return out
+
+    parts = settled(_sums(groups, first), shards, look)
     dropped(df.sparkSession, groups)
     ends = cuts([p.bytes for p in parts], shards)
     past = (1 << 63) - 1  # a shard after the last group begins nowhere

@@ -298,3 +298,52 @@ def test_query_of_alignment_covers_every_document(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     assert found.count() == docs.count()
     assert found.where("n_groups = 0").join(docs.where(F.length("text") > 0), "doc_id").count() < docs.count() // 100
+
+
+# sharding and decontamination: what the last round's verdict found
+
+
+@pytest.mark.parametrize("hot", [0, 0.02, 0.045, 0.3])
+def test_few_stretches_are_opened_beside_a_hot_text(hot):
+    from glossalake.llm import sharding
+
+    rng = random.Random(7)
+    groups = sorted((rng.getrandbits(64) - (1 << 63), rng.randrange(9, 4000)) for _ in range(150_000))
+    if hot:
+        k = rng.randrange(len(groups))
+        groups[k] = groups[k][0], int(sum(b for _, b in groups) * hot / (1 - hot))
+    places = np.array([h for h, _ in groups])
+    opened = []
+
+    def sums(rows, bits):
+        held = {}
+        for h, b in rows:
+            held.setdefault(h >> (64 - bits), []).append(b)
+        return [sharding.Stretch(at << (64 - bits), bits, sum(x), len(x) == 1 or bits == 64) for at, x in sorted(held.items())]
+
+    def closer(wanted):
+        opened.extend(wanted)
+        out = []
+        for p in wanted:
+            a, b = np.searchsorted(places, [p.start, p.start + (1 << (64 - p.bits)) - 1])
+            out += sums(groups[a : b + 1], min(64, p.bits + 8))
+        return out
+
+    parts = sharding.settled(sums(groups, 16), 24, closer)
+    assert sharding.capacity([p.bytes for p in parts], 24) == sharding.capacity([b for _, b in groups], 24)
+    assert len(opened) < 2000
+
+
+def test_both_ways_of_decontamination_agree(spark):
+    from glossalake.llm import decontamination
+
+    rng = random.Random(8)
+    words = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    items = [(f"i{k}", words(rng.randrange(1, 30))) for k in range(20)]
+    items += [("r", "a b c d e f g h i j"), ("r", "zz"), ("s", "a b c d e f g h i j"), ("s", "A b"), ("n", None), (None, "a b c d e f g h i j"), ("t", None), ("t", "k l m n o p q r s t"), ("e", "")]
+    docs = [(k, f"{words(10)} {rng.choice(items)[1] or ''} {words(5)}") for k in range(60)] + [(100, "x a b c d e f g h i j y"), (101, "k l m n o p q r s t"), (102, None), (103, ""), (100, "x a b c d e f g h i j y")]
+    df = documents(spark, docs)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    one, two = (sorted(map(str, decontamination.contaminations(df, bench, broadcast_bytes=n).collect())) for n in (1 << 20, 0))
+    assert one == two and any("'t'" in r for r in one) and not any("'r'" in r for r in one)
+    assert sum("doc_id=100" in r and "item_id='s'" in r for r in one) == 2
