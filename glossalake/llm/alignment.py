@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -29,7 +30,7 @@ from glossalake.llm.common import inputs, small_batches, stored
 
 #: Characters of text whose documents share a row, and documents that are encoded in one call.
 BATCH_BYTES, FEW = 4 << 20, 64
-#: Words up to so many characters are remembered by a worker, about as many as this, before it starts afresh.
+#: Words up to so many characters are remembered by a worker, about twice as many as this.
 SHORT, REMEMBERED = 64, 1 << 17
 
 
@@ -127,8 +128,14 @@ def grouped(a: list[str], b: list[str], cut_a: list[int], cut_b: list[int]) -> l
     return out
 
 
+#: A blank at an end of a text or behind white space, where no word ends.
+_BLANKS_MEET = re.compile(r"^ |[\s\x1c-\x1f] | $")
+
+
 def words(text: str) -> list[str]:
     """A text's words without the blank before them: it is cut at blanks that a character follows and no white space precedes."""
+    if not _BLANKS_MEET.search(text):
+        return text.split(" ")
     out: list[str] = []
     for part in text.split(" "):
         if out and (not part or not out[-1] or out[-1][-1].isspace()):
@@ -175,11 +182,12 @@ class Pair:
         a, b, whole = one.encode([text])[0], two.encode([text[1:]])[0], text.encode()
         if any(b"".join(map(side.pieces.__getitem__, ids)) != whole for side, ids in ((one, a), (two, b))):
             return None
-        ends = np.cumsum(one.sizes[a])
-        cut_a, cut_b = merged(ends.tolist(), np.cumsum(two.sizes[b]).tolist())
-        groups = grouped([one.names[i] for i in a], [two.names[i] for i in b], cut_a, cut_b)
+        x, y = np.array(a, np.int64), np.array(b, np.int64)
+        ends = np.cumsum(one.sizes[x])
+        cut_a, cut_b = merged(ends.tolist(), np.cumsum(two.sizes[y]).tolist())
+        groups = grouped(list(map(one.names.__getitem__, a)), list(map(two.names.__getitem__, b)), cut_a, cut_b)
         at_a, at_b = np.array(cut_a), np.array(cut_b)
-        links = ((np.array(a, np.int64)[at_a - 1] << 32) | np.array(b, np.int64)[at_b - 1]).tolist()
+        links = ((x[at_a - 1] << 32) | y[at_b - 1]).tolist()
         # the last group of each part, and the tokens before its end
         last = np.searchsorted(ends[at_a - 1], np.cumsum([len(p.encode()) + 1 for p in parts]), "right")
         per = [np.diff(x, prepend=0).tolist() for x in (at_a[last - 1], at_b[last - 1])]
@@ -187,15 +195,15 @@ class Pair:
         return [Aligned(n, m, j - i, ";".join(groups[i:j]), links[i:j]) for n, m, i, j in zip(*per, [0, *bounds[:-1]], bounds, strict=True)]
 
 
-#: Short words that a worker has met, by pair of tokenizers; they stay for its later tasks.
-_KNOWN: dict[Pair, dict[str, Aligned]] = {}
+#: Short words that a worker has met, by pair of tokenizers, for its later tasks too: those of late, and those before them.
+_KNOWN: dict[Pair, list[dict[str, Aligned]]] = {}
 
 
 class _Parts:
     """Aligned parts of the texts of one row, numbered; what short ones came to is remembered beyond it."""
 
     def __init__(self, pair: Pair) -> None:
-        self.pair, self.known = pair, _KNOWN.setdefault(pair, {})
+        self.pair, self.known = pair, _KNOWN.setdefault(pair, [{}, {}])
         self.begin()
 
     def begin(self) -> None:
@@ -208,12 +216,14 @@ class _Parts:
         fresh = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.place]
         for part in fresh:
             self.place[part] = len(self.place)
-        asked = [p for p in fresh if p not in self.known]
+        late, before = self.known
+        asked = [p for p in fresh if p not in late and p not in before]
         got = dict(zip(asked, self.pair.aligned(asked), strict=True))
-        self.found += [got[p] if p in got else self.known[p] for p in fresh]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        self.known.update((p, x) for p, x in got.items() if len(p) <= SHORT)
+        found = [late.get(p) or before.get(p) or got[p] for p in fresh]
+        self.found += found
+        late.update((p, x) for p, x in zip(fresh, found, strict=True) if len(p) <= SHORT)
+        if len(late) > REMEMBERED:
+            self.known[:] = {}, late
         place = self.place.__getitem__
         return [list(map(place, parts)) for parts in split]
 
@@ -226,10 +236,10 @@ def _row(number: int, ids: list[pa.Array], docs: list[list[int]], found: list[Al
     lost = np.array([x.links is None for x in found], bool)
     n, none = len(docs), [not parts or lost[parts].any() for parts in docs]
     docs = [[] if gone else parts for parts, gone in zip(docs, none, strict=True)]
-    parts = np.fromiter((p for d in docs for p in d), np.int64)
+    parts = np.fromiter(chain.from_iterable(docs), np.int64)
     of = np.repeat(np.arange(n), [len(d) for d in docs])
     sizes = np.array([len(x.links or ()) for x in found], np.int64)
-    links = np.fromiter((k for x in found for k in x.links or ()), np.int64)
+    links = np.fromiter(chain.from_iterable(x.links or () for x in found), np.int64)
     used = np.zeros(len(found), bool)
     used[parts] = True
     pairs = np.unique(links[np.repeat(used, sizes)])
@@ -240,7 +250,8 @@ def _row(number: int, ids: list[pa.Array], docs: list[list[int]], found: list[Al
     held, times = np.unique(np.repeat(of, length) * max(1, len(pairs)) + place[at], return_counts=True)
     doc, which = np.divmod(held, max(1, len(pairs)))
     total = np.bincount(which, times, len(pairs)).astype(np.int64)
-    shown = [";".join([found[p].groups for p in d]) for d in docs]
+    texts = [x.groups for x in found]
+    shown = [";".join(map(texts.__getitem__, d)) for d in docs]
     groups = [hashlib.sha256(g.encode()).hexdigest() if digest and g else g for g in shown]
     per = {c: np.array([getattr(x, c) for x in found], np.int64) for c in _DOCS}
     columns = {

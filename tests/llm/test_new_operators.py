@@ -325,8 +325,8 @@ def test_few_stretches_are_opened_beside_a_hot_text(hot):
         opened.extend(wanted)
         out = []
         for p in wanted:
-            a, b = np.searchsorted(places, [p.start, p.start + (1 << (64 - p.bits)) - 1])
-            out += sums(groups[a : b + 1], min(64, p.bits + 8))
+            a, b = np.searchsorted(places, p.start), np.searchsorted(places, p.start + (1 << (64 - p.bits)) - 1, "right")
+            out += sums(groups[a:b], min(64, p.bits + 8))
         return out
 
     parts = sharding.settled(sums(groups, 16), 24, closer)
