@@ -104,6 +104,33 @@ def _before(a: Column, b: Column) -> Column:
     return F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["order"] - b["order"])
 
 
+def _same_documents() -> list[Column]:
+    """What tells a set of documents (id_hash, text_hash) from others, without their order: their number and two exclusive ors of 64-bit hashes."""
+    return [F.count("*").alias("held"), F.bit_xor(F.xxhash64("id_hash", "text_hash")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "text_hash", "id_hash")).alias("y")]
+
+
+def _entity_classes(some: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """id_hash, text_hash, m (rows of such a document), e_class and n_e for the classes of entities in support rows or more, and the documents among these with their m.
+
+    Entities of the very same documents are one class: whatever they tell of a term they tell alike, so that a text with hundreds of them costs what one does.
+    """
+    key = ["id_hash", "text_hash"]
+    pairs = some.select(*key, F.explode("entities").alias("entity")).groupBy(*key, "entity").agg(F.count("*").alias("m"))
+    often = pairs.groupBy("entity").agg(F.sum("m").alias("n_e"), *_same_documents()).where(F.col("n_e") >= support)
+    often = often.select("entity", "n_e", F.xxhash64("n_e", "held", "x", "y").alias("e_class"))
+    near = stored(pairs.join(often, "entity").select(*key, "m", "e_class", "n_e").distinct(), "near")
+    return near, near.select(*key, "m").distinct()
+
+
+def _term_classes(held: DataFrame, weights: DataFrame, frequency: DataFrame, support: int) -> DataFrame:
+    """id_hash, text_hash, term, t_class and n_t for the terms of texts with frequent entities, if support rows or more of these hold the term; likewise, those of the very same documents are one class."""
+    key = ["id_hash", "text_hash"]
+    terms = held.select(*key, F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
+    often = terms.join(weights, key).groupBy("term").agg(F.sum("m").alias("n_near"), *_same_documents()).where(F.col("n_near") >= support)
+    often = often.join(frequency, "term").select("term", "n_t", F.xxhash64("n_t", "n_near", "held", "x", "y").alias("t_class"))
+    return stored(terms.join(often, "term").select(*key, "term", "t_class", "n_t"), "terms")
+
+
 def find(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash and spans (kind, order, start, end) for every row of df, by start, then order.
 
@@ -118,31 +145,30 @@ def find(df: DataFrame, rule: Disclosure | None = None, id_col: str = "doc_id",
     terms = F.when(F.size("base") > 0, _terms(F.col("text"), rule.term))  # only those of texts with entities are needed again
     found = stored(based.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("base"), entity.alias("entities"), terms.alias("terms")), "entities")
     docs = found.count()
+    key = ["id_hash", "text_hash"]
+    found = found.withColumn("id_hash", F.xxhash64("doc_id"))
     some = found.where(F.size("base") > 0)
-    entities = some.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    # an entity in fewer documents than the support has no term, whatever stands beside it
-    often = entities.where(F.col("n_e") >= rule.support)
-    # its texts are found by their keys first, so that terms of other texts don't move
-    pairs = some.select(F.col("doc_id").alias("n_id"), F.col("text_hash").alias("n_hash"), F.explode("entities").alias("entity"))
-    near = stored(pairs.join(often.select("entity"), "entity").distinct(), "near")
-    held = some.join(near, some["doc_id"].eqNullSafe(near["n_id"]) & (some["text_hash"] == near["n_hash"])).select("doc_id", "text_hash", "entity", "terms")
-    met = held.select("entity", F.explode(F.array_distinct(F.transform("terms", lambda t: t["term"]))).alias("term"))
-    joint = met.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= rule.support)
+    near, weights = _entity_classes(some, rule.support)
+    # the texts of frequent entities are found by their keys first, so that terms of other texts don't move
+    held = some.join(weights.select(*key), key).dropDuplicates(key).select(*key, "terms")
     distinct = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(rule.term), F.lit(0)), lambda t: F.xxhash64(F.lower(t))))
     frequency = rows.select(F.explode(distinct).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    told = joint.join(frequency, "term").join(often, "entity")
+    classed = _term_classes(held, weights, frequency, rule.support)
+    of_docs = classed.select(*key, "t_class", "n_t").distinct()
+    joint = near.join(of_docs, key).groupBy("e_class", "n_e", "t_class", "n_t").agg(F.sum("m").alias("n_te")).where(F.col("n_te") >= rule.support)
     own = F.log2(F.lit(docs) / F.col("n_e"))
     share = F.when(own > 0, F.log2(F.lit(docs) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / own).otherwise(0.0)
-    told = told.select("entity", "term", share.alias("share")).where(F.col("share") >= rule.generalise)
-    removed = F.col("share") >= rule.remove
-    places = held.select("doc_id", "text_hash", "entity", F.explode("terms").alias("t")).select("doc_id", "text_hash", "entity", "t.term", "t.start", "t.end")
-    hit = places.join(told, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max(removed).alias("removed"))
+    told = joint.select("e_class", "t_class", share.alias("share")).where(F.col("share") >= rule.generalise)
+    told = told.select("e_class", "t_class", (F.col("share") >= rule.remove).alias("removed"))
+    hits = near.join(told, "e_class").join(of_docs.select(*key, "t_class"), [*key, "t_class"]).groupBy(*key, "t_class").agg(F.max("removed").alias("removed"))
+    gone = classed.join(hits, [*key, "t_class"]).select(*key, "term", "removed")
+    places = held.select(*key, F.explode("terms").alias("t")).select(*key, "t.term", "t.start", "t.end")
+    hit = places.join(gone, [*key, "term"])
     kind = F.when(F.col("removed"), REMOVED).otherwise(GENERALISED)
     order = F.when(F.col("removed"), len(KINDS) + 1).otherwise(len(KINDS))
-    marked = hit.select("doc_id", "text_hash", F.struct(kind.alias("kind"), order.alias("order"), "start", "end").alias("span"))
-    marked = marked.groupBy("doc_id", "text_hash").agg(F.collect_list("span").cast(_SPAN).alias("marked"))
-    marked = marked.withColumnsRenamed({"doc_id": "t_id", "text_hash": "t_hash"})
-    both = found.join(marked, found["doc_id"].eqNullSafe(marked["t_id"]) & (found["text_hash"] == marked["t_hash"]), "left")
+    marked = hit.select(*key, F.struct(kind.alias("kind"), order.alias("order"), "start", "end").alias("span"))
+    marked = marked.groupBy(*key).agg(F.collect_list("span").cast(_SPAN).alias("marked"))  # of a text's own terms
+    both = found.join(marked, key, "left")
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["order"].alias("order"), s["start"].alias("start"), s["end"].alias("end"))).cast(_SPAN)
     outside = F.filter("marked", lambda t: ~F.exists("base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
     spans = F.array_sort(F.concat(base, F.coalesce(outside, F.array().cast(_SPAN))), _before)
