@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossalake.llm.common import dropped, inputs, small_batches, stored
+from glossalake.llm.common import dropped, inputs, short_plans, small_batches, stored
 
 #: Bound on the words whose ids are broadcast; tens of MB.
 HEAD_WORDS = 1 << 18
@@ -153,6 +153,7 @@ class Tokenizer:
     """Encodes and decodes by a rank table and a split pattern; every single byte must have a rank."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str) -> None:
+        short_plans(spark)  # the literals below are a megabyte each
         self.spark, self.ranks = spark, ranks
         self.pattern = f"(?U){pattern}"  # blanks as Unicode has them
         pieces = [""] * (max(ranks.values(), default=-1) + 1)

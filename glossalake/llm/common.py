@@ -35,6 +35,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def short_plans(spark: SparkSession) -> None:
+    """Bound what the driver keeps of plans with long literals: the description of each query, which Spark holds for a thousand of them, ends after 64,000 characters."""
+    key = "spark.sql.maxPlanStringLength"
+    if int(spark.conf.get(key, str(1 << 31))) > 64_000:
+        spark.conf.set(key, "64000")
+
+
 #: The tables that each open scratch() will delete, the innermost last.
 _SCRATCH: list[list[str]] = []
 
@@ -60,7 +67,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        _SCRATCH.remove(made)
+        del _SCRATCH[next(k for k, x in enumerate(_SCRATCH) if x is made)]  # equal lists aren't the same
         for path in made:
             _delete(spark, path)
 
