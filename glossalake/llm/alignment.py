@@ -30,8 +30,8 @@ from glossalake.llm.common import inputs, small_batches, stored
 
 #: Characters of text whose documents share a row, and documents that are encoded in one call.
 BATCH_BYTES, FEW = 4 << 20, 64
-#: Words up to so many characters are remembered by a worker, about twice as many as this.
-SHORT, REMEMBERED = 64, 1 << 17
+#: Words that a worker remembers beyond a row, before it starts afresh.
+REMEMBERED = 1 << 18
 
 
 class Side:
@@ -116,28 +116,23 @@ def merged(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return cut_a, cut_b
 
 
-def grouped(a: list[str], b: list[str], cut_a: list[int], cut_b: list[int]) -> list[str]:
-    """Groups as text: ids of the first, a bar, ids of the second."""
-    out, i, j = [], 0, 0
-    for p, q in zip(cut_a, cut_b, strict=True):
-        if p - i == 1 and q - j == 1:
-            out.append(a[i] + "|" + b[j])
-        else:
-            out.append(",".join(a[i:p]) + "|" + ",".join(b[j:q]))
-        i, j = p, q
+def grouped(a: list[str], b: list[str], cut_a: np.ndarray, cut_b: np.ndarray) -> list[str]:
+    """Groups as text: ids of the first, a bar, ids of the second. Most have one token on either side."""
+    out = [f"{a[i]}|{b[j]}" for i, j in zip((cut_a - 1).tolist(), (cut_b - 1).tolist(), strict=True)]
+    n, m = np.diff(cut_a, prepend=0), np.diff(cut_b, prepend=0)
+    for k in np.flatnonzero((n > 1) | (m > 1)).tolist():
+        p, q = cut_a[k], cut_b[k]
+        out[k] = ",".join(a[p - n[k] : p]) + "|" + ",".join(b[q - m[k] : q])
     return out
 
 
-#: A blank at an end of a text or behind white space, where no word ends.
-_BLANKS_MEET = re.compile(r"^ |[\s\x1c-\x1f] | $")
-
-
 def words(text: str) -> list[str]:
     """A text's words without the blank before them: it is cut at blanks that a character follows and no white space precedes."""
-    if not _BLANKS_MEET.search(text):
-        return text.split(" ")
+    parts = text.split(" ")
+    if "" not in parts and not re.search(r"[\s\x1c-\x1f]", "".join([p[-1] for p in parts])):
+        return parts
     out: list[str] = []
-    for part in text.split(" "):
+    for part in parts:
         if out and (not part or not out[-1] or out[-1][-1].isspace()):
             out[-1] += " " + part
         else:
@@ -146,13 +141,23 @@ def words(text: str) -> list[str]:
 
 
 class Aligned(NamedTuple):
-    """Tokens of a stretch of text by both sides, its groups as text, and the ids linked (that of the first in the upper half); none where a side doesn't give the text back."""
+    """Parts of texts, aligned: for each part its tokens by both sides, its groups, and whether a side doesn't give it back (then it has none of them);
+    of all groups, one part's behind the other's, their text and the ids linked at their end (that of the first in the upper half)."""
+
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    lost: np.ndarray
+    groups: list[str]
+    links: np.ndarray
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: list[int] | None
+    def __add__(self, other: Aligned) -> Aligned:
+        return Aligned(*(x + y if isinstance(x, list) else np.concatenate((x, y)) for x, y in zip(self, other, strict=True)))
+
+
+def _nothing(parts: int) -> Aligned:
+    none = np.zeros(parts, np.int64)
+    return Aligned(none, none, none, np.ones(parts, bool), [], np.empty(0, np.int64))
 
 
 @dataclass(frozen=True)
@@ -169,14 +174,17 @@ class Pair:
             return []
         return words(text) if byte_level(self.first, self.pattern).by_word and pieces(self.second).by_word else [text]
 
-    def aligned(self, parts: list[str]) -> list[Aligned]:
+    def aligned(self, parts: list[str]) -> Aligned:
         """Each part by itself, though they are encoded one behind the other if all of them can be: none may end in white space, and the bytes must come back."""
-        if len(parts) > 1 and (any(p[-1].isspace() for p in parts) or (out := self._joined(parts)) is None):
-            half = len(parts) // 2
-            return self.aligned(parts[:half]) + self.aligned(parts[half:])
-        return out if len(parts) > 1 else [x for p in parts for x in self._joined([p]) or [Aligned(0, 0, 0, "", None)]]
-
-    def _joined(self, parts: list[str]) -> list[Aligned] | None:
+        together = len(parts) < 2 or not any(p[-1].isspace() for p in parts)
+        if parts and together and (out := self._joined(parts)) is not None:
+            return out
+        if len(parts) < 2:
+            return _nothing(len(parts))
+        half = len(parts) // 2
+        return self.aligned(parts[:half]) + self.aligned(parts[half:])
+
+    def _joined(self, parts: list[str]) -> Aligned | None:
         one, two = byte_level(self.first, self.pattern), pieces(self.second)
         text = " " + " ".join(parts)
         a, b, whole = one.encode([text])[0], two.encode([text[1:]])[0], text.encode()
@@ -185,85 +193,78 @@ class Pair:
         x, y = np.array(a, np.int64), np.array(b, np.int64)
         ends = np.cumsum(one.sizes[x])
         cut_a, cut_b = merged(ends.tolist(), np.cumsum(two.sizes[y]).tolist())
-        groups = grouped(list(map(one.names.__getitem__, a)), list(map(two.names.__getitem__, b)), cut_a, cut_b)
         at_a, at_b = np.array(cut_a), np.array(cut_b)
-        links = ((x[at_a - 1] << 32) | y[at_b - 1]).tolist()
-        # the last group of each part, and the tokens before its end
+        groups = grouped(list(map(one.names.__getitem__, a)), list(map(two.names.__getitem__, b)), at_a, at_b)
+        # the groups up to each part's end
         last = np.searchsorted(ends[at_a - 1], np.cumsum([len(p.encode()) + 1 for p in parts]), "right")
-        per = [np.diff(x, prepend=0).tolist() for x in (at_a[last - 1], at_b[last - 1])]
-        bounds = last.tolist()
-        return [Aligned(n, m, j - i, ";".join(groups[i:j]), links[i:j]) for n, m, i, j in zip(*per, [0, *bounds[:-1]], bounds, strict=True)]
-
-
-#: Short words that a worker has met, by pair of tokenizers, for its later tasks too: those of late, and those before them.
-_KNOWN: dict[Pair, list[dict[str, Aligned]]] = {}
+        per = (np.diff(n, prepend=0) for n in (at_a[last - 1], at_b[last - 1], last))
+        return Aligned(*per, np.zeros(len(parts), bool), groups, (x[at_a - 1] << 32) | y[at_b - 1])
 
 
 class _Parts:
-    """Aligned parts of the texts of one row, numbered; what short ones came to is remembered beyond it."""
+    """Aligned parts of texts, numbered as they are met: those of the rows that a worker is at, and of those before as far as they are remembered."""
 
     def __init__(self, pair: Pair) -> None:
-        self.pair, self.known = pair, _KNOWN.setdefault(pair, [{}, {}])
-        self.begin()
+        self.pair, self.numbers = pair, {}
+        self.found: list[Aligned] = []
 
     def begin(self) -> None:
-        self.place: dict[str, int] = {}
-        self.found: list[Aligned] = []
+        """Before the texts of a row: forget the parts if they are many."""
+        if len(self.numbers) > REMEMBERED:
+            self.numbers, self.found = {}, []
 
     def add(self, texts: list[str]) -> list[list[int]]:
         """The numbers of each text's parts."""
         split = [self.pair.parts(t) for t in texts]
-        fresh = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in self.place]
-        for part in fresh:
-            self.place[part] = len(self.place)
-        late, before = self.known
-        asked = [p for p in fresh if p not in late and p not in before]
-        got = dict(zip(asked, self.pair.aligned(asked), strict=True))
-        found = [late.get(p) or before.get(p) or got[p] for p in fresh]
-        self.found += found
-        late.update((p, x) for p, x in zip(fresh, found, strict=True) if len(p) <= SHORT)
-        if len(late) > REMEMBERED:
-            self.known[:] = {}, late
-        place = self.place.__getitem__
-        return [list(map(place, parts)) for parts in split]
-
-
+        numbers = self.numbers
+        fresh = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in numbers]
+        if fresh:
+            self.found.append(self.pair.aligned(fresh))
+            numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh)), strict=True))
+        return [list(map(numbers.__getitem__, parts)) for parts in split]
+
+    def all(self) -> Aligned:
+        """All parts by number."""
+        if len(self.found) > 1:
+            groups = list(chain.from_iterable(x.groups for x in self.found))
+            self.found = [Aligned(*(groups if isinstance(x[0], list) else np.concatenate(x) for x in zip(*self.found, strict=True)))]
+        return self.found[0] if self.found else _nothing(0)
+
+
+#: The parts that a worker has met, by pair of tokenizers, for its later tasks too.
+_KNOWN: dict[Pair, _Parts] = {}
 _DOCS = ["n_a", "n_b", "n_groups"]
 
 
-def _row(number: int, ids: list[pa.Array], docs: list[list[int]], found: list[Aligned], digest: bool) -> pa.RecordBatch:
+def _row(number: int, ids: list[pa.Array], docs: list[list[int]], found: Aligned, digest: bool) -> pa.RecordBatch:
     """Documents (the numbers of their parts) as one row: n_a to n_groups and the groups of each, the pairs linked in the row, and by place among these what each document has."""
-    lost = np.array([x.links is None for x in found], bool)
-    n, none = len(docs), [not parts or lost[parts].any() for parts in docs]
+    n, none = len(docs), [not parts or found.lost[parts].any() for parts in docs]
     docs = [[] if gone else parts for parts, gone in zip(docs, none, strict=True)]
     parts = np.fromiter(chain.from_iterable(docs), np.int64)
     of = np.repeat(np.arange(n), [len(d) for d in docs])
-    sizes = np.array([len(x.links or ()) for x in found], np.int64)
-    links = np.fromiter(chain.from_iterable(x.links or () for x in found), np.int64)
-    used = np.zeros(len(found), bool)
-    used[parts] = True
-    pairs = np.unique(links[np.repeat(used, sizes)])
-    place = np.searchsorted(pairs, links)
-    # the links of the parts, in order of documents: each part's stretch of links, one after the other
-    length = sizes[parts]
+    # the groups of the parts, in order of documents: each part's stretch of groups, one after the other
+    sizes, length = found.n_groups, found.n_groups[parts]
     at = np.repeat((np.cumsum(sizes) - sizes)[parts] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+    ends = np.cumsum(np.bincount(of, length, n).astype(np.int64)).tolist()
+    texts = list(map(found.groups.__getitem__, at.tolist()))
+    shown = [";".join(texts[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+    groups = [hashlib.sha256(g.encode()).hexdigest() if digest and g else g for g in shown]
+    used = np.zeros(len(found.links), bool)
+    used[at] = True
+    place = np.zeros(len(found.links), np.int64)
+    pairs, place[used] = np.unique(found.links[used], return_inverse=True)
     held, times = np.unique(np.repeat(of, length) * max(1, len(pairs)) + place[at], return_counts=True)
     doc, which = np.divmod(held, max(1, len(pairs)))
-    total = np.bincount(which, times, len(pairs)).astype(np.int64)
-    texts = [x.groups for x in found]
-    shown = [";".join(map(texts.__getitem__, d)) for d in docs]
-    groups = [hashlib.sha256(g.encode()).hexdigest() if digest and g else g for g in shown]
-    per = {c: np.array([getattr(x, c) for x in found], np.int64) for c in _DOCS}
     columns = {
         "batch": pa.array([number], pa.int64()),
         "ids": _one(pa.concat_arrays(ids)),
-        **{c: _one(pa.array(np.bincount(of, per[c][parts], n).astype(np.int64))) for c in _DOCS},
+        **{c: _one(pa.array(np.bincount(of, getattr(found, c)[parts], n).astype(np.int64))) for c in _DOCS},
         "groups": _one(pa.array(groups, pa.string())),
         "ends": _one(pa.array(np.cumsum(np.bincount(doc, minlength=n)), pa.int32())),
         "place": _one(pa.array(which, pa.int32())),
         "times": _one(pa.array(times, pa.int32())),
         "pairs": _one(pa.array(pairs, pa.int64())),
-        "total": _one(pa.array(total, pa.int64())),
+        "total": _one(pa.array(np.bincount(which, times, len(pairs)).astype(np.int64))),
     }
     return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -272,10 +273,11 @@ def _batches(pair: Pair, digest: bool, most: int):
     """Rows of documents to rows of batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, parts = TaskContext.get().partitionId() << 32, _Parts(pair)
+        number, parts = TaskContext.get().partitionId() << 32, _KNOWN.setdefault(pair, _Parts(pair))
         ids: list[pa.Array] = []
         docs: list[list[int]] = []
         size = 0
+        parts.begin()
         for batch in batches:
             for k in range(0, len(batch), FEW):
                 some = batch.slice(k, FEW)
@@ -284,11 +286,11 @@ def _batches(pair: Pair, digest: bool, most: int):
                 docs += parts.add(texts)
                 size += sum(map(len, texts))
                 if size >= most:
-                    yield _row(number, ids, docs, parts.found, digest)
+                    yield _row(number, ids, docs, parts.all(), digest)
                     number, size, ids, docs = number + 1, 0, [], []
                     parts.begin()
         if docs:
-            yield _row(number, ids, docs, parts.found, digest)
+            yield _row(number, ids, docs, parts.all(), digest)
 
     return run
 

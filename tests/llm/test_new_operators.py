@@ -201,10 +201,18 @@ def test_every_character_is_split_alike_by_both_libraries(sides):
             assert fast.encode(texts) == [e.ids for e in one.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_end_where_neither_side_goes_on():
+    assert alignment.words("a b") == ["a", "b"] and alignment.words("") == [""]
+    assert alignment.words(" a  b\n c ") == [" a  b\n c "]
+    assert alignment.words("a\u3000 b c") == ["a\u3000 b", "c"]
+    for text in mixed_texts():
+        assert " ".join(alignment.words(text)) == text
+
+
 def test_two_pointers_meet_at_common_ends():
     assert alignment.merged([1, 3, 4, 9], [2, 3, 7, 9]) == ([2, 4], [2, 4])
     assert alignment.merged([], [1]) == ([], [])
-    assert alignment.grouped(list("abcd"), list("wxyz"), [2, 3, 4], [2, 3, 4]) == ["a,b|w,x", "c|y", "d|z"]
+    assert alignment.grouped(list("abcd"), list("wxyz"), np.array([2, 3, 4]), np.array([2, 3, 4])) == ["a,b|w,x", "c|y", "d|z"]
 
 
 # centroid clusters
@@ -347,3 +355,61 @@ def test_both_ways_of_decontamination_agree(spark):
     one, two = (sorted(map(str, decontamination.contaminations(df, bench, broadcast_bytes=n).collect())) for n in (1 << 20, 0))
     assert one == two and any("'t'" in r for r in one) and not any("'r'" in r for r in one)
     assert sum("doc_id=100" in r and "item_id='s'" in r for r in one) == 2
+
+
+# texts with many frequent entities
+
+
+def test_many_shared_addresses_cost_what_one_does(spark):
+    import time
+
+    from glossalake.llm import pii
+
+    words = " ".join(f"word{k}" for k in range(2500))
+    filler = [(k, f"nothing to see {k}") for k in range(100, 160)]
+
+    def taken(address):
+        rows = [(d, f"{words} " + " ".join(address(d, k) for k in range(500))) for d in range(4)] + filler
+        start = time.perf_counter()
+        found = pii.find(documents(spark, rows)).select("doc_id", F.size("spans").alias("n")).collect()
+        return time.perf_counter() - start, {r.doc_id: r.n for r in found}
+
+    taken(lambda d, k: "a@b.org")
+    alone, some = taken(lambda d, k: f"a{k}.{d}@b.org")
+    shared, all_told = taken(lambda d, k: f"a{k}@b.org")
+    assert some[0] == 500 and all_told[0] == 500 + 2500 and all_told[100] == 0  # words of those four texts alone tell the addresses
+    assert shared < 2 * alone + 10
+
+
+def test_classes_of_entities_and_terms_give_what_single_ones_do(spark):
+    """Entities with the same, overlapping and different documents, repeated rows, null ids: against counting by pairs."""
+    import math
+
+    from glossalake.llm import pii
+
+    rng = random.Random(12)
+    names, places = [f"n{k}@x.org" for k in range(8)], [f"place{k}" for k in range(12)]
+    rows = []
+    for k in range(90):
+        held = sorted({rng.choice(names[:2] if k % 3 else names) for _ in range(rng.randrange(3))} | ({"n5@x.org", "n6@x.org"} if k % 9 == 0 else set()))
+        rows.append((k if k % 10 else None, " ".join([*held, *rng.sample(places, 3), *(["hideout"] if "n5@x.org" in held else []), f"u{k}"])))
+    rows += rows[:7]
+    docs = [(set(re.findall(r"n\d@x\.org", t)), {w.lower() for w in re.findall(r"[^\W_]+", t)}) for _, t in rows]
+    n_e, n_t, both = Counter(e for es, _ in docs for e in es), Counter(w for _, ws in docs for w in ws), Counter((e, w) for es, ws in docs for e in es for w in ws)
+
+    def share(e, w):
+        own = math.log2(len(rows) / n_e[e])
+        return math.log2(len(rows) * both[e, w] / (n_t[w] * n_e[e])) / own if both[e, w] >= 3 and n_e[e] >= 3 and own > 0 else 0
+
+    want = []
+    for (i, t), (es, _) in zip(rows, docs, strict=True):
+        marked = []
+        for m in re.finditer(r"[^\W_]+", t):
+            most = max((share(e, m[0].lower()) for e in es), default=0)
+            if most >= 0.6 and not any(a.start() <= m.start() and m.end() <= a.end() for a in re.finditer(r"n\d@x\.org", t)):
+                marked.append((m.start(), m.end(), "removed" if most >= 0.8 else "generalised"))
+        want.append(str((i, t, marked)))
+    found = pii.find(documents(spark, rows)).collect()
+    texts = {r.h: r.text for r in documents(spark, rows).select("text", F.xxhash64("text").alias("h")).collect()}
+    got = [str((r.doc_id, texts[r.text_hash], [(s.start, s.end, s.kind) for s in r.spans if s.kind not in pii.KINDS])) for r in found]
+    assert sorted(got) == sorted(want) and any("hideout" in w and "[(" in w for w in want)
