@@ -217,12 +217,17 @@ def match_boxes(boxes: DataFrame, shapes: DataFrame, group: str) -> DataFrame:
 def match_shape(texts: DataFrame, shapes: DataFrame, group: str, floor: float = 0.7) -> DataFrame:
     """For each text (group, place, text) the equal shape, else the most alike above the floor; shapes may serve twice.
 
-    Texts of shapes are stripped and have line feeds alone as line ends; a blank one is only equal to a blank text.
+    Texts of shapes are stripped and have line feeds alone as line ends; a blank one is only equal to a blank text. Equal ones
+    meet by their text; what is left meets the shapes of its group whose lengths allow the floor, and those alone are compared.
     """
     bare = strip(F.regexp_replace("text", r"\r\n?", "\n"))
-    s = shapes.select(group, F.col("place").alias("shape"), bare.alias("__text"))
-    alike = similarity("weighted")("text", "__text")  # a Python function runs on every row, so equal and blank ones are parted first
-    met = texts.join(s, group)
-    equal = F.col("text") == F.col("__text")
-    scored = met.where(equal).withColumn("score", F.lit(2.0)).unionByName(met.where(~equal & (F.col("__text") != "")).withColumn("score", alike)).where(F.col("score") > floor)
-    return scored.groupBy(group, "place").agg(F.max_by("shape", F.struct("score", -F.col("shape"))).alias("shape"))
+    s = shapes.select(F.col(group).alias("__group"), F.col("place").alias("shape"), bare.alias("__text"))
+    first = s.groupBy("__group", "__text").agg(F.min("shape").alias("shape"))
+    same = F.col(group) == F.col("__group")
+    equal = texts.join(first, same & (F.col("text") == F.col("__text"))).groupBy(group, "place").agg(F.min("shape").alias("shape"))
+    rest = texts.join(equal.select(group, "place"), [group, "place"], "left_anti")
+    a, b, low_a, low_b = F.length("text"), F.length("__text"), F.length(F.lower("text")), F.length(F.lower("__text"))
+    highest = 0.3 * F.least(a, b) / F.greatest(a, b, F.lit(1)) + 0.7 * 2 * F.least(low_a, low_b) / F.greatest(low_a + low_b, F.lit(1))
+    met = rest.join(first, same & (F.col("__text") != "") & (highest > floor - 1e-9))
+    scored = met.withColumn("score", similarity("weighted")("text", "__text")).where(F.col("score") > floor)
+    return equal.unionByName(scored.groupBy(group, "place").agg(F.max_by("shape", F.struct("score", -F.col("shape"))).alias("shape")).select(group, "place", "shape"))

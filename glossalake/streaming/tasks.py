@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glossalake.operators.tasks import MAX_RETRIES
@@ -27,8 +26,3 @@ def task_states(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"task_id": [key[0]], "status": [shown], "retry_count": [min(failures, MAX_RETRIES)]})
 
     return events.groupBy("task_id").applyInPandasWithState(update, "task_id string, status string, retry_count int", "seq long, status string, failures long", "update", GroupStateTimeout.NoTimeout)
-
-
-def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
-    """Events and their sum by type and window, with late ones accepted up to a bound."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))

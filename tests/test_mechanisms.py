@@ -242,3 +242,39 @@ def test_numbers_of_all_scripts_are_not_translated(spark):
     texts = ["１２ ３４", "٣٤", "12.5 %", "１２　３４", "a1", "你好", "1", "...", "- +", "１a", " ７ ８"]
     got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, a string").orderBy("k").select(T.is_translatable_paragraph(F.col("a"))).collect()]
     assert got == [False, False, False, False, True, True, False, False, False, True, False]
+
+
+def workbook(path, rows, late=False):
+    """A workbook with text, number, flag and date cells, as spreadsheet programs write it: (type, value, style) of each cell."""
+    import zipfile
+
+    cell = lambda r, k, c: "" if c is None else f'<c r="{"ABCDE"[k]}{r}" t="{c[0]}" s="{c[2]}">' + (f"<is><t>{c[1]}</t></is>" if c[0] == "inlineStr" else f"<v>{c[1]}</v>") + "</c>"
+    body = "".join(f'<row r="{r}">' + "".join(cell(r, k, c) for k, c in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook><workbookPr date1904="{int(late)}"/></workbook>')
+        z.writestr("xl/styles.xml", '<styleSheet><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/><numFmt numFmtId="165" formatCode="0.0&quot; days&quot;"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData>{body}</sheetData></worksheet>")
+
+
+def test_cells_of_a_sheet_keep_their_kind(spark, tmp_path):
+    from datetime import datetime
+
+    from glossalake.sources import office
+
+    text = lambda t: ("inlineStr", t, 0)
+    head = [text(h.upper()) for h in R.HEADER]
+    rows = [head, [text("a"), text("b"), ("n", "1.5", 3), ("n", "45292", 1), text("2")], [text("c"), text("d"), ("b", "1", 0), ("n", "45292.5", 2), ("n", "2", 0)], [None, None, text("nl"), None, text("1")], [text("e"), text("f"), None, None, ("b", "1", 0)], [("n", "7", 0), text("g"), None, None, ("n", "45292", 1)]]
+    workbook(tmp_path / "one.xlsx", rows)
+    workbook(tmp_path / "two.xlsx", [[text("other")], *rows[1:]])
+    workbook(tmp_path / "late.xlsx", [head, [text("x"), text("y"), None, ("n", "0", 1), None]], late=True)
+    found = office.typed_sheets(spark, str(tmp_path))
+    cells = found.where("file = 'one.xlsx' and row = 2").first()["cells"]
+    assert (cells[2]["number"], cells[3]["at"], cells[4]["text"], cells[3]["number"]) == (1.5, datetime(2024, 1, 1), "2", None)
+    parsed = R.parse_import(office.with_header(found, R.HEADER), admin=True)
+    got = {(r.file, r.row): (r.english, r.chinese, r.dutch, r.is_public, r.error) for r in parsed.collect()}
+    assert got == {
+        ("one.xlsx", 2): ("a", "b", "1.5", False, None), ("one.xlsx", 3): ("c", "d", "true", True, None),
+        ("one.xlsx", 5): ("e", "f", None, True, None), ("one.xlsx", 6): ("7", "g", None, False, None), ("late.xlsx", 2): ("x", "y", None, False, None),
+    }
+    assert office.sheets(spark, str(tmp_path)).where("file = 'one.xlsx' and row = 3").first()["cells"][4] == "2"
+    assert {r.file: r.at for r in found.where("row = 2").select("file", F.col("cells")[3]["at"].alias("at")).collect()}["late.xlsx"] == datetime(1904, 1, 1)
