@@ -38,7 +38,7 @@ def small_batches(spark: SparkSession) -> None:
 def short_plans(spark: SparkSession) -> None:
     """Bound what the driver keeps of plans with long literals: the description of each query, which Spark holds for a thousand of them, ends after 64,000 characters."""
     key = "spark.sql.maxPlanStringLength"
-    if int(spark.conf.get(key, str(1 << 31))) > 64_000:
+    if int(spark.conf.get(key).rstrip("b")) > 64_000:  # the default is shown with its unit
         spark.conf.set(key, "64000")
 
 
