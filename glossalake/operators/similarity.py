@@ -107,27 +107,30 @@ def find_most_similar(floor: float | None = 0.6):
     return run
 
 
-def best_of_all(df: DataFrame, key: str, text: str, floor: float = 0.6, block: int = 64) -> DataFrame:
-    """key and best: for each text the most similar among those of all other keys, as ``most_similar`` finds it with candidates by key (a block of them at a time)."""
-    blocks = df.groupBy(F.floor(F.col(key) / block).alias("__b")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(text).alias("t")))).alias("__c")).drop("__b")
+def best_of_all(df: DataFrame, key: str, text: str, floor: float | None = 0.6, block: int = 64) -> DataFrame:
+    """key and best: for each text the most similar among those of all other keys, as ``most_similar`` finds it with candidates by key (a block of them at a time).
+
+    Without a floor the case of letters counts, every text has a best one if there is another, and null texts have none.
+    """
+    blocks = df.where(F.col(text).isNotNull()).groupBy(F.floor(F.col(key) / block).alias("__b")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(text).alias("t")))).alias("__c")).drop("__b")
 
     @F.pandas_udf("score double, k bigint, t string")
     def best(keys: pd.Series, targets: pd.Series, blocks: pd.Series) -> pd.DataFrame:
         out = []
         for key, target, candidates in zip(keys, targets, blocks, strict=True):
-            found, high = (None, None), 0.0
+            found, high = (None, None), 0.0 if floor is not None else -1.0
             for c in candidates if target is not None else ():
-                if c["k"] == key or not c["t"] or bound(target, c["t"]) <= high:
+                if c["k"] == key or (floor is not None and not c["t"]) or (bound(target, c["t"]) <= high and high > 0):
                     continue
-                r = ratio(target.lower(), c["t"].lower())
-                if r > high and r >= floor:
+                r = ratio(target.lower(), c["t"].lower()) if floor is not None else ratio(target, c["t"])
+                if r > high and (floor is None or r >= floor):
                     found, high = (c["k"], c["t"]), r
             out.append((high, *found))
         return pd.DataFrame({"score": [h for h, *_ in out], "k": pd.array([k for _, k, _ in out], "Int64"), "t": pd.Series([t for *_, t in out], dtype=object)})
 
     met = df.select(F.col(key), F.col(text).alias("__t")).repartition(key).crossJoin(blocks).select(key, "__t", best(key, "__t", "__c").alias("b"))
-    first = F.max_by("b.t", F.struct(F.col("b.score"), -F.col("b.k")))  # without a find: score 0 and a null key, which sorts first
-    return met.groupBy(key).agg(F.coalesce(first, F.first("__t")).alias("best"))
+    first = F.max_by("b.t", F.struct(F.col("b.score"), -F.col("b.k")))  # without a find: the lowest score and a null key, which sorts first
+    return met.groupBy(key).agg((first if floor is None else F.coalesce(first, F.first("__t"))).alias("best"))
 
 
 def assign_paragraphs(paragraphs: list[str], pairs: list[tuple[str, str]], floor: float = 0.3) -> dict[int, tuple[str, str]]:

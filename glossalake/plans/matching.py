@@ -30,6 +30,12 @@ def most_similar_item(spark: SparkSession, d: str) -> DataFrame:
     return E.best_of_all(read(spark, d, "benchmark").select("item_id", "text"), "item_id", "text", 0.3)
 
 
+@query()
+def closest_item(spark: SparkSession, d: str) -> DataFrame:
+    """For every item, whole, the closest of all other items, however far it is."""
+    return E.best_of_all(read(spark, d, "benchmark").select("item_id", "text"), "item_id", "text", None)
+
+
 def _slides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = read(spark, d, "conversations").select(F.col("conv_id").alias("slide"), F.col("turn").cast("int").alias("place"), "text")
     changed = F.when(F.col("place") % 3 == 0, F.col("text")).when(F.col("place") % 3 == 1, F.upper("text")).otherwise(F.substr("text", F.lit(5)))

@@ -278,3 +278,33 @@ def test_cells_of_a_sheet_keep_their_kind(spark, tmp_path):
     }
     assert office.sheets(spark, str(tmp_path)).where("file = 'one.xlsx' and row = 3").first()["cells"][4] == "2"
     assert {r.file: r.at for r in found.where("row = 2").select("file", F.col("cells")[3]["at"].alias("at")).collect()}["late.xlsx"] == datetime(1904, 1, 1)
+
+
+@pytest.mark.parametrize("floor", [None, 0.6])
+def test_the_closest_of_all_others(spark, floor):
+    from glossalake.operators import similarity as E
+
+    rng = random.Random(10)
+    texts = {k: "".join(rng.choice("abAB ") for _ in range(rng.randrange(0, 12))) for k in range(40)} | {50: "", 51: "zzzz"}
+    df = spark.createDataFrame([*texts.items(), (60, None)], "id long, text string")
+    got = {r.id: r.best for r in E.best_of_all(df, "id", "text", floor, block=7).collect()}
+    assert got == {k: E.most_similar(t, [o for j, o in texts.items() if j != k], floor) for k, t in texts.items()} | {60: None}
+    alone = E.best_of_all(df.where("id = 3"), "id", "text", floor).collect()
+    assert [r.best for r in alone] == [None if floor is None else texts[3]]
+
+
+def test_shapes_meet_by_text_or_by_length(spark):
+    from glossalake.operators import similarity as E
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcAB") for _ in range(rng.randrange(0, 9)))
+    left = [(g, k, word()) for g in range(4) for k in range(15)] + [(0, 20, None)]
+    right = [(g, k, word()) for g in range(4) for k in range(15)] + [(1, 20, " a\r\nb "), (5, 0, "x")]
+    left += [(1, 20, "a\nb"), (6, 0, "x")]
+    got = {(r.slide, r.place): r["shape"] for r in E.match_shape(*(spark.createDataFrame(x, "slide int, place int, text string") for x in (left, right)), "slide").collect()}
+    want = {}
+    for g, k, t in left:
+        best = max(((2.0 if t == b else E.weighted(t, b) if b else 0.0, -j) for h, j, s in right if h == g and t is not None for b in [s.replace("\r\n", "\n").strip()]), default=(0, 0))
+        if best[0] > 0.7:
+            want[g, k] = -best[1]
+    assert got == want and (1, 20) in want
