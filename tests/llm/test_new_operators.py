@@ -413,3 +413,42 @@ def test_classes_of_entities_and_terms_give_what_single_ones_do(spark):
     texts = {r.h: r.text for r in documents(spark, rows).select("text", F.xxhash64("text").alias("h")).collect()}
     got = [str((r.doc_id, texts[r.text_hash], [(s.start, s.end, s.kind) for s in r.spans if s.kind not in pii.KINDS])) for r in found]
     assert sorted(got) == sorted(want) and any("hideout" in w and "[(" in w for w in want)
+
+
+# digests and statistics of earlier queries against plain ones
+
+
+def test_token_query_against_the_library(spark, data):
+    """Every document of the smallest tables."""
+    import tiktoken
+
+    from glossalake.llm import byte_bpe
+
+    ranks = byte_bpe.read_ranks(public.path("byte_bpe_multi_50k.tiktoken"))
+    other = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect():
+        ids = other.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), sha(",".join(map(str, ids)).encode()), sha(other.decode_bytes(ids))))
+    assert sorted(tuple(r) for r in queries.op4_byte_bpe(spark, data).collect()) == sorted(want)
+
+
+def test_language_statistics_and_query(spark, data, tmp_path):
+    import zlib
+
+    from glossalake.llm import language_id
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.collect()
+    freq, n = language_id.document_frequencies(docs.select("text"))
+    held = [set(language_id.sparse(r.text)[0].tolist()) for r in rows]
+    assert n == sum(map(bool, held)) and Counter(b for h in held for b in h) == {k: int(v) for k, v in enumerate(freq) if v}
+    got = {r.doc_id: r for r in queries.op10_language_id(spark, data).collect()}
+    assert {i: r.held_out for i, r in got.items()} == {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in rows}
+    assert {r.lang_pred for r in got.values()} <= {r.lang for r in rows} - {None} | {"und"} and all(0 <= r.score <= 1 for r in got.values())
+    assert all((got[r.doc_id].lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) for r in rows)
+    learnt = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
+    learnt.write.parquet(f"{tmp_path}/documents.parquet")  # without the held-out rows the predictions of the others are the same
+    again = {r.doc_id: (r.lang_pred, r.score) for r in queries.op10_language_id(spark, str(tmp_path)).collect()}
+    assert again == {i: (r.lang_pred, r.score) for i, r in got.items() if not r.held_out}
