@@ -1,8 +1,8 @@
 """Words of a text that no blanks part: the most probable path through the graph of dictionary words.
 
-A dictionary is a table of words and counts. Its words form a trie; from every character of a text the words that begin there
-are edges, and a single character always is one. The path with the greatest product of frequencies is found from the
-end of the text backwards, in time of its length times the longest word.
+A dictionary is a table of words and counts. From every character of a text the words that begin there are edges, and a single
+character always is one. The path with the greatest product of frequencies is found from the end of the text backwards, while
+an automaton of the words spelt backwards tells the edges: in time of the text's length and of the edges met.
 """
 
 from __future__ import annotations
@@ -21,42 +21,63 @@ MOST_CHARACTERS = 16 << 20
 #: What is segmented by the dictionary; everything else is taken as it stands: runs of letters and digits of other kinds, single signs.
 _HAN = r"[㐀-䶿一-鿿豈-﫿々〇]+"
 _PARTS = re.compile(rf"({_HAN})|([^\W_]+(?:['.-][^\W_]+)*)|(\S)")
-_END = ""
 
 
 class Dictionary:
-    """A trie of words with the logarithms of their shares; a word that isn't in it has a count of one."""
+    """An automaton of the words, spelt backwards, with the logarithms of their shares; a word that isn't in it has a count of one.
+
+    Read from a text's end to its start it is, at each character, in the state of the longest stretch from there on that some word ends with:
+    each state has the words that stand at the beginning of that stretch, so that no place is looked at twice.
+    """
 
     def __init__(self, counts: dict[str, int]) -> None:
         total = math.log(max(1, sum(counts.values())))
         self.unknown = -total
-        self.root: dict = {}
+        # a state: those after one more character, the weight of the character alone, length and weight of longer words by length, the state to fall back to
+        self.root: list = [{}, self.unknown, (), None]
         for word, n in counts.items():
-            node = self.root
-            for c in word:
-                node = node.setdefault(c, {})
-            node[_END] = math.log(n) - total
-
-    def edges(self, text: str, at: int) -> Iterator[tuple[int, float]]:
-        """(end, weight) of the words that begin at a place; first the single character."""
-        node = self.root.get(text[at], {})
-        yield at + 1, node.get(_END, self.unknown)
-        for k in range(at + 1, len(text)):
-            node = node.get(text[k])
-            if node is None:
-                return
-            if _END in node:
-                yield k + 1, node[_END]
+            state = self.root
+            for c in reversed(word):
+                state = state[0].setdefault(c, [{}, self.unknown, (), self.root])
+            if len(word) == 1:
+                state[1] = math.log(n) - total
+            else:
+                state[2] = ((len(word), math.log(n) - total),)
+        level = list(self.root[0].values())
+        while level:  # a state falls back to one that is less deep
+            below = []
+            for state in level:
+                for c, to in state[0].items():
+                    back = state[3]
+                    while back is not None and c not in back[0]:
+                        back = back[3]
+                    if back is not None:
+                        to[3] = back[0][c]
+                        to[1], to[2] = to[3][1], to[3][2] + to[2]
+                    below.append(to)
+            level = below
 
     def words(self, text: str) -> list[str]:
         """The likeliest words that the text consists of; of equally likely paths the one whose first word that differs is longer."""
-        best: list[tuple[float, int]] = [(0.0, 0)] * (len(text) + 1)
-        for at in range(len(text) - 1, -1, -1):
-            best[at] = max((weight + best[end][0], end) for end, weight in self.edges(text, at))
+        root = state = self.root
+        best, sizes = [0.0], []  # from the end
+        for c in reversed(text):
+            while (to := state[0].get(c)) is None and state is not root:
+                state = state[3]
+            state = to or root
+            _, high, longer, _ = state
+            high += best[-1]
+            size = 1
+            for length, weight in longer:
+                if (score := weight + best[-length]) >= high:
+                    high, size = score, length
+            best.append(high)
+            sizes.append(size)
         out, at = [], 0
         while at < len(text):
-            out.append(text[at : best[at][1]])
-            at = best[at][1]
+            end = at + sizes[-1 - at]
+            out.append(text[at:end])
+            at = end
         return out
 
 
@@ -84,13 +105,14 @@ def segmenter(words: DataFrame, word: str = "word", count: str = "n", everything
         raise ValueError(f"the dictionary has {size} characters, {MOST_CHARACTERS} at most can be shared")
     shared = words.sparkSession.sparkContext.broadcast(tuple(sorted((r["w"], r["n"]) for r in known.collect())))
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("string")
     def segment(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         dictionary = _opened(shared.value)
         for texts in batches:
-            yield pd.Series([tokens(t, dictionary, everything) if t is not None else [] for t in texts], dtype=object)
+            yield pd.Series([" ".join(tokens(t, dictionary, everything)) if t is not None else "" for t in texts], dtype=object)
 
-    return lambda c: segment(F.col(c) if isinstance(c, str) else c)
+    # no word is empty or holds a blank, so that words travel as one text
+    return lambda c: F.array_remove(F.split(segment(F.col(c) if isinstance(c, str) else c), " "), "")
 
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:

@@ -168,3 +168,20 @@ def test_segmented_texts(spark):
     df = spark.createDataFrame([(1, "我们喜欢苹果, don't we? 3.5 kg"), (2, None), (3, "")], "id int, text string")
     got = {r.id: r.w for r in df.select("id", segment.segmenter(words)("text").alias("w")).collect()}
     assert got == {1: ["我们", "喜欢", "苹果", ",", "don't", "we", "?", "3.5", "kg"], 2: [], 3: []}
+
+
+class Read(str):
+    """Counts how often its characters are asked for."""
+
+    times = 0
+
+    def __getitem__(self, k):
+        Read.times += 1
+        return str.__getitem__(self, k)
+
+
+def test_segmenting_reads_each_character_once_however_long_words_are():
+    own = segment.Dictionary({"a" * 300 + "b": 3, "a": 2, "aa": 1})
+    Read.times, text = 0, Read("a" * 600 + "b")
+    assert own.words(text)[-1] == "a" * 300 + "b"
+    assert Read.times <= 2 * len(text)  # and once more for each word found
