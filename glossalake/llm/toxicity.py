@@ -27,13 +27,26 @@ HIDDEN, EMBED, BUCKETS = 8, 12, 1 << 14
 #: Bound on the labelled documents the network is trained on: a third with label 1, where there are so many.
 MAX_DOCS = 2400
 #: Windows that run side by side.
-LANES = 2048
+LANES = 4096
+#: Exponents of gates and candidates are held within this: twice it is less than a float32 can take, and what lies beyond changes none.
+STEEP = 40.0
+#: Of the inputs of both gates and of the candidate in the exponents.
+FACTOR = np.repeat(np.array([-1, -1, -2], np.float32), HIDDEN)
+#: Words whose input parts a task remembers: 25 MB.
+MOST_WORDS = 1 << 17
 _WORD = re.compile(r"\w+")
 _f = np.float32
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of word characters in lower case; what white space parts is looked at closely only where it holds signs."""
+    out: list[str] = []
+    for w in (text or "").lower().split():
+        if w.isalnum():
+            out.append(w)
+        else:
+            out += _WORD.findall(w)
+    return out
 
 
 def features(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,28 +86,17 @@ def layout(texts: list[list[str]], stride: int = STRIDE) -> tuple[list[str], np.
     return list(numbers), np.concatenate(rows), np.concatenate(owner)
 
 
-def line_up(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """All words in a row, texts shorter than a window filled up to one; the first and last window of each text (-1 without words); which places hold a word."""
+def line_up(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All words in a row, texts shorter than a window filled up to one with empty words; the first and last window of each text (-1 without words)."""
     row: list[str] = []
-    first, last, filled = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64), []
+    first, last = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64)
     for k, t in enumerate(texts):
         if t:
-            short = max(0, WINDOW - len(t))
             first[k] = len(row)
             row += t
-            row += [""] * short
+            row += [""] * (WINDOW - len(t))
             last[k] = len(row) - WINDOW
-            filled += [np.ones(len(t), bool), np.zeros(short, bool)]
-    return row, first, last, np.concatenate(filled) if filled else np.empty(0, bool)
-
-
-def words_apart(row: list[str], filled: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Distinct words, and the number of the one at each place (-1 where there is none)."""
-    numbers: dict[str, int] = {}
-    ids = np.fromiter([numbers.setdefault(w, len(numbers)) for w in row], np.int64, len(row))
-    if (gap := numbers.get("")) is not None:  # no word is empty
-        ids = np.where(filled, ids - (ids > gap), -1)
-    return [w for w in numbers if w], ids
+    return row, first, last
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -147,55 +149,66 @@ class Network:
     def project(self, x: np.ndarray) -> list[np.ndarray]:
         return [np.concatenate([x @ self.p[f"W{k}"] + self.p[f"b{k}"], self.p[f"b{k}"][None]]) for k in (0, 1)]
 
-    def scores(self, texts: list[list[str]]) -> np.ndarray:
-        """0 to 1 for each text, given as words; 0.0 without words. All overlapping windows count."""
-        words, first, last, filled = line_up(texts)
+    def scores(self, texts: list[list[str]], met: Met | None = None) -> np.ndarray:
+        """0 to 1 for each text, given as words; 0.0 without words. All overlapping windows count. met: the words of this network's texts before."""
+        row, first, last = line_up(texts)
         best = np.full(len(texts), -np.inf)
-        if len(words):
-            logit = self.sweep(*words_apart(words, filled))
+        if row:
+            logit = self.sweep(*(met or Met(self)).parts(row))
             some = np.flatnonzero(last >= 0)
             bounds = np.stack([first[some], last[some] + 1], axis=1).ravel()
             best[some] = np.maximum.reduceat(np.append(logit, -np.inf), bounds)[::2]
         return 1 / (1 + np.exp(-np.clip(best, -700, 700))) * np.isfinite(best)
 
-    def sweep(self, vocabulary: list[str], ids: np.ndarray) -> np.ndarray:
-        """The logit of the window from each place on, over words in a row (-1: past the end of a text).
+    def sweep(self, parts: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+        """The logit of the window from each place on, over words in a row, given by their input parts (0: past the end of a text).
 
         Windows that start side by side run as lanes of one matrix, so that the inputs of a step are a slice
-        of it. Of a place only its attention and its share of the output are kept. What ``run`` computes, but
-        sigmoids are halves of hyperbolic tangents, their factors 1/2 moved into the weights.
+        of theirs. Of a place only its attention and its share of the output are kept. What ``run`` computes, but
+        with exponentials, which cost half of what hyperbolic tangents do: with u = e^-a for the update gate and
+        w = e^-2b for the candidate, a step's state is (u (1 - w) + (1 + w) state) / ((1 + u) (1 + w)). The
+        factors -1 and -2 are in the weights, and so are attention and output of the state before.
         """
         n, h, p = len(ids) - WINDOW + 1, HIDDEN, self.p
-        half = np.concatenate([np.full(2 * h, 0.5, _f), np.ones(h, _f)])[:, None]
-        inputs = [np.ascontiguousarray((x.T * half)[:, ids]) for x in self.project(self.embed(vocabulary)[0])]
-        hidden = [np.ascontiguousarray(p[f"U{k}"].T) * _f(0.5) for k in (0, 1)]
         tell = [np.stack([p[x][k * h : (k + 1) * h] for x in ("v", "o")]) for k in (0, 1)]
-        past = np.where(ids < 0, _f(-1e9), _f(0.0))
+        hidden = [np.concatenate([p[f"U{k}"].T * FACTOR[:, None], tell[k]]) for k in (0, 1)]
+        # states lie between -1 and 1, which bounds the exponents; beyond STEEP they would overflow, and gates are shut there
+        steep = any(np.abs(parts[k]).max() + np.abs(hidden[k][: 3 * h]).sum(axis=1).max() > STEEP for k in (0, 1))
+        past = np.where(ids == 0, _f(-1e9), _f(0.0))
         out = np.empty(n, _f)
         for at in range(0, n, LANES):
             lanes = min(LANES, n - at)
-            told = np.empty((WINDOW, 2, lanes), _f)
-            hu, gates, new, step = (np.empty((k * h, lanes), _f) for k in (3, 2, 1, 1))
+            told = np.zeros((WINDOW, 2, lanes), _f)
+            hu, new, state = (np.empty((k, lanes), _f) for k in (3 * h + 2, h, h))
+            gates, u, r, w = hu[: 2 * h], hu[:h], hu[h : 2 * h], hu[2 * h : 3 * h]
             for k in (0, 1):
-                state = np.zeros((h, lanes), _f)
-                for t in range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1):
-                    x = inputs[k][:, at + t : at + t + lanes]
+                inputs = np.ascontiguousarray(parts[k][ids[at : at + lanes + WINDOW - 1]].T)
+                state.fill(0)
+                places = list(range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1))
+                for t, before in zip(places, [None, *places], strict=False):
+                    x = inputs[:, t : t + lanes]
                     np.matmul(hidden[k], state, out=hu)
-                    np.tanh(np.add(hu[: 2 * h], x[: 2 * h], out=gates), out=gates)
-                    z, r, hn = gates[:h], gates[h:], hu[2 * h :]
-                    np.multiply(r, hn, out=new)
-                    new += hn
-                    new += x[2 * h :]
-                    np.tanh(new, out=new)
-                    np.subtract(state, new, out=step)
-                    step *= _f(0.5)
-                    new += step
-                    step *= z
-                    np.add(new, step, out=state)
-                    if k == 0:
-                        np.matmul(tell[k], state, out=told[t])
-                    else:
-                        told[t] += tell[k] @ state
+                    if before is not None:
+                        told[before] += hu[3 * h :]
+                    gates += x[: 2 * h]
+                    if steep:
+                        np.clip(gates, -STEEP, STEEP, out=gates)
+                    np.exp(gates, out=gates)
+                    r += 1
+                    w /= r
+                    w += x[2 * h :]
+                    if steep:
+                        np.clip(w, -STEEP, STEEP, out=w)
+                    np.exp(w, out=w)
+                    np.subtract(1, w, out=new)
+                    new *= u
+                    w += 1
+                    state *= w
+                    state += new
+                    u += 1
+                    w *= u
+                    state /= w
+                told[places[-1]] += tell[k] @ state
             weight = told[:, 0]
             for t in range(WINDOW):
                 weight[t] += past[at + t : at + t + lanes]
@@ -253,6 +266,24 @@ class Network:
         return g, {k: _by_row(*v) for k, v in sparse.items()}
 
 
+class Met:
+    """The input parts of the words that a network met, while it doesn't change; when they are too many, all are forgotten."""
+
+    def __init__(self, net: Network) -> None:
+        self.net, self.numbers, self.known = net, {"": 0}, [x * FACTOR for x in net.project(np.empty((0, 2 * EMBED), _f))]
+
+    def parts(self, row: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The parts of all words met, and the number of the one at each place (0 where there is none)."""
+        new = [w for w in dict.fromkeys(row) if w not in self.numbers]
+        if new and len(self.numbers) > 1 and len(self.numbers) + len(new) > MOST_WORDS:
+            self.__init__(self.net)
+            new = [w for w in dict.fromkeys(row) if w]
+        if new:
+            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new)), strict=True))
+            self.known = [np.concatenate([old, x[:-1] * FACTOR]) for old, x in zip(self.known, self.net.project(self.net.embed(new)[0]), strict=True)]
+        return self.known, np.fromiter(map(self.numbers.__getitem__, row), np.int64, len(row))
+
+
 def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(rows, kind="stable")
     found, starts = np.unique(rows[order], return_index=True)
@@ -303,6 +334,7 @@ def score(df: DataFrame, model: Network, id_col: str = "doc_id", text_col: str =
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        met = Met(shared.value)
         for texts in batches:
             out, group, size = [], [], 0
             distinct = list(dict.fromkeys(texts))  # copies within a batch are scored once
@@ -310,9 +342,9 @@ def score(df: DataFrame, model: Network, id_col: str = "doc_id", text_col: str =
                 group.append(words(text))
                 size += len(group[-1])
                 if size > 100_000:
-                    out.append(shared.value.scores(group))
+                    out.append(shared.value.scores(group, met))
                     group, size = [], 0
-            got = np.concatenate([*out, shared.value.scores(group)])
+            got = np.concatenate([*out, shared.value.scores(group, met)])
             scores = dict(zip(distinct, got.tolist(), strict=True))
             yield pd.Series([scores[t] for t in texts], dtype=float)
 

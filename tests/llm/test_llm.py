@@ -397,6 +397,23 @@ def test_every_window_is_scored():
         assert abs(net.scores([t])[0] - want) < 1e-6
 
 
+def test_words_are_projected_once_and_steep_weights_shut_gates(monkeypatch):
+    rng, net = random.Random(7), toxicity.Network()
+    texts = [words(rng, n).split() for n in (10, 0, 24, 90, 300)]
+    want, seen, embed = net.scores(texts), [], toxicity.Network.embed
+    monkeypatch.setattr(toxicity.Network, "embed", lambda self, v: seen.extend(v) or embed(self, v))
+    met = toxicity.Met(net)
+    for _ in range(2):
+        assert np.allclose([net.scores([t], met)[0] for t in texts], want, atol=1e-6)
+    assert sorted(seen) == sorted({w for t in texts for w in t})
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 3)  # forgotten again and again
+    assert np.allclose([net.scores([t], met)[0] for t in texts], want, atol=1e-6)
+    net.p = {k: x * 500 for k, x in net.p.items()}
+    vocabulary, rows, _ = toxicity.layout([texts[3]], 1)
+    logit = net.run(net.project(net.embed(vocabulary)[0]), rows)[0]
+    assert np.abs(logit).max() > 100 and abs(net.scores([texts[3]])[0] - 1 / (1 + np.exp(-logit.max()))) < 1e-6
+
+
 def test_toxicity_learns_and_scores_every_text(spark):
     rng = random.Random(4)
     rows = []
