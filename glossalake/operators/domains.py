@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossalake.shared import shared_dir
+
+#: Weights that are broadcast at most.
+MOST_ENTRIES = 1 << 18
+
 
 def _words(c: Column) -> Column:
     """Runs of letters, in lower case."""
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: whatever reads it, and how often, it is made once."""
+    path = f"{shared_dir(df.sparkSession)}/domains-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fit(df: DataFrame, domain: str = "domain", text: str = "text") -> DataFrame:
     """domain, word, weight: the logarithm of a word's share in a domain, with one added to every count; of the words of the whole table, the likelihood in a domain that lacks it
     stands in the row with a null word, which also holds ``prior``, that of the domain among the rows. Rows without a domain play no part.
@@ -32,20 +46,33 @@ def predict(df: DataFrame, weights: DataFrame, key: str = "doc_id", text: str =
     """key, domain and margin (to the next likely domain, of log-likelihoods; null with one domain) for each key: the likeliest domain, of equally likely ones the first by name.
 
     Words that no domain has play no part, so that a text without known words, a null one too, goes by the priors. Rows of one key count as one text.
-    Words meet their weights in a join; a key's sums are a row a domain.
+    The weights are written down once. Frequent words, ``MOST_ENTRIES`` weights at most, are looked up where the texts are read, so that a text
+    shuffles a row a domain; the others meet their weights in a join.
     """
+    weights = _written(weights)
     base = weights.where(F.col("word").isNull()).select("domain", F.col("weight").alias("least"), "prior")
     gains = weights.where(F.col("word").isNotNull()).join(F.broadcast(base), "domain")  # a row a domain
-    gains = gains.select("word", "domain", (F.col("weight") - F.col("least")).alias("gain"))
-    vocabulary = gains.select("word").distinct()
-    words = df.select(F.col(key).alias("key"), F.explode(_words(F.col(text))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
-    known = words.join(vocabulary, "word", "left_semi")
-    length = known.groupBy("key").agg(F.sum("n").alias("length"))
-    gained = known.join(gains, "word").groupBy("key", "domain").agg(F.sum(F.col("n") * F.col("gain")).alias("gain"))
-    keys = df.select(F.col(key).alias("key")).distinct()
-    every = keys.join(length, keys["key"].eqNullSafe(length["key"]), "left").select(keys["key"], F.coalesce("length", F.lit(0)).alias("length")).crossJoin(F.broadcast(base))  # a row a domain
-    met = every.join(gained.withColumnsRenamed({"key": "__key", "domain": "__domain"}), F.col("key").eqNullSafe(F.col("__key")) & (F.col("domain") == F.col("__domain")), "left")
-    score = F.col("prior") + F.col("length") * F.col("least") + F.coalesce("gain", F.lit(0.0))
-    ranked = F.array_sort(F.collect_list(F.struct((-score).alias("loss"), "domain")))  # of all domains
-    best = met.groupBy("key").agg(ranked.alias("r"))
+    entry = F.struct("domain", (F.col("weight") - F.col("least")).alias("gain"))
+    # of a word: its gain in each domain, and under no domain the one that it adds to a text's length
+    known = gains.groupBy("word").agg(F.max(entry["gain"]).alias("most"), F.collect_list(entry).alias("entries"))
+    known = known.select("word", F.floor(F.col("most") * 8).alias("most"), F.array_append("entries", F.struct(F.lit(None).cast("string").alias("domain"), F.lit(1.0).alias("gain"))).alias("entries"))
+    room, least = MOST_ENTRIES, None
+    for r in known.groupBy("most").agg(F.sum(F.size("entries")).alias("n")).orderBy(F.desc("most")).collect():  # eight rows for each power of e that counts reach
+        if (room := room - r["n"]) < 0:
+            break
+        least = r["most"]
+    often = F.col("most") >= F.lit(least).cast("bigint") if least is not None else F.lit(False)
+    frequent, rare = known.where(often).select("word", "entries"), known.where(~often).select("word", "entries")
+    words = df.select(F.col(key).alias("key"), F.explode(_words(F.col(text))).alias("word"))
+    met = words.join(F.broadcast(frequent), "word").select("key", F.inline("entries"))
+    if room < 0:
+        left = words.join(F.broadcast(frequent.select("word")), "word", "left_anti")
+        met = met.unionByName(left.join(rare, "word").select("key", F.inline("entries")))
+    met = met.unionByName(df.select(F.col(key).alias("key"), F.lit(None).cast("string").alias("domain"), F.lit(0.0).alias("gain")))  # every key
+    sums = met.groupBy("key", "domain").agg(F.sum("gain").alias("gain")).groupBy("key").agg(
+        F.sum(F.when(F.col("domain").isNull(), F.col("gain"))).alias("length"), F.map_from_entries(F.collect_list(F.when(F.col("domain").isNotNull(), F.struct("domain", "gain")))).alias("gains")
+    )
+    every = base.agg(F.collect_list(F.struct("domain", "least", "prior")).alias("base")).where(F.size("base") > 0)  # one row, of all domains
+    loss = lambda x: -(x["prior"] + F.col("length") * x["least"] + F.coalesce(F.try_element_at("gains", x["domain"]), F.lit(0.0)))
+    best = sums.crossJoin(F.broadcast(every)).select("key", F.array_sort(F.transform("base", lambda x: F.struct(loss(x).alias("loss"), x["domain"].alias("domain")))).alias("r"))
     return best.select(F.col("key").alias(key), F.col("r")[0]["domain"].alias("domain"), (F.get("r", F.lit(1))["loss"] - F.col("r")[0]["loss"]).alias("margin"))

@@ -144,6 +144,15 @@ def test_domains_of_held_out_documents(spark, data):
     assert right > 0.9
 
 
+def test_domains_are_the_same_however_many_words_are_looked_up(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", F.col("lang").alias("domain"))
+    weights, told = domains.fit(docs.where("doc_id % 2 = 0")), []
+    for most in (0, 3000, 1 << 18):
+        monkeypatch.setattr(domains, "MOST_ENTRIES", most)
+        told.append({r.doc_id: (r.domain, round(r.margin, 6)) for r in domains.predict(docs, weights).collect()})
+    assert told[0] == told[1] == told[2] and len(told[0]) == docs.count()
+
+
 def test_the_likeliest_words_of_all(spark):
     rng = random.Random(3)
     for _ in range(200):
