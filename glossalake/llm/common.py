@@ -9,11 +9,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossalake.shared import ARROW_ROWS as ARROW_ROWS
 from glossalake.shared import shared_dir
-
-#: Rows in one Arrow batch sent to Python; a batch of texts stays within tens of MB.
-ARROW_ROWS = 500
-
+from glossalake.shared import small_batches as small_batches
 
 def inputs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, as doc_id and text: other columns, whatever their names, play no part."""
@@ -28,13 +26,6 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: a batch holds at most ARROW_ROWS rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
-
-
 def short_plans(spark: SparkSession) -> None:
     """Bound what the driver keeps of plans with long literals: the description of each query, which Spark holds for a thousand of them, ends after 64,000 characters."""
     key = "spark.sql.maxPlanStringLength"

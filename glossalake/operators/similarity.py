@@ -11,10 +11,11 @@ from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossalake.functions.text import is_translatable_paragraph, strip
+from glossalake.shared import small_batches
 
 
 def ratio(a: str, b: str) -> float:
@@ -70,6 +71,8 @@ def skips_insertion(a: str | None, b: str | None, threshold: float = 0.9) -> boo
 
 
 def _udf(f: Callable, kind: str):
+    small_batches(SparkSession.active())
+
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([f(x, y) for x, y in zip(a, b, strict=True)])
@@ -100,6 +103,8 @@ def most_similar(target: str, candidates: list[str], floor: float | None = 0.6)
 
 
 def find_most_similar(floor: float | None = 0.6):
+    small_batches(SparkSession.active())
+
     @F.pandas_udf("string")
     def run(target: pd.Series, candidates: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else most_similar(t, list(c) if c is not None else [], floor) for t, c in zip(target, candidates, strict=True)], dtype=object)
@@ -112,6 +117,7 @@ def best_of_all(df: DataFrame, key: str, text: str, floor: float | None = 0.6, b
 
     Without a floor the case of letters counts, every text has a best one if there is another, and null texts have none.
     """
+    small_batches(df.sparkSession)
     blocks = df.where(F.col(text).isNotNull()).groupBy(F.floor(F.col(key) / block).alias("__b")).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(text).alias("t")))).alias("__c")).drop("__b")
 
     @F.pandas_udf("score double, k bigint, t string")

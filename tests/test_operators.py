@@ -373,3 +373,15 @@ def test_more_text_edges(spark):
     assert one(spark, T.valid_utf8(F.unhex(F.col("a"))), "41FFEFBFBD42C3") == "A\ufffdB"
     odd = L.parse(spark.createDataFrame([("\x01a\x01b\x01c\x01d",)], "value string")).first()
     assert (odd.logger, odd.level) == ("unknown", "INFO")
+
+
+def test_texts_are_compared_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    try:
+        for use in (lambda: E.similarity("weighted"), E.find_most_similar, E.skip_insertion):
+            spark.conf.set(key, "10000")
+            use()
+            assert int(spark.conf.get(key)) <= 500
+    finally:
+        spark.conf.set(key, before)
