@@ -414,6 +414,23 @@ def test_words_are_projected_once_and_steep_weights_shut_gates(monkeypatch):
     assert np.abs(logit).max() > 100 and abs(net.scores([texts[3]])[0] - 1 / (1 + np.exp(-logit.max()))) < 1e-6
 
 
+@pytest.mark.parametrize("exp, scale", [(np.exp, 1.0), (np.exp2, np.log2(np.e))])
+def test_pieces_are_looked_at_once_and_score_as_their_words(monkeypatch, exp, scale):
+    monkeypatch.setattr(toxicity, "EXP", exp)  # either base, whatever this machine takes
+    monkeypatch.setattr(toxicity, "SCALE", np.float32(scale))
+    net, rng = toxicity.Network(), random.Random(8)
+    texts = ["One-two, three; one_two -- four's", "- |", "", None, "a,b " + words(rng, 70) + " a,b a", words(rng, 23)]
+    plain = [brute.toxicity_score(net, t) for t in texts]
+    seen, inside, met = [], toxicity.inside, toxicity.Met(net)
+    monkeypatch.setattr(toxicity, "inside", lambda piece: seen.append(piece) or inside(piece))
+    for _ in range(2):
+        assert np.allclose(net.scores([toxicity.pieces(t) for t in texts], met), plain, atol=1e-5)
+    assert len(seen) == len(set(seen)) and {w for t in texts for w in toxicity.pieces(t)} <= set(seen)
+    monkeypatch.setattr(toxicity, "LANES", 7)
+    monkeypatch.setattr(toxicity, "MOST_WORDS", 5)
+    assert np.allclose([net.scores([toxicity.pieces(t)], met)[0] for t in texts], plain, atol=1e-5)
+
+
 def test_toxicity_learns_and_scores_every_text(spark):
     rng = random.Random(4)
     rows = []
