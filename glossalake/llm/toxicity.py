@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from glossalake.llm.common import bounded_sample, inputs, small_batches
 
+_f = np.float32
 WINDOW = 24
 #: Words from one window to the next in training; scoring takes every window.
 STRIDE = 12
@@ -28,15 +29,20 @@ HIDDEN, EMBED, BUCKETS = 8, 12, 1 << 14
 #: Bound on the labelled documents the network is trained on: a third with label 1, where there are so many.
 MAX_DOCS = 2400
 #: Windows that run side by side.
-LANES = 4096
+LANES = 2048
 #: Exponents of gates and candidates are held within this: twice it is less than a float32 can take, and what lies beyond changes none.
 STEEP = 40.0
 #: Of the inputs of both gates and of the candidate in the exponents.
 FACTOR = np.repeat(np.array([-1, -1, -2], np.float32), HIDDEN)
+#: Turn an exponent of e into the bits of a float32 that lies within 3 % of the exponential: bits, read as a whole number, grow nearly as the logarithm does.
+BITS, ZERO = _f(2**23 * np.log2(np.e)), _f(127 * 2**23 - 366_393)
+#: Words that the coarse pass reads up to a word, that one included, from either side.
+SPAN = 16
+#: Logits below the highest of a text's coarse ones within which windows are computed in full; twice the largest error met, where that is more.
+REACH = 0.5
 #: Pieces beyond which a task forgets those it met: up to 67 MB of input parts.
 MOST_WORDS = 1 << 18
 _WORD = re.compile(r"\w+")
-_f = np.float32
 
 
 def _vectorised(name: str) -> bool:
@@ -157,12 +163,37 @@ class Network:
         ids, first, last = met.line_up(texts)
         best = np.full(len(texts), -np.inf)
         if len(ids):
-            logit = self.sweep(met.known, ids, met.steepest)
             some = np.flatnonzero(last >= 0)
             bounds = np.stack([first[some], last[some] + 1], axis=1).ravel()
-            best[some] = np.maximum.reduceat(np.append(logit, -np.inf), bounds)[::2]
+            best[some] = np.maximum.reduceat(self.logits(met, ids, bounds), bounds)[::2]
         return 1 / (1 + np.exp(-np.clip(best, -700, 700))) * np.isfinite(best)
 
+    def logits(self, met: Met, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The logit of the window from each place on, where it may be the highest of its text; -inf for all others and behind the last.
+
+        bounds: where the windows of a text begin and end, in turn. ``sweep`` computes all windows coarsely. Those within
+        REACH of a text's highest are computed in full by ``run``; where that shows larger errors than REACH is made for, those within
+        twice the largest error are too, until there are no more.
+        """
+        n = len(ids) - WINDOW + 1
+        coarse = np.append(np.zeros(n, _f) if self.steep(met.steepest) else self.sweep(met.known, ids), _f(-np.inf))
+        top = np.maximum.reduceat(coarse, bounds)
+        top[1::2] = np.inf  # from one text to the next
+        below = np.repeat(top, np.diff(np.append(bounds, n + 1))) - coarse
+        logit, reach = np.full(n + 1, -np.inf, _f), REACH
+        while len(left := np.flatnonzero((below <= reach) & (logit == -np.inf))):
+            for at in range(0, len(left), LANES):
+                some = left[at : at + LANES]
+                found, rows = np.unique(np.append(0, ids[some[:, None] + np.arange(WINDOW)]), return_inverse=True)
+                known = met.known[:, np.append(found[1:], 0), : 3 * HIDDEN] / (FACTOR * SCALE)
+                logit[some] = self.run(list(known), rows[1:].reshape(-1, WINDOW) - 1)[0]
+            reach = max(reach, 2 * float(np.abs(logit[left] - coarse[left]).max()))
+        return logit
+
+    def steep(self, steepest: float) -> bool:
+        """Whether exponents, of words up to steepest, may pass STEEP: states lie between -1 and 1, which bounds them."""
+        return steepest / float(SCALE) + max(np.abs(self.p[f"U{k}"] * FACTOR).sum(axis=0).max() for k in (0, 1)) > STEEP
+
     def parts(self, vocabulary: list[str]) -> tuple[np.ndarray, float]:
         """Direction x word -> exponents of gates and candidate, and the state that the word alone leaves, as ``sweep`` takes them; the highest exponent. No words: of the empty one."""
         h, x = HIDDEN, self.project(self.embed(vocabulary)[0] if vocabulary else np.empty((0, 2 * EMBED), _f))
@@ -170,63 +201,63 @@ class Network:
         u, _, w = np.split(EXP(np.clip(x, -STEEP * SCALE, STEEP * SCALE)), 3, axis=2)
         return np.concatenate([x, (_f(0.5) + u / (1 + w)) / (1 + u)], axis=2), float(np.abs(x).max())
 
-    def sweep(self, parts: np.ndarray, ids: np.ndarray, steepest: float) -> np.ndarray:
-        """The logit of the window from each place on, over words in a row, given by their parts (0: past the end of a text).
+    def sweep(self, parts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """About the logit of the window from each place on, over words in a row, given by their parts (0: past the end of a text), unless it's ``steep``.
 
         Windows that start side by side run as lanes of one matrix, so that the inputs of a step are a slice
         of theirs; rows of both lie end to end, and the last lanes, which read on into the row below, are computed
         for nothing, as whole stretches cost less than rows. Of a place only its attention and its share of the output are kept. What ``run`` computes, but
-        with exponentials, which cost half of what hyperbolic tangents do: with u = e^-a for the update gate,
-        w = e^-2b for the candidate and a state kept as half of what it is above -1, a step's state is
+        with exponentials: with u = e^-a for the update gate, w = e^-2b for the candidate and a state kept as half of what it is above -1, a step's state is
         (u / (1 + w) + state) / (1 + u). The factors -1 and -2 are in the weights, and so are attention and output of
-        the state before; a last row of ones takes what that way of keeping the state adds.
+        the state before; a last row of ones takes what that way of keeping the state adds. Two things make it coarse: exponentials are whole
+        numbers read as a float32's bits, which cost a seventh of full ones, and a word is read from SPAN words before or behind it at most, so that windows
+        share the states of words further inside. A logit is wrong by some hundredths.
         """
         n, h, p = len(ids) - WINDOW + 1, HIDDEN, self.p
-        most, hidden = STEEP * SCALE, []
+        hidden = []
         for k in (0, 1):
-            m = np.concatenate([p[f"U{k}"].T * (FACTOR * SCALE)[:, None], *(p[x][None, k * h : (k + 1) * h] for x in ("v", "o"))])
+            m = np.concatenate([p[f"U{k}"].T * (FACTOR * BITS)[:, None], *(p[x][None, k * h : (k + 1) * h] for x in ("v", "o"))])
             hidden.append(np.ascontiguousarray(np.concatenate([2 * m, -m.sum(axis=1, keepdims=True)], axis=1)))
-        # states lie between -1 and 1, which bounds the exponents; beyond STEEP they would overflow, and gates are shut there
-        steep = any(steepest + np.abs(m[: 3 * h, :h]).sum(axis=1).max() / 2 > most for m in hidden)
         past = np.where(ids == 0, _f(-1e9), _f(0.0))
         out, one = np.empty(n, _f), np.ones(1, _f)
         for at in range(0, n, LANES):
             lanes = min(LANES, n - at)
             width = lanes + WINDOW - 1
-            told = np.zeros((WINDOW, 2, width), _f)
+            told = np.empty((2, SPAN, 2, width), _f)
             hu, new, kept = (np.empty((k, width), _f) for k in (3 * h + 2, h, h + 1))
+            bits = np.empty((3 * h, width), np.int32)
             inputs = np.zeros(4 * h * width + WINDOW, _f)
-            gates, u, r, w = hu[: 2 * h], hu[:h], hu[h : 2 * h], hu[2 * h : 3 * h]
+            u, r, w = bits.view(_f).reshape(3, h, width)
             state, kept[h] = kept[:h], 1
             for k in (0, 1):
-                inputs[: 4 * h * width].reshape(-1, width)[:] = parts[k][ids[at : at + width]].T
-                places = list(range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1))
+                rows = inputs[: 4 * h * width].reshape(-1, width)
+                rows[:] = parts[k][ids[at : at + width]].T
+                rows[: 3 * h] *= BITS / SCALE
+                rows[: 3 * h] += ZERO
+                places = list(range(SPAN) if k == 0 else range(SPAN - 1, -1, -1))
                 state[:] = inputs[places[0] :][3 * h * width : 4 * h * width].reshape(h, width)
-                for before, t in zip(places, places[1:], strict=False):
-                    x = inputs[t : t + 3 * h * width].reshape(-1, width)
-                    np.matmul(hidden[k], kept, out=hu)
-                    told[before] += hu[3 * h :]
-                    gates += x[: 2 * h]
-                    if steep:
-                        np.clip(gates, -most, most, out=gates)
-                    EXP(gates, out=gates)
-                    r += one
-                    w /= r
-                    w += x[2 * h :]
-                    if steep:
-                        np.clip(w, -most, most, out=w)
-                    EXP(w, out=w)
-                    w += one
-                    np.divide(u, w, out=new)
-                    state += new
-                    u += one
-                    state /= u
-                told[places[-1]] += hidden[k][3 * h :] @ kept
-            weight = told[:, 0, :lanes]
+                with np.errstate(all="ignore"):  # of the last lanes
+                    for before, t in zip(places, places[1:], strict=False):
+                        x = inputs[t : t + 3 * h * width].reshape(-1, width)
+                        np.matmul(hidden[k], kept, out=hu)
+                        told[k, before] = hu[3 * h :]
+                        np.add(hu[: 2 * h], x[: 2 * h], out=bits[: 2 * h], casting="unsafe")
+                        r += one
+                        np.divide(hu[2 * h : 3 * h], r, out=new)
+                        np.add(new, x[2 * h :], out=bits[2 * h :], casting="unsafe")
+                        w += one
+                        np.divide(u, w, out=new)
+                        state += new
+                        u += one
+                        state /= u
+                    told[k, places[-1]] = hidden[k][3 * h :] @ kept
+            both, rest = np.empty((WINDOW, 2, lanes), _f), WINDOW - SPAN
             for t in range(WINDOW):
-                weight[t] += past[at + t : at + t + lanes]
-            a = np.exp(weight - weight.max(axis=0))
-            out[at : at + lanes] = (a * told[:, 1, :lanes]).sum(axis=0) / a.sum(axis=0)
+                f, b = max(0, t - SPAN + 1), min(t, rest)  # how far into the window the reading that a word is told by begins
+                np.add(told[0, t - f, :, f : f + lanes], told[1, t - b, :, b : b + lanes], out=both[t])
+                both[t, 0] += past[at + t : at + t + lanes]
+            a = np.exp(both[:, 0] - both[:, 0].max(axis=0))
+            out[at : at + lanes] = (a * both[:, 1]).sum(axis=0) / a.sum(axis=0)
         return out + p["c"]
 
     def gradients(self, texts: list[list[str]], labels: np.ndarray, sharp: float) -> tuple[dict[str, np.ndarray], dict[str, tuple]]:

@@ -431,6 +431,26 @@ def test_pieces_are_looked_at_once_and_score_as_their_words(monkeypatch, exp, sc
     assert np.allclose([net.scores([toxicity.pieces(t)], met)[0] for t in texts], plain, atol=1e-5)
 
 
+def test_full_exponentials_are_taken_only_where_a_window_may_be_the_highest(monkeypatch):
+    net, rng = toxicity.Network(), random.Random(9)
+    net.p["o"] *= 20
+    texts = [words(rng, n).split() for n in (600, 0, 10, 900, 24, 2000)]
+    plain = []
+    for t in texts:
+        vocabulary, rows, _ = toxicity.layout([t], 1)
+        plain.append(1 / (1 + np.exp(-net.run(net.project(net.embed(vocabulary)[0]), rows)[0].max())) if t else 0.0)
+    taken, full, exp, run, sweep = [], [], toxicity.EXP, toxicity.Network.run, toxicity.Network.sweep
+    monkeypatch.setattr(toxicity, "EXP", lambda x, **k: taken.append(x.size) or exp(x, **k))
+    monkeypatch.setattr(toxicity.Network, "run", lambda self, x, rows: full.append(len(rows)) or run(self, x, rows))
+    assert np.allclose(net.scores(texts), plain, atol=1e-6)
+    assert sum(taken) <= 500 * 6 * toxicity.HIDDEN and 5 <= sum(full) < 0.3 * sum(map(len, texts))
+    for error in (0.0, 3.0):  # coarse logits that are wrong by more than is allowed for cost time, not the result
+        noise = np.random.default_rng(1)
+        monkeypatch.setattr(toxicity.Network, "sweep", lambda *x, e=error, g=noise: (y := sweep(*x)) + g.uniform(-e, e, len(y)).astype(y.dtype))
+        monkeypatch.setattr(toxicity, "REACH", 0.2)
+        assert np.allclose(net.scores(texts), plain, atol=1e-6)
+
+
 def test_toxicity_learns_and_scores_every_text(spark):
     rng = random.Random(4)
     rows = []
